@@ -42,6 +42,22 @@ def review_book_join(reviews: DataFrame, books: DataFrame, key: str = "title",
     return r.join(b, cond, "inner").select(*sel)
 
 
+def join_fanout_counts(left: DataFrame, right: DataFrame, key: str,
+                       null_keys_match: bool = True) -> DataFrame:
+    """Rows an m:n equi-join produces per key, without materialising the join.
+
+    Both sides are reduced to (key, count) first (map-side combine), so the
+    shuffle carries one row per key and partition, and a hot key costs
+    nothing extra: count(key) = count_left(key) * count_right(key).
+    """
+    lc = left.groupBy(key).agg(F.count("*").alias("_nl"))
+    rc = right.groupBy(key).agg(F.count("*").alias("_nr")).withColumnRenamed(key, "_k")
+    cond = lc[key].eqNullSafe(rc["_k"]) if null_keys_match else lc[key] == rc["_k"]
+    return lc.join(rc, cond, "inner").select(
+        F.col(key), F.col("_nl").alias("left_rows"), F.col("_nr").alias("right_rows"),
+        (F.col("_nl") * F.col("_nr")).alias("joined_rows"))
+
+
 def user_counts(df: DataFrame, user_col: str = "user_id") -> DataFrame:
     """A3: rows per non-NULL user (partial aggregation before the shuffle)."""
     return df.where(F.col(user_col).isNotNull()).groupBy(user_col).agg(

@@ -13,6 +13,7 @@ helpfulness "a/b"      l_linenumber || '/' || floor(l_quantity)
 user_id                o_custkey
 review_time            l_shipdate
 review_text            o_orderpriority (short strings of varying length)
+label (evaluation)     l_returnflag = 'R'  (``is_returned``)
 title (join key)       l_partkey  ->  p_partkey
 ratings_count          p_size
 categories             p_type
@@ -47,6 +48,13 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("review_text"),
         F.col("o_orderpriority").alias("summary"),
         F.col("o_orderkey").alias("order_key"),
+        F.col("l_linenumber").alias("line_number"),
+        F.col("l_suppkey").alias("supp_key"),
+        F.col("l_quantity").alias("quantity"),
+        F.col("l_extendedprice").alias("price"),
+        F.col("l_discount").alias("discount"),
+        F.col("l_tax").alias("tax"),
+        (F.col("l_returnflag") == F.lit("R")).alias("is_returned"),
     )
 
 
@@ -68,7 +76,10 @@ REVIEWS_SQL = """
          o.o_custkey AS user_id,
          l.l_shipdate AS review_time,
          o.o_orderpriority AS review_text,
-         o.o_orderkey AS order_key
+         o.o_orderkey AS order_key,
+         l.l_linenumber AS line_number, l.l_suppkey AS supp_key, l.l_quantity AS quantity,
+         l.l_extendedprice AS price, l.l_discount AS discount, l.l_tax AS tax,
+         l.l_returnflag = 'R' AS is_returned
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 """
 
@@ -77,3 +88,16 @@ BOOKS_SQL = """
          CAST(p_size AS DOUBLE) AS ratings_count
   FROM part
 """
+
+
+# Portable rank key for exact samples / splits (same value in Spark and SQL),
+# followed by tie-breakers that make the order total (these lineitem columns
+# are unique together at every scale).
+RANK_KEY_SQL = "(order_key * 7919 + title * 31 + line_number) % 1000003"
+TIE_COLS = ["order_key", "line_number", "title", "supp_key", "price", "quantity", "discount", "tax"]
+
+
+def with_rank_cols(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    out = (df.withColumn("rk", F.expr(RANK_KEY_SQL))
+             .withColumn("ship_us", F.unix_micros(F.col("review_time").cast("timestamp"))))
+    return out, ["rk", *TIE_COLS, "ship_us"]

@@ -15,6 +15,7 @@ r AS ({REVIEWS_SQL}),
 bk AS ({BOOKS_SQL}),
 m0 AS (
   SELECT r.title, r.user_id, r.review_time, coalesce(r.review_text, '') AS review_text, r.order_key,
+         r.line_number, r.supp_key, r.quantity, r.price, r.discount, r.tax, r.is_returned, r.helpfulness,
          r.score, bk.ratings_count, coalesce(bk.categories, '') AS categories,
          TRY_CAST(split_part(r.helpfulness, '/', 1) AS DOUBLE)
            / NULLIF(TRY_CAST(split_part(r.helpfulness, '/', 2) AS DOUBLE), 0) AS helpfulness_ratio
@@ -22,6 +23,8 @@ m0 AS (
 mm AS (SELECT avg(score) AS ms, avg(helpfulness_ratio) AS mh, avg(ratings_count) AS mr FROM m0),
 m AS (
   SELECT m0.title, m0.user_id, m0.review_time, m0.review_text, m0.order_key, m0.categories,
+         m0.line_number, m0.supp_key, m0.quantity, m0.price, m0.discount, m0.tax, m0.is_returned,
+         m0.helpfulness,
          coalesce(m0.score, mm.ms) AS score,
          coalesce(m0.helpfulness_ratio, mm.mh) AS helpfulness_ratio,
          coalesce(m0.ratings_count, mm.mr) AS ratings_count

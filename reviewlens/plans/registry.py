@@ -43,3 +43,366 @@ def d1_hbos_anomaly_by_rating(spark, sf):
     f = materialize(review_features(spark, sf))
     m = HBOSModel.fit(f, cols=NUMERIC_FEATURES)
     return anomaly_by_rating(m.transform(f), "score")
+
+
+# ----------------------------------------------------------------- helpers
+from reviewlens.functions.scalar import (days_since, display_name, flag_label,  # noqa: E402
+                                         helpfulness_parts, helpfulness_ratio, review_length,
+                                         unix_time, whole_days_since)
+from reviewlens.operators import evaluate as EV  # noqa: E402
+from reviewlens.operators import prepare as PR  # noqa: E402
+from reviewlens.operators import profile as PF  # noqa: E402
+from reviewlens.operators import report as RP  # noqa: E402
+from reviewlens.operators.features import FeatureSpec  # noqa: E402
+from reviewlens.plans import bindings  # noqa: E402
+from reviewlens.plans.review_features import reviews_with_books  # noqa: E402
+
+FEAT_SQL_LIST = ", ".join(NUMERIC_FEATURES)
+
+
+def _hbos_flags(spark, sf):
+    f = materialize(review_features(spark, sf))
+    m = HBOSModel.fit(f, cols=NUMERIC_FEATURES)
+    return f, m, m.transform(f)
+
+
+# ----------------------------------------------------------------- P1-P7
+@register("p_review_columns", O.with_(O.JOINED_CTE, "t0 AS (SELECT min(review_time) AS t0 FROM m)") + """
+SELECT m.score AS rating,
+       TRY_CAST(split_part(helpfulness, '/', 1) AS DOUBLE) AS helpfulness_numerator,
+       TRY_CAST(split_part(helpfulness, '/', 2) AS DOUBLE) AS helpfulness_denominator,
+       round(helpfulness_ratio, 6) AS helpfulness_ratio,
+       CAST(length(review_text) AS BIGINT) AS review_length,
+       round(CAST(epoch_us(review_time) - epoch_us(t0) AS DOUBLE) / 86400000000.0, 6) AS days_since_first,
+       CAST(floor(CAST(epoch_us(review_time) - epoch_us(t0) AS DOUBLE) / 86400000000.0) AS BIGINT) AS whole_days_since_first,
+       CAST(epoch_us(review_time) // 1000000 AS BIGINT) AS unix_review_time
+FROM m CROSS JOIN t0""")
+def p_review_columns(spark, sf):
+    m = reviews_with_books(spark, sf)
+    t0 = PR.first_time(m)
+    t0c = F.timestamp_micros(F.lit(t0))
+    a, b = helpfulness_parts("helpfulness")
+    return m.select(F.col("score").alias("rating"), a.alias("helpfulness_numerator"),
+                    b.alias("helpfulness_denominator"),
+                    F.round(helpfulness_ratio("helpfulness"), 6).alias("helpfulness_ratio"),
+                    review_length("review_text").alias("review_length"),
+                    F.round(days_since("review_time", t0c), 6).alias("days_since_first"),
+                    whole_days_since("review_time", t0c).alias("whole_days_since_first"),
+                    unix_time("review_time").alias("unix_review_time"))
+
+
+# ----------------------------------------------------------------- J1
+@register("j1_review_book_join", O.with_(O.JOINED_CTE) + """
+SELECT categories, count(*) AS n_reviews, sum(score) AS sum_score,
+       round(avg(ratings_count), 6) AS avg_ratings_count, count(DISTINCT title) AS n_books
+FROM m GROUP BY categories""")
+def j1_review_book_join(spark, sf):
+    m = reviews_with_books(spark, sf)
+    return m.groupBy("categories").agg(F.count("*").alias("n_reviews"), F.sum("score").alias("sum_score"),
+                                       F.round(F.avg("ratings_count"), 6).alias("avg_ratings_count"),
+                                       F.count_distinct("title").alias("n_books"))
+
+
+@register("j1_fanout_by_name", """
+WITH rv AS (SELECT p.p_name AS book_name FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)
+SELECT rv.book_name, count(*) AS joined_rows
+FROM rv JOIN part b ON rv.book_name IS NOT DISTINCT FROM b.p_name GROUP BY rv.book_name""")
+def j1_fanout_by_name(spark, sf):
+    r = bindings.reviews(spark, sf).join(bindings.books(spark, sf).select("title", "book_name"), "title")
+    b = bindings.books(spark, sf)
+    return PR.join_fanout_counts(r.select("book_name"), b.select("book_name"), "book_name") \
+        .select("book_name", "joined_rows")
+
+
+# ----------------------------------------------------------------- A1, F1
+@register("a1_mean_impute", O.with_(O.JOINED_CTE, """
+mi AS (SELECT NULLIF(score, 7.0) AS s, CASE WHEN ratings_count > 45 THEN NULL ELSE ratings_count END AS rc FROM m),
+mv AS (SELECT avg(s) AS ms, avg(rc) AS mr FROM mi)""") + """
+SELECT round(coalesce(s, ms), 6) AS score_imputed, count(*) AS n_reviews,
+       round(sum(coalesce(rc, mr)), 4) AS sum_ratings_count
+FROM mi CROSS JOIN mv GROUP BY 1""")
+def a1_mean_impute(spark, sf):
+    m = reviews_with_books(spark, sf).select(
+        F.nullif(F.col("score"), F.lit(7.0)).alias("score"),
+        F.when(F.col("ratings_count") > 45, F.lit(None)).otherwise(F.col("ratings_count")).alias("ratings_count"))
+    imp, _ = PR.mean_impute(m, ["score", "ratings_count"])
+    imp = PR.drop_missing(imp, ["score", "ratings_count"])
+    return imp.groupBy(F.round("score", 6).alias("score_imputed")).agg(
+        F.count("*").alias("n_reviews"), F.round(F.sum("ratings_count"), 4).alias("sum_ratings_count"))
+
+
+# ----------------------------------------------------------------- J2, A3, A4
+@register("j2_user_activity", O.with_(O.JOINED_CTE, """
+mu AS (SELECT CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END AS u FROM m),
+uc AS (SELECT u, count(*) AS c FROM mu WHERE u IS NOT NULL GROUP BY u)""") + """
+SELECT coalesce(uc.c, 0) AS user_review_count, count(*) AS n_reviews
+FROM mu LEFT JOIN uc ON mu.u = uc.u GROUP BY 1""")
+def j2_user_activity(spark, sf):
+    m = reviews_with_books(spark, sf).select(
+        F.when(F.col("user_id") % 10 == 0, F.lit(None)).otherwise(F.col("user_id")).alias("user_id"))
+    a = PR.user_activity(m, "user_id")
+    return a.groupBy("user_review_count").agg(F.count("*").alias("n_reviews"))
+
+
+@register("a3_user_counts", O.with_(O.JOINED_CTE) + """
+SELECT user_id, count(*) AS user_review_count FROM m WHERE user_id IS NOT NULL GROUP BY user_id""")
+def a3_user_counts(spark, sf):
+    return PR.user_counts(reviews_with_books(spark, sf), "user_id")
+
+
+@register("a4_first_review_time", O.with_(O.JOINED_CTE) + """
+SELECT min(review_time) AS first_review_time, max(review_time) AS last_review_time, count(*) AS n_reviews FROM m""")
+def a4_first_review_time(spark, sf):
+    m = reviews_with_books(spark, sf)
+    return m.agg(F.min("review_time").alias("first_review_time"), F.max("review_time").alias("last_review_time"),
+                 F.count("*").alias("n_reviews"))
+
+
+# ----------------------------------------------------------------- O1, O2, O8
+_RANK_ORDER_SQL = "rk, " + ", ".join(bindings.TIE_COLS) + ", review_time"
+
+
+@register("o1_stratified_cap", O.with_(O.JOINED_CTE, f"""
+mk AS (SELECT m.*, {bindings.RANK_KEY_SQL} AS rk FROM m),
+tot AS (SELECT count(*) // 4 AS cap, count(*) AS n FROM mk),
+gc AS (SELECT score, count(*) AS ng FROM mk GROUP BY score),
+rn AS (SELECT mk.*, row_number() OVER (PARTITION BY mk.score ORDER BY {_RANK_ORDER_SQL}) AS r FROM mk)""") + """
+SELECT rn.score AS rating, count(*) AS n_kept, round(sum(price), 2) AS sum_price, min(rk) AS min_rk, max(rk) AS max_rk
+FROM rn JOIN gc ON rn.score = gc.score CROSS JOIN tot
+WHERE rn.r <= (tot.cap * gc.ng) // tot.n GROUP BY rn.score""")
+def o1_stratified_cap(spark, sf):
+    m, order = bindings.with_rank_cols(reviews_with_books(spark, sf))
+    cap = m.count() // 4
+    s = PR.stratified_cap(m, "score", cap, order_cols=order)
+    return s.groupBy(F.col("score").alias("rating")).agg(
+        F.count("*").alias("n_kept"), F.round(F.sum("price"), 2).alias("sum_price"),
+        F.min("rk").alias("min_rk"), F.max("rk").alias("max_rk"))
+
+
+@register("o2_train_test_split", O.with_(O.JOINED_CTE, f"""
+mk AS (SELECT m.*, {bindings.RANK_KEY_SQL} AS rk FROM m),
+rn AS (SELECT mk.*, row_number() OVER (ORDER BY {_RANK_ORDER_SQL}) AS r, count(*) OVER () AS n FROM mk)""") + """
+SELECT r <= CAST(ceil(n * 0.2) AS BIGINT) AS is_test, count(*) AS n_rows, round(sum(price), 2) AS sum_price
+FROM rn GROUP BY 1""")
+def o2_train_test_split(spark, sf):
+    m, order = bindings.with_rank_cols(reviews_with_books(spark, sf))
+    s = PR.train_test_split(m, 0.2, order_cols=order)
+    return s.groupBy("is_test").agg(F.count("*").alias("n_rows"), F.round(F.sum("price"), 2).alias("sum_price"))
+
+
+@register("o8_kfold")
+def o8_kfold(spark, sf):
+    f = PR.kfold(reviews_with_books(spark, sf), 3)
+    return f.groupBy("fold").agg(F.count("*").alias("n_rows"))
+
+
+# ----------------------------------------------------------------- A6, A7, A9
+_A6_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {j} AS feature_index, round(avg({c}), 6) AS mean, round(var_pop({c}), 6) AS variance, "
+    f"round(min({c}), 6) AS min, round(max({c}), 6) AS max, round(max({c}) - min({c}), 6) AS range FROM f"
+    for j, c in enumerate(NUMERIC_FEATURES))
+
+
+@register("a6_feature_stats", O.with_(O.FEATURES_CTE) + _A6_SQL)
+def a6_feature_stats(spark, sf):
+    f = review_features(spark, sf)
+    st = PF.feature_stats(f, FeatureSpec.of(f, NUMERIC_FEATURES))
+    return st.select("feature", "feature_index", *[_r(c) for c in ("mean", "variance", "min", "max", "range")])
+
+
+_VARS = " UNION ALL ".join(f"SELECT var_pop({c}) AS v, max({c}) - min({c}) AS rg FROM f" for c in NUMERIC_FEATURES)
+
+
+@register("a7_inspect_features", O.with_(O.FEATURES_CTE, f"vv AS ({_VARS})") + f"""
+SELECT true AS valid, CAST(NULL AS VARCHAR) AS error, (SELECT count(*) FROM f) AS n_samples,
+       {len(NUMERIC_FEATURES)} AS n_features, false AS has_nan, false AS has_inf,
+       0 AS nan_count, 0 AS inf_count,
+       round(avg(v), 6) AS mean_variance, round(min(v), 6) AS min_variance, round(max(v), 6) AS max_variance,
+       round(avg(rg), 6) AS mean_range, CAST(count_if(v = 0) AS INTEGER) AS zero_variance_count,
+       CAST(count_if(v > 0 AND v < 1e-10) AS INTEGER) AS near_zero_variance_count,
+       CAST(count_if(v > 0) AS INTEGER) AS non_zero_variance_count,
+       round(count_if(v = 0) * 100.0 / {len(NUMERIC_FEATURES)}, 6) AS zero_variance_percent,
+       CASE WHEN count_if(v = 0) = {len(NUMERIC_FEATURES)} THEN 'ALL_ZERO_VARIANCE'
+            WHEN count_if(v = 0) > {len(NUMERIC_FEATURES)} * 0.5 THEN 'MAJORITY_ZERO_VARIANCE'
+            WHEN count_if(v = 0) > 0 THEN 'SOME_ZERO_VARIANCE' END AS issue
+FROM vv""")
+def a7_inspect_features(spark, sf):
+    f = review_features(spark, sf)
+    r = PF.inspect_features(f, FeatureSpec.of(f, NUMERIC_FEATURES))
+    return r.select("valid", "error", "n_samples", "n_features", "has_nan", "has_inf", "nan_count", "inf_count",
+                    *[_r(c) for c in ("mean_variance", "min_variance", "max_variance", "mean_range")],
+                    "zero_variance_count", "near_zero_variance_count", "non_zero_variance_count",
+                    _r("zero_variance_percent"), "issue")
+
+
+@register("a9_preprocess_report", O.with_(O.FEATURES_CTE, f"vv AS ({_VARS})") + f"""
+SELECT (SELECT count(*) FROM f) AS n_samples, {len(NUMERIC_FEATURES)} AS n_features,
+       CAST(count_if(v = 0) AS INTEGER) AS zero_variance_count,
+       CAST(count_if(v > 0 AND v < 1e-10) AS INTEGER) AS near_zero_variance_count,
+       CAST(count_if(v > 0) AS INTEGER) AS non_zero_variance_count, count_if(v > 0) = 0 AS needs_noise
+FROM vv""")
+def a9_preprocess_report(spark, sf):
+    f = review_features(spark, sf)
+    return PF.preprocess_report(f, FeatureSpec.of(f, NUMERIC_FEATURES)).drop("kept_mask")
+
+
+# ----------------------------------------------------------------- A10, A12-A14
+@register("a10_rating_distribution", O.with_(O.JOINED_CTE) + """
+SELECT score AS rating, count(*) AS n_reviews FROM m GROUP BY 1""")
+def a10_rating_distribution(spark, sf):
+    return RP.rating_distribution(reviews_with_books(spark, sf))
+
+
+def _box_sql(col: str, src: str = "f") -> str:
+    return f"""
+bq AS (SELECT score, quantile_cont({col}, 0.25) AS q1, quantile_cont({col}, 0.5) AS med,
+              quantile_cont({col}, 0.75) AS q3 FROM {src} GROUP BY score),
+cap AS (SELECT quantile_cont({col}, 0.95) AS axis_cap FROM {src})
+SELECT {src}.score AS rating, round(bq.q1, 6) AS q1, round(bq.med, 6) AS med, round(bq.q3, 6) AS q3,
+       count(*) AS n,
+       round(min(CASE WHEN {col} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN {col} END), 6) AS whisker_lo,
+       round(max(CASE WHEN {col} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN {col} END), 6) AS whisker_hi,
+       CAST(count_if(NOT ({col} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))) AS BIGINT) AS n_outliers,
+       round(any_value(cap.axis_cap), 6) AS axis_cap
+FROM {src} JOIN bq ON {src}.score = bq.score CROSS JOIN cap
+GROUP BY {src}.score, bq.q1, bq.med, bq.q3"""
+
+
+def _box_spark(df, col):
+    b = RP.box_stats(df, col, "score")
+    return b.select(F.col("score").alias("rating"), _r("q1"), _r("med"), _r("q3"), "n", _r("whisker_lo"),
+                    _r("whisker_hi"), "n_outliers", _r("axis_cap"))
+
+
+@register("a12_length_by_rating", O.with_(O.FEATURES_CTE) + ",\n" + _box_sql("review_length"))
+def a12_length_by_rating(spark, sf):
+    return _box_spark(materialize(review_features(spark, sf)), "review_length")
+
+
+@register("a13_helpfulness_by_rating", O.with_(O.FEATURES_CTE) + ",\n" + _box_sql("helpfulness_ratio"))
+def a13_helpfulness_by_rating(spark, sf):
+    return _box_spark(materialize(review_features(spark, sf)), "helpfulness_ratio")
+
+
+_CORR_COLS = ["review_length", "score", "helpfulness_ratio", "user_review_count", "whole_days", "unix_time"]
+
+
+def _corr_sql() -> str:
+    parts = []
+    for i in range(len(_CORR_COLS)):
+        for j in range(i + 1, len(_CORR_COLS)):
+            a, b = _CORR_COLS[j], _CORR_COLS[i]
+            parts.append(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, "
+                         f"round(covar_pop({a}, {b}) / sqrt(var_pop({a}) * var_pop({b})), 6) AS r FROM cf")
+    return " UNION ALL ".join(parts)
+
+
+@register("a14_behaviour_correlation", O.with_(O.FEATURES_CTE, """
+cf AS (SELECT review_length, score, helpfulness_ratio, user_review_count,
+              CAST(floor(days_since_first) AS DOUBLE) AS whole_days,
+              CAST(epoch_us(review_time) // 1000000 AS DOUBLE) AS unix_time FROM f)""") + _corr_sql())
+def a14_behaviour_correlation(spark, sf):
+    f = review_features(spark, sf)
+    t0 = PR.first_time(f)
+    cf = f.select("review_length", "score", "helpfulness_ratio", "user_review_count",
+                  whole_days_since("review_time", F.timestamp_micros(F.lit(t0))).cast("double").alias("whole_days"),
+                  unix_time("review_time").cast("double").alias("unix_time"))
+    return RP.correlation_matrix(cf, _CORR_COLS).select("feature_a", "feature_b", _r("r"))
+
+
+# ----------------------------------------------------------------- A5, A11 variants, A15-A21 on HBOS
+_HB = O.with_(O.FEATURES_CTE, O.hbos_scores_cte())
+
+
+@register("a5_dataset_summary", _HB + f"""
+SELECT count(*) AS n_rows, {len(NUMERIC_FEATURES)} AS n_features,
+       round(avg(CASE WHEN is_anomaly THEN 1.0 ELSE 0.0 END) * 100, 6) AS anomaly_pct, 'completed' AS status FROM hf""")
+def a5_dataset_summary(spark, sf):
+    f, m, fl = _hbos_flags(spark, sf)
+    return fl.agg(F.count("*").alias("n_rows"), F.lit(len(m.scaler.kept)).alias("n_features"),
+                  F.round(F.avg(F.col("is_anomaly").cast("double")) * 100, 6).alias("anomaly_pct"),
+                  F.lit("completed").alias("status"))
+
+
+@register("p9_flag_labels", _HB + """
+SELECT CASE WHEN is_anomaly THEN 'Anomaly' ELSE 'Normal' END AS label, count(*) AS n_reviews FROM hf GROUP BY 1""")
+def p9_flag_labels(spark, sf):
+    _, _, fl = _hbos_flags(spark, sf)
+    return fl.groupBy(flag_label("is_anomaly").alias("label")).agg(F.count("*").alias("n_reviews"))
+
+
+@register("a15_model_anomaly_counts", _HB + """
+SELECT 'hbos' AS model, 'Hbos' AS display_name, CAST(count_if(is_anomaly) AS BIGINT) AS anomalies, count(*) AS n,
+       round(avg(CASE WHEN is_anomaly THEN 1.0 ELSE 0.0 END) * 100, 6) AS anomaly_pct FROM hf""")
+def a15_model_anomaly_counts(spark, sf):
+    _, _, fl = _hbos_flags(spark, sf)
+    c = RP.model_anomaly_counts(fl.withColumn("model", F.lit("hbos")))
+    return c.select("model", display_name("model").alias("display_name"), "anomalies", "n", _r("anomaly_pct"))
+
+
+@register("a16_confusion_matrix", _HB + """
+SELECT is_returned AS actual, is_anomaly AS predicted, count(*) AS n FROM hf GROUP BY 1, 2""")
+def a16_confusion_matrix(spark, sf):
+    _, _, fl = _hbos_flags(spark, sf)
+    return EV.confusion_matrix(fl, "is_returned", "is_anomaly")
+
+
+@register("a17_binary_metrics", _HB + """,
+c AS (SELECT CAST(count_if(is_returned AND is_anomaly) AS BIGINT) AS tp,
+             CAST(count_if(NOT is_returned AND is_anomaly) AS BIGINT) AS fp,
+             CAST(count_if(is_returned AND NOT is_anomaly) AS BIGINT) AS fn,
+             CAST(count_if(NOT is_returned AND NOT is_anomaly) AS BIGINT) AS tn,
+             count(*) AS n, count(DISTINCT is_returned) AS label_classes FROM hf)
+SELECT tp, fp, fn, tn, n, label_classes,
+       round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision,
+       round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall,
+       round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1,
+       round(((CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END) * (tp + fn)
+             + (CASE WHEN 2 * tn + fn + fp = 0 THEN 0 ELSE 2 * tn / (2 * tn + fn + fp) END) * (tn + fp)) / n, 6) AS weighted_f1,
+       round(CASE WHEN label_classes < 2 THEN NULL ELSE (tp / (tp + fn) + tn / (tn + fp)) / 2 END, 6) AS roc_auc_binary,
+       tp + fp AS anomalies_detected, round((tp + fp) * 100.0 / n, 6) AS anomaly_pct
+FROM c""")
+def a17_binary_metrics(spark, sf):
+    _, _, fl = _hbos_flags(spark, sf)
+    b = EV.binary_metrics(fl, "is_returned", "is_anomaly")
+    return b.select("tp", "fp", "fn", "tn", "n", "label_classes",
+                    *[_r(c) for c in ("precision", "recall", "f1", "weighted_f1", "roc_auc_binary")],
+                    "anomalies_detected", _r("anomaly_pct"))
+
+
+@register("a20_roc_curve", _HB + """,
+pts AS (SELECT hbos_score AS threshold, count_if(is_returned) AS pos, count_if(NOT is_returned) AS neg
+        FROM hf GROUP BY 1),
+cum AS (SELECT threshold, sum(pos) OVER (ORDER BY threshold DESC) AS tp, sum(neg) OVER (ORDER BY threshold DESC) AS fp FROM pts),
+tot AS (SELECT sum(pos) AS P, sum(neg) AS N FROM pts)
+SELECT round(threshold, 6) AS threshold, round(fp / N, 6) AS fpr, round(tp / P, 6) AS tpr FROM cum CROSS JOIN tot""")
+def a20_roc_curve(spark, sf):
+    _, _, fl = _hbos_flags(spark, sf)
+    c = EV.roc_curve(fl, "is_returned", "anomaly_score")
+    return c.select(_r("threshold"), _r("fpr"), _r("tpr"))
+
+
+@register("a20_roc_auc", _HB + """,
+pts AS (SELECT hbos_score AS threshold, count_if(is_returned) AS pos, count_if(NOT is_returned) AS neg
+        FROM hf GROUP BY 1),
+cum AS (SELECT threshold, sum(pos) OVER (ORDER BY threshold DESC) AS tp, sum(neg) OVER (ORDER BY threshold DESC) AS fp FROM pts),
+tot AS (SELECT sum(pos) AS P, sum(neg) AS N FROM pts),
+cur AS (SELECT threshold, fp / N AS fpr, tp / P AS tpr FROM cum CROSS JOIN tot),
+seg AS (SELECT fpr, tpr, coalesce(lag(fpr) OVER (ORDER BY threshold DESC), 0) AS pf,
+               coalesce(lag(tpr) OVER (ORDER BY threshold DESC), 0) AS pt FROM cur)
+SELECT round(sum((fpr - pf) * (tpr + pt) / 2), 6) AS auc FROM seg""")
+def a20_roc_auc(spark, sf):
+    _, _, fl = _hbos_flags(spark, sf)
+    return EV.roc_auc(EV.roc_curve(fl, "is_returned", "anomaly_score")).select(_r("auc"))
+
+
+@register("a21_score_density", _HB + """,
+rg AS (SELECT min(hbos_score) AS lo, max(hbos_score) AS hi, count(*) AS n FROM hf),
+hb2 AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((hbos_score - lo) / ((hi - lo) / 50)), 49) END AS INTEGER) AS bin,
+               count(*) AS cnt, any_value(lo) AS lo, any_value(hi) AS hi, any_value(n) AS n
+        FROM hf CROSS JOIN rg GROUP BY 1)
+SELECT 'hbos' AS model, bin, cnt, round(cnt / (n * (CASE WHEN hi = lo THEN 1.0 ELSE (hi - lo) / 50 END)), 6) AS density FROM hb2""")
+def a21_score_density(spark, sf):
+    _, _, fl = _hbos_flags(spark, sf)
+    d = RP.score_density(fl.withColumn("model", F.lit("hbos")), 50)
+    return d.select("model", "bin", "cnt", _r("density"))

@@ -17,4 +17,5 @@ def review_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the joined table with the six numeric feature columns."""
     m = reviews_with_books(spark, sf_dir)
     f, _ = numeric_features(m)
-    return f.select("row_id", "order_key", "title", "user_id", "review_time", *NUMERIC_FEATURES)
+    return f.select("row_id", "order_key", "title", "user_id", "review_time", "is_returned",
+                    "line_number", "supp_key", "price", "quantity", "discount", "tax", *NUMERIC_FEATURES)
