@@ -75,3 +75,49 @@ hf AS (SELECT hs.*, hs.hbos_score > hq.thr AS is_anomaly FROM hs CROSS JOIN hq)
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip().strip(",") for c in ctes)
+
+
+# standardised embeddings (D0 on a vector column) and all pair distances
+EMB_CTE = """
+e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+es AS (SELECT i, avg(v) AS m, var_pop(v) AS s2 FROM e GROUP BY i),
+z AS (SELECT e.vec_id, e.i, (e.v - es.m) / sqrt(es.s2) AS z FROM e JOIN es USING (i) WHERE es.s2 > 0),
+pd AS (SELECT a.vec_id AS id, b.vec_id AS nid, sqrt(sum((a.z - b.z) * (a.z - b.z))) AS dist
+       FROM z a JOIN z b ON a.i = b.i GROUP BY 1, 2)
+"""
+
+
+def knn_cte(k: int) -> str:
+    return f"""
+kn AS (SELECT id, nid, dist, r FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nid) AS r
+                                   FROM pd WHERE id <> nid) WHERE r <= {k})
+"""
+
+
+def lof_cte(k: int, contamination: float) -> str:
+    return knn_cte(k) + f""",
+kd AS (SELECT id, max(dist) AS kdist FROM kn GROUP BY id),
+lrd AS (SELECT kn.id, 1.0 / (avg(greatest(kd.kdist, kn.dist)) + 1e-10) AS lrd
+        FROM kn JOIN kd ON kn.nid = kd.id GROUP BY kn.id),
+lof AS (SELECT kn.id, avg(l2.lrd) / any_value(l1.lrd) AS lof
+        FROM kn JOIN lrd l2 ON kn.nid = l2.id JOIN lrd l1 ON kn.id = l1.id GROUP BY kn.id),
+lthr AS (SELECT quantile_cont(lof, {1.0 - contamination}) AS t FROM lof)
+"""
+
+
+def dbscan_sql(eps: float, min_samples: int) -> str:
+    return "WITH RECURSIVE " + EMB_CTE.strip() + f""",
+nw AS (SELECT id, count(*) AS n_within FROM pd WHERE dist <= {eps} GROUP BY id),
+core AS (SELECT id, n_within, n_within >= {min_samples} AS is_core FROM nw),
+nc AS (SELECT p.id, count_if(c.is_core) AS n_core FROM pd p JOIN core c ON p.nid = c.id
+       WHERE p.dist <= {eps} GROUP BY p.id),
+edges AS (SELECT p.id AS a, p.nid AS b FROM pd p JOIN core ca ON p.id = ca.id JOIN core cb ON p.nid = cb.id
+          WHERE p.dist <= {eps} AND ca.is_core AND cb.is_core),
+reach(id, lbl) AS (SELECT a, a FROM edges WHERE a = b
+                   UNION SELECT e.b, r.lbl FROM reach r JOIN edges e ON r.id = e.a),
+clab AS (SELECT id, min(lbl) AS label FROM reach GROUP BY id),
+blab AS (SELECT p.id, min(cl.label) AS label FROM pd p JOIN core c ON p.id = c.id JOIN clab cl ON p.nid = cl.id
+         WHERE p.dist <= {eps} AND NOT c.is_core GROUP BY p.id)
+SELECT core.id AS vec_id, core.n_within, core.is_core, coalesce(clab.label, blab.label) AS cluster,
+       (NOT core.is_core AND nc.n_core = 0) AS is_anomaly
+FROM core JOIN nc ON core.id = nc.id LEFT JOIN clab ON core.id = clab.id LEFT JOIN blab ON core.id = blab.id"""

@@ -406,3 +406,56 @@ def a21_score_density(spark, sf):
     _, _, fl = _hbos_flags(spark, sf)
     d = RP.score_density(fl.withColumn("model", F.lit("hbos")), 50)
     return d.select("model", "bin", "cnt", _r("density"))
+
+
+# ----------------------------------------------------------------- J4, J5, D3, D5 on embeddings
+from reviewlens.operators.dbscan import dbscan  # noqa: E402
+from reviewlens.operators.lof import LOFModel  # noqa: E402
+from reviewlens.operators.neighbors import knn_join, radius_counts  # noqa: E402
+from reviewlens.operators.scaling import Scaler  # noqa: E402
+from reviewlens.sources.tables import scan_table  # noqa: E402
+
+DBSCAN_EPS, DBSCAN_MIN = 9.5, 5
+LOF_K, KNN_K = 20, 5
+
+
+def _embeddings(spark, sf):
+    return scan_table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+
+
+def _scaled_embeddings(spark, sf):
+    e = _embeddings(spark, sf)
+    sc = Scaler.fit(e, FeatureSpec.of(e, vector="embedding"), id_col="vec_id")
+    return e.select(F.col("vec_id").alias("id"), F.array(*sc.scaled_exprs(e)).alias("features"))
+
+
+@register("j4_knn_join", O.with_(O.EMB_CTE, O.knn_cte(KNN_K)) + """
+SELECT id AS vec_id, nid AS neighbor_id, r AS rank, round(dist, 6) AS dist FROM kn""")
+def j4_knn_join(spark, sf):
+    X = materialize(_scaled_embeddings(spark, sf))
+    k = knn_join(X, X, KNN_K, "id", "features", exclude_self=True, block_rows=256)
+    return k.select(F.col("id").alias("vec_id"), "neighbor_id", F.col("rank").cast("bigint").alias("rank"),
+                    _r("dist"))
+
+
+@register("j5_radius_counts", O.with_(O.EMB_CTE) + f"""
+SELECT id AS vec_id, count(*) AS n_within FROM pd WHERE dist <= {DBSCAN_EPS} GROUP BY id""")
+def j5_radius_counts(spark, sf):
+    X = materialize(_scaled_embeddings(spark, sf))
+    r = radius_counts(X, X, DBSCAN_EPS, "id", "features", block_rows=256)
+    return r.select(F.col("id").alias("vec_id"), "n_within")
+
+
+@register("d3_lof", O.with_(O.EMB_CTE, O.lof_cte(LOF_K, 0.1)) + """
+SELECT id AS vec_id, round(lof, 6) AS lof, lof > t AS is_anomaly FROM lof CROSS JOIN lthr""")
+def d3_lof(spark, sf):
+    e = _embeddings(spark, sf)
+    m = LOFModel.fit(e, vector="embedding", k=LOF_K, contamination=0.1, id_col="vec_id", block_rows=256)
+    return m.training_scores().select(F.col("id").alias("vec_id"), _r("lof"), "is_anomaly")
+
+
+@register("d5_dbscan", O.dbscan_sql(DBSCAN_EPS, DBSCAN_MIN))
+def d5_dbscan(spark, sf):
+    e = _embeddings(spark, sf)
+    res = dbscan(e, vector="embedding", eps=DBSCAN_EPS, min_samples=DBSCAN_MIN, id_col="vec_id", block_rows=256)
+    return res.labels.select(F.col("id").alias("vec_id"), "n_within", "is_core", "cluster", "is_anomaly")

@@ -36,6 +36,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -75,3 +76,42 @@ def materialize(df, how: str = "checkpoint"):
         from pyspark import StorageLevel
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``reviewlens`` importable in Python workers (pandas UDF paths).
+
+    When the package is not installed on the executors, a zip of it is
+    written under the shared checkpoint folder and added with ``addPyFile``,
+    the standard ``--py-files`` mechanism. Done once per Spark context.
+    """
+    import hashlib
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for fn in sorted(files):
+                if fn.endswith(".py"):
+                    full = os.path.join(root, fn)
+                    arc = os.path.relpath(full, os.path.dirname(pkg_dir))
+                    z.write(full, arc)
+    data = buf.getvalue()
+    digest = hashlib.sha1(data).hexdigest()[:12]
+    out_dir = os.path.join(ensure_checkpoint_dir(spark), "pyfiles")
+    os.makedirs(out_dir, exist_ok=True)
+    path = os.path.join(out_dir, f"reviewlens-{digest}.zip")
+    if not os.path.exists(path):
+        with open(path, "wb") as fh:
+            fh.write(data)
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
