@@ -459,3 +459,40 @@ def d5_dbscan(spark, sf):
     e = _embeddings(spark, sf)
     res = dbscan(e, vector="embedding", eps=DBSCAN_EPS, min_samples=DBSCAN_MIN, id_col="vec_id", block_rows=256)
     return res.labels.select(F.col("id").alias("vec_id"), "n_within", "is_core", "cluster", "is_anomaly")
+
+
+# ----------------------------------------------------------------- D2, D4, D7 (no SQL form: rows-only)
+from reviewlens.operators.detect import detect_all  # noqa: E402
+from reviewlens.operators.iforest import IsolationForestModel  # noqa: E402
+from reviewlens.operators.ocsvm import OneClassSVMModel  # noqa: E402
+
+
+@register("d2_isolation_forest")
+def d2_isolation_forest(spark, sf):
+    f = materialize(review_features(spark, sf))
+    m = IsolationForestModel.fit(f, cols=NUMERIC_FEATURES, n_estimators=100, contamination=0.1)
+    return anomaly_by_rating(m.transform(f), "score")
+
+
+@register("d4_one_class_svm")
+def d4_one_class_svm(spark, sf):
+    e = _embeddings(spark, sf)
+    m = OneClassSVMModel.fit(e, vector="embedding", nu=0.1, n_components=128, max_iter=20, id_col="vec_id")
+    return m.transform(e).select("vec_id", _r("anomaly_score"), "is_anomaly")
+
+
+DETECT_ALL_SPECS = {
+    "hbos": {},
+    "isolation_forest": {},
+    "lof": {"k": LOF_K, "block_rows": 512},
+    "one_class_svm": {"n_components": 128, "max_iter": 20},
+    "dbscan": {"eps": DBSCAN_EPS, "min_samples": DBSCAN_MIN, "block_rows": 512},
+}
+
+
+@register("d7_detect_all_counts")
+def d7_detect_all_counts(spark, sf):
+    e = materialize(_embeddings(spark, sf))
+    res = detect_all(e, DETECT_ALL_SPECS, vector="embedding", id_col="vec_id")
+    c = RP.model_anomaly_counts(res)
+    return c.select("model", display_name("model").alias("display_name"), "anomalies", "n", _r("anomaly_pct"))
