@@ -496,3 +496,68 @@ def d7_detect_all_counts(spark, sf):
     res = detect_all(e, DETECT_ALL_SPECS, vector="embedding", id_col="vec_id")
     c = RP.model_anomaly_counts(res)
     return c.select("model", display_name("model").alias("display_name"), "anomalies", "n", _r("anomaly_pct"))
+
+
+# ----------------------------------------------------------------- T1-T5, O6 on documents
+from reviewlens.operators import text as TX  # noqa: E402
+
+_TOK_CTE = r"""
+tok AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents)
+"""
+
+
+def _vocab_cte(k: int) -> str:
+    return f"""
+voc AS (SELECT term, term_count, term_index FROM (
+          SELECT term, count(*) AS term_count, row_number() OVER (ORDER BY count(*) DESC, term) - 1 AS term_index
+          FROM tok GROUP BY term) WHERE term_index < {k})
+"""
+
+
+def _documents(spark, sf):
+    return scan_table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
+
+
+@register("t1_tokenize", O.with_(_TOK_CTE) + """
+SELECT lang, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM tok GROUP BY lang""")
+def t1_tokenize(spark, sf):
+    d = _documents(spark, sf)
+    p = d.select("lang", F.explode(TX.tokenize("text")).alias("term"))
+    return p.groupBy("lang").agg(F.count("*").alias("n_tokens"), F.count_distinct("term").alias("n_terms"))
+
+
+@register("o6_top_terms", O.with_(_TOK_CTE, _vocab_cte(300)) + """
+SELECT term, term_count, CAST(term_index AS INTEGER) AS term_index FROM voc""")
+def o6_top_terms(spark, sf):
+    return TX.top_terms(_documents(spark, sf), "doc_id", "text", 300) \
+        .select("term", "term_count", F.col("term_index").cast("int").alias("term_index"))
+
+
+@register("t2_tfidf_features", O.with_(_TOK_CTE, _vocab_cte(300), """
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM voc) GROUP BY 1, 2),
+nd AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+dfq AS (SELECT term, CAST(count(*) AS DOUBLE) AS dfreq FROM tf GROUP BY term),
+idf AS (SELECT voc.term, ln((1 + n) / (1 + coalesce(dfreq, 0))) + 1 AS idf
+        FROM voc LEFT JOIN dfq ON voc.term = dfq.term CROSS JOIN nd),
+w AS (SELECT tf.doc_id, tf.term, tf.tf * idf.idf AS raw FROM tf JOIN idf ON tf.term = idf.term),
+nr AS (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM w GROUP BY doc_id)""") + """
+SELECT w.doc_id, w.term, round(raw / norm, 6) AS weight FROM w JOIN nr ON w.doc_id = nr.doc_id""")
+def t2_tfidf_features(spark, sf):
+    w, _ = TX.tfidf(_documents(spark, sf), "doc_id", "text", 300)
+    return w.select(F.col("id").alias("doc_id"), "term", _r("weight"))
+
+
+@register("t3_hashing_features")
+def t3_hashing_features(spark, sf):
+    h = TX.hashing_features(_documents(spark, sf), "doc_id", "text", 300)
+    return h.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_buckets"),
+                                                      F.round(F.sum(F.col("weight") ** 2), 6).alias("sq_norm"))
+
+
+@register("t5_prepare_features")
+def t5_prepare_features(spark, sf):
+    d = _documents(spark, sf).withColumn("summary", F.split("text", "\n").getItem(0)) \
+        .withColumn("n_chars_d", F.col("n_chars").cast("double"))
+    f = TX.prepare_features(d, "doc_id", "text", "summary", ["n_chars_d"])
+    return f.select("doc_id", F.size("features").alias("width"),
+                    F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("feature_sum"))
