@@ -561,3 +561,62 @@ def t5_prepare_features(spark, sf):
     f = TX.prepare_features(d, "doc_id", "text", "summary", ["n_chars_d"])
     return f.select("doc_id", F.size("features").alias("width"),
                     F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("feature_sum"))
+
+
+# ----------------------------------------------------------------- R1-R5, A24, A28
+import numpy as _np  # noqa: E402
+
+from reviewlens.operators.dbn import DBNModel, RBMLayer, dbn_fit, min_max  # noqa: E402
+
+# A 2 x 6 weight matrix and hidden biases for the checkable DBN case.
+FIXED_W = [[0.5, -0.25, 0.75, -0.5, 0.25, -0.75],
+           [-0.3, 0.6, -0.9, 0.2, -0.4, 0.8]]
+FIXED_C = [0.1, -0.2]
+
+
+def _fixed_dbn_sql() -> str:
+    lines = []
+    for k, (row, c) in enumerate(zip(FIXED_W, FIXED_C)):
+        z = " + ".join(f"({w}) * (({f} - lo{j}) / (hi{j} - lo{j}))" for j, (w, f) in enumerate(zip(row, NUMERIC_FEATURES)))
+        lines.append(f"1.0 / (1.0 + exp(-(({c}) + {z}))) AS h{k}")
+    mm = ", ".join(f"min({f}) AS lo{j}, max({f}) AS hi{j}" for j, f in enumerate(NUMERIC_FEATURES))
+    return O.with_(O.FEATURES_CTE, f"mx AS (SELECT {mm} FROM f)",
+                   f"hh AS (SELECT f.score, {', '.join(lines)} FROM f CROSS JOIN mx)") + """
+SELECT score AS rating, round(avg(h0), 6) AS mean_h0, round(avg(h1), 6) AS mean_h1 FROM hh GROUP BY score"""
+
+
+@register("r5_dbn_transform_fixed", _fixed_dbn_sql())
+def r5_dbn_transform_fixed(spark, sf):
+    f = materialize(review_features(spark, sf)).withColumn("features", F.array(*NUMERIC_FEATURES))
+    lo, hi = min_max(f, "features", len(NUMERIC_FEATURES))
+    m = DBNModel([RBMLayer(_np.asarray(FIXED_W), _np.zeros(len(NUMERIC_FEATURES)), _np.asarray(FIXED_C))],
+                 list(range(len(NUMERIC_FEATURES))), lo, hi)
+    h = m.transform(f, "features", "h")
+    return h.groupBy(F.col("score").alias("rating")).agg(F.round(F.avg(F.get("h", 0)), 6).alias("mean_h0"),
+                                                         F.round(F.avg(F.get("h", 1)), 6).alias("mean_h1"))
+
+
+def _review_dbn(spark, sf):
+    f = materialize(review_features(spark, sf)).withColumn("features", F.array(*NUMERIC_FEATURES))
+    return dbn_fit(f, "features", "row_id", hidden_layers=[3, 2],
+                   layer_configs=[{"learning_rate": 0.05, "n_iter": 4}, {"learning_rate": 0.03, "n_iter": 3}],
+                   patience=2, feature_subset_ratio=1.0)
+
+
+@register("r4_dbn_layer_scores")
+def r4_dbn_layer_scores(spark, sf):
+    m = _review_dbn(spark, sf)
+    s = m.scores_table(spark)
+    return s.groupBy("layer").agg(F.count("*").alias("epochs"), F.round(F.max("train_score"), 4).alias("best_train"),
+                                  F.round(F.max("val_score"), 4).alias("best_val")).where(F.col("best_val").isNotNull())
+
+
+@register("a28_weight_stats")
+def a28_weight_stats(spark, sf):
+    m = _review_dbn(spark, sf)
+    w = m.weights_table(spark)
+    long = w.select("layer", F.posexplode("weights").alias("hidden", "row")) \
+        .select("layer", "hidden", F.posexplode("row").alias("visible", "w"))
+    return long.groupBy("layer").agg(F.count("*").alias("n_weights"), F.round(F.min("w"), 6).alias("w_min"),
+                                     F.round(F.avg("w"), 6).alias("w_mean"), F.round(F.max("w"), 6).alias("w_max"),
+                                     F.round(F.stddev_pop("w"), 6).alias("w_std"))
