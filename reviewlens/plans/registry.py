@@ -564,6 +564,8 @@ def t5_prepare_features(spark, sf):
 
 
 # ----------------------------------------------------------------- R1-R5, A24, A28
+import json  # noqa: E402
+
 import numpy as _np  # noqa: E402
 
 from reviewlens.operators.dbn import DBNModel, RBMLayer, dbn_fit, min_max  # noqa: E402
@@ -620,3 +622,28 @@ def a28_weight_stats(spark, sf):
     return long.groupBy("layer").agg(F.count("*").alias("n_weights"), F.round(F.min("w"), 6).alias("w_min"),
                                      F.round(F.avg("w"), 6).alias("w_mean"), F.round(F.max("w"), 6).alias("w_max"),
                                      F.round(F.stddev_pop("w"), 6).alias("w_std"))
+
+
+# ----------------------------------------------------------------- M1-M5, O5, A22, A25, A26
+from reviewlens.operators import tuning as TU  # noqa: E402
+
+HBOS_GRID = {"n_bins": [5, 10, 20], "alpha": [0.1], "contamination": [0.1]}
+
+
+@register("m1_grid_search_hbos")
+def m1_grid_search_hbos(spark, sf):
+    f = materialize(review_features(spark, sf))
+    res = TU.grid_search(f, "hbos", HBOS_GRID, "is_returned", cols=NUMERIC_FEATURES, k_folds=3)
+    best = TU.best_params(res)
+    met = TU.best_model_metrics(f, "hbos", json.loads(best.first()["params"]), "is_returned", cols=NUMERIC_FEATURES)
+    return TU.tuning_summary(best, met).select("model", "best_params", _r("best_f1"), _r("precision"),
+                                               _r("recall"), _r("f1"), _r("roc_auc_binary"))
+
+
+@register("m5_learning_curves_hbos")
+def m5_learning_curves_hbos(spark, sf):
+    f = materialize(review_features(spark, sf))
+    cur = TU.learning_curves(f, "hbos", {"n_bins": 10}, "is_returned", cols=NUMERIC_FEATURES,
+                             train_sizes=(0.3, 0.65, 1.0), k_folds=2)
+    return TU.learning_curve_summary(cur).select("model", "final_train_size", _r("final_train_score"),
+                                                 _r("final_test_score"), _r("gap"))
