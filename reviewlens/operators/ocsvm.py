@@ -1,10 +1,12 @@
-"""D4 one-class SVM at scale: random Fourier features + linear one-class SVM.
+"""D4 one-class SVM at scale: explicit kernel feature map + linear one-class SVM.
 
 The exact kernel QP is single-machine (memory and time quadratic in n). The
-same model family is fitted distributedly:
+same model family is fitted distributedly on an explicit feature map:
 
-  z(x) = sqrt(2 / D) * cos(W x + b),  W ~ N(0, 2 gamma), b ~ U(0, 2 pi)
-  (an unbiased approximation of the RBF kernel exp(-gamma |x - y|^2)),
+  nystroem (default)  z(x) = K(x, L) K(L, L)^(-1/2) with m landmark rows L
+                      (the m rows with the smallest seeded hash; m x d is
+                      model-sized); exact RBF values, no sampling noise;
+  rff                 z(x) = sqrt(2 / D) cos(W x + b), W ~ N(0, 2 gamma);
   gamma = 'scale' -> 1 / (d * var(X)) as in the reference's default;
 
   minimise 1/2 |w|^2 + 1/(nu n) sum_i max(0, rho - w.z_i) - rho
@@ -32,12 +34,24 @@ from reviewlens.operators.ranking import exact_quantiles
 from reviewlens.operators.scaling import Scaler
 
 
-def _feature_map(X: np.ndarray, W: np.ndarray | None, b: np.ndarray | None) -> np.ndarray:
+def _feature_map(X: np.ndarray, W: np.ndarray | None, b: np.ndarray | None, fmap: dict | None = None) -> np.ndarray:
+    if fmap is not None and fmap.get("method") == "nystroem":
+        L, N, g = fmap["landmarks"], fmap["norm"], fmap["gamma"]
+        d2 = (np.einsum("ij,ij->i", X, X)[:, None] + np.einsum("ij,ij->i", L, L)[None, :] - 2.0 * X @ L.T)
+        return np.exp(-g * np.maximum(d2, 0.0)) @ N.T
     if W is None:
         return X
     return math.sqrt(2.0 / W.shape[0]) * np.cos(X @ W.T + b)
 
 
+def nystroem_map(landmarks: np.ndarray, gamma: float) -> dict:
+    """z(x) = K(x, L) K(L, L)^(-1/2): exact kernel values to m landmark rows."""
+    d2 = ((landmarks[:, None, :] - landmarks[None, :, :]) ** 2).sum(-1)
+    S, U = np.linalg.eigh(np.exp(-gamma * d2))
+    N = U @ np.diag(1.0 / np.sqrt(np.maximum(S, 1e-12))) @ U.T
+    return {"method": "nystroem", "landmarks": landmarks, "norm": N, "gamma": gamma}
+
+
 @dataclass
 class OneClassSVMModel:
     scaler: Scaler
@@ -47,6 +61,8 @@ class OneClassSVMModel:
     n_components: int = 256
     W: list = field(default_factory=list)
     b: list = field(default_factory=list)
+    landmarks: list = field(default_factory=list)
+    method: str = "nystroem"
     w: list = field(default_factory=list)
     rho: float = 0.0
     seed: int = 42
@@ -55,15 +71,17 @@ class OneClassSVMModel:
     @staticmethod
     def fit(df: DataFrame, spec: FeatureSpec | None = None, *, cols=None, vector=None, nu: float = 0.1,
             kernel: str = "rbf", gamma="scale", n_components: int = 256, max_iter: int = 40,
-            learning_rate: float = 0.5, seed: int = 42, id_col: str = "row_id",
-            scaler: Scaler | None = None) -> "OneClassSVMModel":
+            learning_rate: float = 0.1, seed: int = 42, id_col: str = "row_id",
+            scaler: Scaler | None = None, method: str = "nystroem") -> "OneClassSVMModel":
         spec = spec or FeatureSpec.of(df, cols, vector)
         sc = scaler or Scaler.fit(df, spec, id_col=id_col)
         d = len(sc.kept)
         m = OneClassSVMModel(sc, nu, kernel, 0.0, n_components, seed=seed)
         if sc.n == 0 or d == 0:
             return m
-        X = df.select(F.array(*sc.scaled_exprs(df)).alias("x")).checkpoint(eager=True)
+        has_id = id_col in df.columns
+        X = df.select(*( [F.col(id_col).alias("_id")] if has_id else []),
+                      F.array(*sc.scaled_exprs(df)).alias("x")).checkpoint(eager=True)
         if gamma == "scale":
             # variance of all entries of the (standardised) matrix
             agg = X.select(F.explode("x").alias("v")).agg(F.var_pop("v").alias("v")).first()["v"] or 1.0
@@ -72,34 +90,53 @@ class OneClassSVMModel:
             gamma = 1.0 / d
         m.gamma = float(gamma)
         rng = np.random.default_rng(seed)
-        if kernel == "rbf":
+        m.method = method if kernel == "rbf" else "linear"
+        fmap = None
+        W = b = None
+        if kernel == "rbf" and method == "nystroem":
+            # landmarks: the rows with the smallest hash (Bernoulli pre-filter keeps ~4m candidates)
+            mm = min(n_components, sc.n)
+            key = F.xxhash64(F.lit(seed), F.col("_id")) if has_id else F.xxhash64(F.lit(seed), F.col("x"))
+            p = min(1.0, 4.0 * mm / sc.n)
+            u = F.pmod(key, F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+            cand = X.where(u < F.lit(p)).select(key.alias("h"), "x").orderBy("h").limit(mm).collect()
+            L = np.stack([np.asarray(r["x"], dtype=np.float64) for r in cand])
+            fmap = nystroem_map(L, m.gamma)
+            m.landmarks = L.tolist()
+            dim = L.shape[0]
+        elif kernel == "rbf":
             W = rng.normal(0.0, math.sqrt(2.0 * m.gamma), size=(n_components, d))
             b = rng.uniform(0.0, 2.0 * math.pi, size=n_components)
             dim = n_components
         else:
-            W, b, dim = None, None, d
+            dim = d
         n = sc.n
+        # start from the kernel mean embedding (w = mean z: a kernel density
+        # score); the first pass uses w = 0, rho = 1 so every row "violates"
         w = np.zeros(dim)
-        rho = 0.0
-        for it in range(max_iter):
+        rho = 1.0
+        for it in range(-1, max_iter):
             w_b, rho_b = w.copy(), rho
 
-            def partial(it_batches, W=W, b=b, w_b=w_b, rho_b=rho_b, dim=dim):
+            def partial(it_batches, W=W, b=b, w_b=w_b, rho_b=rho_b, dim=dim, fmap=fmap):
                 cnt = 0
                 acc = np.zeros(dim)
                 for pdf in it_batches:
                     if len(pdf) == 0:
                         continue
                     Xp = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["x"].to_numpy()])
-                    Z = _feature_map(Xp, W, b)
+                    Z = _feature_map(Xp, W, b, fmap)
                     viol = Z @ w_b < rho_b
                     cnt += int(viol.sum())
                     acc += Z[viol].sum(axis=0)
                 yield pd.DataFrame({"cnt": [cnt], "acc": [acc.tolist()]})
 
-            parts = X.mapInPandas(partial, "cnt long, acc array<double>").collect()
+            parts = X.select("x").mapInPandas(partial, "cnt long, acc array<double>").collect()
             cnt = sum(r["cnt"] for r in parts)
             acc = np.sum([np.asarray(r["acc"]) for r in parts], axis=0) if parts else np.zeros(dim)
+            if it < 0:
+                w, rho = acc / max(cnt, 1), 0.0
+                continue
             lr = learning_rate / math.sqrt(it + 1)
             gw = w - acc / (nu * n)
             grho = cnt / (nu * n) - 1.0
@@ -116,13 +153,14 @@ class OneClassSVMModel:
         W = np.asarray(self.W) if self.W else None
         b = np.asarray(self.b) if self.b else None
         w = np.asarray(self.w)
+        fmap = nystroem_map(np.asarray(self.landmarks), self.gamma) if self.method == "nystroem" else None
 
         @F.pandas_udf("double")
         def decision(x: pd.Series) -> pd.Series:
             if len(x) == 0:
                 return pd.Series([], dtype="float64")
             Xp = np.stack([np.asarray(v, dtype=np.float64) for v in x.to_numpy()])
-            return pd.Series(_feature_map(Xp, W, b) @ w)
+            return pd.Series(_feature_map(Xp, W, b, fmap) @ w)
 
         return decision(xcol)
 
