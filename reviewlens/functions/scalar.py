@@ -24,8 +24,7 @@ def _ts(c) -> Column:
 
 def nan_to_null(c) -> Column:
     """NaN -> NULL (pandas treats both as missing; Spark keeps them apart)."""
-    c = _c(c)
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c.cast("double"))
+    return F.nanvl(_c(c).cast("double"), F.lit(None).cast("double"))
 
 
 def helpfulness_parts(c) -> tuple[Column, Column]:
@@ -39,7 +38,7 @@ def helpfulness_parts(c) -> tuple[Column, Column]:
 def helpfulness_ratio(c) -> Column:
     """``"a/b"`` -> a / b. A zero denominator yields NULL (imputed later, Q1)."""
     a, b = helpfulness_parts(c)
-    return F.try_divide(a, F.nullif(b, F.lit(0.0)))
+    return F.try_divide(a, b)   # NULL when b is 0 or NULL
 
 
 def epoch_to_timestamp(c) -> Column:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from reviewlens.operators.features import FeatureSpec
 from reviewlens.operators.ranking import exact_quantiles
 from reviewlens.operators.scaling import Scaler
+from reviewlens.session import materialize
 
 
 def _bin_expr(x: Column, lo: float, w: float, n_bins: int) -> Column:
@@ -77,7 +78,8 @@ class HBOSModel:
             w_std = widths[j] / sc.stds[j]
             terms.append([-math.log2(c / (n * w_std) + alpha) for c in row])
         m.lo, m.width, m.terms = los, widths, terms
-        scores = df.select(m.score_expr(df).alias("score"))
+        # one narrow table of training scores, reused by every quantile pass
+        scores = materialize(df.select(m.score_expr(df).alias("score")))
         m.threshold = exact_quantiles(scores, "score", [1.0 - contamination])[()][0]
         return m
 

@@ -125,7 +125,10 @@ def load_reviews(reviews: DataFrame, books: DataFrame, key: str = "title",
             m = m.withColumn(c, fill_text(c))
     num = ["score", "helpfulness_ratio", "ratings_count"] if impute_score else ["helpfulness_ratio", "ratings_count"]
     m, means = mean_impute(m, num)
-    m = drop_missing(m, num)
+    # after imputation only a column without any value (mean NULL) can be missing
+    empty = [c for c in num if means.get(c) is None]
+    if empty:
+        m = drop_missing(m, empty)
     return m, means
 
 

@@ -22,6 +22,8 @@ supported and the chosen row is unique when the order is total.
 from __future__ import annotations
 
 import math
+import os
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +35,7 @@ class _Target:
     sid: int
     group: tuple
     rank: int                 # 0-based rank inside the current region
+    path: tuple               # identifies the region: equal paths = identical regions
     cond: Column              # region predicate
     level: int = 0            # index of the ordering column being narrowed
     fixed: list = field(default_factory=list)   # values fixed for columns < level
@@ -40,6 +43,16 @@ class _Target:
     lo: object = None
     hi: object = None
     result: tuple | None = None
+    done: bool = False
+
+
+def _collect(df: DataFrame, tag: str) -> list:
+    if os.environ.get("REVIEWLENS_DEBUG"):
+        t = time.time()
+        r = df.collect()
+        print(f"  [rank_select] {tag}: {len(r)} rows in {time.time() - t:.2f}s", flush=True)
+        return r
+    return df.collect()
 
 
 def _group_cond(group_cols, g) -> Column:
@@ -58,19 +71,32 @@ def _bucket_expr(col: str, lo, hi, buckets: int) -> Column:
     return F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("int")
 
 
-def _explode_sids(targets, payload) -> Column:
-    arr = F.array(*[F.when(t.cond, payload(t)) for t in targets])
-    return F.explode(F.filter(arr, lambda x: x.isNotNull()))
+def _regions(states: list) -> dict:
+    """path -> states; regions with different paths are disjoint."""
+    reg: dict = {}
+    for s in states:
+        reg.setdefault(s.path, []).append(s)
+    return reg
+
+
+def _region_case(paths: list, reg: dict) -> Column:
+    e = None
+    for i, p in enumerate(paths):
+        cond = reg[p][0].cond
+        e = F.when(cond, F.lit(i)) if e is None else e.when(cond, F.lit(i))
+    return e
 
 
 def rank_select(df: DataFrame, order_cols: list[str], targets: list[tuple[tuple, int]],
                 group_cols: list[str] | None = None, max_collect: int = 20_000,
-                buckets: int = 4096) -> dict[tuple[tuple, int], tuple | None]:
+                buckets: int = 4096, initial_stats: dict | None = None) -> dict[tuple[tuple, int], tuple | None]:
     """Return the ordering-column values of the row at each (group, rank).
 
     ``order_cols`` must be numeric (or castable to double monotonically, e.g.
     bigint); rows with NULL in any ordering column are ignored. Ranks are
-    0-based; an out-of-range rank maps to ``None``.
+    0-based; an out-of-range rank maps to ``None``. ``initial_stats`` may give
+    ``{group: (count, min, max)}`` of the first ordering column to skip the
+    first pass.
     """
     group_cols = list(group_cols or [])
     base = df.select(*[F.col(c) for c in group_cols], *[F.col(c) for c in order_cols])
@@ -78,93 +104,108 @@ def rank_select(df: DataFrame, order_cols: list[str], targets: list[tuple[tuple,
         base = base.where(F.col(c).isNotNull())
     states = []
     for i, (g, r) in enumerate(targets):
-        states.append(_Target(i, tuple(g), int(r), _group_cond(group_cols, g)))
-
-    pending = [s for s in states if s.rank >= 0]
+        st = _Target(i, tuple(g), int(r), (tuple(g),), _group_cond(group_cols, g))
+        if initial_stats is not None:
+            st.count, st.lo, st.hi = initial_stats.get(tuple(g), (0, None, None))
+        states.append(st)
     for s in states:
         if s.rank < 0:
-            s.result = None
+            s.done = True
 
-    # safety bound: every histogram pass shrinks a region by ~buckets
-    for _ in range(64):
+    for _ in range(64):   # each histogram pass shrinks a region ~``buckets``-fold
+        pending = [s for s in states if not s.done]
         if not pending:
             break
-        need_stats = [s for s in pending if s.count is None]
-        for level in sorted({s.level for s in need_stats}):
-            grp = [s for s in need_stats if s.level == level]
+        # 1) count / min / max of regions that lack them (one query per level)
+        need = [s for s in pending if s.count is None]
+        for level in sorted({s.level for s in need}):
+            reg = _regions([s for s in need if s.level == level])
+            paths = list(reg)
             col = order_cols[level]
-            ex = base.select(_explode_sids(grp, lambda t: F.struct(F.lit(t.sid).alias("sid"),
-                                                                  F.col(col).alias("v"))).alias("e"))
-            stats = {r["sid"]: r for r in ex.groupBy("e.sid").agg(
-                F.count("*").alias("n"), F.min("e.v").alias("lo"), F.max("e.v").alias("hi")).collect()}
-            for s in grp:
-                r = stats.get(s.sid)
-                s.count = 0 if r is None else r["n"]
-                s.lo, s.hi = (None, None) if r is None else (r["lo"], r["hi"])
-
-        collect_now, hist_now, nxt = [], [], []
+            q = base.select(_region_case(paths, reg).alias("r"), F.col(col).alias("v")).where("r IS NOT NULL") \
+                .groupBy("r").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            got = {r["r"]: r for r in _collect(q, "stats")}
+            for i, p in enumerate(paths):
+                r = got.get(i)
+                for s in reg[p]:
+                    s.count = 0 if r is None else r["n"]
+                    s.lo, s.hi = (None, None) if r is None else (r["lo"], r["hi"])
+
+        collect_now, hist_now = [], []
         for s in pending:
             if s.rank >= s.count:
-                s.result = None
-                continue
-            if s.count <= max_collect:
+                s.result, s.done = None, True
+            elif s.count <= max_collect:
                 collect_now.append(s)
             elif s.lo == s.hi:
                 # all equal on this column: fix it, continue on the next column
                 s.fixed.append(s.lo)
-                col = order_cols[s.level]
-                s.cond = s.cond & (F.col(col) == F.lit(s.lo))
+                s.cond = s.cond & (F.col(order_cols[s.level]) == F.lit(s.lo))
+                s.path = s.path + (("eq", s.level),)
                 s.level += 1
                 if s.level == len(order_cols):
-                    s.result = tuple(s.fixed)
+                    s.result, s.done = tuple(s.fixed), True
                 else:
                     s.count = None
-                    nxt.append(s)
             else:
                 hist_now.append(s)
 
+        # 2) small regions: collect (ordering tuple, count) and pick exactly
         if collect_now:
-            rows = base.select(_explode_sids(
-                collect_now, lambda t: F.struct(F.lit(t.sid).alias("sid"),
-                                                *[F.col(c).alias(f"o{j}") for j, c in enumerate(order_cols)])
-            ).alias("e")).select("e.*").collect()
-            by_sid: dict[int, list] = {}
-            for r in rows:
-                by_sid.setdefault(r["sid"], []).append(tuple(r[f"o{j}"] for j in range(len(order_cols))))
-            for s in collect_now:
-                vals = sorted(by_sid.get(s.sid, []))
-                s.result = vals[s.rank] if s.rank < len(vals) else None
+            reg = _regions(collect_now)
+            paths = list(reg)
+            ocols = [f"o{j}" for j in range(len(order_cols))]
+            q = base.select(_region_case(paths, reg).alias("r"),
+                            *[F.col(c).alias(o) for c, o in zip(order_cols, ocols)]) \
+                .where("r IS NOT NULL").groupBy("r", *ocols).count()
+            by_r: dict[int, list] = {}
+            for r in _collect(q, "region"):
+                by_r.setdefault(r["r"], []).append((tuple(r[c] for c in ocols), r["count"]))
+            for i, p in enumerate(paths):
+                vals = sorted(by_r.get(i, []))
+                for s in reg[p]:
+                    acc, s.result = 0, None
+                    for v, cnt in vals:
+                        acc += cnt
+                        if s.rank < acc:
+                            s.result = v
+                            break
+                    s.done = True
 
+        # 3) large regions: equal-width histogram, keep the bucket holding the rank
         for level in sorted({s.level for s in hist_now}):
-            grp = [s for s in hist_now if s.level == level]
+            reg = _regions([s for s in hist_now if s.level == level])
+            paths = list(reg)
             col = order_cols[level]
-            bexpr = {s.sid: _bucket_expr(col, s.lo, s.hi, buckets) for s in grp}
-            ex = base.select(_explode_sids(grp, lambda t: F.struct(
-                F.lit(t.sid).alias("sid"), bexpr[t.sid].alias("b"), F.col(col).alias("v"))).alias("e"))
-            hist = ex.groupBy("e.sid", "e.b").agg(F.count("*").alias("n"), F.min("e.v").alias("lo"),
-                                                  F.max("e.v").alias("hi")).collect()
+            bexpr = {p: _bucket_expr(col, reg[p][0].lo, reg[p][0].hi, buckets) for p in paths}
+            rcase = _region_case(paths, reg)
+            bcase = None
+            for i, p in enumerate(paths):
+                bcase = F.when(F.col("r") == i, bexpr[p]) if bcase is None else bcase.when(F.col("r") == i, bexpr[p])
+            q = base.select(rcase.alias("r"), F.col(col)).where("r IS NOT NULL") \
+                .select("r", bcase.alias("b"), F.col(col).alias("v")) \
+                .groupBy("r", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
             per: dict[int, list] = {}
-            for r in hist:
-                per.setdefault(r["sid"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
-            for s in grp:
-                below = 0
-                chosen = None
-                for b, n, lo, hi in sorted(per.get(s.sid, [])):
-                    if s.rank < below + n:
-                        chosen = (b, n, lo, hi)
-                        break
-                    below += n
-                b, n, lo, hi = chosen
-                if n >= s.count:
-                    # no progress (values indistinguishable as doubles): collect the region
-                    s.count = min(s.count, max_collect)
-                    nxt.append(s)
-                    continue
-                s.cond = s.cond & (bexpr[s.sid] == F.lit(b))
-                s.rank -= below
-                s.count, s.lo, s.hi = n, lo, hi
-                nxt.append(s)
-        pending = nxt
+            for r in _collect(q, "histogram"):
+                per.setdefault(r["r"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
+            for i, p in enumerate(paths):
+                hist = sorted(per.get(i, []))
+                for s in reg[p]:
+                    below, chosen = 0, None
+                    for b, n, lo, hi in hist:
+                        if s.rank < below + n:
+                            chosen = (b, n, lo, hi)
+                            break
+                        below += n
+                    b, n, lo, hi = chosen
+                    if n >= s.count:
+                        # no progress (values indistinguishable as doubles): collect the region
+                        s.count = min(s.count, max_collect)
+                        continue
+                    s.cond = s.cond & (bexpr[p] == F.lit(b))
+                    s.path = s.path + (("b", level, b),)
+                    s.rank -= below
+                    s.count, s.lo, s.hi = n, lo, hi
 
     return {(s.group, targets[s.sid][1]): s.result for s in states}
 
@@ -181,7 +222,10 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: list[float],
     vcol = value if isinstance(value, Column) else F.col(value)
     base = df.select(*[F.col(c) for c in group_cols], vcol.cast("double").alias("_qv"))
     base = base.where(F.col("_qv").isNotNull() & ~F.isnan("_qv"))
-    counts = base.groupBy(*group_cols).count().collect() if group_cols else [base.agg(F.count("*").alias("count")).first()]
+    aggs = [F.count("*").alias("count"), F.min("_qv").alias("lo"), F.max("_qv").alias("hi")]
+    counts = _collect(base.groupBy(*group_cols).agg(*aggs), "counts") if group_cols \
+        else _collect(base.agg(*aggs), "counts")
+    init = {tuple(r[c] for c in group_cols): (r["count"], r["lo"], r["hi"]) for r in counts}
     targets, plan = [], {}
     for r in counts:
         g = tuple(r[c] for c in group_cols)
@@ -197,7 +241,7 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: list[float],
             plan[g].append((lo_i, hi_i, frac))
             targets.extend([(g, lo_i), (g, hi_i)])
     targets = list(dict.fromkeys(targets))
-    sel = rank_select(base, ["_qv"], targets, group_cols, max_collect, buckets)
+    sel = rank_select(base, ["_qv"], targets, group_cols, max_collect, buckets, initial_stats=init)
     out = {}
     for g, items in plan.items():
         vals = []

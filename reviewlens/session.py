@@ -62,13 +62,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", name)
 
 
-def materialize(df, how: str = "checkpoint"):
+def materialize(df, how: str = "table"):
     """Cut lineage before a multi-pass operator.
 
-    ``checkpoint`` writes the frame to the shared checkpoint folder (survives
-    executor loss, no recomputation of the source plan); ``persist`` keeps it
-    in executor memory/disk (faster, recomputed from lineage if lost).
+    ``table`` (default) writes the frame as parquet under the shared
+    checkpoint folder and reads it back: later passes scan a columnar file
+    (column pruning, filter pushdown), nothing is recomputed, and a lost
+    executor costs only its own tasks. ``checkpoint`` uses the RDD
+    checkpoint; ``persist`` keeps it in executor memory/disk (recomputed from
+    lineage if lost).
     """
+    if how == "table":
+        import uuid
+        path = scratch_path(df.sparkSession, uuid.uuid4().hex)
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
     if how == "checkpoint":
         ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)

@@ -124,8 +124,44 @@ def land_as_parquet(df: DataFrame, path: str, partitions: int | None = None) ->
     return path
 
 
-def scan_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+# a source smaller than this is never rebalanced
+REBALANCE_MIN_BYTES = 4 << 20
+
+
+def _local_size(path: str) -> int | None:
+    if "://" in path and not path.startswith("file:"):
+        return None
+    p = path[len("file:"):] if path.startswith("file:") else path
+    if os.path.isfile(p):
+        return os.path.getsize(p)
+    if os.path.isdir(p):
+        return sum(os.path.getsize(os.path.join(r, f)) for r, _, fs in os.walk(p) for f in fs)
+    return None
+
+
+def rebalance_if_undersplit(df: DataFrame, path: str) -> DataFrame:
+    """Spread an under-split scan (e.g. one large file with one row group)
+    over the cluster's default parallelism.
+
+    Parquet splits at row-group granularity, so a single-row-group file is
+    read by one task and every narrow operator before the first shuffle runs
+    on one core. Only then, and only for sources of a few MB or more, a
+    round-robin repartition is added; a normally split large source (many
+    files / row groups) is left untouched, so no shuffle is added at scale.
+    """
+    size = _local_size(path)
+    if size is None or size < REBALANCE_MIN_BYTES:
+        return df
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    return df.repartition(par)
+
+
+def scan_table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool = True) -> DataFrame:
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    df = spark.read.parquet(path)
+    return rebalance_if_undersplit(df, path) if rebalance else df
 
 
 def source_catalog(spark: SparkSession, landing_dir: str, required: list[str] | None = None,
