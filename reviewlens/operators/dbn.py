@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.session import materialize
+
 
 def _sig(x):
     return 1.0 / (1.0 + np.exp(-x))
@@ -210,15 +212,14 @@ def dbn_fit(df: DataFrame, col: str = "features", id_col: str = "row_id", hidden
     idx = model.feature_indices
     scale_expr = F.array(*[F.least(F.greatest((F.get(F.col(col), j) - F.lit(lo[j])) / F.lit(span[j]), F.lit(0.0)),
                                    F.lit(1.0)) for j in idx])
-    cur = df.select(F.col(id_col).alias("id"), scale_expr.alias("x"),
-                    (F.pmod(F.xxhash64(F.lit(seed + 99), F.col(id_col)), F.lit(1000)) <
-                     F.lit(int(val_fraction * 1000))).alias("is_val")).checkpoint(eager=True)
+    cur = materialize(df.select(F.col(id_col).alias("id"), scale_expr.alias("x"),
+                                (F.pmod(F.xxhash64(F.lit(seed + 99), F.col(id_col)), F.lit(1000)) <
+                                 F.lit(int(val_fraction * 1000))).alias("is_val")))
     for li, (h, cfg) in enumerate(zip(hidden_layers, layer_configs)):
         tr, va = cur.where(~F.col("is_val")), cur.where(F.col("is_val"))
         layer, hist = rbm_fit(tr, h, cfg.get("learning_rate", 0.05), cfg.get("n_iter", 10), va, patience,
                               early_stopping, seed + li)
         model.layers.append(layer)
         model.layer_scores += [(li, e, t, v) for e, t, v in hist]
-        cur = cur.select("id", _layer_udf(layer.W, layer.b_hidden)(F.col("x")).alias("x"), "is_val") \
-            .checkpoint(eager=True)
+        cur = materialize(cur.select("id", _layer_udf(layer.W, layer.b_hidden)(F.col("x")).alias("x"), "is_val"))
     return model

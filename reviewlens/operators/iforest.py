@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from reviewlens.operators.features import FeatureSpec
 from reviewlens.operators.ranking import exact_quantiles
 from reviewlens.operators.scaling import Scaler
+from reviewlens.session import materialize
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -119,33 +120,37 @@ class IsolationForestModel:
         max_depth = int(math.ceil(math.log2(max(psi, 2))))
         X = df.select(F.col(id_col).alias("id"), F.array(*sc.scaled_exprs(df)).alias("x"))
         T = n_estimators
-        while True:
-            p = min(1.0, oversample * psi / n)
 
-            def u(t):
-                return F.pmod(F.xxhash64(F.lit(seed), t, F.col("id")), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+        def u(t):
+            return F.pmod(F.xxhash64(F.lit(seed), t, F.col("id")), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
 
-            trees = F.filter(F.sequence(F.lit(0), F.lit(T - 1)), lambda t: u(t) < F.lit(p))
-            cand = X.select("id", "x", F.explode(trees).alias("tree")) \
+        while True:
+            p = min(1.0, oversample * psi / n)
+            # one-hash gate: a row joins any tree with probability q = 1-(1-p)^T;
+            # gated rows (probability g >= q) then accept each tree with p / g,
+            # so per-tree inclusion stays p while most rows cost a single hash
+            g = min(1.0, 2.0 * (1.0 - (1.0 - p) ** T))
+            trees = F.filter(F.sequence(F.lit(0), F.lit(T - 1)), lambda t: u(t) < F.lit(p / g))
+            cand = X.where(u(F.lit(-1)) < F.lit(g)).select("id", "x", F.explode(trees).alias("tree")) \
                 .withColumn("h", F.xxhash64(F.lit(seed), F.col("tree"), F.col("id")))
-            if p >= 1.0:
-                break
-            per_tree = {r["tree"]: r["count"] for r in cand.groupBy("tree").count().collect()}
-            if len(per_tree) == T and min(per_tree.values()) >= psi:
+
+            def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+                pdf = pdf.sort_values(["h", "id"], kind="mergesort").head(psi)
+                Xs = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["x"].to_numpy()])
+                t = int(pdf["tree"].iloc[0])
+                return pd.DataFrame(grow_tree(Xs, t, seed, max_depth),
+                                    columns=["tree", "node", "feature", "split", "left_child", "right_child",
+                                             "size", "depth"])
+
+            nodes = cand.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).collect()
+            roots = {r[0]: r[6] for r in nodes if r[1] == 0}
+            # every tree must have its full sample; else draw again with more candidates
+            if p >= 1.0 or (len(roots) == T and min(roots.values()) >= psi):
                 break
             oversample *= 2
 
-        def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["h", "id"], kind="mergesort").head(psi)
-            Xs = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["x"].to_numpy()])
-            t = int(pdf["tree"].iloc[0])
-            return pd.DataFrame(grow_tree(Xs, t, seed, max_depth),
-                                columns=["tree", "node", "feature", "split", "left_child", "right_child",
-                                         "size", "depth"])
-
-        nodes = cand.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).collect()
         m.nodes = [tuple(r) for r in nodes]
-        scores = df.select(m.score_expr(df).alias("s"))
+        scores = materialize(df.select(m.score_expr(df).alias("s")))   # scored once, reused by the quantile
         m.threshold = exact_quantiles(scores, "s", [1.0 - contamination]).get((), [None])[0]
         return m
 

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.session import materialize
+
 from reviewlens.operators.features import FeatureSpec
 from reviewlens.operators.neighbors import knn_join
 from reviewlens.operators.ranking import exact_quantiles
@@ -58,15 +60,14 @@ class LOFModel:
         spec = spec or FeatureSpec.of(df, cols, vector)
         sc = scaler or Scaler.fit(df, spec, id_col=id_col)
         exprs = sc.scaled_exprs(df) if scale else sc.raw_exprs(df)
-        X = df.select(F.col(id_col).alias("id"), F.array(*exprs).alias("features")).checkpoint(eager=True)
+        X = materialize(df.select(F.col(id_col).alias("id"), F.array(*exprs).alias("features")))
         n = X.count()
-        knn = knn_join(X, X, k, "id", "features", exclude_self=True, block_rows=block_rows, n_rows=n) \
-            .checkpoint(eager=True)
+        knn = materialize(knn_join(X, X, k, "id", "features", exclude_self=True, block_rows=block_rows, n_rows=n))
         kd = knn.groupBy("id").agg(F.max("dist").alias("kdist"))
         lrd = _lrd(knn, kd)
-        train = X.join(kd, "id").join(lrd, "id").checkpoint(eager=True)
+        train = materialize(X.join(kd, "id").join(lrd, "id"))
         lof = lof_scores(knn, train.select("id", "kdist"), train.select("id", "lrd"), train.select("id", "lrd"))
-        lof = lof.checkpoint(eager=True)
+        lof = materialize(lof)
         thr = exact_quantiles(lof, "lof", [1.0 - contamination]).get((), [None])[0]
         m = LOFModel(sc, k, contamination, train, thr, id_col, block_rows)
         m._train_scores = lof

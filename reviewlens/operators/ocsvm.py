@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from reviewlens.operators.features import FeatureSpec
 from reviewlens.operators.ranking import exact_quantiles
 from reviewlens.operators.scaling import Scaler
+from reviewlens.session import materialize
 
 
 def _feature_map(X: np.ndarray, W: np.ndarray | None, b: np.ndarray | None, fmap: dict | None = None) -> np.ndarray:
@@ -80,8 +81,8 @@ class OneClassSVMModel:
         if sc.n == 0 or d == 0:
             return m
         has_id = id_col in df.columns
-        X = df.select(*( [F.col(id_col).alias("_id")] if has_id else []),
-                      F.array(*sc.scaled_exprs(df)).alias("x")).checkpoint(eager=True)
+        X = materialize(df.select(*([F.col(id_col).alias("_id")] if has_id else []),
+                      F.array(*sc.scaled_exprs(df)).alias("x")))
         if gamma == "scale":
             # variance of all entries of the (standardised) matrix
             agg = X.select(F.explode("x").alias("v")).agg(F.var_pop("v").alias("v")).first()["v"] or 1.0
@@ -145,7 +146,7 @@ class OneClassSVMModel:
         m.W = W.tolist() if W is not None else []
         m.b = b.tolist() if b is not None else []
         m.w = w.tolist()
-        dec = X.select(m._decision(F.col("x")).alias("f"))
+        dec = materialize(X.select(m._decision(F.col("x")).alias("f")))
         m.rho = exact_quantiles(dec, "f", [nu]).get((), [0.0])[0]
         return m
 
