@@ -223,3 +223,45 @@ def dbn_fit(df: DataFrame, col: str = "features", id_col: str = "row_id", hidden
         model.layer_scores += [(li, e, t, v) for e, t, v in hist]
         cur = materialize(cur.select("id", _layer_udf(layer.W, layer.b_hidden)(F.col("x")).alias("x"), "is_val"))
     return model
+
+
+def dbn_fit_transform(df: DataFrame, col: str = "features", id_col: str = "row_id", out: str = "dbn_features",
+                      **kw) -> tuple[DBNModel, DataFrame]:
+    """Fit then transform."""
+    m = dbn_fit(df, col, id_col, **kw)
+    return m, m.transform(df, col, out)
+
+
+def save_dbn(spark, model: DBNModel, path: str) -> None:
+    """Weights table (one row per layer) + metadata."""
+    from reviewlens.sources.store import save_model_tables
+    meta = {"feature_indices": model.feature_indices, "mins": model.mins, "maxs": model.maxs}
+    save_model_tables(spark, path, meta, {"weights": model.weights_table(spark),
+                                          "scores": model.scores_table(spark)})
+
+
+def load_dbn(spark, path: str) -> DBNModel:
+    from reviewlens.sources.store import load_model_tables
+    meta, t = load_model_tables(spark, path, ["weights", "scores"])
+    layers = [RBMLayer(np.asarray(r["weights"]), np.asarray(r["b_visible"]), np.asarray(r["b_hidden"]))
+              for r in sorted(t["weights"].collect(), key=lambda r: r["layer"])]
+    scores = [tuple(r) for r in t["scores"].collect()] if "scores" in t else []
+    return DBNModel(layers, meta["feature_indices"], meta["mins"], meta["maxs"], scores)
+
+
+def dbn_train_or_load(spark, base: str, df: DataFrame, col: str = "features", id_col: str = "row_id",
+                      **kw) -> DBNModel:
+    """Reuse a stored model keyed by the content fingerprint and parameters."""
+    import json
+    import os
+
+    from reviewlens.sources.store import table_fingerprint
+    import hashlib
+    params = hashlib.sha1(json.dumps(kw, sort_keys=True, default=str).encode()).hexdigest()[:16]
+    key = table_fingerprint(df.select(id_col, col)) + "-" + params
+    path = os.path.join(base, "dbn", key)
+    if os.path.exists(os.path.join(path, "meta")):
+        return load_dbn(spark, path)
+    m = dbn_fit(df, col, id_col, **kw)
+    save_dbn(spark, m, path)
+    return m

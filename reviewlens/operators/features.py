@@ -47,5 +47,32 @@ class FeatureSpec:
             return [F.get(v, i).cast("double") for i in range(self.dim)]
         return [F.col(c).cast("double") for c in self.cols]
 
+    def slice(self, indices: list[int]) -> "SlicedSpec":
+        """Keep only ``indices`` (e.g. the first d // 2 features)."""
+        return SlicedSpec(self, tuple(indices))
+
     def input_cols(self) -> list[str]:
         return [self.vector] if self.vector is not None else list(self.cols)
+
+
+@dataclass(frozen=True)
+class SlicedSpec:
+    """A feature spec restricted to some indices (P13 mask, P15 max_features)."""
+    base: FeatureSpec
+    indices: tuple[int, ...]
+
+    @property
+    def dim(self) -> int:
+        return len(self.indices)
+
+    @property
+    def names(self) -> list[str]:
+        n = self.base.names
+        return [n[i] for i in self.indices]
+
+    def exprs(self, df: DataFrame | None = None) -> list[Column]:
+        e = self.base.exprs(df)
+        return [e[i] for i in self.indices]
+
+    def input_cols(self) -> list[str]:
+        return self.base.input_cols()

@@ -127,3 +127,21 @@ def feature_importance_order(df: DataFrame, feature_cols: list[str], score_col:
     g = df.agg(*aggs)
     st = [F.struct(F.lit(c).alias("feature"), F.col(f"i{k}").alias("importance")) for k, c in enumerate(feature_cols)]
     return g.select(F.explode(F.array(*st)).alias("s")).select("s.*").orderBy("importance", "feature")
+
+
+def project_2d(df: DataFrame, features_col: str, id_col: str, flag_col: str | None = None) -> DataFrame:
+    """E1 (re-aimed t-SNE): 2-D PCA coordinates of standardised feature
+    arrays plus the 'Anomaly'/'Normal' label. PCA needs only the d x d
+    covariance (aggregated by Spark), so it scales with rows; t-SNE does not.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from reviewlens.functions.scalar import flag_label
+    v = df.select(id_col, *( [flag_col] if flag_col else []), array_to_vector(features_col).alias("_v"))
+    model = PCA(k=2, inputCol="_v", outputCol="_p").fit(v)
+    out = model.transform(v).withColumn("_a", vector_to_array("_p"))
+    cols = [id_col, F.col("_a")[0].alias("x"), F.col("_a")[1].alias("y")]
+    if flag_col:
+        cols.append(flag_label(flag_col).alias("label"))
+    return out.select(*cols)

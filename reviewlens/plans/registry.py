@@ -647,3 +647,53 @@ def m5_learning_curves_hbos(spark, sf):
                              train_sizes=(0.3, 0.65, 1.0), k_folds=2)
     return TU.learning_curve_summary(cur).select("model", "final_train_size", _r("final_train_score"),
                                                  _r("final_test_score"), _r("gap"))
+
+
+# ----------------------------------------------------------------- O4, A23, E1, S4
+from reviewlens.sources.store import table_fingerprint  # noqa: E402
+
+
+def _o4_sql() -> str:
+    parts = [f"SELECT '{c}' AS feature, round(abs(covar_pop({c}, hbos_score) / sqrt(var_pop({c}) * var_pop(hbos_score))), 6) "
+             f"AS importance FROM hf" for c in NUMERIC_FEATURES]
+    return _HB + ",\nimp AS (" + " UNION ALL ".join(parts) + ")\nSELECT feature, importance FROM imp"
+
+
+@register("o4_feature_importance_order", _o4_sql())
+def o4_feature_importance_order(spark, sf):
+    _, _, fl = _hbos_flags(spark, sf)
+    return RP.feature_importance_order(fl, NUMERIC_FEATURES).select("feature", _r("importance"))
+
+
+@register("a23_metric_comparison", _HB + """,
+c AS (SELECT CAST(count_if(is_returned AND is_anomaly) AS DOUBLE) AS tp,
+             CAST(count_if(NOT is_returned AND is_anomaly) AS DOUBLE) AS fp,
+             CAST(count_if(is_returned AND NOT is_anomaly) AS DOUBLE) AS fn, CAST(count(*) AS DOUBLE) AS n FROM hf)
+SELECT 'hbos' AS model, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision,
+       round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall,
+       round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1,
+       round((tp + fp) * 100.0 / n, 6) AS anomaly_pct, 0.0 AS roc_auc, 'Hbos' AS display_name FROM c""")
+def a23_metric_comparison(spark, sf):
+    _, _, fl = _hbos_flags(spark, sf)
+    b = EV.binary_metrics(fl.withColumn("model", F.lit("hbos")), "is_returned", "is_anomaly", by=["model"])
+    metrics = ["precision", "recall", "f1", "anomaly_pct", "roc_auc"]
+    long = b.select("model", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
+                                                 for m in metrics[:4]])).alias("m")).select("model", "m.*")
+    wide = RP.metric_comparison(long, metrics_list=metrics)   # roc_auc missing -> 0.0
+    return wide.select("model", *[_r(m) for m in metrics], "display_name")
+
+
+@register("e1_project_2d")
+def e1_project_2d(spark, sf):
+    e = materialize(_embeddings(spark, sf))
+    sc = Scaler.fit(e, FeatureSpec.of(e, vector="embedding"), id_col="vec_id")
+    m = HBOSModel.fit(e, vector="embedding", id_col="vec_id", scaler=sc)
+    scored = sc.transform(m.transform(e), "scaled", keep=["vec_id", "is_anomaly"])
+    p = RP.project_2d(scored, "scaled", "vec_id", "is_anomaly")
+    return p.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean_x"))
+
+
+@register("s4_table_fingerprint")
+def s4_table_fingerprint(spark, sf):
+    fp = table_fingerprint(scan_table(spark, sf, "lineitem", rebalance=False))
+    return spark.createDataFrame([("lineitem", fp)], "table_name string, fingerprint string")

@@ -160,7 +160,7 @@ class RunLedger:
     def pending(self, run_id: str, stage: str, requested: list[str]) -> list[str]:
         req = self.spark.createDataFrame([(m,) for m in requested], "model string")
         return [r["model"] for r in pending_models(req, self.state().where(
-            (F.col("run_id") == run_id) & (F.col("stage") == stage)))]
+            (F.col("run_id") == run_id) & (F.col("stage") == stage))).collect()]
 
 
 def ledger_state(events: DataFrame) -> DataFrame:
