@@ -4,7 +4,7 @@ Exact neighbour search needs every (query, corpus) distance, but it never
 needs to *emit* the pairs. Rows are hashed into ``nb`` blocks of about
 ``block_rows`` rows; each (query block, corpus block) pair is one cogroup
 task that computes the block distance matrix with numpy (Arrow batches in,
-memory ~ block_rows^2 * 8 bytes) and emits only per-query summaries: the
+memory <= block_rows^2 * 8 bytes) and emits only per-query summaries: the
 local top-k (J4) or counts / minima within a radius (J5). Summaries of the
 ``nb`` corpus blocks are merged with a grouped aggregate or a per-query
 window over at most k * nb rows. Nothing is broadcast and no group is
@@ -27,8 +27,16 @@ def _stack(series: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
 
 
-def n_blocks(n: int, block_rows: int) -> int:
-    return max(1, int(math.ceil(n / float(block_rows))))
+MIN_BLOCK_ROWS = 256
+
+
+def n_blocks(n: int, block_rows: int, parallelism: int = 8) -> int:
+    """Blocks per side: enough for ~2 x parallelism block-pair tasks (but
+    blocks of at least MIN_BLOCK_ROWS rows), and never more than
+    ``block_rows`` rows per block (the task memory bound)."""
+    by_size = int(math.ceil(n / float(max(1, block_rows))))
+    by_par = min(int(math.ceil(math.sqrt(2 * max(1, parallelism)))), int(math.ceil(n / float(MIN_BLOCK_ROWS))))
+    return max(1, by_size, by_par)
 
 
 def _blocked(query: DataFrame, corpus: DataFrame, nb: int, id_col: str, seed: int = 17):
@@ -64,7 +72,7 @@ def knn_join(query: DataFrame, corpus: DataFrame, k: int, id_col: str = "row_id"
     row with the same id as the query row is skipped.
     """
     n = n_rows if n_rows is not None else corpus.count()
-    nb = n_blocks(n, block_rows)
+    nb = n_blocks(n, block_rows, query.sparkSession.sparkContext.defaultParallelism)
     c = corpus.select(F.col(id_col).alias("cid"), F.col(vec_col).alias("cv"))
     q0 = query.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv"))
     q, _ = _blocked(q0, q0, nb, "qid")
@@ -109,7 +117,7 @@ def radius_counts(query: DataFrame, corpus: DataFrame, eps: float, id_col: str =
     rows within eps) when ``label_col`` is given.
     """
     n = n_rows if n_rows is not None else corpus.count()
-    nb = n_blocks(n, block_rows)
+    nb = n_blocks(n, block_rows, query.sparkSession.sparkContext.defaultParallelism)
     q0 = query.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv"))
     extra = []
     if flag_col:

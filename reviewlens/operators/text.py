@@ -14,6 +14,8 @@ k); postings are filtered by a broadcast semi-join on it *before* the
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ def top_terms(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             Window.orderBy(F.col("term_count").desc(), F.col("term").asc())) - 1)
 
 
+def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term, tf): one tokenisation pass, combined per (doc, term) map-side."""
+    return postings(df, id_col, text_col).groupBy("id", "term").agg(F.count("*").alias("tf"))
+
+
 def tfidf(df: DataFrame, id_col: str, text_col: str, k: int = 300, vocab: DataFrame | None = None,
           idf: DataFrame | None = None, n_docs: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Long TF-IDF weights ``(id, term, term_index, weight)``, rows L2-normalised.
@@ -47,23 +54,38 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, k: int = 300, vocab: DataFr
     tf = raw count, idf = ln((1 + n) / (1 + df)) + 1 (smooth idf). Returns the
     weights and the fitted vocabulary ``(term, term_index, idf)`` so new rows
     can be transformed with the same vocabulary.
+
+    Fit is one aggregate pass: (doc, term) counts combined map-side, then per
+    term the corpus count and the document frequency; only the top-k rows
+    reach the driver. The weights are a second pass joined to the k-row
+    vocabulary (broadcast, bounded by k).
     """
-    p = postings(df, id_col, text_col)
-    if vocab is None:
-        vocab = top_terms(df, id_col, text_col, k).select("term", "term_index")
-    # vocab has at most k rows: broadcast is bounded by k, not by the data
-    pv = p.join(F.broadcast(vocab.select("term", "term_index")), "term", "left_semi")
-    tf = pv.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    spark = df.sparkSession
     if idf is None:
         n = n_docs if n_docs is not None else df.count()
-        dfreq = tf.groupBy("term").agg(F.count("*").alias("df"))
-        idf = vocab.join(dfreq, "term", "left").select(
-            "term", "term_index",
-            (F.log((F.lit(1.0) + F.lit(float(n))) / (F.lit(1.0) + F.coalesce(F.col("df"), F.lit(0)))) + 1.0)
-            .alias("idf"))
+        if vocab is None:
+            stats = term_counts(df, id_col, text_col).groupBy("term").agg(
+                F.sum("tf").alias("term_count"), F.count("*").alias("df"))
+            top = stats.orderBy(F.col("term_count").desc(), F.col("term").asc()).limit(k).collect()
+            rows = [(r["term"], i, math.log((1.0 + n) / (1.0 + r["df"])) + 1.0) for i, r in enumerate(top)]
+        else:
+            v = vocab.select("term", "term_index")
+            dfreq = term_counts(df, id_col, text_col).join(F.broadcast(v), "term", "left_semi") \
+                .groupBy("term").agg(F.count("*").alias("df"))
+            got = {r["term"]: r["df"] for r in dfreq.collect()}
+            rows = [(r["term"], r["term_index"], math.log((1.0 + n) / (1.0 + got.get(r["term"], 0))) + 1.0)
+                    for r in v.collect()]
+        idf = spark.createDataFrame(rows, "term string, term_index int, idf double")
+    # postings restricted to the vocabulary before the (doc, term) shuffle
+    p = postings(df, id_col, text_col).join(F.broadcast(idf.select("term")), "term", "left_semi")
+    tf = p.groupBy("id", "term").agg(F.count("*").alias("tf"))
     w = tf.join(F.broadcast(idf), "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norms = w.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    out = w.join(norms, "id").select("id", "term", "term_index", (F.col("raw") / F.col("norm")).alias("weight"))
+    # per document at most k vocabulary entries: a bounded list, no self-join
+    per_doc = w.groupBy("id").agg(
+        F.collect_list(F.struct("term", "term_index", "raw")).alias("items"),
+        F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    out = per_doc.select("id", "norm", F.explode("items").alias("it")).select(
+        "id", "it.term", "it.term_index", (F.col("it.raw") / F.col("norm")).alias("weight"))
     return out, idf
 
 

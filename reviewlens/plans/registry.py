@@ -433,7 +433,7 @@ def _scaled_embeddings(spark, sf):
 SELECT id AS vec_id, nid AS neighbor_id, r AS rank, round(dist, 6) AS dist FROM kn""")
 def j4_knn_join(spark, sf):
     X = materialize(_scaled_embeddings(spark, sf))
-    k = knn_join(X, X, KNN_K, "id", "features", exclude_self=True, block_rows=256)
+    k = knn_join(X, X, KNN_K, "id", "features", exclude_self=True, block_rows=4096)
     return k.select(F.col("id").alias("vec_id"), "neighbor_id", F.col("rank").cast("bigint").alias("rank"),
                     _r("dist"))
 
@@ -442,7 +442,7 @@ def j4_knn_join(spark, sf):
 SELECT id AS vec_id, count(*) AS n_within FROM pd WHERE dist <= {DBSCAN_EPS} GROUP BY id""")
 def j5_radius_counts(spark, sf):
     X = materialize(_scaled_embeddings(spark, sf))
-    r = radius_counts(X, X, DBSCAN_EPS, "id", "features", block_rows=256)
+    r = radius_counts(X, X, DBSCAN_EPS, "id", "features", block_rows=4096)
     return r.select(F.col("id").alias("vec_id"), "n_within")
 
 
@@ -450,14 +450,14 @@ def j5_radius_counts(spark, sf):
 SELECT id AS vec_id, round(lof, 6) AS lof, lof > t AS is_anomaly FROM lof CROSS JOIN lthr""")
 def d3_lof(spark, sf):
     e = _embeddings(spark, sf)
-    m = LOFModel.fit(e, vector="embedding", k=LOF_K, contamination=0.1, id_col="vec_id", block_rows=256)
+    m = LOFModel.fit(e, vector="embedding", k=LOF_K, contamination=0.1, id_col="vec_id", block_rows=4096)
     return m.training_scores().select(F.col("id").alias("vec_id"), _r("lof"), "is_anomaly")
 
 
 @register("d5_dbscan", O.dbscan_sql(DBSCAN_EPS, DBSCAN_MIN))
 def d5_dbscan(spark, sf):
     e = _embeddings(spark, sf)
-    res = dbscan(e, vector="embedding", eps=DBSCAN_EPS, min_samples=DBSCAN_MIN, id_col="vec_id", block_rows=256)
+    res = dbscan(e, vector="embedding", eps=DBSCAN_EPS, min_samples=DBSCAN_MIN, id_col="vec_id", block_rows=4096)
     return res.labels.select(F.col("id").alias("vec_id"), "n_within", "is_core", "cluster", "is_anomaly")
 
 
@@ -484,9 +484,9 @@ def d4_one_class_svm(spark, sf):
 DETECT_ALL_SPECS = {
     "hbos": {},
     "isolation_forest": {},
-    "lof": {"k": LOF_K, "block_rows": 512},
+    "lof": {"k": LOF_K, "block_rows": 4096},
     "one_class_svm": {"n_components": 128, "max_iter": 20},
-    "dbscan": {"eps": DBSCAN_EPS, "min_samples": DBSCAN_MIN, "block_rows": 512},
+    "dbscan": {"eps": DBSCAN_EPS, "min_samples": DBSCAN_MIN, "block_rows": 4096},
 }
 
 
