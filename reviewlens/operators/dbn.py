@@ -260,7 +260,8 @@ def dbn_train_or_load(spark, base: str, df: DataFrame, col: str = "features", id
     params = hashlib.sha1(json.dumps(kw, sort_keys=True, default=str).encode()).hexdigest()[:16]
     key = table_fingerprint(df.select(id_col, col)) + "-" + params
     path = os.path.join(base, "dbn", key)
-    if os.path.exists(os.path.join(path, "meta")):
+    from reviewlens.session import path_exists
+    if path_exists(spark, os.path.join(path, "meta")):
         return load_dbn(spark, path)
     m = dbn_fit(df, col, id_col, **kw)
     save_dbn(spark, m, path)

@@ -144,8 +144,11 @@ def numeric_features(df: DataFrame, user_col: str = "user_id", time_col: str = "
     if t0 is None:
         t0 = first_time(df, time_col)
     out = user_activity(df, user_col)
-    out = (out.withColumn("review_length", review_length(text_col).cast("double"))
-              .withColumn("user_review_count", F.col("user_review_count").cast("double"))
+    if text_col in out.columns:
+        out = out.withColumn("review_length", review_length(text_col).cast("double"))
+    elif "review_length" not in out.columns:
+        raise ValueError(f"need {text_col} or a review_length column")
+    out = (out.withColumn("user_review_count", F.col("user_review_count").cast("double"))
               .withColumn("days_since_first", days_since(F.col(time_col), F.timestamp_micros(F.lit(t0)))))
     return out, {"t0": t0}
 

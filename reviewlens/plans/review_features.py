@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.functions.scalar import fill_text, helpfulness_ratio, nan_to_null
+from reviewlens.functions.scalar import fill_text, helpfulness_ratio, nan_to_null, review_length
 from reviewlens.operators.prepare import (NUMERIC_FEATURES, drop_missing, mean_impute, numeric_features,
                                           review_book_join)
 from reviewlens.plans import bindings
@@ -19,11 +19,15 @@ from reviewlens.session import materialize
 IMPUTED = ["score", "helpfulness_ratio", "ratings_count"]
 
 
-def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _joined(spark: SparkSession, sf_dir: str, keep_text: bool = True) -> DataFrame:
     r = bindings.reviews(spark, sf_dir).withColumn("helpfulness_ratio", helpfulness_ratio("helpfulness"))
     m = review_book_join(r, bindings.books(spark, sf_dir))
     for c in ("review_text", "summary", "categories"):
         m = m.withColumn(c, fill_text(c))
+    if not keep_text:
+        # numeric features need only the length: long texts are not copied
+        # into the intermediate table
+        m = m.withColumn("review_length", review_length("review_text").cast("double")).drop("review_text", "summary")
     return m
 
 
@@ -44,7 +48,7 @@ def reviews_with_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the joined table with the six numeric feature columns."""
-    m, t0 = _impute(materialize(_joined(spark, sf_dir)))
+    m, t0 = _impute(materialize(_joined(spark, sf_dir, keep_text=False)))
     f, _ = numeric_features(m, t0=t0)
     return f.select("row_id", "order_key", "title", "user_id", "review_time", "is_returned",
                     "line_number", "supp_key", "price", "quantity", "discount", "tax", *NUMERIC_FEATURES)

@@ -56,6 +56,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def is_local_path(path: str) -> bool:
+    return "://" not in path or path.startswith("file:")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop FileSystem API (works for local,
+    HDFS and object-store paths alike)."""
+    if is_local_path(path):
+        return os.path.exists(path[len("file:"):] if path.startswith("file:") else path)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
@@ -115,7 +129,12 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, arc)
     data = buf.getvalue()
     digest = hashlib.sha1(data).hexdigest()[:12]
-    out_dir = os.path.join(ensure_checkpoint_dir(spark), "pyfiles")
+    ckpt = ensure_checkpoint_dir(spark)
+    if is_local_path(ckpt):
+        out_dir = os.path.join(ckpt[len("file:"):] if ckpt.startswith("file:") else ckpt, "pyfiles")
+    else:
+        # code artifact only: the driver serves it to executors (as --py-files does)
+        out_dir = tempfile.mkdtemp(prefix="reviewlens-pyfiles-")
     os.makedirs(out_dir, exist_ok=True)
     path = os.path.join(out_dir, f"reviewlens-{digest}.zip")
     if not os.path.exists(path):

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens.functions.scalar import display_name
+from reviewlens.session import path_exists
 
 
 # ------------------------------------------------------------------ S4
@@ -41,7 +42,7 @@ def feature_cache(spark: SparkSession, base: str, key_df: DataFrame, params: dic
     """Return cached features for (fingerprint of ``key_df``, params) or build and store them."""
     key = table_fingerprint(key_df) + "-" + "-".join(f"{k}={params[k]}" for k in sorted(params))
     path = os.path.join(base, "features", key.replace("/", "_"))
-    if os.path.exists(os.path.join(path, "_SUCCESS")):
+    if path_exists(spark, os.path.join(path, "_SUCCESS")):
         return spark.read.parquet(path)
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
@@ -129,7 +130,7 @@ class RunLedger:
         self.spark.createDataFrame(row, LEDGER_SCHEMA).write.mode("append").parquet(self.path)
 
     def events(self) -> DataFrame:
-        if not os.path.exists(self.path):
+        if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], LEDGER_SCHEMA)
         return self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path)
 
@@ -145,7 +146,7 @@ class RunLedger:
     def result(self, run_id: str, stage: str, model: str) -> DataFrame | None:
         r = self.state().where((F.col("run_id") == run_id) & (F.col("stage") == stage) &
                                (F.col("model") == model)).first()
-        if r and r["result_path"] and os.path.exists(r["result_path"]):
+        if r and r["result_path"] and path_exists(self.spark, r["result_path"]):
             return self.spark.read.parquet(r["result_path"])
         return None
 
@@ -206,4 +207,4 @@ def save_model_tables(spark: SparkSession, path: str, meta: dict, tables: dict[s
 def load_model_tables(spark: SparkSession, path: str, names: list[str]) -> tuple[dict, dict[str, DataFrame]]:
     meta = json.loads(spark.read.json(os.path.join(path, "meta")).first()["meta"])
     return meta, {n: spark.read.parquet(os.path.join(path, n)) for n in names
-                  if os.path.exists(os.path.join(path, n))}
+                  if path_exists(spark, os.path.join(path, n))}
