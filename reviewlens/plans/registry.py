@@ -216,7 +216,7 @@ _VARS = " UNION ALL ".join(f"SELECT var_pop({c}) AS v, max({c}) - min({c}) AS rg
 @register("a7_inspect_features", O.with_(O.FEATURES_CTE, f"vv AS ({_VARS})") + f"""
 SELECT true AS valid, CAST(NULL AS VARCHAR) AS error, (SELECT count(*) FROM f) AS n_samples,
        {len(NUMERIC_FEATURES)} AS n_features, false AS has_nan, false AS has_inf,
-       0 AS nan_count, 0 AS inf_count,
+       CAST(0 AS BIGINT) AS nan_count, CAST(0 AS BIGINT) AS inf_count,
        round(avg(v), 6) AS mean_variance, round(min(v), 6) AS min_variance, round(max(v), 6) AS max_variance,
        round(avg(rg), 6) AS mean_range, CAST(count_if(v = 0) AS INTEGER) AS zero_variance_count,
        CAST(count_if(v > 0 AND v < 1e-10) AS INTEGER) AS near_zero_variance_count,
@@ -672,7 +672,7 @@ c AS (SELECT CAST(count_if(is_returned AND is_anomaly) AS DOUBLE) AS tp,
 SELECT 'hbos' AS model, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision,
        round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall,
        round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1,
-       round((tp + fp) * 100.0 / n, 6) AS anomaly_pct, 0.0 AS roc_auc, 'Hbos' AS display_name FROM c""")
+       round((tp + fp) * 100.0 / n, 6) AS anomaly_pct, CAST(0.0 AS DOUBLE) AS roc_auc, 'Hbos' AS display_name FROM c""")
 def a23_metric_comparison(spark, sf):
     _, _, fl = _hbos_flags(spark, sf)
     b = EV.binary_metrics(fl.withColumn("model", F.lit("hbos")), "is_returned", "is_anomaly", by=["model"])
