@@ -140,9 +140,9 @@ def prefix_sums(df: DataFrame, by: list[str], order_col: str, sum_cols: list[str
     off_rows = [(pid, *g, *vals) for (pid, g), vals in offsets.items()]
     off = spark.createDataFrame(off_rows, ["_pid", *by, *[f"{c}_off" for c in sum_cols]])
 
-    schema = part.schema
-    for c in sum_cols:
-        schema = schema.add(f"{c}_local", "long")
+    from pyspark.sql.types import LongType, StructField, StructType
+    # a new StructType: ``part.schema`` is cached on the frame and must not be mutated
+    schema = StructType(list(part.schema.fields) + [StructField(f"{c}_local", LongType()) for c in sum_cols])
 
     def local(it):
         carry: dict = {}
