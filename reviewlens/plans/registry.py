@@ -698,3 +698,10 @@ def e1_project_2d(spark, sf):
 def s4_table_fingerprint(spark, sf):
     fp = table_fingerprint(scan_table(spark, sf, "lineitem", rebalance=False))
     return spark.createDataFrame([("lineitem", fp)], "table_name string, fingerprint string")
+
+
+@register("a21_score_kde")
+def a21_score_kde(spark, sf):
+    _, _, fl = _hbos_flags(spark, sf)
+    k = RP.score_kde(fl.withColumn("model", F.lit("hbos")), grid_points=200)
+    return k.select("model", "point", _r("x"), _r("density"))

@@ -51,3 +51,13 @@ def test_learning_curve_failure_rows_and_summary(spark):
         bad.withColumn("model", F.lit("broken")))).collect()}
     assert summ["hbos"]["final_train_size"] == 1.0 and summ["hbos"]["final_test_score"] is not None
     assert summ["broken"]["final_test_score"] is None
+
+
+def test_score_kde_integrates_to_one(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([("m", float(v)) for v in rng.normal(size=2000)], "model string, anomaly_score double")
+    k = sorted((r["x"], r["density"]) for r in RP.score_kde(df, grid_points=400).collect())
+    xs, ds = np.array([a for a, _ in k]), np.array([b for _, b in k])
+    assert abs(np.trapezoid(ds, xs) - 1.0) < 0.01
+    assert abs(xs[ds.argmax()]) < 0.3
