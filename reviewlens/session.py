@@ -132,13 +132,20 @@ def ship_package(spark: SparkSession) -> None:
     ckpt = ensure_checkpoint_dir(spark)
     if is_local_path(ckpt):
         out_dir = os.path.join(ckpt[len("file:"):] if ckpt.startswith("file:") else ckpt, "pyfiles")
+        os.makedirs(out_dir, exist_ok=True)
+        path = os.path.join(out_dir, f"reviewlens-{digest}.zip")
+        if not os.path.exists(path):
+            with open(path, "wb") as fh:
+                fh.write(data)
     else:
-        # code artifact only: the driver serves it to executors (as --py-files does)
-        out_dir = tempfile.mkdtemp(prefix="reviewlens-pyfiles-")
-    os.makedirs(out_dir, exist_ok=True)
-    path = os.path.join(out_dir, f"reviewlens-{digest}.zip")
-    if not os.path.exists(path):
-        with open(path, "wb") as fh:
-            fh.write(data)
+        # shared storage: write through the Hadoop FileSystem API
+        path = ckpt.rstrip("/") + f"/pyfiles/reviewlens-{digest}.zip"
+        jvm = sc._jvm
+        hp = jvm.org.apache.hadoop.fs.Path(path)
+        fs = hp.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not fs.exists(hp):
+            out = fs.create(hp, True)
+            out.write(bytearray(data))
+            out.close()
     sc.addPyFile(path)
     _SHIPPED.add(key)
