@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from reviewlens.operators.features import FeatureSpec
 from reviewlens.operators.ranking import exact_quantiles
 from reviewlens.operators.scaling import Scaler
-from reviewlens.session import materialize
+from reviewlens.session import materialize_observed
 
 
 def _bin_expr(x: Column, lo: float, w: float, n_bins: int) -> Column:
@@ -78,9 +78,12 @@ class HBOSModel:
             w_std = widths[j] / sc.stds[j]
             terms.append([-math.log2(c / (n * w_std) + alpha) for c in row])
         m.lo, m.width, m.terms = los, widths, terms
-        # one narrow table of training scores, reused by every quantile pass
-        scores = materialize(df.select(m.score_expr(df).alias("score")))
-        m.threshold = exact_quantiles(scores, "score", [1.0 - contamination])[()][0]
+        # one narrow table of training scores, reused by every quantile pass;
+        # its count / min / max are observed while it is written
+        scores, st = materialize_observed(df.select(m.score_expr(df).alias("score")), [
+            F.count("score").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")])
+        m.threshold = exact_quantiles(scores, "score", [1.0 - contamination],
+                                      known=(st["n"], st["lo"], st["hi"]))[()][0]
         return m
 
     # --------------------------------------------------------------- scoring

@@ -212,7 +212,7 @@ def rank_select(df: DataFrame, order_cols: list[str], targets: list[tuple[tuple,
 
 def exact_quantiles(df: DataFrame, value: str | Column, probs: list[float],
                     group_cols: list[str] | None = None, max_collect: int = 20_000,
-                    buckets: int = 4096) -> dict[tuple, list[float | None]]:
+                    buckets: int = 4096, known: tuple | None = None) -> dict[tuple, list[float | None]]:
     """Exact linearly interpolated quantiles (numpy 'linear' / DuckDB quantile_cont).
 
     Returns ``{group_tuple: [q(p) for p in probs]}``; NULL and NaN values are
@@ -223,8 +223,12 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: list[float],
     base = df.select(*[F.col(c) for c in group_cols], vcol.cast("double").alias("_qv"))
     base = base.where(F.col("_qv").isNotNull() & ~F.isnan("_qv"))
     aggs = [F.count("*").alias("count"), F.min("_qv").alias("lo"), F.max("_qv").alias("hi")]
-    counts = _collect(base.groupBy(*group_cols).agg(*aggs), "counts") if group_cols \
-        else _collect(base.agg(*aggs), "counts")
+    if known is not None and not group_cols:
+        # (count, min, max) of the non-NULL, non-NaN values, already known
+        counts = [{"count": known[0], "lo": known[1], "hi": known[2]}]
+    else:
+        counts = _collect(base.groupBy(*group_cols).agg(*aggs), "counts") if group_cols \
+            else _collect(base.agg(*aggs), "counts")
     init = {tuple(r[c] for c in group_cols): (r["count"], r["lo"], r["hi"]) for r in counts}
     targets, plan = [], {}
     for r in counts:

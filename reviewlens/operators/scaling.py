@@ -25,13 +25,22 @@ def gaussian_noise(id_col: str, feature: int, seed: int) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u(seed))) * F.cos(F.lit(2 * math.pi) * u(seed + 7919))
 
 
-def feature_stats_row(df: DataFrame, exprs: list[Column]) -> list[dict]:
+def feature_stat_aggs(exprs: list[Column]) -> list[Column]:
     aggs = []
     for j, e in enumerate(exprs):
         aggs += [F.avg(e).alias(f"m{j}"), F.var_pop(e).alias(f"v{j}"),
                  F.min(e).alias(f"lo{j}"), F.max(e).alias(f"hi{j}")]
     aggs.append(F.count(F.lit(1)).alias("n"))
-    r = df.agg(*aggs).first()
+    return aggs
+
+
+def stats_from_row(r, d: int) -> list[dict]:
+    n = r["n"]
+    return [dict(mean=r[f"m{j}"], var=r[f"v{j}"], lo=r[f"lo{j}"], hi=r[f"hi{j}"], n=n) for j in range(d)]
+
+
+def feature_stats_row(df: DataFrame, exprs: list[Column]) -> list[dict]:
+    r = df.agg(*feature_stat_aggs(exprs)).first()
     n = r["n"]
     return [dict(mean=r[f"m{j}"], var=r[f"v{j}"], lo=r[f"lo{j}"], hi=r[f"hi{j}"], n=n)
             for j in range(len(exprs))]
@@ -53,9 +62,11 @@ class Scaler:
     # ------------------------------------------------------------- fit
     @staticmethod
     def fit(df: DataFrame, spec: FeatureSpec, id_col: str | None = "row_id",
-            seed: int = 42) -> "Scaler":
+            seed: int = 42, stats: list[dict] | None = None) -> "Scaler":
+        """Fit on ``df``; ``stats`` may carry precomputed per-feature
+        statistics (e.g. observed while the frame was written)."""
         exprs = spec.exprs(df)
-        stats = feature_stats_row(df, exprs)
+        stats = stats if stats is not None else feature_stats_row(df, exprs)
         n = stats[0]["n"] if stats else 0
         kept = [j for j, s in enumerate(stats) if (s["var"] or 0.0) > 0.0]
         sc = Scaler(spec, id_col=id_col if (id_col and id_col in df.columns) else None,
@@ -110,3 +121,12 @@ class Scaler:
     def to_rows(self) -> list[tuple]:
         names = self.spec.names
         return [(names[j], j, m, s) for j, m, s in zip(self.kept, self.means, self.stds)]
+
+
+def materialize_and_fit(df: DataFrame, spec: FeatureSpec, id_col: str | None = "row_id",
+                        seed: int = 42) -> tuple[DataFrame, "Scaler"]:
+    """Write ``df`` as a table and fit the scaler statistics in the same job."""
+    from reviewlens.session import materialize_observed
+    exprs = spec.exprs(df)
+    table, m = materialize_observed(df, feature_stat_aggs(exprs))
+    return table, Scaler.fit(table, spec, id_col, seed, stats=stats_from_row(m, len(exprs)))

@@ -17,6 +17,8 @@ from reviewlens.operators.prepare import NUMERIC_FEATURES
 from reviewlens.operators.report import anomaly_by_rating
 from reviewlens.plans import oracle_sql as O
 from reviewlens.plans.review_features import review_features
+from reviewlens.operators.features import FeatureSpec
+from reviewlens.operators.scaling import materialize_and_fit
 from reviewlens.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,8 +42,10 @@ def _r(c, k=6):
 @register("d1_hbos_anomaly_by_rating", O.with_(O.FEATURES_CTE, O.hbos_scores_cte()) + """
 SELECT score AS rating, is_anomaly, count(*) AS n_reviews FROM hf GROUP BY 1, 2""")
 def d1_hbos_anomaly_by_rating(spark, sf):
-    f = materialize(review_features(spark, sf))
-    m = HBOSModel.fit(f, cols=NUMERIC_FEATURES)
+    # feature table written once; scaler statistics observed by the same job
+    f, sc = materialize_and_fit(review_features(spark, sf), FeatureSpec(tuple(NUMERIC_FEATURES), None,
+                                                                       len(NUMERIC_FEATURES)))
+    m = HBOSModel.fit(f, cols=NUMERIC_FEATURES, scaler=sc)
     return anomaly_by_rating(m.transform(f), "score")
 
 
@@ -61,8 +65,9 @@ FEAT_SQL_LIST = ", ".join(NUMERIC_FEATURES)
 
 
 def _hbos_flags(spark, sf):
-    f = materialize(review_features(spark, sf))
-    m = HBOSModel.fit(f, cols=NUMERIC_FEATURES)
+    f, sc = materialize_and_fit(review_features(spark, sf), FeatureSpec(tuple(NUMERIC_FEATURES), None,
+                                                                       len(NUMERIC_FEATURES)))
+    m = HBOSModel.fit(f, cols=NUMERIC_FEATURES, scaler=sc)
     return f, m, m.transform(f)
 
 

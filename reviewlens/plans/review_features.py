@@ -14,7 +14,7 @@ from reviewlens.functions.scalar import fill_text, helpfulness_ratio, nan_to_nul
 from reviewlens.operators.prepare import (NUMERIC_FEATURES, drop_missing, mean_impute, numeric_features,
                                           review_book_join)
 from reviewlens.plans import bindings
-from reviewlens.session import materialize
+from reviewlens.session import materialize_observed
 
 IMPUTED = ["score", "helpfulness_ratio", "ratings_count"]
 
@@ -31,10 +31,20 @@ def _joined(spark: SparkSession, sf_dir: str, keep_text: bool = True) -> DataFra
     return m
 
 
-def _impute(m: DataFrame) -> tuple[DataFrame, int | None]:
-    # one pass: imputation means (A1) and the first review time (A4)
-    st = m.agg(*[F.avg(nan_to_null(c)).alias(c) for c in IMPUTED],
-               F.min(F.unix_micros(F.col("review_time").cast("timestamp"))).alias("_t0")).first()
+def _impute_aggs() -> list:
+    # imputation means (A1) and the first review time (A4)
+    return [*[F.avg(nan_to_null(c)).alias(c) for c in IMPUTED],
+            F.min(F.unix_micros(F.col("review_time").cast("timestamp"))).alias("_t0")]
+
+
+def _materialize_joined(spark: SparkSession, sf_dir: str, keep_text: bool) -> tuple[DataFrame, dict]:
+    """The joined frame written once; its imputation statistics observed by the same job."""
+    return materialize_observed(_joined(spark, sf_dir, keep_text), _impute_aggs())
+
+
+def _impute(m: DataFrame, st=None) -> tuple[DataFrame, int | None]:
+    if st is None:
+        st = m.agg(*_impute_aggs()).first()
     means = {c: st[c] for c in IMPUTED}
     m, _ = mean_impute(m, IMPUTED, means)
     empty = [c for c in IMPUTED if means[c] is None]
@@ -42,13 +52,13 @@ def _impute(m: DataFrame) -> tuple[DataFrame, int | None]:
 
 
 def reviews_with_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, _ = _impute(materialize(_joined(spark, sf_dir)))
+    m, _ = _impute(*_materialize_joined(spark, sf_dir, True))
     return m
 
 
 def review_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the joined table with the six numeric feature columns."""
-    m, t0 = _impute(materialize(_joined(spark, sf_dir, keep_text=False)))
+    m, t0 = _impute(*_materialize_joined(spark, sf_dir, False))
     f, _ = numeric_features(m, t0=t0)
     return f.select("row_id", "order_key", "title", "user_id", "review_time", "is_returned",
                     "line_number", "supp_key", "price", "quantity", "discount", "tax", *NUMERIC_FEATURES)

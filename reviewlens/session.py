@@ -149,3 +149,20 @@ def ship_package(spark: SparkSession) -> None:
             out.close()
     sc.addPyFile(path)
     _SHIPPED.add(key)
+
+
+def materialize_observed(df, aggs: list):
+    """Write ``df`` as a table (like :func:`materialize`) and compute the
+    aggregate columns ``aggs`` in the same job (``Observation``), so a stats
+    pass over the data is not needed. Returns (table, dict of metrics).
+
+    Observed metrics are accumulated from successful tasks only, once per
+    task, so retried tasks after an executor loss do not double count.
+    """
+    import uuid
+
+    from pyspark.sql import Observation
+    obs = Observation(f"rl_{uuid.uuid4().hex[:12]}")
+    path = scratch_path(df.sparkSession, uuid.uuid4().hex)
+    df.observe(obs, *aggs).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path), obs.get
