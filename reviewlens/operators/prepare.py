@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.functions.scalar import (days_since, fill_text, helpfulness_ratio,
                                          nan_to_null, review_length)
-from reviewlens.operators.ranking import rank_select, rank_threshold_filter
+from reviewlens.operators.ranking import (MAX_REGION_GROUPS, SMALL_GROUP_ROWS, rank_select,
+                                         rank_threshold_filter)
 
 NUMERIC_FEATURES = ["score", "helpfulness_ratio", "ratings_count", "review_length",
                     "user_review_count", "days_since_first"]
@@ -182,6 +183,9 @@ def stratified_cap(df: DataFrame, strata_col: str, max_records: int,
     if use_full_dataset or n <= max_records:
         return df.drop(*drop)
     quota = {r[strata_col]: (max_records * r["count"]) // n for r in counts}
+    sizes = {r[strata_col]: r["count"] for r in counts}
+    if len(quota) > MAX_REGION_GROUPS:
+        return _stratified_cap_many(df, strata_col, quota, sizes, order_cols, max_collect).drop(*drop)
     targets = [((g,), q - 1) for g, q in quota.items() if q > 0]
     cut = rank_select(df, order_cols, targets, [strata_col], max_collect=max_collect)
     cond = F.lit(False)
@@ -193,6 +197,33 @@ def stratified_cap(df: DataFrame, strata_col: str, max_records: int,
     return df.where(cond).drop(*drop)
 
 
+def _stratified_cap_many(df: DataFrame, strata_col: str, quota: dict, sizes: dict, order_cols: list[str],
+                         max_collect: int) -> DataFrame:
+    """Many strata: a per-stratum ``row_number`` for strata of at most
+    SMALL_GROUP_ROWS rows (window partitions bounded), the cut-off by rank
+    selection for the (few) larger strata; quotas travel as a joined table."""
+    spark = df.sparkSession
+    st_type = df.schema[strata_col].dataType.simpleString()
+    big = [g for g, nrows in sizes.items() if nrows > SMALL_GROUP_ROWS and quota[g] > 0]
+    qdf = spark.createDataFrame([(g, int(q)) for g, q in quota.items()], f"{strata_col} {st_type}, _quota long")
+    small = df.join(qdf, strata_col)
+    if big:
+        bdf = spark.createDataFrame([(g,) for g in big], f"{strata_col} {st_type}")
+        small = small.join(bdf, strata_col, "left_anti")
+    w = Window.partitionBy(strata_col).orderBy(*[F.col(c) for c in order_cols])
+    out = small.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_quota")) \
+        .drop("_rn", "_quota")
+    if big:
+        cut = rank_select(df, order_cols, [((g,), quota[g] - 1) for g in big], [strata_col], max_collect=max_collect)
+        thr_rows = [(g, *cut[((g,), quota[g] - 1)]) for g in big]
+        tdf = spark.createDataFrame(thr_rows, [strata_col, *[f"_t{j}" for j in range(len(order_cols))]])
+        bigrows = df.join(tdf, strata_col)
+        keep = F.struct(*[F.col(c) for c in order_cols]) <= F.struct(*[F.col(f"_t{j}").alias(c)
+                                                                       for j, c in enumerate(order_cols)])
+        out = out.unionByName(bigrows.where(keep).drop(*[f"_t{j}" for j in range(len(order_cols))]))
+    return out
+
+
 def train_test_split(df: DataFrame, test_size: float = 0.2, order_cols: list[str] | None = None,
                      id_col: str = "row_id", seed: int = 42, stratify: str | None = None,
                      max_collect: int = 20_000) -> DataFrame:

@@ -46,6 +46,14 @@ class _Target:
     done: bool = False
 
 
+# at most this many groups are narrowed together (CASE width per pass)
+MAX_REGION_GROUPS = 256
+# groups up to this size are handled by Spark's built-in exact aggregates /
+# windows (their buffer per group is bounded by it); only larger groups are
+# narrowed, and there are at most n / SMALL_GROUP_ROWS of those
+SMALL_GROUP_ROWS = 2_000_000
+
+
 def _collect(df: DataFrame, tag: str) -> list:
     if os.environ.get("REVIEWLENS_DEBUG"):
         t = time.time()
@@ -99,6 +107,17 @@ def rank_select(df: DataFrame, order_cols: list[str], targets: list[tuple[tuple,
     first pass.
     """
     group_cols = list(group_cols or [])
+    groups = list(dict.fromkeys(tuple(g) for g, _ in targets))
+    if len(groups) > MAX_REGION_GROUPS:
+        # bounded CASE width: process the groups in chunks (each chunk = its own passes)
+        out: dict = {}
+        for i in range(0, len(groups), MAX_REGION_GROUPS):
+            chunk = set(groups[i:i + MAX_REGION_GROUPS])
+            out.update(rank_select(df, order_cols, [t for t in targets if tuple(t[0]) in chunk], group_cols,
+                                   max_collect, buckets,
+                                   None if initial_stats is None else
+                                   {g: v for g, v in initial_stats.items() if g in chunk}))
+        return out
     base = df.select(*[F.col(c) for c in group_cols], *[F.col(c) for c in order_cols])
     for c in order_cols:
         base = base.where(F.col(c).isNotNull())
@@ -216,7 +235,9 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: list[float],
     """Exact linearly interpolated quantiles (numpy 'linear' / DuckDB quantile_cont).
 
     Returns ``{group_tuple: [q(p) for p in probs]}``; NULL and NaN values are
-    ignored; groups with no values are absent.
+    ignored; groups with no values are absent. With many groups, groups of at
+    most SMALL_GROUP_ROWS rows use Spark's exact ``percentile`` (bounded
+    buffers) and only the larger ones are narrowed (chunked).
     """
     group_cols = list(group_cols or [])
     vcol = value if isinstance(value, Column) else F.col(value)
@@ -230,10 +251,26 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: list[float],
         counts = _collect(base.groupBy(*group_cols).agg(*aggs), "counts") if group_cols \
             else _collect(base.agg(*aggs), "counts")
     init = {tuple(r[c] for c in group_cols): (r["count"], r["lo"], r["hi"]) for r in counts}
+    if not (group_cols and len(init) > MAX_REGION_GROUPS):
+        return _narrow_quantiles(base, probs, group_cols, init, max_collect, buckets)
+    big = {g: v for g, v in init.items() if v[0] > SMALL_GROUP_ROWS}
+    out = {}
+    small_df = base
+    if big:
+        bigdf = base.sparkSession.createDataFrame(list(big), base.select(*group_cols).schema)
+        small_df = base.join(bigdf, group_cols, "left_anti")
+        out.update(_narrow_quantiles(base.join(bigdf, group_cols, "left_semi"), probs, group_cols, big,
+                                     max_collect, buckets))
+    res = small_df.groupBy(*group_cols).agg(F.percentile(F.col("_qv"), [float(p) for p in probs]).alias("q"))
+    for r in res.collect():
+        out[tuple(r[c] for c in group_cols)] = list(r["q"])
+    return out
+
+
+def _narrow_quantiles(base: DataFrame, probs, group_cols, init: dict, max_collect: int,
+                      buckets: int) -> dict[tuple, list[float | None]]:
     targets, plan = [], {}
-    for r in counts:
-        g = tuple(r[c] for c in group_cols)
-        n = r["count"]
+    for g, (n, _, _) in init.items():
         if n == 0:
             continue
         plan[g] = []

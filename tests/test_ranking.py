@@ -29,3 +29,37 @@ def test_rank_select_lexicographic_ties(spark):
         for r in (0, 5, 30, 66, 67):
             exp = srt[r] if r < len(srt) else None
             assert got[((g,), r)] == exp
+
+
+def test_many_groups_hybrid_paths(spark, monkeypatch):
+    import reviewlens.operators.prepare as PR
+    import reviewlens.operators.ranking as RK
+    monkeypatch.setattr(RK, "MAX_REGION_GROUPS", 4)
+    monkeypatch.setattr(RK, "SMALL_GROUP_ROWS", 30)
+    monkeypatch.setattr(PR, "MAX_REGION_GROUPS", 4)
+    monkeypatch.setattr(PR, "SMALL_GROUP_ROWS", 30)
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(12):
+        n = 200 if g < 6 else 20            # six "large" groups, six small ones
+        rows += [(i + 1000 * g, g, float(v)) for i, v in enumerate(rng.normal(size=n))]
+    df = spark.createDataFrame(rows, "row_id long, g int, v double")
+    got = RK.exact_quantiles(df, "v", [0.1, 0.5, 0.9], ["g"], max_collect=25, buckets=8)
+    for g in range(12):
+        vals = np.array([v for _, gg, v in rows if gg == g])
+        assert np.allclose(got[(g,)], np.percentile(vals, [10, 50, 90]), atol=1e-12)
+    capped = PR.stratified_cap(df, "g", 600)
+    n = len(rows)
+    counts = {r["g"]: r["count"] for r in capped.groupBy("g").count().collect()}
+    for g in range(12):
+        ng = 200 if g < 6 else 20
+        assert counts.get(g, 0) == (600 * ng) // n
+    # kept rows = the lowest-hash rows of each stratum (reference: a plain window)
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    ranked, order = PR.default_rank_cols(df)
+    w = Window.partitionBy("g").orderBy(*order)
+    quota = F.floor(F.lit(600) * F.count("*").over(Window.partitionBy("g")) / F.lit(n))
+    exp = {r[0] for r in ranked.withColumn("rn", F.row_number().over(w)).withColumn("quota", quota)
+           .where(F.col("rn") <= F.col("quota")).select("row_id").collect()}
+    assert {r[0] for r in capped.select("row_id").collect()} == exp
