@@ -90,6 +90,7 @@ def materialize(df, how: str = "table"):
         import uuid
         path = scratch_path(df.sparkSession, uuid.uuid4().hex)
         df.write.mode("overwrite").parquet(path)
+        _remember(df.sparkSession, path)
         return df.sparkSession.read.parquet(path)
     if how == "checkpoint":
         ensure_checkpoint_dir(df.sparkSession)
@@ -165,4 +166,31 @@ def materialize_observed(df, aggs: list):
     obs = Observation(f"rl_{uuid.uuid4().hex[:12]}")
     path = scratch_path(df.sparkSession, uuid.uuid4().hex)
     df.observe(obs, *aggs).write.mode("overwrite").parquet(path)
+    _remember(df.sparkSession, path)
     return df.sparkSession.read.parquet(path), obs.get
+
+
+_SCRATCH: dict = {}
+
+
+def _remember(spark: SparkSession, path: str) -> None:
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+
+
+def drop_scratch_tables(spark: SparkSession) -> int:
+    """Delete the tables this application materialised (Hadoop FS API).
+
+    Call only when no DataFrame that reads them is used any more; nothing in
+    the library calls it implicitly. Returns the number of tables removed.
+    """
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(conf)
+        if fs.exists(hp):
+            fs.delete(hp, True)
+            removed += 1
+    return removed
