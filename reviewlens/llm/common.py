@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.session import ensure_checkpoint_dir, materialize, ship_package
+from reviewlens.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 #: a list of ids of at most this many rows (16 MB) may be broadcast
 BROADCAST_IDS = 2_000_000
@@ -18,6 +20,24 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: later passes scan
+    columns of a file, and a lost executor costs only its own tasks."""
+    path = scratch_path(df.sparkSession, uuid.uuid4().hex)
+    df.write.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.scratch = path
+    return out
+
+
+def free(*frames: DataFrame) -> None:
+    """Delete materialized tables that no frame in use reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,5 +72,5 @@ def large_string(batch: pa.RecordBatch, name: str) -> list:
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-__all__ = ["BROADCAST_IDS", "keyed_text", "large_string", "materialize", "prepare", "read_table",
+__all__ = ["BROADCAST_IDS", "free", "keyed_text", "large_string", "materialize", "prepare", "read_table",
            "shuffle_partitions", "small", "without"]

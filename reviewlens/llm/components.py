@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -30,6 +30,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         new = materialize(step.join(jump, "root", "left")
                           .select("node", "old", F.least("root", F.coalesce("r2", "root")).alias("root")))
         changed = new.filter("root <> old").limit(1).count()
-        labels = new.select("node", "root")
+        free(labels)
         if not changed:
-            return labels
+            free(both)
+            return new
+        labels = new

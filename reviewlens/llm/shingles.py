@@ -83,12 +83,13 @@ def row_chunks(offsets: np.ndarray, size: int = CHUNK_BYTES):
         at = end
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words of each row)."""
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, number of words of each row, first byte, byte after each word)."""
     n = len(raw)
     rows = len(offsets) - 1
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(rows, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(rows, np.int64), none, none
     word = ~_space[raw]
     start = word.copy()
     start[1:] &= ~word[:-1]
@@ -107,16 +108,15 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     np.cumsum(key, out=sums[1:])
     h = (sums[end] - sums[begin]) * _pow(_P_INV, n)[begin]
     counts = np.searchsorted(begin, offsets[1:]) - np.searchsorted(begin, offsets[:-1])
-    return mix64(h + (end - begin).astype(np.uint64)), counts
+    return mix64(h + (end - begin).astype(np.uint64)), counts, begin, end
 
 
-def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every k-word shingle in row order, shingles of each row).
+def shingle_hashes(w: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes and words per row -> (hash of every k-word shingle, shingles per row).
 
     A row of 1 to k - 1 words has one shingle, the whole sequence; a row
     without words has none. Repeats inside a row are kept.
     """
-    w, counts = word_hashes(raw, offsets)
     n_sh = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
     if not len(w):
         return np.zeros(0, np.uint64), n_sh
@@ -127,7 +127,6 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nda
     for j in range(k):
         out[:m - j] += w[j:] * np.uint64(q) if j < m else 0
         q = q * _Q & _MASK
-    keep = np.ones(m, dtype=bool)
     # the last k - 1 words of a row start no full shingle
     pos = np.arange(m) - np.repeat(first, counts)
     keep = pos < np.repeat(n_sh, counts)
@@ -146,7 +145,8 @@ def batch_shingles(col: pa.Array, k: int):
     raw, offsets = text_buffers(col)
     for a, b in row_chunks(offsets):
         part = raw[offsets[a]:offsets[b]]
-        h, n_sh = shingle_hashes(part, offsets[a:b + 1] - offsets[a], k)
+        w, counts, _, _ = word_hashes(part, offsets[a:b + 1] - offsets[a])
+        h, n_sh = shingle_hashes(w, counts, k)
         ends = np.cumsum(n_sh)
         for r in range(a, b):
             e = ends[r - a]
