@@ -2,22 +2,48 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join
+from . import bpe, exact_dedup, fingerprints, jaccard_join, language_id, packing, quality_rules, toxicity
 from .common import read_table
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = exact_dedup.dedup_groups(read_table(spark, sf_dir, "documents"))
-    return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.dedup_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoding_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_scores(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_ngram_jaccard_join, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_best_fit_packing, op5_ngram_jaccard_join,
+                                   op6_document_fingerprints, op7_toxicity, op8_exact_dedup, op9_bpe_encoding,
+                                   op10_language_id)}
