@@ -1,6 +1,19 @@
 """DuckDB SQL for the text operators that SQL can express."""
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+import math
+
+from .license_scan import LOWER, PHRASES, TEMPLATES, THRESHOLD, UPPER
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _sql_list(items) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + "]"
+
+
+_PHRASE_ROWS = ", ".join(f"({_sql_list(p.split())}, '{label}')" for p, label in PHRASES)
+_TEMPLATE_ROWS = ", ".join(f"({_sql_list(sorted(set(t.split())))}, '{label}', {math.ceil(THRESHOLD * len(set(t.split())))})"
+                           for t, label in TEMPLATES)
 
 _SHINGLES = rf"""
 words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w
@@ -11,6 +24,22 @@ sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array
 shingles AS (SELECT doc_id, unnest(s) AS g FROM sets)"""
 
 ORACLES = {
+    "op3_license_scan": f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '{_WORD}') AS w FROM d),
+phrases(p, label) AS (VALUES {_PHRASE_ROWS}),
+templates(s, label, least) AS (VALUES {_TEMPLATE_ROWS}),
+starts AS (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM w WHERE list_has_any(w, ['license', 'by'])),
+places AS (SELECT doc_id, i, label FROM starts, phrases WHERE w[i + 1:i + len(p)] = p),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM places GROUP BY 1),
+lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{_WORD}') AS b FROM d),
+held AS (SELECT doc_id, label, len(list_intersect(s, b)) / len(s) AS c FROM lines, templates WHERE len(list_intersect(s, b)) >= least),
+own AS (SELECT doc_id, list(DISTINCT label) AS own, max(c) AS c FROM held GROUP BY 1)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(own, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0.0)::DOUBLE END AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)""",
     "op5_ngram_jaccard_join": f"""
 WITH RECURSIVE {_SHINGLES},
 shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id
