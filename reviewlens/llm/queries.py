@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, language_id, license_scan, packing, quality_rules, toxicity
+from . import bpe, exact_dedup, fingerprints, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, toxicity
 from .common import read_table
 from .oracles import ORACLES
 
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_scores(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_license_scan, op4_best_fit_packing, op5_ngram_jaccard_join,
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_license_scan, op4_best_fit_packing, op5_ngram_jaccard_join,
                                    op6_document_fingerprints, op7_toxicity, op8_exact_dedup, op9_bpe_encoding,
                                    op10_language_id)}
