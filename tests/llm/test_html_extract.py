@@ -1,0 +1,71 @@
+import numpy as np
+import pytest
+
+from reviewlens.llm import html_extract as H
+
+PAGE = ('<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>'
+        '<nav><ul><li><a href="/a">Home</a></li></ul></nav><!-- ad <p>x</p> --><div class="ad">Buy this now today.</div>'
+        '<article><h1>Head &amp; line</h1><p><b>First  para,\n with words.<br><p>Second&nbsp;para &lt;b&gt; here, long enough.</p>{extra}'
+        '<p>Third paragraph of text, the last one.</p></article><footer>&copy; x.example.com</footer></body></html>')
+WANT = "Head & line\n\nFirst para, with words.\n\nSecond para <b> here, long enough.\n\nThird paragraph of text, the last one."
+SCHEMA = "page_id long, url string, html string"
+
+
+def pages(n=40):
+    rng = np.random.default_rng(0)
+    text = lambda k: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(k)) + "."
+    return [PAGE.replace("{extra}", "").replace("Third paragraph of text, the last one.", text(int(rng.integers(5, 80))))
+            .replace("Buy this now today.", text(6)) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def model():
+    return H.fit_extractor(pages())
+
+
+def test_article_without_its_frame(model):
+    assert H.main_text(PAGE.replace("{extra}", ""), model) == WANT
+
+
+@pytest.mark.parametrize("extra", ["<form><p>Your mail</p><input name=q></form>", "<aside><p>Related things to read.</p></aside>",
+                                   "<script>p</script>", "<select><option>One</select>"])
+def test_parts_inside_the_article(model, extra):
+    assert H.main_text(PAGE.replace("{extra}", extra), model) == WANT
+
+
+def test_other_layouts(model):
+    rng = np.random.default_rng(9)
+    blocks = ["A title of the story"] + [f"Paragraph {i} of the story, with enough words in it to be read, and a stop." for i in range(6)]
+    chrome = ["Subscribe to the letter", "We use cookies on this site", "Terms and contact", "Sponsored by a shop"]
+    same = sum(H.main_text(H.lay_out(blocks, chrome, rng), model) == "\n\n".join(blocks) for _ in range(60))
+    assert same >= 50
+
+
+def test_decoding_has_no_contradictions(model):
+    for page in pages(5) + [H.lay_out(["t", "some text here."], ["more"], np.random.default_rng(i)) for i in range(30)]:
+        nodes = H.parse(page)
+        x, own = H.features(nodes)
+        odds = np.random.default_rng(len(page)).normal(size=len(nodes)) * 3
+        keep = H.decode(nodes, odds, own)
+        for i, n in enumerate(nodes):
+            if n.silent or n.tag in H.NEVER:
+                assert not keep[i]
+        assert len(keep) == len(x)
+
+
+def test_broken_markup_does_not_crash(model):
+    for page in ["", "<", "<p", "</p></p>", "a < b & c", "<p class='x>y</p>", "<script>", "<!-- open", "<table><tr><td>a<tr><td>b</table>",
+                 "<div>" * 3000 + "deep" + "</div>" * 3000, "<a href=\"x" * 200, "\x00<p>\x00</p>", "<p>" + "word " * 200_000]:
+        H.main_text(page, model)
+
+
+def test_frame(spark):
+    rows = [(i, f"u{i}", p) for i, p in enumerate(pages(30))]
+    rows += [(0, "u0", rows[0][2]), (None, None, None), (99, "", "")]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS text", "2 AS n_chars", "3 AS tag")
+    got = {(r["page_id"], r["url"]): r for r in H.extract_pages(df).collect()}
+    assert got[0, "u0"]["text"].startswith("Head & line\n\nFirst para, with words.\n\n") and "Buy" not in got[0, "u0"]["text"]
+    assert got[None, None]["text"] == "" and got[99, ""]["n_chars"] == 0
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+    assert H.extract_pages(df).count() == 33
+    assert H.extract_pages(spark.createDataFrame([], SCHEMA)).count() == 0
