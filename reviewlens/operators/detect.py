@@ -73,11 +73,19 @@ class AnomalyDetector:
         if self.model_type == "lof":
             s = self.model.training_scores().select(F.col("id").alias(self.id_col),
                                                     F.col("lof").alias("anomaly_score"), "is_anomaly")
-            return df.join(s, self.id_col, "left")
+            known = df.join(s, self.id_col)
+            new = df.join(s.select(self.id_col), self.id_col, "left_anti")
+            if new.isEmpty():
+                return known
+            # rows outside the training table are scored against it
+            scored = self.model.transform(new, mode="novelty")
+            return known.unionByName(scored.select(*known.columns))
         if self.model_type == "dbscan":
             lab = self._dbscan.labels.select(F.col("id").alias(self.id_col), "is_anomaly",
                                              F.col("is_anomaly").cast("double").alias("anomaly_score"))
-            return df.join(lab, self.id_col, "left")
+            if not df.join(lab, self.id_col, "left_anti").isEmpty():
+                raise ValueError("dbscan labels only the rows it was fitted on")
+            return df.join(lab, self.id_col)
         return self.model.transform(df)
 
     def score_new(self, df: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewlens.session import materialize
+
 
 def _b(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("boolean")
@@ -67,47 +69,40 @@ def binary_metrics(df: DataFrame, label_col: str = "label", pred_col: str = "is_
 
 
 def roc_curve(df: DataFrame, label_col: str = "label", score_col: str = "anomaly_score",
-              by: list[str] | None = None, max_points_single_task: int = 2_000_000) -> DataFrame:
-    """(fpr, tpr) at every distinct score (descending) plus trapezoid AUC.
+              by: list[str] | None = None) -> DataFrame:
+    """(fpr, tpr) at every distinct score (descending), with the increments
+    ``d_fpr`` and ``d_tpr`` of the point.
 
     Rows are first reduced to one row per (group, distinct score) with
-    positive/negative counts (map-side combine). The running sums then run
-    over that reduced table; its size is checked, and beyond
-    ``max_points_single_task`` distinct points per run the prefix sums are
-    computed range-partitioned (:func:`prefix_sums`).
+    positive/negative counts (map-side combine). The running sums over that
+    table are range-partitioned (:func:`prefix_sums`), whatever its size.
     """
     by = list(by or [])
     y = _b(label_col)
-    pts = df.groupBy(*by, F.col(score_col).alias("threshold")).agg(
-        F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+    pts = materialize(df.groupBy(*by, F.col(score_col).alias("threshold")).agg(
+        F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
     tot = pts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    n_pts = pts.count()
-    if n_pts <= max_points_single_task:
-        w = Window.partitionBy(*by).orderBy(F.col("threshold").desc()) \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cum = pts.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))
-    else:
-        cum = prefix_sums(pts, by, "threshold", ["pos", "neg"], descending=True) \
-            .withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp")
+    cum = prefix_sums(pts, by, "threshold", ["pos", "neg"], descending=True) \
+        .withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp")
     if by:
-        cur = cum.join(tot, by)
+        named = tot.toDF(*[f"_tot_{c}" for c in by], "P", "N")
+        cur = cum.join(named, [F.col(c).eqNullSafe(F.col(f"_tot_{c}")) for c in by])
     else:   # one row: use literals rather than a join
         t = tot.first()
-        cur = cum.withColumn("P", F.lit(t["P"] if t else 0)).withColumn("N", F.lit(t["N"] if t else 0))
-    cur = cur.select(*by, "threshold",
-                     F.try_divide(F.col("fp").cast("double"), F.col("N").cast("double")).alias("fpr"),
-                     F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double")).alias("tpr"))
-    return cur
+        cur = cum.withColumn("P", F.lit((t["P"] if t else 0) or 0)).withColumn("N", F.lit((t["N"] if t else 0) or 0))
+    share = lambda c, total: F.try_divide(F.col(c).cast("double"), F.col(total).cast("double"))
+    return cur.select(*by, "threshold", share("fp", "N").alias("fpr"), share("tp", "P").alias("tpr"),
+                      share("neg", "N").alias("d_fpr"), share("pos", "P").alias("d_tpr"))
 
 
 def roc_auc(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Trapezoid AUC of a curve from :func:`roc_curve` (starts at (0, 0))."""
-    by = list(by or [])
-    w = Window.partitionBy(*by).orderBy(F.col("threshold").desc())
-    seg = curve.withColumn("pfpr", F.coalesce(F.lag("fpr").over(w), F.lit(0.0))) \
-               .withColumn("ptpr", F.coalesce(F.lag("tpr").over(w), F.lit(0.0)))
-    return seg.groupBy(*by).agg(
-        F.sum((F.col("fpr") - F.col("pfpr")) * (F.col("tpr") + F.col("ptpr")) / 2).alias("auc"))
+    """Trapezoid AUC of a curve from :func:`roc_curve` (starts at (0, 0)).
+
+    Every point knows its increments, so the area is a plain sum and needs no
+    neighbouring row.
+    """
+    area = F.col("d_fpr") * (2 * F.col("tpr") - F.col("d_tpr")) / 2
+    return curve.groupBy(*(by or [])).agg(F.sum(area).alias("auc"))
 
 
 def prefix_sums(df: DataFrame, by: list[str], order_col: str, sum_cols: list[str],
@@ -129,16 +124,11 @@ def prefix_sums(df: DataFrame, by: list[str], order_col: str, sum_cols: list[str
         .sortWithinPartitions(*[F.col(c) for c in by], order) \
         .withColumn("_pid", F.spark_partition_id())
     part = part.checkpoint(eager=True)
-    totals = part.groupBy("_pid", *by).agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
-    offsets = {}
-    running: dict = {}
-    for r in sorted(totals, key=lambda r: r["_pid"]):
-        g = tuple(r[c] for c in by)
-        prev = running.get(g, [0] * len(sum_cols))
-        offsets[(r["_pid"], g)] = list(prev)
-        running[g] = [a + (r[c] or 0) for a, c in zip(prev, sum_cols)]
-    off_rows = [(pid, *g, *vals) for (pid, g), vals in offsets.items()]
-    off = spark.createDataFrame(off_rows, ["_pid", *by, *[f"{c}_off" for c in sum_cols]])
+    # one row per (partition, group): the sum over all earlier partitions of the group
+    earlier = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    totals = part.groupBy("_pid", *by).agg(*[F.sum(c).alias(c) for c in sum_cols])
+    off = totals.select(F.col("_pid").alias("_off_pid"), *[F.col(c).alias(f"_off_{c}") for c in by],
+                        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_off") for c in sum_cols])
 
     from pyspark.sql.types import LongType, StructField, StructType
     # a new StructType: ``part.schema`` is cached on the frame and must not be mutated
@@ -165,15 +155,10 @@ def prefix_sums(df: DataFrame, by: list[str], order_col: str, sum_cols: list[str
             yield pdf
 
     loc = part.mapInPandas(local, schema)
-    # off has one row per (partition, group): bounded by partitions x groups
-    res = loc.join(F.broadcast(off), ["_pid", *by])
+    same = F.col("_pid") == F.col("_off_pid")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_off_{c}"))
+    res = loc.join(off, same)
     for c in sum_cols:
         res = res.withColumn(f"{c}_cum", F.col(f"{c}_local") + F.col(f"{c}_off"))
-    return res.drop("_pid", *[f"{c}_local" for c in sum_cols], *[f"{c}_off" for c in sum_cols])
-
-
-def fold_stats(scores: DataFrame, by: list[str], score_col: str = "score") -> DataFrame:
-    """Mean and population std over folds."""
-    return scores.groupBy(*by).agg(F.avg(score_col).alias("mean_score"),
-                                   F.stddev_pop(score_col).alias("std_score"),
-                                   F.count(score_col).alias("n_folds"))
+    return res.drop("_pid", "_off_pid", *[f"_off_{c}" for c in by], *[f"{c}_local" for c in sum_cols], *[f"{c}_off" for c in sum_cols])

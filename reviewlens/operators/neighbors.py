@@ -24,7 +24,23 @@ from pyspark.sql import functions as F
 def _stack(series: pd.Series) -> np.ndarray:
     if len(series) == 0:
         return np.zeros((0, 0))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
+    flat = np.concatenate(series.to_numpy())
+    return flat.reshape(len(series), -1).astype(np.float64)
+
+
+#: relative rounding error allowed for the expanded square, in units of the squared norms
+ROUNDING = 1e-12
+#: query rows compared at once where many candidates may tie
+TIE_ROWS = 64
+
+
+def _centred(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Both blocks moved by their common mean, and a bound on the error of
+    their expanded squared distances: far from the origin the expansion
+    would lose the digits that tell near points apart."""
+    mean = (a.sum(axis=0) + b.sum(axis=0)) / (len(a) + len(b))
+    a, b = a - mean, b - mean
+    return a, b, ROUNDING * (np.einsum("ij,ij->i", a, a).max() + np.einsum("ij,ij->i", b, b).max())
 
 
 MIN_BLOCK_ROWS = 256
@@ -78,27 +94,28 @@ def knn_join(query: DataFrame, corpus: DataFrame, k: int, id_col: str = "row_id"
     q, _ = _blocked(q0, q0, nb, "qid")
     _, c = _blocked(c.withColumnRenamed("cid", "qid"), c.withColumnRenamed("cid", "qid"), nb, "qid")
     c = c.withColumnRenamed("qid", "cid")
-    margin = 4
 
     def local_topk(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
         if len(qp) == 0 or len(cp) == 0:
             return pd.DataFrame({"id": [], "neighbor_id": [], "dist": []})
         A, B = _stack(qp["qv"]), _stack(cp["cv"])
         qids, cids = qp["qid"].to_numpy(), cp["cid"].to_numpy()
-        d2 = pairwise_sq_dists(A, B)
-        if exclude_self:
-            d2[qids[:, None] == cids[None, :]] = np.inf
-        kk = min(k + margin, B.shape[0])
-        cand = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < B.shape[0] else \
-            np.tile(np.arange(B.shape[0]), (A.shape[0], 1))
-        rows = np.repeat(np.arange(A.shape[0]), cand.shape[1])
-        cols = cand.ravel()
-        ok = np.isfinite(d2[rows, cols])
-        rows, cols = rows[ok], cols[ok]
-        dist = exact_dists(A[rows], B[cols])
-        out = pd.DataFrame({"id": qids[rows], "neighbor_id": cids[cols], "dist": dist})
-        out = out.sort_values(["id", "dist", "neighbor_id"], kind="mergesort")
-        return out.groupby("id", sort=False).head(k)
+        ca, cb, error = _centred(A, B)
+        parts = []
+        for at in range(0, len(A), TIE_ROWS):
+            q = slice(at, at + TIE_ROWS)
+            d2 = pairwise_sq_dists(ca[q], cb)
+            if exclude_self:
+                d2[qids[q][:, None] == cids[None, :]] = np.inf
+            kk = min(k, d2.shape[1])
+            # every corpus row that may be among the k nearest: all ties of the k-th distance
+            kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+            rows, cols = np.nonzero((d2 <= kth[:, None] + 2 * error) & np.isfinite(d2))
+            dist = exact_dists(A[q][rows], B[cols])
+            out = pd.DataFrame({"id": qids[q][rows], "neighbor_id": cids[cols], "dist": dist})
+            out = out.sort_values(["id", "dist", "neighbor_id"], kind="mergesort")
+            parts.append(out.groupby("id", sort=False).head(k))
+        return pd.concat(parts, ignore_index=True)
 
     schema = f"id {query.schema[id_col].dataType.simpleString()}, neighbor_id {corpus.schema[id_col].dataType.simpleString()}, dist double"
     part = q.groupBy("_pair").cogroup(c.groupBy("_pair")).applyInPandas(local_topk, schema)
@@ -129,7 +146,6 @@ def radius_counts(query: DataFrame, corpus: DataFrame, eps: float, id_col: str =
     _, c = _blocked(c0, c0, nb, "qid")
     c = c.withColumnRenamed("qid", "cid")
     eps2 = float(eps) ** 2
-    slack = 1e-9 * max(1.0, eps2)
 
     def local(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
         if len(qp) == 0:
@@ -139,13 +155,15 @@ def radius_counts(query: DataFrame, corpus: DataFrame, eps: float, id_col: str =
             return pd.DataFrame({"id": qids, "n_within": 0, "n_flagged_within": 0,
                                  "min_label_within": pd.Series([None] * len(qids), dtype="Int64")})
         A, B = _stack(qp["qv"]), _stack(cp["cv"])
-        d2 = pairwise_sq_dists(A, B)
-        near = d2 <= eps2 + slack
-        # confirm borderline pairs with exact differences
-        border = near & (np.abs(d2 - eps2) <= slack * 4)
-        if border.any():
-            r, cc = np.nonzero(border)
-            near[r, cc] = exact_dists(A[r], B[cc]) <= eps
+        ca, cb, error = _centred(A, B)
+        d2 = pairwise_sq_dists(ca, cb)
+        near = d2 <= eps2
+        # pairs within the error of the expansion are decided by exact differences
+        slack = 2 * error + 1e-12 * eps2
+        for at in range(0, len(A), TIE_ROWS):
+            r, cc = np.nonzero(np.abs(d2[at:at + TIE_ROWS] - eps2) <= slack)
+            if len(r):
+                near[at + r, cc] = exact_dists(A[at + r], B[cc]) <= eps
         out = {"id": qids, "n_within": near.sum(axis=1).astype("int64")}
         if "cf" in cp:
             f = cp["cf"].to_numpy(dtype=bool)

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlens.functions.scalar import (days_since, fill_text, helpfulness_ratio,
+from reviewlens.functions.scalar import (epoch_to_timestamp, days_since, fill_text, helpfulness_ratio,
                                          nan_to_null, review_length)
 from reviewlens.operators.ranking import (MAX_REGION_GROUPS, SMALL_GROUP_ROWS, rank_select,
                                          rank_threshold_filter)
@@ -118,9 +118,18 @@ def first_time(df: DataFrame, time_col: str = "review_time") -> int | None:
 
 def load_reviews(reviews: DataFrame, books: DataFrame, key: str = "title",
                  null_keys_match: bool = True, impute_score: bool = True) -> tuple[DataFrame, dict]:
-    """Reference ``load_data`` minus the cap: P1, P2-like typing, J1, P3, A1, F1."""
+    """Reference ``load_data`` minus the cap: P1, P2, J1, P3, A1, F1.
+
+    ``review_epoch`` becomes ``review_time`` when there is none. With a
+    ``review_id`` and a ``book_id`` (see ``sources.tables.with_ids``) the rows
+    of the m:n join get ``row_id`` from the pair.
+    """
     r = reviews.withColumn("helpfulness_ratio", helpfulness_ratio("helpfulness"))
+    if "review_epoch" in r.columns and "review_time" not in r.columns:
+        r = r.withColumn("review_time", epoch_to_timestamp("review_epoch"))
     m = review_book_join(r, books, key, null_keys_match)
+    if "review_id" in m.columns and "book_id" in m.columns and "row_id" not in m.columns:
+        m = m.withColumn("row_id", F.concat_ws(":", "review_id", "book_id"))
     for c in ("review_text", "summary", "categories"):
         if c in m.columns:
             m = m.withColumn(c, fill_text(c))
@@ -171,8 +180,8 @@ def stratified_cap(df: DataFrame, strata_col: str, max_records: int,
     Rows are taken in ascending ``order_cols`` (default: two hashes of
     ``id_col`` with ``seed``), i.e. a seeded uniform sample without
     replacement. Instead of a per-stratum ``row_number`` (one task per
-    stratum), the cut-off row of each stratum is found by
-    :func:`rank_select` and the cap becomes a plain filter.
+    stratum), the cut-off row of a large stratum is found by
+    :func:`rank_select` and its cap becomes a plain filter.
     """
     drop = []
     if order_cols is None:
@@ -184,40 +193,31 @@ def stratified_cap(df: DataFrame, strata_col: str, max_records: int,
         return df.drop(*drop)
     quota = {r[strata_col]: (max_records * r["count"]) // n for r in counts}
     sizes = {r[strata_col]: r["count"] for r in counts}
-    if len(quota) > MAX_REGION_GROUPS:
-        return _stratified_cap_many(df, strata_col, quota, sizes, order_cols, max_collect).drop(*drop)
-    targets = [((g,), q - 1) for g, q in quota.items() if q > 0]
-    cut = rank_select(df, order_cols, targets, [strata_col], max_collect=max_collect)
-    cond = F.lit(False)
-    for g, q in quota.items():
-        if q <= 0:
-            continue
-        thr = cut[((g,), q - 1)]
-        cond = cond | (F.col(strata_col).eqNullSafe(F.lit(g)) & rank_threshold_filter(order_cols, thr))
-    return df.where(cond).drop(*drop)
+    return _capped(df, strata_col, quota, sizes, order_cols, max_collect).drop(*drop)
 
 
-def _stratified_cap_many(df: DataFrame, strata_col: str, quota: dict, sizes: dict, order_cols: list[str],
+def _capped(df: DataFrame, strata_col: str, quota: dict, sizes: dict, order_cols: list[str],
                          max_collect: int) -> DataFrame:
-    """Many strata: a per-stratum ``row_number`` for strata of at most
-    SMALL_GROUP_ROWS rows (window partitions bounded), the cut-off by rank
-    selection for the (few) larger strata; quotas travel as a joined table."""
+    """A per-stratum ``row_number`` for strata of at most SMALL_GROUP_ROWS rows
+    (window partitions bounded), the cut-off by rank selection for the (few)
+    larger strata; quotas travel as a joined table. NULL is a stratum."""
     spark = df.sparkSession
     st_type = df.schema[strata_col].dataType.simpleString()
     big = [g for g, nrows in sizes.items() if nrows > SMALL_GROUP_ROWS and quota[g] > 0]
-    qdf = spark.createDataFrame([(g, int(q)) for g, q in quota.items()], f"{strata_col} {st_type}, _quota long")
-    small = df.join(qdf, strata_col)
+    qdf = spark.createDataFrame([(g, int(q)) for g, q in quota.items()], f"_stratum {st_type}, _quota long")
+    small = df.join(qdf, df[strata_col].eqNullSafe(F.col("_stratum"))).drop("_stratum")
     if big:
-        bdf = spark.createDataFrame([(g,) for g in big], f"{strata_col} {st_type}")
-        small = small.join(bdf, strata_col, "left_anti")
+        bdf = spark.createDataFrame([(g,) for g in big], f"_stratum {st_type}")
+        small = small.join(bdf, small[strata_col].eqNullSafe(F.col("_stratum")), "left_anti")
     w = Window.partitionBy(strata_col).orderBy(*[F.col(c) for c in order_cols])
     out = small.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_quota")) \
         .drop("_rn", "_quota")
     if big:
         cut = rank_select(df, order_cols, [((g,), quota[g] - 1) for g in big], [strata_col], max_collect=max_collect)
         thr_rows = [(g, *cut[((g,), quota[g] - 1)]) for g in big]
-        tdf = spark.createDataFrame(thr_rows, [strata_col, *[f"_t{j}" for j in range(len(order_cols))]])
-        bigrows = df.join(tdf, strata_col)
+        types = ", ".join(f"_t{j} {df.schema[c].dataType.simpleString()}" for j, c in enumerate(order_cols))
+        tdf = spark.createDataFrame(thr_rows, f"_stratum {st_type}, {types}")
+        bigrows = df.join(tdf, df[strata_col].eqNullSafe(F.col("_stratum"))).drop("_stratum")
         keep = F.struct(*[F.col(c) for c in order_cols]) <= F.struct(*[F.col(f"_t{j}").alias(c)
                                                                        for j, c in enumerate(order_cols)])
         out = out.unionByName(bigrows.where(keep).drop(*[f"_t{j}" for j in range(len(order_cols))]))
@@ -252,9 +252,11 @@ def train_test_split(df: DataFrame, test_size: float = 0.2, order_cols: list[str
     return df.withColumn("is_test", cond).drop(*drop)
 
 
-def kfold(df: DataFrame, k: int = 3, id_col: str = "row_id", seed: int = 42) -> DataFrame:
-    """Fold id = pmod(xxhash64(seed, id), k) — independent of partitioning."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(k)).cast("int"))
+def kfold(df: DataFrame, k: int = 3, id_col: str = "row_id", seed: int = 42, key: Column | None = None) -> DataFrame:
+    """Fold id = pmod(key, k), by default with a hash of (seed, id) as the
+    key — independent of partitioning."""
+    key = F.xxhash64(F.lit(seed), F.col(id_col)) if key is None else key
+    return df.withColumn("fold", F.pmod(key, F.lit(k)).cast("int"))
 
 
 def hash_rank_fraction(id_col: str = "row_id", seed: int = 42) -> Column:

@@ -71,10 +71,18 @@ def _group_cond(group_cols, g) -> Column:
 
 
 def _bucket_expr(col: str, lo, hi, buckets: int) -> Column:
+    """Monotone bucket of a region [lo, hi], lo < hi, that always separates lo
+    from hi, so every pass makes progress."""
     lo_d, hi_d = float(lo), float(hi)
+    if not (math.isfinite(lo_d) and math.isfinite(hi_d)):
+        # the infinities are end buckets of their own
+        return F.when(F.col(col) == F.lit(-math.inf), F.lit(0)).when(F.col(col) == F.lit(math.inf), F.lit(2)).otherwise(F.lit(1))
     w = (hi_d - lo_d) / buckets
     if w <= 0 or not math.isfinite(w):
-        return F.lit(0)
+        # too close or too far apart for equal widths in doubles: halve the region exactly
+        mid = lo + (hi - lo) // 2 if isinstance(lo, int) else lo / 2 + hi / 2
+        mid = mid if lo <= mid < hi else lo
+        return F.when(F.col(col) <= F.lit(mid), F.lit(0)).otherwise(F.lit(1))
     b = F.floor((F.col(col).cast("double") - F.lit(lo_d)) / F.lit(w))
     return F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("int")
 
@@ -131,7 +139,7 @@ def rank_select(df: DataFrame, order_cols: list[str], targets: list[tuple[tuple,
         if s.rank < 0:
             s.done = True
 
-    for _ in range(64):   # each histogram pass shrinks a region ~``buckets``-fold
+    while True:           # each histogram pass shrinks a region ~``buckets``-fold
         pending = [s for s in states if not s.done]
         if not pending:
             break
@@ -217,10 +225,6 @@ def rank_select(df: DataFrame, order_cols: list[str], targets: list[tuple[tuple,
                             break
                         below += n
                     b, n, lo, hi = chosen
-                    if n >= s.count:
-                        # no progress (values indistinguishable as doubles): collect the region
-                        s.count = min(s.count, max_collect)
-                        continue
                     s.cond = s.cond & (bexpr[p] == F.lit(b))
                     s.path = s.path + (("b", level, b),)
                     s.rank -= below
@@ -258,8 +262,13 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: list[float],
     small_df = base
     if big:
         bigdf = base.sparkSession.createDataFrame(list(big), base.select(*group_cols).schema)
-        small_df = base.join(bigdf, group_cols, "left_anti")
-        out.update(_narrow_quantiles(base.join(bigdf, group_cols, "left_semi"), probs, group_cols, big,
+        same = None            # NULL groups are groups like any other
+        named = bigdf.toDF(*[f"_big_{c}" for c in group_cols])
+        for c in group_cols:
+            one = base[c].eqNullSafe(named[f"_big_{c}"])
+            same = one if same is None else same & one
+        small_df = base.join(named, same, "left_anti")
+        out.update(_narrow_quantiles(base.join(named, same, "left_semi"), probs, group_cols, big,
                                      max_collect, buckets))
     res = small_df.groupBy(*group_cols).agg(F.percentile(F.col("_qv"), [float(p) for p in probs]).alias("q"))
     for r in res.collect():

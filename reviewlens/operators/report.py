@@ -39,13 +39,13 @@ def box_stats(df: DataFrame, value_col: str, group_col: str, cap_quantile: float
     q = exact_quantiles(df, value_col, [0.25, 0.5, 0.75], [group_col])
     spark = df.sparkSession
     rows = [(g[0], v[0], v[1], v[2]) for g, v in q.items()]
-    qt = spark.createDataFrame(rows, f"g {df.schema[group_col].dataType.simpleString()}, q1 double, med double, q3 double")
+    qt = spark.createDataFrame(rows, f"_qg {df.schema[group_col].dataType.simpleString()}, q1 double, med double, q3 double")
     cap = None
     if cap_quantile is not None:
         cap = exact_quantiles(df, value_col, [cap_quantile]).get((), [None])[0]
     v = F.col(value_col).cast("double")
     j = df.select(F.col(group_col).alias("g"), v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")) \
-        .join(qt, "g")
+        .join(qt, F.col("g").eqNullSafe(F.col("_qg"))).drop("_qg")
     lo_f = F.col("q1") - F.lit(1.5) * (F.col("q3") - F.col("q1"))
     hi_f = F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = (F.col("v") >= lo_f) & (F.col("v") <= hi_f)
@@ -63,15 +63,15 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
     Built from ``covar_pop`` and ``var_pop`` with ``try_divide`` so a constant
     column yields NULL instead of an ANSI error. One aggregate pass; rows with
-    NULL in either column of a pair are skipped pairwise.
+    NULL or NaN in either column of a pair are skipped pairwise.
     """
     aggs = []
     pairs = []
     for i, j in itertools.combinations(range(len(cols)), 2):
         a, b = cols[j], cols[i]
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        xa = F.when(both, F.col(a).cast("double"))
-        xb = F.when(both, F.col(b).cast("double"))
+        va, vb = (F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in (a, b))
+        both = va.isNotNull() & vb.isNotNull()
+        xa, xb = F.when(both, va), F.when(both, vb)
         k = len(pairs)
         aggs += [F.covar_pop(xa, xb).alias(f"c{k}"), F.var_pop(xa).alias(f"va{k}"), F.var_pop(xb).alias(f"vb{k}")]
         pairs.append((a, b))

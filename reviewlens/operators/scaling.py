@@ -68,6 +68,9 @@ class Scaler:
         exprs = spec.exprs(df)
         stats = stats if stats is not None else feature_stats_row(df, exprs)
         n = stats[0]["n"] if stats else 0
+        bad = [spec.names[j] for j, s in enumerate(stats) if s["var"] is not None and not math.isfinite(s["var"])]
+        if bad:
+            raise ValueError(f"features with NaN or infinite values must be imputed first: {', '.join(bad)}")
         kept = [j for j, s in enumerate(stats) if (s["var"] or 0.0) > 0.0]
         sc = Scaler(spec, id_col=id_col if (id_col and id_col in df.columns) else None,
                     jitter_seed=seed, n=n)

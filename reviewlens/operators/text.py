@@ -100,11 +100,11 @@ def hashing_features(df: DataFrame, id_col: str, text_col: str, n_features: int
     return v.join(norms, "id").select("id", "bucket", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
-def text_features(df: DataFrame, id_col: str, text_col: str, k: int, mode: str = "auto",
-                  hash_above: int = 50_000) -> tuple[DataFrame, str]:
-    """T4: (id, index, weight) from TF-IDF or hashing; ``auto`` switches on row count."""
-    if mode == "auto":
-        mode = "hash" if df.count() > hash_above else "tfidf"
+def text_features(df: DataFrame, id_col: str, text_col: str, k: int,
+                  mode: str = "tfidf") -> tuple[DataFrame, str]:
+    """T4: (id, index, weight) from TF-IDF (``mode="tfidf"``) or hashing (``"hash"``)."""
+    if mode not in ("tfidf", "hash"):
+        raise ValueError(f"mode must be 'tfidf' or 'hash', not {mode!r}")
     if mode == "hash":
         h = hashing_features(df, id_col, text_col, k)
         return h.select("id", F.col("bucket").alias("index"), "weight"), mode
@@ -122,15 +122,13 @@ def densify(long_df: DataFrame, width: int, id_col: str = "id", out: str = "vec"
 
 def prepare_features(df: DataFrame, id_col: str, text_col: str, summary_col: str, numeric_cols: list[str],
                      max_text_features: int = 300, max_summary_features: int = 100,
-                     mode: str = "auto") -> DataFrame:
+                     mode: str = "tfidf") -> DataFrame:
     """T5: [text features || summary features || numeric columns] as one array,
     NULL/NaN numerics imputed with their column mean (A2)."""
     from reviewlens.operators.prepare import mean_impute
 
-    n_docs = df.count()
-    m = "hash" if (mode == "auto" and n_docs > 50_000) else ("tfidf" if mode == "auto" else mode)
-    t, _ = text_features(df, id_col, text_col, max_text_features, m)
-    s, _ = text_features(df, id_col, summary_col, max_summary_features, m)
+    t, _ = text_features(df, id_col, text_col, max_text_features, mode)
+    s, _ = text_features(df, id_col, summary_col, max_summary_features, mode)
     tv = densify(t, max_text_features, out="tv")
     sv = densify(s, max_summary_features, out="sv")
     num, _ = mean_impute(df.select(F.col(id_col).alias("id"), *numeric_cols), numeric_cols)

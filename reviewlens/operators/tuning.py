@@ -117,12 +117,14 @@ def learning_curves(df: DataFrame, model_type: str, params: dict, label_col: str
         try:
             det = AnomalyDetector(model_type, **params).fit(train, cols, vector, id_col)
             tr = _score(det.detect(train), label_col, metric, 1.0)["metric"]
-            te_flags = det.detect(test) if model_type in WHOLE_DATA_MODELS else det.score_new(test)
-            te = _score(te_flags, label_col, metric, 1.0)["metric"]
+            if model_type == "dbscan":       # no way to label rows that were not fitted
+                return [(model_type, float(size), fold, "train", float(tr), None),
+                        (model_type, float(size), fold, "test", None, "dbscan labels only the rows it was fitted on")]
+            te = _score(det.score_new(test), label_col, metric, 1.0)["metric"]
             return [(model_type, float(size), fold, "train", float(tr), None),
                     (model_type, float(size), fold, "test", float(te), None)]
         except Exception as e:   # recorded, not hidden: the row carries the error
-            msg = f"{type(e).__name__}: {e}"[:500]
+            msg = f"{type(e).__name__}: {e}"
             return [(model_type, float(size), fold, "train", None, msg),
                     (model_type, float(size), fold, "test", None, msg)]
 

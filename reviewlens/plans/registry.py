@@ -50,13 +50,21 @@ def d1_hbos_anomaly_by_rating(spark, sf):
 
 
 # ----------------------------------------------------------------- helpers
-from reviewlens.functions.scalar import (days_since, display_name, flag_label,  # noqa: E402
+import uuid  # noqa: E402
+
+from reviewlens.functions.scalar import (days_since, display_name, epoch_to_timestamp, flag_label,  # noqa: E402
                                          helpfulness_parts, helpfulness_ratio, review_length,
                                          unix_time, whole_days_since)
 from reviewlens.operators import evaluate as EV  # noqa: E402
 from reviewlens.operators import prepare as PR  # noqa: E402
 from reviewlens.operators import profile as PF  # noqa: E402
 from reviewlens.operators import report as RP  # noqa: E402
+from reviewlens.operators import tuning as TN  # noqa: E402
+from reviewlens.operators.dbscan import dbscan  # noqa: E402
+from reviewlens.operators.neighbors import knn_join  # noqa: E402
+from reviewlens.operators.ranking import exact_quantiles  # noqa: E402
+from reviewlens.session import scratch_path  # noqa: E402
+from reviewlens.sources.tables import scan_books, scan_reviews, with_ids  # noqa: E402
 from reviewlens.operators.features import FeatureSpec  # noqa: E402
 from reviewlens.plans import bindings  # noqa: E402
 from reviewlens.plans.review_features import reviews_with_books  # noqa: E402
@@ -178,6 +186,7 @@ FROM rn JOIN gc ON rn.score = gc.score CROSS JOIN tot
 WHERE rn.r <= (tot.cap * gc.ng) // tot.n GROUP BY rn.score""")
 def o1_stratified_cap(spark, sf):
     m, order = bindings.with_rank_cols(reviews_with_books(spark, sf))
+    m = materialize(m.select("score", "price", *dict.fromkeys(c for c in order if c != "price")))
     cap = m.count() // 4
     s = PR.stratified_cap(m, "score", cap, order_cols=order)
     return s.groupBy(F.col("score").alias("rating")).agg(
@@ -192,14 +201,168 @@ SELECT r <= CAST(ceil(n * 0.2) AS BIGINT) AS is_test, count(*) AS n_rows, round(
 FROM rn GROUP BY 1""")
 def o2_train_test_split(spark, sf):
     m, order = bindings.with_rank_cols(reviews_with_books(spark, sf))
+    m = materialize(m.select("price", *dict.fromkeys(c for c in order if c != "price")))
     s = PR.train_test_split(m, 0.2, order_cols=order)
     return s.groupBy("is_test").agg(F.count("*").alias("n_rows"), F.round(F.sum("price"), 2).alias("sum_price"))
 
 
-@register("o8_kfold")
+@register("o8_kfold", O.with_(O.JOINED_CTE) + f"""
+SELECT CAST(({bindings.RANK_KEY_SQL}) % 3 AS INTEGER) AS fold, count(*) AS n_rows, round(sum(price), 2) AS sum_price FROM m GROUP BY 1""")
 def o8_kfold(spark, sf):
-    f = PR.kfold(reviews_with_books(spark, sf), 3)
-    return f.groupBy("fold").agg(F.count("*").alias("n_rows"))
+    f = PR.kfold(reviews_with_books(spark, sf), 3, key=F.expr(bindings.RANK_KEY_SQL))
+    return f.groupBy("fold").agg(F.count("*").alias("n_rows"), F.round(F.sum("price"), 2).alias("sum_price"))
+
+
+@register("o1_null_and_many_strata", O.with_(O.JOINED_CTE, f"""
+mk AS (SELECT m.*, nullif(m.title % 401, 0) AS stratum, {bindings.RANK_KEY_SQL} AS rk FROM m),
+tot AS (SELECT count(*) // 3 AS cap, count(*) AS n FROM mk),
+gc AS (SELECT stratum, count(*) AS ng FROM mk GROUP BY stratum),
+rn AS (SELECT mk.*, row_number() OVER (PARTITION BY mk.stratum ORDER BY {_RANK_ORDER_SQL}) AS r FROM mk)""") + """
+SELECT rn.stratum, count(*) AS n_kept, round(sum(price), 2) AS sum_price
+FROM rn JOIN gc ON rn.stratum IS NOT DISTINCT FROM gc.stratum CROSS JOIN tot
+WHERE rn.r <= (tot.cap * gc.ng) // tot.n GROUP BY rn.stratum""")
+def o1_null_and_many_strata(spark, sf):
+    m, order = bindings.with_rank_cols(reviews_with_books(spark, sf))
+    m = m.withColumn("stratum", F.nullif(F.col("title") % 401, F.lit(0)))
+    m = materialize(m.select("stratum", "price", *dict.fromkeys(c for c in order if c != "price")))
+    s = PR.stratified_cap(m, "stratum", m.count() // 3, order_cols=order)
+    return s.groupBy("stratum").agg(F.count("*").alias("n_kept"), F.round(F.sum("price"), 2).alias("sum_price"))
+
+
+@register("o7_quantiles_with_infinities", """
+WITH v AS (SELECT l_linestatus AS grp, CASE WHEN l_linenumber = 7 THEN 'inf'::DOUBLE WHEN l_linenumber = 6 THEN '-inf'::DOUBLE
+                  WHEN l_linenumber = 5 THEN NULL ELSE l_extendedprice END AS v FROM lineitem)
+SELECT grp, round(quantile_cont(v, 0.25), 4) AS q25, round(quantile_cont(v, 0.5), 4) AS q50,
+       round(quantile_cont(v, 0.75), 4) AS q75, max(v) AS top FROM v GROUP BY grp""")
+def o7_quantiles_with_infinities(spark, sf):
+    n = F.col("l_linenumber")
+    v = materialize(bindings.scan_table(spark, sf, "lineitem").select(
+        F.col("l_linestatus").alias("grp"),
+        F.when(n == 7, F.lit(float("inf"))).when(n == 6, F.lit(float("-inf"))).when(n == 5, F.lit(None))
+        .otherwise(F.col("l_extendedprice")).alias("v")))
+    q = exact_quantiles(v, "v", [0.25, 0.5, 0.75, 1.0], ["grp"], max_collect=500)
+    out = spark.createDataFrame([(g[0], *x) for g, x in q.items()], "grp string, q25 double, q50 double, q75 double, top double")
+    return out.select("grp", _r("q25", 4), _r("q50", 4), _r("q75", 4), "top")
+
+
+@register("o5_best_params", """
+WITH s AS (SELECT l_returnflag AS model, l_linenumber AS grid_index, 'bins=' || l_linenumber AS params, l_suppkey % 3 AS fold,
+                  avg(l_discount) AS score FROM lineitem GROUP BY ALL),
+m AS (SELECT model, grid_index, params, avg(score) AS a, stddev_pop(score) AS d FROM s GROUP BY ALL)
+SELECT model, grid_index, params, round(a, 9) AS mean_test_score, round(d, 9) AS std_test_score FROM m
+QUALIFY row_number() OVER (PARTITION BY model ORDER BY a DESC, grid_index) = 1""")
+def o5_best_params(spark, sf):
+    s = bindings.scan_table(spark, sf, "lineitem").groupBy(
+        F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("grid_index"),
+        F.concat(F.lit("bins="), "l_linenumber").alias("params"), (F.col("l_suppkey") % 3).alias("fold")) \
+        .agg(F.avg("l_discount").alias("score"))
+    return TN.best_params(s).select("model", "grid_index", "params", _r("mean_test_score", 9), _r("std_test_score", 9))
+
+
+_CURVES_SQL = """
+WITH g AS (SELECT l_returnflag AS model, l_linenumber / 10.0 AS train_size, l_suppkey % 2 AS fold,
+                  CASE WHEN l_quantity < 25 THEN 'train' ELSE 'test' END AS split, avg(l_tax) AS s FROM lineitem GROUP BY ALL),
+c AS (SELECT model, train_size, fold, split, CASE WHEN model = 'A' THEN NULL ELSE s END AS score FROM g)"""
+
+
+def _curves(spark, sf):
+    """Learning-curve rows made of lineitem means; model 'A' failed throughout."""
+    return bindings.scan_table(spark, sf, "lineitem").groupBy(
+        F.col("l_returnflag").alias("model"), (F.col("l_linenumber") / 10.0).alias("train_size"),
+        (F.col("l_suppkey") % 2).alias("fold"), F.when(F.col("l_quantity") < 25, "train").otherwise("test").alias("split")) \
+        .agg(F.avg("l_tax").alias("score")).withColumn("score", F.when(F.col("model") != "A", F.col("score")))
+
+
+@register("a22_fold_stats", _CURVES_SQL + """
+SELECT model, CAST(train_size AS DOUBLE) AS train_size, split, round(avg(score), 9) AS mean_score, round(stddev_pop(score), 9) AS std_score
+FROM c GROUP BY ALL""")
+def a22_fold_stats(spark, sf):
+    return TN.curve_stats(_curves(spark, sf)).select("model", F.col("train_size").cast("double").alias("train_size"), "split",
+                                                     _r("mean_score", 9), _r("std_score", 9))
+
+
+@register("a26_learning_curve_summary", _CURVES_SQL + """,
+l AS (SELECT c.* FROM c JOIN (SELECT model, max(train_size) AS t FROM c GROUP BY 1) x ON c.model = x.model AND c.train_size = x.t)
+SELECT model, CAST(max(train_size) AS DOUBLE) AS final_train_size,
+       round(avg(score) FILTER (split = 'train'), 9) AS final_train_score,
+       round(avg(score) FILTER (split = 'test'), 9) AS final_test_score,
+       round(avg(score) FILTER (split = 'train') - avg(score) FILTER (split = 'test'), 9) AS gap FROM l GROUP BY model""")
+def a26_learning_curve_summary(spark, sf):
+    s = TN.learning_curve_summary(_curves(spark, sf))
+    return s.select("model", F.col("final_train_size").cast("double").alias("final_train_size"),
+                    _r("final_train_score", 9), _r("final_test_score", 9), _r("gap", 9))
+
+
+@register("p2_epoch_to_timestamp", """
+SELECT o_orderpriority, min(to_timestamp(epoch(o_orderdate)::BIGINT)::TIMESTAMP) AS first_time,
+       max(to_timestamp(epoch(o_orderdate)::BIGINT)::TIMESTAMP) AS last_time, count(*) AS n FROM orders GROUP BY 1""")
+def p2_epoch_to_timestamp(spark, sf):
+    t = epoch_to_timestamp(unix_time("o_orderdate"))
+    return bindings.scan_table(spark, sf, "orders").groupBy("o_orderpriority").agg(
+        F.min(t).alias("first_time"), F.max(t).alias("last_time"), F.count("*").alias("n"))
+
+
+@register("a14_correlation_with_nan", """
+WITH v AS (SELECT l_quantity AS a, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_extendedprice END AS b,
+                  CASE WHEN l_linenumber = 2 THEN NULL ELSE l_discount END AS c FROM lineitem)
+SELECT 'b' AS feature_a, 'a' AS feature_b, round(corr(b, a), 6) AS r FROM v
+UNION ALL SELECT 'c', 'a', round(corr(c, a), 6) FROM v UNION ALL SELECT 'c', 'b', round(corr(c, b), 6) FROM v""")
+def a14_correlation_with_nan(spark, sf):
+    n, nan = F.col("l_linenumber"), F.lit(float("nan"))
+    v = bindings.scan_table(spark, sf, "lineitem").select(
+        F.col("l_quantity").alias("a"), F.when(n == 1, nan).otherwise(F.col("l_extendedprice")).alias("b"),
+        F.when(n == 2, nan).otherwise(F.col("l_discount")).alias("c"))
+    return RP.correlation_matrix(v, ["a", "b", "c"]).select("feature_a", "feature_b", _r("r"))
+
+
+@register("j4_knn_ties", """
+WITH d AS (SELECT a.p_partkey AS id, b.p_partkey AS neighbor_id, abs(a.p_size - b.p_size)::DOUBLE AS dist
+           FROM part a JOIN part b ON a.p_partkey <> b.p_partkey)
+SELECT id, neighbor_id, dist, CAST(row_number() OVER (PARTITION BY id ORDER BY dist, neighbor_id) AS INTEGER) AS rank FROM d
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, neighbor_id) <= 3""")
+def j4_knn_ties(spark, sf):
+    p = bindings.scan_table(spark, sf, "part").select("p_partkey", F.array(F.col("p_size").cast("double")).alias("v"))
+    return knn_join(p, p, 3, "p_partkey", "v", block_rows=512)
+
+
+@register("d5_dbscan_long_chains", """
+WITH x AS (SELECT p_partkey AS id, p_partkey + 10 * (p_partkey // 700) AS x FROM part),
+g AS (SELECT id, CASE WHEN x - lag(x) OVER (ORDER BY x) <= 1 THEN 0 ELSE 1 END AS cut FROM x),
+c AS (SELECT id, sum(cut) OVER (ORDER BY id) AS island FROM g)
+SELECT min(id) AS cluster, count(*) AS n FROM c GROUP BY island HAVING count(*) > 1""")
+def d5_dbscan_long_chains(spark, sf):
+    key = F.col("p_partkey")
+    x = bindings.scan_table(spark, sf, "part").select(key.alias("row_id"), (key + 10 * F.floor(key / 700)).cast("double").alias("x"))
+    r = dbscan(x, cols=["x"], eps=1.0, min_samples=2, scale=False, block_rows=512)
+    return r.labels.where("cluster is not null").groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@register("s1_csv_chain", O.with_(O.FEATURES_CTE) + """
+SELECT score, count(*) AS n_reviews, round(sum(review_length), 4) AS sum_length, round(avg(helpfulness_ratio), 6) AS mean_helpfulness,
+       sum(user_review_count) AS sum_activity, round(max(days_since_first), 6) AS last_day FROM f GROUP BY score""")
+def s1_csv_chain(spark, sf):
+    """Given tables landed as CSV in the reference's shape, then scan -> load -> features."""
+    base = scratch_path(spark, uuid.uuid4().hex)
+    r = bindings.reviews(spark, sf).select(
+        F.col("row_id").alias("Id"), F.col("title").alias("Title"), F.lit(None).cast("string").alias("Price"),
+        F.col("user_id").alias("User_id"), F.lit(None).cast("string").alias("profileName"),
+        F.col("helpfulness").alias("review/helpfulness"), F.col("score").alias("review/score"),
+        unix_time("review_time").alias("review/time"), F.col("summary").alias("review/summary"),
+        F.col("review_text").alias("review/text"))
+    none = [F.lit(None).cast("string").alias(c) for c in
+            ("description", "authors", "image", "previewLink", "publisher", "publishedDate", "infoLink")]
+    b = bindings.books(spark, sf).select(F.col("title").alias("Title"), *none, "categories",
+                                         F.col("ratings_count").alias("ratingsCount"))
+    r.write.option("header", True).csv(f"{base}/reviews")
+    b.write.option("header", True).csv(f"{base}/books")
+    reviews = with_ids(scan_reviews(spark, f"{base}/reviews"), "review_id")
+    books = with_ids(scan_books(spark, f"{base}/books"), "book_id")
+    m, _ = PR.load_reviews(reviews, books)
+    f, _ = PR.numeric_features(m)
+    return f.groupBy("score").agg(
+        F.count("*").alias("n_reviews"), F.round(F.sum("review_length"), 4).alias("sum_length"),
+        F.round(F.avg("helpfulness_ratio"), 6).alias("mean_helpfulness"), F.sum("user_review_count").alias("sum_activity"),
+        F.round(F.max("days_since_first"), 6).alias("last_day"))
 
 
 # ----------------------------------------------------------------- A6, A7, A9

@@ -29,9 +29,14 @@ from reviewlens.session import path_exists
 
 # ------------------------------------------------------------------ S4
 def table_fingerprint(df: DataFrame, cols: list[str] | None = None) -> str:
-    """Order-free content fingerprint: count, xor and decimal sum of row hashes."""
+    """Order-free content fingerprint: count, xor and decimal sum of row hashes.
+
+    A row hash covers names, types, and for every column whether it is NULL
+    and its value, so a NULL never looks like a missing column.
+    """
     cols = cols or df.columns
-    h = F.xxhash64(*[F.col(c) for c in cols])
+    parts = [F.lit(f"{c}:{df.schema[c].dataType.simpleString()}") for c in cols]
+    h = F.xxhash64(*parts, *[x for c in cols for x in (F.col(c).isNull(), F.col(c))])
     r = df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"),
                F.sum(h.cast("decimal(38,0)")).alias("s")).first()
     return f"{r['n']:x}-{(r['x'] or 0) & 0xFFFFFFFFFFFFFFFF:016x}-{int(r['s'] or 0) & ((1 << 96) - 1):024x}"

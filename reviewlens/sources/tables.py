@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewlens.session import list_names, materialize
+
 # Tokens that pandas' CSV reader treats as missing by default.
 PANDAS_NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -117,6 +119,12 @@ def scan_books(spark: SparkSession, path: str, schema: T.StructType | None = BOO
     return normalize_book_columns(_read_csv(spark, path, schema))
 
 
+def with_ids(df: DataFrame, name: str) -> DataFrame:
+    """A scanned landing written once with a row number ``name`` of its own, so
+    that the id of a row is the same in every later pass."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def land_as_parquet(df: DataFrame, path: str, partitions: int | None = None) -> str:
     """Write a scanned landing once as parquet so later scans split and prune."""
     w = df if partitions is None else df.repartition(partitions)
@@ -124,44 +132,22 @@ def land_as_parquet(df: DataFrame, path: str, partitions: int | None = None) ->
     return path
 
 
-# a source smaller than this is never rebalanced
-REBALANCE_MIN_BYTES = 4 << 20
-
-
-def _local_size(path: str) -> int | None:
-    if "://" in path and not path.startswith("file:"):
-        return None
-    p = path[len("file:"):] if path.startswith("file:") else path
-    if os.path.isfile(p):
-        return os.path.getsize(p)
-    if os.path.isdir(p):
-        return sum(os.path.getsize(os.path.join(r, f)) for r, _, fs in os.walk(p) for f in fs)
-    return None
-
-
-def rebalance_if_undersplit(df: DataFrame, path: str) -> DataFrame:
-    """Spread an under-split scan (e.g. one large file with one row group)
-    over the cluster's default parallelism.
+def rebalance_if_undersplit(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than the cluster has cores.
 
     Parquet splits at row-group granularity, so a single-row-group file is
     read by one task and every narrow operator before the first shuffle runs
-    on one core. Only then, and only for sources of a few MB or more, a
-    round-robin repartition is added; a normally split large source (many
-    files / row groups) is left untouched, so no shuffle is added at scale.
+    on one core. The scan's own split count decides, wherever the file lies;
+    a large source has more splits than cores and gets no shuffle.
     """
-    size = _local_size(path)
-    if size is None or size < REBALANCE_MIN_BYTES:
-        return df
     par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    return df.repartition(par)
+    return df if df.rdd.getNumPartitions() >= par else df.repartition(par)
 
 
 def scan_table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool = True) -> DataFrame:
     path = os.path.join(sf_dir, f"{name}.parquet")
     df = spark.read.parquet(path)
-    return rebalance_if_undersplit(df, path) if rebalance else df
+    return rebalance_if_undersplit(df) if rebalance else df
 
 
 def source_catalog(spark: SparkSession, landing_dir: str, required: list[str] | None = None,
@@ -172,7 +158,7 @@ def source_catalog(spark: SparkSession, landing_dir: str, required: list[str] |
     is missing (the reference fails the same way before loading).
     """
     rows = []
-    for name in sorted(os.listdir(landing_dir)):
+    for name in list_names(spark, landing_dir):
         stem, ext = os.path.splitext(name)
         ext = ext.lower().lstrip(".")
         if ext in ("csv", "parquet", "json"):

@@ -4,9 +4,10 @@ no streaming).
 HBOS scoring is a pure row-wise expression and isolation-forest / one-class
 SVM scoring are scalar pandas UDFs, so the fitted model's ``transform``
 applies unchanged to a streaming DataFrame: no state, no watermark needed.
-``start_scoring`` writes flags with ``foreachBatch`` into a parquet table
-under the shared checkpoint folder, with the stream's own checkpoint
-location, so a restarted query resumes exactly once per micro-batch.
+``start_scoring`` writes flags with the parquet file sink under the shared
+checkpoint folder, with the stream's own checkpoint location: the sink's
+commit log names the files of each micro-batch once, so a replayed batch is
+not read twice.
 """
 
 from __future__ import annotations
@@ -36,9 +37,7 @@ def start_scoring(scored: DataFrame, name: str, out_path: str | None = None, tri
     out_path = out_path or os.path.join(base, "stream-out", name)
     ckpt = os.path.join(base, "stream-ckpt", name)
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append").parquet(out_path)
-
-    w = scored.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).queryName(name)
+    w = (scored.writeStream.format("parquet").option("path", out_path).outputMode("append")
+         .option("checkpointLocation", ckpt).queryName(name))
     w = w.trigger(availableNow=True) if trigger_once else w
     return w.start(), out_path

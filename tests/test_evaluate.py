@@ -29,9 +29,11 @@ def test_roc_with_ties(spark):
     auc = EV.roc_auc(cur).first()["auc"]
     # trapezoids: (0,0)-(0,1/3), (0,1/3)-(1/3,2/3), (1/3,2/3)-(2/3,1), (2/3,1)-(1,1)
     assert auc == pytest.approx(0 + (1 / 3) * (1 / 3 + 2 / 3) / 2 + (1 / 3) * (2 / 3 + 1) / 2 + (1 / 3) * 1)
-    # the distributed prefix-sum path gives the same curve
-    big = EV.roc_curve(df, "label", max_points_single_task=1)
-    assert sorted((r["fpr"], r["tpr"]) for r in big.collect()) == pts
+    # groups, a NULL group among them, get a curve each
+    both = df.selectExpr("'a' AS model", "*").union(df.selectExpr("cast(NULL AS string) AS model", "*"))
+    split = EV.roc_curve(both, "label", by=["model"])
+    assert sorted((r["fpr"], r["tpr"]) for r in split.where("model IS NULL").collect()) == pts
+    assert [round(r["auc"], 9) for r in EV.roc_auc(split, ["model"]).collect()] == [round(auc, 9)] * 2
 
 
 def test_box_stats_linear_quantiles(spark):
