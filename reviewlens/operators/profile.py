@@ -36,7 +36,8 @@ def _profile(df: DataFrame, spec: FeatureSpec) -> tuple[int, list[dict]]:
     r = df.agg(*aggs).first()
     names = spec.names
     feats = [dict(feature=names[j], index=j, nan=r[f"nan{j}"], inf=r[f"inf{j}"], mean=r[f"m{j}"],
-                  var=r[f"v{j}"], lo=r[f"lo{j}"], hi=r[f"hi{j}"], sample=r[f"s{j}"])
+                  # merging partial sums can leave a rounding error in the variance of a constant
+                  var=0.0 if r[f"lo{j}"] is not None and r[f"lo{j}"] == r[f"hi{j}"] else r[f"v{j}"], lo=r[f"lo{j}"], hi=r[f"hi{j}"], sample=r[f"s{j}"])
              for j in range(len(exprs))]
     return r["n"], feats
 

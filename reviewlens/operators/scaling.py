@@ -35,15 +35,15 @@ def feature_stat_aggs(exprs: list[Column]) -> list[Column]:
 
 
 def stats_from_row(r, d: int) -> list[dict]:
+    """Statistics per feature; a constant has variance 0 whatever rounding the
+    merge of partial sums has left."""
     n = r["n"]
-    return [dict(mean=r[f"m{j}"], var=r[f"v{j}"], lo=r[f"lo{j}"], hi=r[f"hi{j}"], n=n) for j in range(d)]
+    return [dict(mean=r[f"m{j}"], var=0.0 if r[f"lo{j}"] is not None and r[f"lo{j}"] == r[f"hi{j}"] else r[f"v{j}"],
+                 lo=r[f"lo{j}"], hi=r[f"hi{j}"], n=n) for j in range(d)]
 
 
 def feature_stats_row(df: DataFrame, exprs: list[Column]) -> list[dict]:
-    r = df.agg(*feature_stat_aggs(exprs)).first()
-    n = r["n"]
-    return [dict(mean=r[f"m{j}"], var=r[f"v{j}"], lo=r[f"lo{j}"], hi=r[f"hi{j}"], n=n)
-            for j in range(len(exprs))]
+    return stats_from_row(df.agg(*feature_stat_aggs(exprs)).first(), len(exprs))
 
 
 @dataclass

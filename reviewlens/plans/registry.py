@@ -63,7 +63,9 @@ from reviewlens.operators import tuning as TN  # noqa: E402
 from reviewlens.operators.dbscan import dbscan  # noqa: E402
 from reviewlens.operators.neighbors import knn_join  # noqa: E402
 from reviewlens.operators.ranking import exact_quantiles  # noqa: E402
+from reviewlens.operators.detector_store import load_detector, save_detector  # noqa: E402
 from reviewlens.session import scratch_path  # noqa: E402
+from reviewlens.sources.store import read_model_metrics, write_metrics  # noqa: E402
 from reviewlens.sources.tables import scan_books, scan_reviews, with_ids  # noqa: E402
 from reviewlens.operators.features import FeatureSpec  # noqa: E402
 from reviewlens.plans import bindings  # noqa: E402
@@ -623,6 +625,45 @@ def d3_lof(spark, sf):
     return m.training_scores().select(F.col("id").alias("vec_id"), _r("lof"), "is_anomaly")
 
 
+@register("s12_stored_lof", ORACLES["d3_lof"])
+def s12_stored_lof(spark, sf):
+    """LOF fitted, stored, loaded from the shared folder, then asked for its training scores."""
+    m = LOFModel.fit(_embeddings(spark, sf), vector="embedding", k=LOF_K, contamination=0.1, id_col="vec_id", block_rows=4096)
+    path = scratch_path(spark, uuid.uuid4().hex)
+    save_detector(spark, m, path)
+    return load_detector(spark, path).training_scores().select(F.col("id").alias("vec_id"), _r("lof"), "is_anomaly")
+
+
+@register("s12_stored_hbos", ORACLES["d1_hbos_anomaly_by_rating"])
+def s12_stored_hbos(spark, sf):
+    f, m, _ = _hbos_flags(spark, sf)
+    path = scratch_path(spark, uuid.uuid4().hex)
+    save_detector(spark, m, path)
+    return anomaly_by_rating(load_detector(spark, path).transform(f), "score")
+
+
+@register("s8_metrics_round_trip", """
+SELECT l_returnflag AS model, round(avg(l_discount), 9) AS precision, round(avg(l_tax), 9) AS recall, 0.0::DOUBLE AS f1,
+       count(*) AS anomalies_detected, upper(l_returnflag) AS display_name FROM lineitem GROUP BY ALL""")
+def s8_metrics_round_trip(spark, sf):
+    """S6 -> S8: metrics (means of lineitem columns) written as JSON and read again; a missing F1 reads as 0."""
+    m = bindings.scan_table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("model")).agg(
+        F.avg("l_discount").alias("precision"), F.avg("l_tax").alias("recall"), F.count("*").alias("anomalies_detected"))
+    path = scratch_path(spark, uuid.uuid4().hex)
+    write_metrics(m, path)
+    return read_model_metrics(spark, path).select("model", _r("precision", 9), _r("recall", 9), "f1", "anomalies_detected", "display_name")
+
+
+@register("a8_constant_features", """
+SELECT 'c' || i AS feature, CAST(i AS INTEGER) AS feature_index, min(l_quantity * 0 + i) AS value
+FROM lineitem CROSS JOIN (SELECT unnest(range(5)) AS i) GROUP BY i""")
+def a8_constant_features(spark, sf):
+    cols = [f"c{i}" for i in range(11)]
+    f = bindings.scan_table(spark, sf, "lineitem").select(
+        *[(F.col("l_quantity") * 0 + i).alias(c) for i, c in enumerate(cols)], F.col("l_tax").alias("varying"))
+    return PF.constant_feature_report(f, FeatureSpec.of(f, [*cols, "varying"]))
+
+
 @register("d5_dbscan", O.dbscan_sql(DBSCAN_EPS, DBSCAN_MIN))
 def d5_dbscan(spark, sf):
     e = _embeddings(spark, sf)
