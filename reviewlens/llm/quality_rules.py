@@ -151,17 +151,18 @@ def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, test: Column, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents outside the held-out part: doc_id, text, y.
+def labelled_ids(labels: DataFrame, label: str, test: Column) -> DataFrame:
+    """(doc_id, y) of the labelled documents outside the held-out part. Null
+    labels and ids are left out; an id with several labels counts by their mean."""
+    return (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
+            .filter("doc_id is not null and y is not null").filter(~test)
+            .groupBy("doc_id").agg(F.avg("y").alias("y")))
 
-    The ids are the first by hash, so the sample does not depend on the order
-    or the partitions of the tables. Null labels and ids are left out; an id
-    with several labels counts by their mean.
-    """
-    ids = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
-           .filter("doc_id is not null and y is not null").filter(~test)
-           .groupBy("doc_id").agg(F.avg("y").alias("y"))
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, test: Column, rows: int) -> DataFrame:
+    """At most ``rows`` labelled documents: doc_id, text, y. The ids are the first by
+    hash, so the sample does not depend on the order or partitions of the tables."""
+    ids = labelled_ids(labels, label, test).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return docs.join(F.broadcast(ids), "doc_id")         # at most ``rows`` ids
 
 

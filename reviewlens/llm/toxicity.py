@@ -3,8 +3,8 @@
 A text is lower-cased (A-Z) and split into words of letters, digits and
 non-ASCII code points; every byte n-gram of ``<word>`` (n = 3 to 6) falls into
 one of 2^20 buckets. The vectors of the n-grams of a window of words are averaged
-and a linear softmax over the two classes gives its score; a text has the score
-of its most toxic window, however long it is. Vectors and softmax are
+and a linear softmax over the two classes gives its score; a text has the mean
+of its most toxic eighth of windows, however long it is. Vectors and softmax are
 trained together by stochastic gradient steps in numpy. Misspelt words share most n-grams with
 the words seen in training.
 
@@ -24,25 +24,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keyed_text, prepare
-from .quality_rules import held_out, labelled_sample
+from .quality_rules import held_out, labelled_ids
 from .shingles import mix64, row_chunks, text_buffers
 
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 20
 DIM = 4
-#: words of a window: its n-grams are averaged, and a text scores as its most toxic window
-WINDOW = 24
+#: words of a window: its n-grams are averaged; a text scores as the mean of its most toxic
+#: windows, one of every TOP_SHARE
+WINDOW, TOP_SHARE = 24, 8
+#: a third of the sample has label 1; longer texts than LONGEST bytes are not trained on
 SAMPLE_ROWS = 6_000
-SAMPLE_BYTES = 16 << 20
+SAMPLE_BYTES, LONGEST = 6 << 20, 8 << 10
 #: passes over whole texts, then passes over single windows
 WARM, EPOCHS = 2, 16
 BATCH, RATE = 16, 0.3
 #: a missed text of label 1 weighs so much more in training than a false alarm
-TOXIC_WEIGHT = 3.0
+TOXIC_WEIGHT = 5.0
 #: share of the n-grams left out at random in each step, so that no single one must be present
 DROPOUT = 0.4
-#: n-grams of fewer training texts than this carry no evidence and keep a zero vector
-MIN_TEXTS = 4
+#: n-grams of fewer training texts, or of a larger share of those of label 0, carry no evidence: their
+#: vector is zero
+MIN_TEXTS, MAX_SHARE = 4, 0.1
 #: zero vectors that join every average: a window of a few words stays near the prior
 SMOOTH = 200.0
 #: the mean of the vectors is scaled by this
@@ -111,16 +114,23 @@ class ToxicityModel:
     bias: float = 0.0
 
     def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Probability of label 1 for every row: that of its most toxic window."""
-        out = np.full(len(offsets) - 1, -np.inf)
+        """Probability of label 1 for every row: that of the mean of its most toxic eighth of windows."""
+        out = np.empty(len(offsets) - 1)
         for a, b in row_chunks(offsets, CHUNK):
+            means, rows = [], []
             for part, shift in _pieces(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]):
                 bucket, owner, windows = window_ngrams(part, shift)
                 n = int(windows.sum())
-                mean = (np.bincount(owner, weights=self.weight[bucket], minlength=n)
-                        / (np.bincount(owner, minlength=n) + SMOOTH))
-                top = np.maximum.reduceat(mean, np.cumsum(windows) - windows)
-                out[a:b] = np.maximum(out[a:b], top)
+                means.append(np.bincount(owner, weights=self.weight[bucket], minlength=n)
+                             / (np.bincount(owner, minlength=n) + SMOOTH))
+                rows.append(np.repeat(np.arange(b - a), windows) if b - a > 1 else np.zeros(n, np.int64))
+            mean, row = np.concatenate(means), np.concatenate(rows)
+            order = np.lexsort((-mean, row))
+            many = np.bincount(row, minlength=b - a)
+            top = -(-many // TOP_SHARE)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            use = order[place < np.repeat(top, many)]
+            out[a:b] = np.bincount(row[use], weights=mean[use], minlength=b - a) / top
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -30, 30)))
 
 
@@ -139,7 +149,7 @@ def _pieces(raw: np.ndarray, offsets: np.ndarray):
         at = end
 
 
-def train(texts: list[str], y: np.ndarray, seed: int = 5) -> ToxicityModel:
+def train(texts: list[str], y: np.ndarray, toxic_weight: float = TOXIC_WEIGHT, seed: int = 5) -> ToxicityModel:
     """Joint training of vectors and softmax on windows.
 
     In each pass a text stands for one window: the most toxic one under the
@@ -150,20 +160,21 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> ToxicityModel:
     if not len(texts) or y.min() == y.max():
         p = np.clip(y.mean() if len(texts) else 0.0, 0.01, 0.99)
         return ToxicityModel(np.zeros(size, np.float32), float(np.log(p / (1 - p))))
-    grams, owners, base, texts_with = [], [], [0], np.zeros(size, np.int32)
-    for t in texts:
+    grams, counts, base, texts_with, clean_with = [], [], [0], np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for t, label in zip(texts, y):
         raw = np.frombuffer(t.encode("utf-8"), dtype=np.uint8)
         b, o, windows = window_ngrams(raw, np.array([0, len(raw)]))
-        order = np.argsort(o, kind="stable")
-        grams.append(b[order])
-        owners.append(o[order] + base[-1])
+        grams.append(b[np.argsort(o, kind="stable")])
+        counts.append(np.bincount(o, minlength=windows[0]))
         base.append(base[-1] + int(windows[0]))
-        texts_with[np.unique(b)] += 1
-    gram, owner, base = np.concatenate(grams), np.concatenate(owners), np.array(base)
-    del grams, owners
-    n = np.bincount(owner, minlength=base[-1])
+        b = np.unique(b)
+        texts_with[b] += 1
+        clean_with[b] += label < 0.5
+    gram, n, base = np.concatenate(grams), np.concatenate(counts), np.array(base)
+    del grams, counts
     at = np.concatenate([[0], np.cumsum(n)])
-    known = texts_with >= MIN_TEXTS
+    filled = np.flatnonzero(n)
+    known = (texts_with >= MIN_TEXTS) & (clean_with <= max(MIN_TEXTS, MAX_SHARE * (y < 0.5).sum()))
     rng = np.random.default_rng(seed)
     e = ((rng.random((size, DIM)) - 0.5) * 0.1).astype(np.float32)
     e[~known] = 0
@@ -172,7 +183,9 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> ToxicityModel:
     for epoch in range(WARM + EPOCHS):
         rate = RATE * (1 - epoch / (WARM + EPOCHS))
         weight = e @ (w[:, 1] - w[:, 0])
-        mean = np.bincount(owner, weights=weight[gram], minlength=base[-1]) / (n + SMOOTH)
+        mean = np.zeros(len(n))
+        mean[filled] = np.add.reduceat(weight[gram], at[filled])
+        mean /= n + SMOOTH
         order = rng.permutation(len(texts))
         for start in range(0, len(order), BATCH):
             batch = order[start:start + BATCH]
@@ -198,7 +211,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> ToxicityModel:
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(batch)), y[batch].astype(int)] -= 1
-            g = (p * np.where(y[batch] > 0.5, TOXIC_WEIGHT, 1.0)[:, None]).astype(np.float32)
+            g = (p * np.where(y[batch] > 0.5, toxic_weight, 1.0)[:, None]).astype(np.float32)
             grad_w, grad_b, grad_v = v.T @ g / len(batch), g.mean(axis=0), g @ w.T
             np.add.at(e, idx, -rate * grad_v[doc] * val[:, None])
             w -= rate * grad_w
@@ -208,16 +221,23 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> ToxicityModel:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, remainder: int = 2,
                  sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
-    """Fit on at most ``sample_rows`` texts, the first by a hash of the id, that
-    together hold at most ``sample_bytes``; texts are taken whole or not at all."""
-    sample = labelled_sample(docs, labels, label, held_out(F.col("doc_id"), modulus, remainder), sample_rows)
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = sample.select("doc_id", F.octet_length("text").alias("n"))   # at most sample_rows rows
-    taken = (sizes.groupBy("doc_id").agg(F.max("n").alias("n"))
-             .withColumn("sum", F.sum("n").over(order)).filter(F.col("sum") <= sample_bytes).select("doc_id"))
-    rows = sample.join(F.broadcast(taken), "doc_id").select("doc_id", "y", "text").limit(2 * sample_rows).collect()
+    """Fit on at most ``sample_rows`` texts, the first of either label by a hash of
+    the id, that together hold at most ``sample_bytes``; texts are taken whole or
+    not at all."""
+    known = labelled_ids(labels, label, held_out(F.col("doc_id"), modulus, remainder))
+    toxic = F.col("y") >= 0.5
+    share = known.agg(F.avg(toxic.cast("double"))).first()[0] or 0.0
+    first = lambda part, n: part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)     # noqa: E731
+    ids = first(known.filter(toxic), sample_rows // 3).union(first(known.filter(~toxic), sample_rows - sample_rows // 3))
+    sample = docs.join(F.broadcast(ids), "doc_id").filter(F.octet_length("text") <= LONGEST)   # at most sample_rows ids
+    order = Window.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sample.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n"))   # at most sample_rows rows
+    taken = sizes.withColumn("sum", F.sum("n").over(order)).filter(F.col("sum") <= sample_bytes).select("doc_id")
+    rows = sample.join(F.broadcast(taken), "doc_id").select("doc_id", "y", "text").collect()   # at most sample_bytes of text
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], np.array([r["y"] >= 0.5 for r in rows], dtype=float))
+    y = np.array([r["y"] >= 0.5 for r in rows], dtype=float)
+    # the sample holds more of label 1 than the table; its weight undoes that
+    return train([r["text"] for r in rows], y, TOXIC_WEIGHT * share / y.mean() if y.any() else TOXIC_WEIGHT)
 
 
 def _score_pass(model):
