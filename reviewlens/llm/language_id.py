@@ -27,6 +27,8 @@ from .quality_rules import held_out
 
 #: documents per language that are fitted, and characters of text of all of them, at most
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 400, 8 << 20
+#: the first of a language are found in slices of ids, so that no task ranks a whole language
+SLICES = 8
 LANDMARKS = 256
 RIDGE = 1e-3
 #: a letter is named by its code point below this, and by a hash above
@@ -156,10 +158,10 @@ def fit_languages(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> Lang
     # two steps: the first of every language in each slice of ids, then over the slices
     per_slice = Window.partitionBy("lang", "slice").orderBy("o", "doc_id")
     per_lang = Window.partitionBy("lang").orderBy("o", "doc_id")
-    first = (rows.withColumn("slice", F.pmod("o", F.lit(64)))
+    first = (rows.withColumn("slice", F.pmod("o", F.lit(SLICES)))
              .withColumn("r", F.row_number().over(per_slice)).filter(F.col("r") <= SAMPLE_PER_LANGUAGE)
              .withColumn("r", F.row_number().over(per_lang)).filter(F.col("r") <= SAMPLE_PER_LANGUAGE)
-             .orderBy("r", "o").limit(64 * SAMPLE_PER_LANGUAGE).select("doc_id", "n", "r", "o").collect())
+             .orderBy("r", "o").limit(SLICES * SAMPLE_PER_LANGUAGE).select("doc_id", "n", "r", "o").collect())
     ids, total = [], 0
     for r in first:                          # a bounded list of ids
         if total + r["n"] <= SAMPLE_CHARS:
