@@ -19,7 +19,7 @@ _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 _Q = 0xD6E8FEB86659FD93
 #: bytes hashed at once, so that a batch of very long texts stays small in memory
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _space = np.zeros(256, dtype=bool)
 _space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

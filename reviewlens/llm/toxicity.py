@@ -51,7 +51,7 @@ SMOOTH = 200.0
 #: the mean of the vectors is scaled by this
 GAIN = 60.0
 #: n-grams are hashed in chunks of this many bytes
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] = np.arange(97, 123)
