@@ -1,9 +1,10 @@
 """Exact duplicates by a distributed content sort (DataFrame functions only).
 
 Method: the text without white space is range-partitioned by Spark's sampled
-splitters and sorted externally inside each partition, so equal texts are
-neighbours; the window over equal texts compares each full text with its
-neighbour and names the row that stays.
+splitters (its first code points, then a hash, so that texts with one common
+start still spread) and sorted externally inside each partition, so equal
+texts are neighbours; the window over equal texts compares each full text with
+its neighbour and names the row that stays.
 
 Skew: a text that may fill more than a quarter of an average partition is
 found first by a count of text hashes (combined map-side) and gets a salt as
@@ -23,6 +24,10 @@ from .common import keyed_text, materialize, prepare, shuffle_partitions
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
+#: code points of a text that range splitters are made of
+HEAD = 32
+
+
 def normalised(text: Column) -> Column:
     """The text without white space; ``replace`` works on bytes, without a regex."""
     for s in SPACES:
@@ -55,9 +60,12 @@ def dedup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(
                   F.xxhash64("doc_id", "n"), F.col("salts"))).otherwise(F.lit(0)).cast("int"))
               .select("doc_id", "n", "norm", "salt"))
-    run = Window.partitionBy("norm", "salt").orderBy(F.desc("n"), F.asc_nulls_last("doc_id"))
+    # splitters are sampled from the first bytes and a hash, so a sample row is small however
+    # long its text; inside a range the whole texts are sorted and compared with their neighbours
+    salted = salted.withColumn("head", F.substring("norm", 1, HEAD)).withColumn("tail", F.xxhash64("norm"))
+    run = Window.partitionBy("head", "tail", "salt", "norm").orderBy(F.desc("n"), F.asc_nulls_last("doc_id"))
     runs = materialize(
-        salted.repartitionByRange(parts, "norm", "salt")
+        salted.repartitionByRange(parts, "head", "tail", "salt")
         .withColumn("rn", F.row_number().over(run))
         .select("doc_id", "n", "salt", "rn", F.sha2("norm", 256).alias("text_sha256")))
 
