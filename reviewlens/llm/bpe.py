@@ -7,8 +7,8 @@ word is merged by a priority queue of merge ranks over a doubly linked list
 of symbols: the queue holds candidate pairs, a popped pair whose symbols have
 changed since is stale and skipped. Decoding concatenates vocabulary strings.
 
-Words repeat, so a worker keeps the result of each word, up to a fixed number
-of words; then the cache starts anew. Nothing depends on it but speed.
+Words repeat, so a worker keeps the results of words in two halves of a fixed
+size; when one is full the older half goes. Nothing depends on it but speed.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import keyed_text, large_string, prepare
 from .vocab import byte_values
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 class WordBPE:
@@ -41,8 +41,8 @@ class WordBPE:
         self.end = model.get("end_of_word_suffix") or ""
         self.unknown = model.get("unk_token")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        #: pair of ids -> (rank, id of the merged symbol)
-        self.merges = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(merges)}
+        #: pair of ids as one number -> rank and id of the merged symbol as one number
+        self.merges = {self.vocab[a] << 20 | self.vocab[b]: r << 20 | self.vocab[a + b] for r, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.byte_char = {b: c for c, b in byte_values().items()}
@@ -54,42 +54,49 @@ class WordBPE:
         self.settled = regex.compile(r"[\x00-\u052f\u2000-\u206f\u20a0-\u20bf]*+\Z")
         self.path, self.library = path, None
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
+        self.byte_chars = [self.byte_char[b] for b in range(256)]
 
     def merge(self, symbols: list[int]) -> list[int]:
-        """Apply merges in rank order, the leftmost first among equal ranks."""
+        """Apply merges in rank order, the leftmost first among equal ranks.
+
+        A queue entry is one number: rank, merged symbol, position.
+        """
         n = len(symbols)
-        if n < 2:
-            return symbols
-        merges = self.merges
-        sym, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
+        merge_of = self.merges.get
         queue = []
         for i in range(n - 1):
-            m = merges.get((sym[i], sym[i + 1]))
-            if m:
-                queue.append((m[0], i, sym[i], sym[i + 1], m[1]))
+            m = merge_of(symbols[i] << 20 | symbols[i + 1])
+            if m is not None:
+                queue.append(m << 32 | i)
+        if not queue:
+            return symbols
         heapq.heapify(queue)
+        sym, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            _, i, a, b, new = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            i, m = entry & 0xFFFFFFFF, entry >> 32
             j = after[i]
-            if sym[i] != a or j >= n or sym[j] != b:
+            if sym[i] < 0 or j >= n or merge_of(sym[i] << 20 | sym[j]) != m:
                 continue                     # stale: one of the two has been merged since
-            sym[i], sym[j] = new, -1
+            sym[i] = new = m & 0xFFFFF
+            sym[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                m = merges.get((new, sym[k]))
-                if m:
-                    heapq.heappush(queue, (m[0], i, new, sym[k], m[1]))
+                m = merge_of(new << 20 | sym[k])
+                if m is not None:
+                    heapq.heappush(queue, m << 32 | i)
             h = before[i]
             if h >= 0:
-                m = merges.get((sym[h], new))
-                if m:
-                    heapq.heappush(queue, (m[0], h, sym[h], new, m[1]))
+                m = merge_of(sym[h] << 20 | new)
+                if m is not None:
+                    heapq.heappush(queue, m << 32 | h)
         return [s for s in sym if s >= 0]
 
     def word_ids(self, word: str) -> list[int]:
-        """Ids of a word given in the vocabulary's byte alphabet."""
-        chars = list(word)
+        """Ids of a normalised word, from its bytes in the vocabulary's alphabet."""
+        chars = [self.byte_chars[b] for b in word.encode("utf-8")]
         chars[-1] += self.end
         return self.merge([self.vocab[c] for c in chars])
 
@@ -117,10 +124,13 @@ class WordBPE:
             for word in self.words(part):
                 got = cache.get(word)
                 if got is None:
-                    ids = self.word_ids("".join([self.byte_char[b] for b in word.encode("utf-8")]))
-                    got = (len(ids), " ".join(map(str, ids)), self.decode_strings(ids))
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
+                    got = self.older.get(word)
+                    if got is None:
+                        ids = self.word_ids(word)
+                        got = (len(ids), " ".join(map(str, ids)), self.decode_strings(ids))
+                    if len(cache) >= CACHE_WORDS:   # words of the older half that come again move on
+                        self.older = cache
+                        self.cache = cache = {}
                     if len(word) <= 64:
                         cache[word] = got
                 yield got
