@@ -461,9 +461,12 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     pages = df.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"),
                       F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
     bound = SAMPLE_BYTES // max(sample_pages, 1)
-    sample = (pages.filter(F.octet_length("html") <= 4 * bound)   # a training page is taken whole or not at all
-              .orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(sample_pages).select("html").collect())
-    model = spark.sparkContext.broadcast(fit_extractor([r["html"] for r in sample]))
+    # a training page is taken whole or not at all; keys are chosen first, so that only these pages travel
+    keyed = pages.filter(F.octet_length("html") <= 4 * bound).select("html", F.xxhash64("page_id", "html").alias("key"))
+    keys = keyed.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(sample_pages)
+    sample = (keyed.join(F.broadcast(keys), "key").groupBy("key").agg(F.first("html").alias("html"))
+              .collect())                                         # at most sample_pages rows
+    model = spark.sparkContext.broadcast(fit_extractor([r["html"] for r in sorted(sample, key=lambda r: r["key"])]))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
