@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .common import free, materialize
 
 
+def _total(labels: DataFrame):
+    """Labels only ever fall, so an unchanged sum means that none has changed."""
+    return labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``links(x, y)`` -> ``(node, root)``: the smallest node id reachable.
 
@@ -21,17 +26,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     labels = materialize(both.groupBy(F.col("x").alias("node"))
                          .agg(F.min("y").alias("m"))
                          .select("node", F.least("node", "m").alias("root")))
-    while True:
-        near = (both.join(labels.select(F.col("node").alias("y"), F.col("root").alias("r")), "y")
-                .groupBy(F.col("x").alias("node")).agg(F.min("r").alias("m")))
-        step = (labels.join(near, "node")
-                .select("node", F.col("root").alias("old"), F.least("root", "m").alias("root")))
+    total = _total(labels)
+    while total is not None:
+        near = both.join(labels.select(F.col("node").alias("y"), "root"), "y").select(F.col("x").alias("node"), "root")
+        step = near.union(labels.select("node", "root")).groupBy("node").agg(F.min("root").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("r2"))
         new = materialize(step.join(jump, "root", "left")
-                          .select("node", "old", F.least("root", F.coalesce("r2", "root")).alias("root")))
-        changed = new.filter("root <> old").limit(1).count()
+                          .select("node", F.least("root", F.coalesce("r2", "root")).alias("root")))
+        before, total = total, _total(new)
         free(labels)
-        if not changed:
-            free(both)
-            return new
         labels = new
+        if total == before:
+            break
+    free(both)
+    return labels

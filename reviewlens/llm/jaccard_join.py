@@ -19,9 +19,9 @@ sizes a and b are linked when their overlap is at least
 Lists are joined without expanding groups of copies into all pairs. Equal
 sets are one node. Star rounds link every member to one centre of its lists
 and merge the links that verify; then all pairs of a list whose components
-still differ are joined, bounded by position and prefix counts and verified
-on the full sets. A pair left out is already connected or provably under the
-threshold, so components are exact.
+still differ are joined by size and position, bounded by their prefixes and
+verified on the full sets. A pair left out is already connected or provably
+under the threshold, so components are exact.
 """
 
 from __future__ import annotations
@@ -35,14 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_text, materialize, prepare, small
+from .common import free, keyed_text, materialize, prepare, small
 from .components import connected_components
 from .shingles import batch_shingles, mix64
 
 SHINGLE = 5
 NUM, DEN = 75, 100
 #: counters of the frequency sketch: a fixed size, whatever the corpus
-SKETCH_BITS = 22
+SKETCH_BITS = 24
+#: sketch counters of this sum mark frequent elements
+FREQUENT = 32
+#: lists of this many sets or more are thinned by star rounds, around this many centres each
+LONG_LIST, CENTRES = 16, 4
 #: sizes for which enumeration is considered at all (2^12 subsets at most)
 LARGEST_LIGHT = 12
 
@@ -77,6 +81,17 @@ def choose_boundary(sizes: dict[int, int], mean_list: float, num: int = NUM, den
     return min(range(1, LARGEST_LIGHT + 1), key=lambda b: (cost(b), b))
 
 
+def _chance_limit(mean: float) -> int:
+    """Smallest count that a Poisson counter of this mean reaches with a chance of at most 1 in 500."""
+    c, p = 0, math.exp(-mean)
+    tail = 1.0
+    while tail > 0.002:
+        tail -= p
+        c += 1
+        p *= mean / c
+    return c
+
+
 def _sketch_pass(k: int):
     """Per task: sketch counters that stand out, and a histogram of small sizes."""
     def run(batches: Iterator[pa.RecordBatch]):
@@ -91,8 +106,7 @@ def _sketch_pass(k: int):
                 if len(u) <= LARGEST_LIGHT:
                     sizes[len(u)] += 1
                 np.add.at(counts, (u >> shift).astype(np.int64), 1)
-        # four times the mean counter and 12 more: chance alone stays below
-        hot = np.flatnonzero(counts > 12 + 4 * tokens / counts.size)
+        hot = np.flatnonzero(counts >= _chance_limit(tokens / counts.size))
         kind = np.concatenate([np.zeros(len(hot)), np.ones(len(sizes)), [2]]).astype(np.int32)
         key = np.concatenate([hot, np.arange(len(sizes)), [0]]).astype(np.int64)
         val = np.concatenate([counts[hot], sizes, [tokens]]).astype(np.int64)
@@ -195,11 +209,52 @@ def _verify(num: int, den: int):
     return run
 
 
-class _Verifier:
-    """Checks candidate pairs of nodes on their full sets."""
+def _prefix_bound(num: int, den: int):
+    """Keeps the pairs that may be linked by what their prefixes tell.
+
+    Say the prefix of x ends first in the global order. Then its elements
+    beyond the m common ones are not in y, and the common elements of the sets
+    are the m, and at most the rest of x after the prefix and the rest of y
+    after the last common position; likewise with x and y exchanged. Elements
+    are folded to 32 bits here, which can only raise m.
+    """
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            x, y, a, b = (batch.column(i) for i in range(4))
+            keep = []
+            for i in range(batch.num_rows):
+                n, m = a[i].as_py(), b[i].as_py()
+                px, py = batch.column(4)[i].values.to_numpy(), batch.column(5)[i].values.to_numpy()
+                in_y, in_x = np.flatnonzero(np.isin(px, py)), np.flatnonzero(np.isin(py, px))
+                if not len(in_y):
+                    keep.append(False)
+                    continue
+                rest = max(min(n - len(px), m - 1 - in_x[-1]), min(m - len(py), n - 1 - in_y[-1]))
+                keep.append(bool(max(len(in_x), len(in_y)) + rest >= need(n, m, num, den)))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.record_batch([x.filter(keep), y.filter(keep)], names=["x", "y"])
+    return run
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int):
-        self.docs, self.reps, self.k, self.num, self.den = docs, reps, k, num, den
+
+class _Verifier:
+    """Checks candidate pairs of nodes on their prefixes and on their full sets."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, reps: DataFrame, k: int, num: int, den: int):
+        self.docs, self.nodes, self.reps, self.k, self.num, self.den = docs, nodes, reps, k, num, den
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """``pairs(x, y, a, b)`` that their prefixes do not rule out."""
+        pairs = materialize(pairs)
+        ids = materialize(pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct())
+        fold = F.transform("prefix", lambda v: F.shiftright(v, 32).cast("int"))
+        prefixes = materialize(self.nodes.filter("prefix is not null").select("node", fold.alias("p"))
+                               .join(small(ids), "node").dropDuplicates(["node"]))
+        kept = materialize(
+            pairs.join(prefixes.select(F.col("node").alias("x"), F.col("p").alias("px")), "x")
+            .join(prefixes.select(F.col("node").alias("y"), F.col("p").alias("py")), "y")
+            .select("x", "y", "a", "b", "px", "py").mapInArrow(_prefix_bound(self.num, self.den), "x long, y long"))
+        free(pairs, ids, prefixes)
+        return kept
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """``pairs(x, y)`` that are linked."""
@@ -207,12 +262,14 @@ class _Verifier:
         nodes = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
         ids = materialize(nodes.join(self.reps, "node").select("node", F.col("rep").alias("doc_id")))
         texts = self.docs.join(small(ids), "doc_id").select("node", "text")
-        sets = materialize(texts.mapInArrow(_set_pass(self.k), "node long, elements array<long>")
-                           .dropDuplicates(["node"]))
+        # (equal rows of a repeated doc_id give their pair twice, which changes no component)
+        sets = materialize(texts.mapInArrow(_set_pass(self.k), "node long, elements array<long>"))
         a = sets.select(F.col("node").alias("x"), F.col("elements").alias("ea"))
         b = sets.select(F.col("node").alias("y"), F.col("elements").alias("eb"))
-        return materialize(pairs.join(a, "x").join(b, "y").select("x", "y", "ea", "eb")
-                           .mapInArrow(_verify(self.num, self.den), "x long, y long"))
+        found = materialize(pairs.join(a, "x").join(b, "y").select("x", "y", "ea", "eb")
+                            .mapInArrow(_verify(self.num, self.den), "x long, y long"))
+        free(pairs, ids, sets)
+        return found
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -233,7 +290,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = keyed_text(df, id_col, text_col)
 
     rows = (docs.select("text").mapInArrow(_sketch_pass(shingle), "kind int, key long, val long")
-            .groupBy("kind", "key").agg(F.sum("val").alias("val")).collect())  # at most 2^22 counters
+            .groupBy("kind", "key").agg(F.sum("val").alias("val"))
+            .filter((F.col("kind") > 0) | (F.col("val") >= FREQUENT)).collect())  # at most 2^24 counters
     tokens = sum(r["val"] for r in rows if r["kind"] == 2)
     hot = sorted((r["key"], r["val"]) for r in rows if r["kind"] == 0)
     mean_list = 1 + sum(v * v for _, v in hot) / max(tokens, 1)
@@ -243,7 +301,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keys = materialize(docs.mapInArrow(_keys_pass(shingle, boundary, heavy, num, den), _KEYS))
     nodes = keys.filter("node is not null and doc_id is not null")
     reps = materialize(nodes.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
-    verify = _Verifier(docs, reps, shingle, num, den)
+    verify = _Verifier(docs, nodes, reps, shingle, num, den)
 
     repeated = nodes.groupBy("doc_id").agg(F.min("node").alias("y"), F.max("node").alias("hi")).filter("y <> hi")
     same_id = nodes.join(repeated.select("doc_id", "y"), "doc_id").filter("node <> y").select(F.col("node").alias("x"), "y")
@@ -255,6 +313,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_node = materialize(reps.join(roots, "node", "left").join(smallest, "root", "left")
                           .select("node", F.coalesce("component_id", "rep").alias("component_id")))
+    free(reps, roots)
     return (keys.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node")
            .join(by_node, "node", "left")
            .select("doc_id", "n_shingles",
@@ -274,73 +333,85 @@ def _light_links(nodes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _inverted_lists(nodes: DataFrame, boundary: int) -> DataFrame:
-    """(token, node, n, pos) of every token that two sets or more have in their prefix."""
+    """(token, node, n, pos, length) of every token that two sets or more have in their prefix."""
     entries = (nodes.filter("prefix is not null")
                .select("node", "n", F.posexplode("prefix").alias("pos", "token")))
     token = Window.partitionBy("token")
     return materialize(
         entries.withColumn("lo", F.min("node").over(token)).withColumn("hi", F.max("node").over(token))
-        .filter("lo <> hi").select("token", "node", "n", "pos").distinct())
-
-
-def _need_col(a: str, b: str, num: int, den: int):
-    return F.ceil(F.lit(num) * (F.col(a) + F.col(b)) / F.lit(num + den))
+        .withColumn("length", F.count("*").over(token))
+        .filter("lo <> hi").select("token", "node", "n", "pos", "length").distinct())
 
 
 def _heavy_links(lists: DataFrame, links: DataFrame, verify: _Verifier, num: int, den: int):
     """Adds the links found through inverted lists; returns the components."""
-    n_lists = lists.count()
+    long = materialize(lists.filter(F.col("length") >= LONG_LIST))
+    n_long = long.count()
     roots = connected_components(links)
-    rounds = merged = 0
+    salt, before = 0, None
     while True:
-        mine = (lists.join(roots, "node", "left")
+        mine = (long.join(roots, "node", "left")
                 .select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root")))
         per_list = mine.groupBy("token", "root").agg(F.count("*").alias("c"))
-        per_list = per_list.groupBy("token").agg(
-            F.count("*").alias("roots"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
-        mixed = materialize(mine.join(per_list.filter("roots > 1").select("token"), "token"))
+        per_list = materialize(per_list.groupBy("token").agg(
+            F.count("*").alias("roots"), F.max_by("root", "c").alias("top"),
+            ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")))
         cross = per_list.agg(F.sum("pairs")).first()[0] or 0
-        # star rounds go on while most pairs of the lists lie within future components
-        if cross <= 2 * n_lists or rounds and not merged:
+        mixed = materialize(mine.join(per_list.filter("roots > 1").select("token", "top"), "token"))
+        free(per_list)
+        # star rounds go on while long lists have more open pairs than short ones could have and
+        # a round closes half of them; the result is the same after any number of rounds
+        if cross <= LONG_LIST * n_long or before is not None and 2 * cross > before:
             break
-        found = verify.links(_star_pairs(mixed, rounds, num, den))
-        merged = found.limit(1).count()
-        links = materialize(links.union(found))
+        found = verify.links(_star_pairs(mixed, salt, num, den))
+        links, old = materialize(links.union(found)), links
+        free(mixed, found, old, roots)
         roots = connected_components(links)
-        rounds += 1
-    found = verify.links(_cross_pairs(mixed, num, den))
-    return connected_components(links.union(found))
+        salt, before = salt + CENTRES, cross
+    short = (lists.filter(F.col("length") < LONG_LIST).join(roots, "node", "left")
+             .select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root")))
+    # in a long list, every pair that is apart has a member outside its largest component
+    pairs = (_cross_pairs(short, short, "rx < ry", num, den)
+             .union(_cross_pairs(mixed.filter("root <> top"), mixed, "rx <> ry", num, den)).distinct())
+    possible = verify.possible(pairs)
+    found = verify.links(possible)
+    free(long, mixed, roots, possible)
+    roots = connected_components(links.union(found))
+    free(found, links, lists)
+    return roots
 
 
 def _star_pairs(mixed: DataFrame, salt: int, num: int, den: int) -> DataFrame:
-    """At most a few likely pairs per node: the centre of its lists with which
-    it shares most of them. Leaving a pair out here loses nothing, since the
-    last step joins whatever is still apart."""
-    centre = mixed.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("o"),
-                                                       F.col("node").alias("y"), F.col("n").alias("yn"),
-                                                       F.col("root").alias("yroot"))).alias("m"))
-    pairs = (mixed.join(centre.select("token", "m.*"), "token")
+    """Likely pairs of a set and one of the centres of its lists. Leaving a pair
+    out here loses nothing, since the last step joins whatever is still apart."""
+    def centre(s):
+        return F.min(F.struct(F.xxhash64("node", F.lit(s)).alias("o"), F.col("node").alias("y"),
+                              F.col("n").alias("yn"), F.col("root").alias("yroot")))
+    centres = (mixed.groupBy("token").agg(*[centre(salt + i).alias(f"c{i}") for i in range(CENTRES)])
+               .select("token", F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("centres")))
+    pairs = (mixed.join(centres, "token").select("node", "n", "root", F.explode("centres").alias("m"))
+             .select(F.col("node").alias("x"), "n", "root", "m.y", "m.yn", "m.yroot")
              .filter((F.col("root") != F.col("yroot"))
                      & (F.col("n") * den >= F.col("yn") * num) & (F.col("yn") * den >= F.col("n") * num))
-             .groupBy(F.col("node").alias("x"), "y").agg(F.count("*").alias("c"), F.first("n").alias("n")))
-    best = pairs.groupBy("x").agg(F.max(F.struct("c", "y", "n")).alias("b"))
+             .groupBy("x", "y").agg(F.count("*").alias("c"), F.first("n").alias("n")))
     # a linked pair shares about three quarters of its prefixes; a fifth makes a try worthwhile
-    return best.filter(F.col("b.c") * 5 >= F.col("b.n") / 4).select("x", F.col("b.y").alias("y"))
-
-
-def _cross_pairs(mixed: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of a list that are still apart and may be linked.
-
-    m common prefix tokens, the last at positions i and j, leave at most
-    ``m + min(a - 1 - i, b - 1 - j)`` common elements.
-    """
-    x = mixed.select("token", F.col("node").alias("x"), F.col("n").alias("a"), F.col("pos").alias("i"), F.col("root").alias("rx"))
-    y = mixed.select("token", F.col("node").alias("y"), F.col("n").alias("b"), F.col("pos").alias("j"), F.col("root").alias("ry"))
-    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("rx") < F.col("ry"))
-                   & (F.col("a") * den >= F.col("b") * num) & (F.col("b") * den >= F.col("a") * num))
-    pairs = pairs.groupBy("x", "y", "a", "b").agg(F.count("*").alias("m"), F.max("i").alias("i"), F.max("j").alias("j"))
-    bound = F.col("m") + F.least(F.col("a") - 1 - F.col("i"), F.col("b") - 1 - F.col("j"))
-    return pairs.filter(bound >= _need_col("a", "b", num, den)).select("x", "y")
+    return pairs.filter(F.col("c") * 5 >= F.col("n") / 4).select("x", "y")
+
+
+def _cross_pairs(left: DataFrame, right: DataFrame, apart: str, num: int, den: int) -> DataFrame:
+    """(x, y, a, b): pairs of a list in different components that may be linked
+    by size and position. A linked pair shares an element among the first
+    ``a - need(a, b) + 1`` of the one and ``b - need(a, b) + 1`` of the other."""
+    x = left.select("token", F.col("node").alias("x"), F.col("n").alias("a"), F.col("pos").alias("i"), F.col("root").alias("rx"))
+    y = right.select("token", F.col("node").alias("y"), F.col("n").alias("b"), F.col("pos").alias("j"), F.col("root").alias("ry"))
+    least = F.ceil(F.lit(num) * (F.col("a") + F.col("b")) / F.lit(num + den))
+    pairs = x.join(y, (x["token"] == y["token"]) & F.expr(apart)
+                   & (F.col("a") * den >= F.col("b") * num) & (F.col("b") * den >= F.col("a") * num)
+                   & (F.col("i") <= F.col("a") - least) & (F.col("j") <= F.col("b") - least))
+    first = F.col("x") < F.col("y")
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"),
+                        F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"),
+                        F.when(first, F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
 
 
 def keep_one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
