@@ -123,7 +123,8 @@ def _keys_pass(k: int, boundary: int, heavy, num: int, den: int):
         seen: set = set()
         for batch in batches:
             sizes, nodes, prefix, subsets = [], [], [], []
-            for _, h in batch_shingles(batch.column(1), k):
+            named = batch.column(0).is_valid().to_pylist()
+            for r, h in batch_shingles(batch.column(1), k):
                 u = np.unique(h)
                 a = len(u)
                 sizes.append(a)
@@ -134,7 +135,8 @@ def _keys_pass(k: int, boundary: int, heavy, num: int, den: int):
                     continue
                 node = _node_id(u)
                 nodes.append(node)
-                if node in seen:            # an equal set of this task has its keys already
+                # a row without an id takes no part in links; an equal set of this task has its keys already
+                if not named[r] or node in seen:
                     prefix.append(None)
                     subsets.append(None)
                     continue

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from reviewlens.llm import jaccard_join as J
 from tests.llm.helpers import docs, shingles, with_clashes
@@ -76,6 +77,16 @@ def test_repeated_and_null_ids(spark):
     assert got == [(0, None), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
 
 
+@pytest.mark.parametrize("size", [8, 60])
+def test_null_id_copy_before_a_valid_copy(spark, size):
+    """Light and heavy sets: the first copy of a task has no id, the second is linked with a near copy."""
+    a = [f"w{i}" for i in range(size)]
+    near = " ".join(a + ["more"])
+    rows = [(None, " ".join(a)), (7, " ".join(a)), (3, near), (9, "p q r s t u v w")]
+    got = J.jaccard_components(docs(spark, rows).coalesce(1).sortWithinPartitions(F.col("doc_id").asc_nulls_first())).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (3, 3), (7, 3), (9, 9)]
+
+
 def test_empty_table_and_stage(spark):
     assert J.jaccard_components(docs(spark, [])).count() == 0
     rows = corpus(3)
