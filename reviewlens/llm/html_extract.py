@@ -46,6 +46,8 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead
 tr ul""".split())
 CLOSES_P = BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
+#: what may stand in an open head; any other element or text ends it, for its end tag may be left out
+HEAD = frozenset("head html base basefont bgsound link meta title style script noscript template".split())
 NEVER = frozenset(("nav", "aside", "footer", "form", "dialog", "menu"))   # by their meaning never part of the article
 #: an element that ends an open one of these, up to the given container
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
@@ -78,6 +80,8 @@ def parse(page: str) -> list[Node]:
 
     def add_text(s: str) -> None:
         nonlocal order
+        if stack[-1][0] == "head" and s.strip():
+            close(len(stack) - 1)
         node = nodes[stack[-1][1]]
         if s and not node.silent and not any(t in SILENT for t, _ in stack[-3:]):
             node.texts.append((order, html.unescape(s) if "&" in s else s, links > 0))
@@ -114,6 +118,8 @@ def parse(page: str) -> list[Node]:
             at = len(page) if end < 0 else end + 1
             continue
         tag = m["tag"].lower()
+        if stack[-1][0] == "head" and tag not in HEAD:
+            close(len(stack) - 1)
         if m["end"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:

@@ -59,6 +59,17 @@ def test_broken_markup_does_not_crash(model):
         H.main_text(page, model)
 
 
+@pytest.mark.parametrize("start", [
+    "<html><head><title>T</title><body>", "<head><meta charset=utf-8><title>T</title><link href=x>", "<html><head></body>",
+    "<head><script>var a;</script><template><div>no</div></template><noscript><img src=x></noscript><body>"])
+def test_end_tag_of_head_left_out(model, start):
+    page = PAGE.replace("{extra}", "")
+    page = start + page[page.index("<body>") + len("<body>"):]
+    assert H.main_text(page, model) == WANT
+    text = [t for n in H.parse("<head><title>T</title> \n Plain words<p>more") for _, t, _ in n.texts]
+    assert [t.strip() for t in text if t.strip()] == ["Plain words", "more"]
+
+
 def test_frame(spark):
     rows = [(i, f"u{i}", p) for i, p in enumerate(pages(30))]
     rows += [(0, "u0", rows[0][2]), (None, None, None), (99, "", "")]
