@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -163,13 +164,18 @@ def text_blocks(nodes: list[Node], keep: list[bool]) -> list[str]:
     """Texts of the kept nodes in page order; white space inside a block is one blank.
 
     Text of a node that stands between its child elements makes a block of its own."""
+    first = [n.texts[0][0] if n.texts else np.inf for n in nodes]      # order of the first text of each subtree
+    for i in range(len(nodes) - 1, 0, -1):                 # children come after their parents
+        first[nodes[i].parent] = min(first[nodes[i].parent], first[i])
     runs: list[tuple[int, str]] = []
     for i, n in enumerate(nodes):
         if not keep[i] or not n.texts:
             continue
+        below = [first[c] for c in n.children if first[c] < np.inf]    # ascending, as children are in page order
         begin, last, parts = n.texts[0][0], None, []
         for order, text, _ in n.texts:
-            if last is not None and order - last > 1 and _split_between(nodes, i, last, order):
+            # a child lies between two texts whole or not at all
+            if last is not None and order - last > 1 and bisect_right(below, last) < bisect_left(below, order):
                 runs.append((begin, "".join(parts)))
                 begin, parts = order, []
             parts.append(text)
@@ -180,16 +186,6 @@ def text_blocks(nodes: list[Node], keep: list[bool]) -> list[str]:
     return [t for t in cleaned if t]
 
 
-def _split_between(nodes: list[Node], i: int, a: int, b: int) -> bool:
-    """Whether a child element of node i lies between two of its texts."""
-    return any(_first_order(nodes, c, a, b) for c in nodes[i].children)
-
-
-def _first_order(nodes: list[Node], i: int, a: int, b: int) -> bool:
-    n = nodes[i]
-    return any(a < o < b for o, _, _ in n.texts) or any(_first_order(nodes, c, a, b) for c in n.children)
-
-
 # words that pages use for the parts of a layout; whether and how they count is learned
 HINTS = ("article content main post entry story body text nav menu header footer sidebar side aside ad ads advert sponsor promo "
          "banner notice cookie consent popup modal alert share social related recommend comment comments reply discussion form "

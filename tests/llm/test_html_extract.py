@@ -70,6 +70,14 @@ def test_end_tag_of_head_left_out(model, start):
     assert [t.strip() for t in text if t.strip()] == ["Plain words", "more"]
 
 
+@pytest.mark.parametrize("tag", ["div", "blockquote", "center"])
+def test_deep_nest_between_texts(tag):
+    nodes = H.parse("<article>a" + f"<{tag}>" * 3000 + "x" + f"</{tag}>" * 3000 + "b<div></div>c<p>d</p>e</article>")
+    assert H.text_blocks(nodes, [True] * len(nodes)) == ["a", "x", "bc", "d", "e"]
+    nodes = H.parse("<article>a" + f"<{tag}>x" * 3000 + "</article>b")
+    assert H.text_blocks(nodes, [True] * len(nodes)) == ["a"] + ["x"] * 3000 + ["b"]
+
+
 def test_frame(spark):
     rows = [(i, f"u{i}", p) for i, p in enumerate(pages(30))]
     rows += [(0, "u0", rows[0][2]), (None, None, None), (99, "", "")]
