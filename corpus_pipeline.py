@@ -19,19 +19,21 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _rejected(scores: DataFrame, predicted: int) -> DataFrame:
-    return materialize(scores.filter(scores["predicted"] == predicted).select("doc_id"))
+    return materialize(scores.filter(scores["predicted"] == predicted).select("doc_id", "text_hash").distinct())
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble predicts as label 1 stay."""
-    scores = quality_rules.quality_scores(docs, read_table(spark, sf_dir, "labels"))
-    return without(docs, _rejected(scores, 0)).select(*COLUMNS)
+    """Documents that the rule ensemble predicts as label 1 stay. Each row is
+    judged by its own text, also under a null or repeated doc_id."""
+    scores = quality_rules.quality_scores(docs, read_table(spark, sf_dir, "labels"), hashed=True)
+    return without(docs, _rejected(scores, 0), text_col="text").select(*COLUMNS)
 
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted as toxic go."""
-    scores = toxicity.toxicity_scores(docs, read_table(spark, sf_dir, "labels"))
-    return without(docs, _rejected(scores, 1)).select(*COLUMNS)
+    """Documents predicted as toxic go. Each row is judged by its own text, also
+    under a null or repeated doc_id."""
+    scores = toxicity.toxicity_scores(docs, read_table(spark, sf_dir, "labels"), hashed=True)
+    return without(docs, _rejected(scores, 1), text_col="text").select(*COLUMNS)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.session import ensure_checkpoint_dir, scratch_path, ship_package
@@ -61,10 +61,21 @@ def small(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``dropped`` (one long column)."""
-    ids = dropped.select(F.col(dropped.columns[0]).alias("_dropped_id"))
-    return docs.join(small(ids), docs[id_col].eqNullSafe(F.col("_dropped_id")), "left_anti")
+def text_hash(text: Column) -> Column:
+    """Tells the texts of one id apart; a null text counts as an empty one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str | None = None) -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``dropped`` (one long column). With
+    ``text_col``, ``dropped`` has the hash of the text as a second column and
+    both must be equal; null ids are then rows like any other."""
+    names = ["_dropped_id", "_dropped_hash"][:1 if text_col is None else 2]
+    ids = dropped.select(*[F.col(c).alias(n) for c, n in zip(dropped.columns, names)])
+    same = docs[id_col].eqNullSafe(F.col("_dropped_id"))
+    if text_col is not None:
+        same = same & (text_hash(docs[text_col]) == F.col("_dropped_hash"))
+    return docs.join(small(ids), same, "left_anti")
 
 
 def large_string(batch: pa.RecordBatch, name: str) -> list:
@@ -73,4 +84,4 @@ def large_string(batch: pa.RecordBatch, name: str) -> list:
 
 
 __all__ = ["BROADCAST_IDS", "free", "keyed_text", "large_string", "materialize", "prepare", "read_table",
-           "shuffle_partitions", "small", "without"]
+           "shuffle_partitions", "small", "text_hash", "without"]

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, prepare
+from .common import keyed_text, prepare, text_hash
 from .text_stats import NAMES, SCHEMA, stats_pass
 
 SAMPLE_ROWS = 20_000
@@ -176,8 +176,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modu
 
 
 def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted.
+                   threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS, hashed: bool = False) -> DataFrame:
+    """One row per input row: doc_id, held_out, score, predicted, and with
+    ``hashed`` text_hash, which tells the texts of one id apart.
 
     A null or empty text has zero statistics and is scored like any other.
     Without usable labels every score is 0.5; with labels of one class only it
@@ -187,7 +188,10 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     prepare(df.sparkSession)
     docs = keyed_text(df, id_col, text_col)
     model = fit_quality(docs, labels, sample_rows=sample_rows)
-    stats = docs.mapInArrow(stats_pass(("doc_id",)), f"doc_id long, {SCHEMA}")
+    keys = ["text_hash"] if hashed else []
+    if hashed:
+        docs = docs.withColumn("text_hash", text_hash(F.col("text")))
+    stats = docs.mapInArrow(stats_pass(("doc_id", *keys)), ", ".join(["doc_id long", *[f"{k} long" for k in keys], SCHEMA]))
     return (stats.withColumn("score", model.column())
             .select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score",
-                    (F.col("score") >= threshold).cast("int").alias("predicted")))
+                    (F.col("score") >= threshold).cast("int").alias("predicted"), *keys))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_text, prepare
+from .common import keyed_text, prepare, text_hash
 from .quality_rules import held_out, labelled_ids
 from .shingles import mix64, row_chunks, text_buffers
 
@@ -244,13 +244,16 @@ def _score_pass(model):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
-            yield pa.record_batch([batch.column(0), pa.array(model.value.scores(raw, offsets))], names=["doc_id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(model.value.scores(raw, offsets)), *batch.columns[2:]],
+                                  names=["doc_id", "score", *batch.schema.names[2:]])
     return run
 
 
 def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted.
+                    threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES,
+                    hashed: bool = False) -> DataFrame:
+    """One row per input row: doc_id, held_out, score, predicted, and with
+    ``hashed`` text_hash, which tells the texts of one id apart.
 
     A null or empty text, or one without words, gets the score of the bias
     alone (the prior). Without usable labels, or with labels of one class, the
@@ -261,6 +264,9 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     prepare(spark)
     docs = keyed_text(df, id_col, text_col)
     model = spark.sparkContext.broadcast(fit_toxicity(docs, labels, sample_rows=sample_rows, sample_bytes=sample_bytes))
-    return (docs.mapInArrow(_score_pass(model), "doc_id long, score double")
+    keys = ["text_hash"] if hashed else []
+    if hashed:
+        docs = docs.withColumn("text_hash", text_hash(F.col("text")))
+    return (docs.mapInArrow(_score_pass(model), ", ".join(["doc_id long, score double", *[f"{k} long" for k in keys]]))
             .select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score",
-                    (F.col("score") >= threshold).cast("int").alias("predicted")))
+                    (F.col("score") >= threshold).cast("int").alias("predicted"), *keys))

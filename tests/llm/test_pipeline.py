@@ -1,6 +1,7 @@
 """Every stage on the rows of the one before, against brute force or its scores."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline as C
@@ -64,3 +65,19 @@ def test_stages_take_unusual_documents(spark):
     empty = docs(spark, [])
     for _, f in C.STAGES:
         assert f(spark, empty, SF_SMALL).count() == 0
+
+
+def test_filters_judge_rows_of_one_id_apart(spark, monkeypatch):
+    """A null or repeated id takes only its rejected texts with it."""
+    bad = "badword of many words that stand here in a row"
+    buckets, _, _ = toxicity.window_ngrams(np.frombuffer(b"badword", np.uint8), np.array([0, 7]))
+    weight = np.zeros(1 << toxicity.BUCKET_BITS, np.float32)
+    weight[buckets] = 1000
+    monkeypatch.setattr(toxicity, "fit_toxicity", lambda *a, **k: toxicity.ToxicityModel(weight, -5.0))
+    long = quality_rules.RuleModel(rules=[((quality_rules.NAMES.index("n_words"), False, 5.0),)], weights=[-10.0], intercept=5.0)
+    monkeypatch.setattr(quality_rules, "fit_quality", lambda *a, **k: long)
+    rows = [(None, "good a"), (None, bad), (None, None), (1, "good a"), (1, bad), (1, "good c"), (2, bad), (3, "good a")]
+    want = sorted((i or 0, t or "") for i, t in rows if t != bad)
+    for stage in (C.quality, C.non_toxic):
+        left = stage(spark, docs(spark, rows), SF_SMALL).collect()
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == want
