@@ -49,7 +49,9 @@ tr ul""".split())
 CLOSES_P = BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 #: what may stand in an open head; any other element or text ends it, for its end tag may be left out
 HEAD = frozenset("head html base basefont bgsound link meta title style script noscript template".split())
-NEVER = frozenset(("nav", "aside", "footer", "form", "dialog", "menu"))   # by their meaning never part of the article
+NEVER = frozenset(("nav", "aside", "footer", "form", "dialog", "menu"))   # by their meaning no part of the article, see _open_frames
+FRAMES = frozenset(("nav", "form", "menu"))              # that pages also wrap around everything
+CONTENT_TAGS = frozenset(("article", "main"))
 #: an element that ends an open one of these, up to the given container
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
            "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -71,6 +73,7 @@ class Node:
     children: list[int] = field(default_factory=list)
     texts: list[tuple[int, str, bool]] = field(default_factory=list)   # (order, text, in a link)
     siblings: int = 0
+    ended: bool = False                                    # by an end tag of its own
 
 
 def parse(page: str) -> list[Node]:
@@ -124,6 +127,8 @@ def parse(page: str) -> list[Node]:
         if m["end"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
+                    if tag in BLOCKS:
+                        nodes[stack[i][1]].ended = True
                     close(i)
                     break
             if tag in BLOCKS:
@@ -154,12 +159,62 @@ def parse(page: str) -> list[Node]:
         else:
             links += tag == "a"
             stack.append((tag, stack[-1][1]))
+    nodes = _open_frames(nodes)
     for n in nodes:
         for c in n.children:
             nodes[c].siblings = len(n.children)
     return nodes
 
 
+def _open_frames(nodes: list[Node]) -> list[Node]:
+    """The nodes without elements of ``NEVER`` that cannot mean what their tag
+    says; their children go to the parent, and one with own text becomes a
+    plain ``div``, so the trees judge the parts one by one. These are an open one without an end
+    tag (a footer may end with the page), and one around the content, which is
+    every ``article`` and ``main`` of the page, or without these an ``h1`` or
+    most of the text outside links (``aside``, ``footer`` and ``dialog``: all
+    marks and most of the text)."""
+    if not any(n.tag in NEVER for n in nodes):
+        return nodes
+    marks = [int(n.tag in CONTENT_TAGS and not n.silent) for n in nodes]
+    heads = [int(n.tag == "h1" and not n.silent) for n in nodes]
+    plain = [sum(len(t.strip()) for _, t, k in n.texts if not k) for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):                 # children come after their parents
+        p = nodes[i].parent
+        marks[p] += marks[i]
+        heads[p] += heads[i]
+        plain[p] += plain[i]
+    gone = set()
+    for i, n in enumerate(nodes):
+        if n.tag not in NEVER:
+            continue
+        most = 2 * plain[i] > plain[0]
+        marked = marks[0] > 0 and marks[i] == marks[0]
+        if n.tag in FRAMES:
+            around = marked or not marks[0] and (heads[i] > 0 or most)
+        else:
+            around = marked and most
+        if around or not n.ended and n.tag != "footer":
+            n.tag, n.tokens = "div", frozenset()
+            if not any(t.strip() for _, t, _ in n.texts):
+                gone.add(i)
+    if not gone:
+        return nodes
+    at, out = [0] * len(nodes), []                         # new place of each node, or that of its parent
+    for i, n in enumerate(nodes):
+        parent = at[n.parent] if i else -1
+        if i in gone:
+            at[i] = parent
+            continue
+        at[i] = len(out)
+        out.append(n)
+        n.parent, n.children = parent, []
+        if i:
+            n.depth, n.sibling = out[parent].depth + 1, len(out[parent].children)
+            out[parent].children.append(at[i])
+    return out
+
+
 def text_blocks(nodes: list[Node], keep: list[bool]) -> list[str]:
     """Texts of the kept nodes in page order; white space inside a block is one blank.
 
@@ -344,7 +399,6 @@ def main_text(page: str | None, model: BoostedTrees) -> str:
     return "\n\n".join(text_blocks(nodes, decode(nodes, model.log_odds(x), own)))
 
 
-CONTENT_TAGS = frozenset(("article", "main"))
 CHROME_TAGS = frozenset(("nav", "aside", "footer", "form", "header", "menu", "dialog"))
 CHROME_HINTS = frozenset(HINTS[HINTS.index("nav"):])
 

@@ -78,6 +78,27 @@ def test_deep_nest_between_texts(tag):
     assert H.text_blocks(nodes, [True] * len(nodes)) == ["a"] + ["x"] * 3000 + ["b"]
 
 
+def test_form_around_the_page(model):
+    page = PAGE.replace("{extra}", "")
+    assert H.main_text(page.replace("<body>", '<body><form id="form" action=x>').replace("</body>", "</form></body>"), model) == WANT
+
+
+@pytest.mark.parametrize("tag", ["nav", "form", "menu"])
+def test_unclosed_frames(model, tag):
+    page = PAGE.replace("{extra}", "")
+    assert H.main_text(page.replace('<div class="ad">', f'<{tag}><div class="ad">'), model) == WANT
+    cut = H.main_text(page.replace("<p>Third", f"<{tag}><p>Third"), model)
+    assert cut == WANT
+
+
+def test_closed_frames_stay_out(model):
+    for tag in ("nav", "form", "menu", "aside", "dialog", "footer"):
+        page = PAGE.replace("{extra}", f"<{tag}><p>Some words that are of no matter here.</p></{tag}>")
+        assert H.main_text(page, model) == WANT
+    teasers = "<aside>" + "<article><p>Another story, told elsewhere at length.</p></article>" * 9 + "</aside>"
+    assert "Another story" not in H.main_text(PAGE.replace("{extra}", "").replace("<footer>", teasers + "<footer>"), model)
+
+
 def test_frame(spark):
     rows = [(i, f"u{i}", p) for i, p in enumerate(pages(30))]
     rows += [(0, "u0", rows[0][2]), (None, None, None), (99, "", "")]
