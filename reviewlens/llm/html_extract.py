@@ -11,10 +11,12 @@ kept, its whole subtree is dropped, or it is mixed and its children choose. A
 dynamic program over the tree maximises the sum of the text-weighted log odds,
 so no node is kept below a dropped one or dropped below a kept one.
 
-Training pages come from the table itself, a bounded sample by a hash of the
-page id: text inside ``article`` or ``main`` is labelled as content, and the
-sample is laid out anew with other tags, class names, sidebars, notices, forms
-and comments, so that the trees do not rest on one template. Scripts, styles
+Training pages come from the table itself, a sample of a fixed number by a hash
+of id and page, whatever their size: text inside ``article`` or ``main`` is
+labelled as content, and the texts (of a page without these marks, all outside
+menus, notices and the like) are laid out anew with other tags, class names, sidebars, notices, forms
+and comments, so that the trees do not rest on one template. Executors turn the
+pages into features of at most ``TRAIN_ROWS`` nodes for the driver. Scripts, styles
 and the like are never text.
 """
 
@@ -31,10 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import free, materialize, prepare
 
 SAMPLE_PAGES = 300
-SAMPLE_BYTES = 4 << 20
+#: training takes at most so many nodes in all, and of a page or a layout
+TRAIN_ROWS, PAGE_ROWS = 120_000, 400
+#: texts around the content that layouts draw from, characters of each, and tasks that read the sample
+CHROME_TEXTS, CHROME_CHARS, SAMPLE_TASKS = 200, 2000, 16
 TREES, DEPTH, RATE, LEAF = 40, 4, 0.2, 20
 #: a mixed node must gain this much, so that trees stay undivided without a reason
 SPLIT_COST = 0.5
@@ -473,56 +478,116 @@ def _layout_labels(nodes: list[Node]) -> np.ndarray:
     return y
 
 
-def fit_extractor(pages: list[str], seed: int = 4) -> BoostedTrees:
-    """Trees on the sampled pages as they are and on three new layouts of each."""
+def page_blocks(page: str) -> tuple[bool, list[str], list[str]]:
+    """Whether a page marks its content, the content blocks and the others.
+
+    Without a mark, the blocks outside menus, notices and the like stand for
+    content, or all blocks if there are no such."""
+    nodes = parse(page)
+    y = weak_labels(nodes) > 0
+    content = text_blocks(nodes, y.tolist())
+    marked = bool(content)
+    if not marked:
+        for i, n in enumerate(nodes):                      # not in such a part, nor below one
+            chrome = n.silent or n.tag in CHROME_TAGS or bool(n.tokens & CHROME_HINTS)
+            y[i] = not chrome and (i == 0 or y[n.parent])
+        content = text_blocks(nodes, y.tolist())
+        if not content:
+            y[:] = True
+            content = text_blocks(nodes, y.tolist())
+    return marked, content, [t for t in text_blocks(nodes, (~y).tolist()) if len(t) > 3]
+
+
+def training_rows(page: str, chrome: list[str], rows: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and weights of nodes of a page as it is, if it marks its
+    content, and of three new layouts of its texts; at most ``rows`` nodes of each."""
     rng = np.random.default_rng(seed)
-    xs, ys, ws = [], [], []
+    xs, ys, ws = [np.zeros((0, N_FEATURES))], [np.zeros(0)], [np.zeros(0)]
 
     def learn(nodes: list[Node], y: np.ndarray) -> None:
         x, own = features(nodes)
-        keep = np.array([not n.silent for n in nodes])
-        xs.append(x[keep])
-        ys.append(y[keep])
-        ws.append(0.2 + np.log1p(own[keep]))
-    chrome: list[str] = []
-    for page in pages:
-        nodes = parse(page)
-        y = weak_labels(nodes)
-        content = text_blocks(nodes, (y > 0).tolist())
-        other = [t for t in text_blocks(nodes, (y == 0).tolist()) if len(t) > 3]
-        chrome = (other + chrome)[:200]
-        if not content:
-            continue
-        learn(nodes, y)
-        foreign = chrome + [t[:300] for t in content[-2:]]     # articles' own words as adverts and comments too
+        use = np.flatnonzero([not n.silent for n in nodes])
+        if len(use) > rows:
+            use = np.sort(rng.choice(use, rows, replace=False))
+        xs.append(x[use])
+        ys.append(y[use])
+        ws.append(0.2 + np.log1p(own[use]))
+    marked, content, other = page_blocks(page)
+    if content:
+        if marked:
+            nodes = parse(page)
+            learn(nodes, weak_labels(nodes))
+        foreign = other[:20] + chrome + [t[:300] for t in content[-2:]]   # articles' own words as adverts and comments too
         for _ in range(3):
             laid = parse(lay_out(content, foreign, rng))
             learn(laid, _layout_labels(laid))
-    if not xs:
+    return np.vstack(xs), np.concatenate(ys), np.concatenate(ws)
+
+
+def some_chrome(others: list[list[str]], seed: int) -> list[str]:
+    """At most ``CHROME_TEXTS`` of the texts that pages have around their content."""
+    found = [t for texts in others for t in texts]
+    return [found[i] for i in np.random.default_rng(seed).permutation(len(found))[:CHROME_TEXTS]]
+
+
+def fit_extractor(pages: list[str], seed: int = 4) -> BoostedTrees:
+    """Trees on pages as they are and on three new layouts of each."""
+    chrome = some_chrome([page_blocks(p)[2] for p in pages], seed)
+    rows = [training_rows(p, chrome, PAGE_ROWS, seed + i) for i, p in enumerate(pages)]
+    return _fit_rows(rows)
+
+
+def _fit_rows(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> BoostedTrees:
+    if not sum(len(y) for _, y, _ in rows):                # not one page has a text
         return BoostedTrees(base=4.0)
-    return fit_trees(np.vstack(xs), np.concatenate(ys), np.concatenate(ws))
+    return fit_trees(*(np.concatenate(part) for part in zip(*rows)))
+
+
+def fit_sample(sample: DataFrame, sample_pages: int, seed: int = 4) -> BoostedTrees:
+    """As :func:`fit_extractor` for ``sample(key, html)``, pages of any size: the
+    executors read them, and the driver gets short texts and node rows only."""
+    def others(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = page_blocks(page)[2]
+                found = [found[i][:CHROME_CHARS] for i in np.random.default_rng(abs(key)).permutation(len(found))[:8]]
+                yield pa.record_batch([pa.array([key], pa.int64()), pa.array([found], pa.list_(pa.string()))], names=["key", "texts"])
+    found = sample.mapInArrow(others, "key long, texts array<string>").collect()         # at most 8 short texts a page
+    chrome = some_chrome([r["texts"] for r in sorted(found, key=lambda r: r["key"])], seed)
+    most = min(PAGE_ROWS, max(TRAIN_ROWS // (4 * max(sample_pages, 1)), 1))
+
+    def rows(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y, w = training_rows(page, chrome, most, abs(key))
+                yield pa.record_batch([pa.array([key], pa.int64()), pa.array([x.astype(np.float32).tobytes()], pa.binary()),
+                                       pa.array([y.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())],
+                                      names=["key", "x", "y", "w"])
+    got = sample.mapInArrow(rows, "key long, x binary, y binary, w binary").collect()   # at most TRAIN_ROWS nodes
+    return _fit_rows([(np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES).astype(float), np.frombuffer(r["y"]), np.frombuffer(r["w"]))
+                      for r in sorted(got, key=lambda r: r["key"])])
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                   sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """One row per input row: page_id, url, text, n_chars.
 
-    A null or empty page, or one without main text, has an empty text. Without
-    any page that marks its article, everything outside scripts and the like
-    is kept. Repeated rows and null ids are extracted one by one; an empty
+    A null or empty page, or one without main text, has an empty text. The
+    trees learn from ``sample_pages`` pages of any size, chosen by hash; a page
+    that marks no article gives layouts of its texts only. Repeated rows and null ids are extracted one by one; an empty
     table gives an empty result; other columns are ignored.
     """
     spark = df.sparkSession
     prepare(spark)
     pages = df.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"),
                       F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
-    bound = SAMPLE_BYTES // max(sample_pages, 1)
-    # a training page is taken whole or not at all; keys are chosen first, so that only these pages travel
-    keyed = pages.filter(F.octet_length("html") <= 4 * bound).select("html", F.xxhash64("page_id", "html").alias("key"))
+    # training pages are the first by a hash, of any size; keys are chosen first, so that only these pages travel
+    keyed = pages.filter(F.col("html") != "").select("html", F.xxhash64("page_id", "html").alias("key"))
     keys = keyed.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(sample_pages)
-    sample = (keyed.join(F.broadcast(keys), "key").groupBy("key").agg(F.first("html").alias("html"))
-              .collect())                                         # at most sample_pages rows
-    model = spark.sparkContext.broadcast(fit_extractor([r["html"] for r in sorted(sample, key=lambda r: r["key"])]))
+    sample = materialize(keyed.join(F.broadcast(keys), "key").groupBy("key").agg(F.first("html").alias("html"))
+                         .repartition(SAMPLE_TASKS, "key"))       # at most sample_pages rows
+    model = spark.sparkContext.broadcast(fit_sample(sample, sample_pages))
+    free(sample)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

@@ -109,3 +109,24 @@ def test_frame(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert H.extract_pages(df).count() == 33
     assert H.extract_pages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_pages_without_marks(spark):
+    """Div-only pages: trees learn from layouts of their texts, not to keep everything."""
+    rows = [(i, "u", p.replace("<article>", "<div>").replace("</article>", "</div>")) for i, p in enumerate(pages(40))]
+    got = [r["text"] for r in H.extract_pages(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == 40 and sum("Second para <b> here" in t for t in got) >= 36
+    ads = [p.split('<div class="ad">')[1].split("</div>")[0] for _, _, p in rows]
+    assert sum(any(a in t for a in ads) for t in got) <= 4
+
+
+def test_training_on_large_pages(spark):
+    """Pages padded over any former bound give the same texts as the pages themselves."""
+    pad = "<script>" + "x" * 200_000 + "</script>"
+    texts = []
+    for page in (pages(40), [p.replace("</body>", pad + "</body>") for p in pages(40)]):
+        rows = [(i, "u", p) for i, p in enumerate(page)]
+        texts.append({r["page_id"]: r["text"] for r in H.extract_pages(spark.createDataFrame(rows, SCHEMA)).collect()})
+    assert texts[1] == texts[0] and all("Second para <b> here" in t and "Home" not in t for t in texts[1].values())
+    x, y, w = H.training_rows("<article>" + "<p>word here.</p>" * 5000 + "</article>", ["more"], 50, 1)
+    assert len(x) == len(y) == len(w) <= 200
