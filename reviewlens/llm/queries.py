@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe, exact_dedup, fingerprints, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules,
-               token_counts, toxicity)
+from . import (bpe, exact_dedup, fingerprints, html_extract, jaccard_join, language_id, license_scan, packing, prefix_trie,
+               quality_rules, token_counts, toxicity)
 from .common import read_table
 from .oracles import ORACLES
 
@@ -57,6 +57,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_license_scan, op4_best_fit_packing, op5_ngram_jaccard_join,
                                    op6_document_fingerprints, op7_toxicity, op8_exact_dedup, op9_bpe_encoding,
-                                   op10_language_id, op11_token_counts)}
+                                   op10_language_id, op11_token_counts, op12_prefix_trie)}
