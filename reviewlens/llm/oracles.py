@@ -23,6 +23,15 @@ sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array
          FROM words),
 shingles AS (SELECT doc_id, unnest(s) AS g FROM sets)"""
 
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a string expression's UTF-8 bytes."""
+    octets = f"list_transform(range(1, 2 * strlen({text}), 2), lambda i: CAST('0x' || substr(hex(encode({text})), i, 2) AS BIGINT))"
+    bits = "list_reduce([xor(a, o), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda a, o: {bits}), 4294967295::BIGINT)"
+
+
 ORACLES = {
     "op3_license_scan": f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
@@ -55,4 +64,47 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
 g AS (SELECT doc_id, t, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id,
              count(*) OVER (PARTITION BY t) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g""",
+    "op12_prefix_trie": rf"""
+WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) - 1 AS pos,
+                      coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, count(*) AS n, {_crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM turns GROUP BY 1),
+convs AS (SELECT o.conv_id, o.n, o.h, o.conv_id - o.conv_id % 20 AS source, least(o.h, coalesce(s.n, 0)) AS k
+          FROM own o LEFT JOIN own s ON s.conv_id = o.conv_id - o.conv_id % 20),
+rebuilt AS (SELECT c.conv_id, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.source AND t.pos < c.h
+            UNION ALL SELECT c.conv_id, t.pos - c.h + c.k, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos >= c.h),
+paths AS (SELECT conv_id, pos + 1 AS depth, text,
+                 list(sha256(role || chr(0) || text)) OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM rebuilt
+          UNION ALL SELECT conv_id, 0, '', [] FROM convs),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS words
+          FROM paths GROUP BY 1, 2),
+member AS (SELECT p.conv_id AS c, p.depth, n.conv_id, n.n_convs, n.words FROM paths p JOIN nodes n ON n.path = p.path),
+links AS (SELECT DISTINCT a.conv_id, a.depth, b.conv_id AS below, b.depth AS below_depth, b.n_convs, b.words
+          FROM member a JOIN member b ON a.c = b.c AND b.depth >= a.depth),
+children AS (SELECT conv_id, depth, count(*) FILTER (below_depth = depth + 1) AS n_children FROM links GROUP BY 1, 2),
+sums AS (SELECT l.conv_id, l.depth, count(*) FILTER (c.n_children = 0) AS n_leaves, sum((l.n_convs - 1) * l.words) AS saved_tokens
+         FROM links l JOIN children c ON c.conv_id = l.below AND c.depth = l.below_depth GROUP BY 1, 2),
+ends AS (SELECT m.conv_id, m.depth, string_agg(m.c, ',' ORDER BY m.c) AS ids
+         FROM member m JOIN (SELECT c, max(depth) AS depth FROM member GROUP BY 1) e ON e.c = m.c AND e.depth = m.depth GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, c.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens,
+       sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN member p ON p.c = n.conv_id AND p.depth = n.depth - 1
+JOIN children c ON c.conv_id = n.conv_id AND c.depth = n.depth JOIN sums s ON s.conv_id = n.conv_id AND s.depth = n.depth
+LEFT JOIN ends e ON e.conv_id = n.conv_id AND e.depth = n.depth""",
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), '{UPPER}', '{LOWER}') AS run FROM documents),
+sums AS (SELECT run, {_crc32("key")} AS h, k FROM
+         (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS key, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY 1, 2)),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM
+          (SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM sums)
+          WHERE length(word) >= 7 GROUP BY 1 HAVING sum(k) >= 2),
+holes AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS r(i)),
+near AS (SELECT DISTINCT a.word, b.word AS other, b.n AS m FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+         UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON w.word = h.rest
+         UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON w.word = h.rest),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS other, max(m) AS m FROM near GROUP BY 1),
+forms AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 10 * w.n THEN b.other END AS form, CASE WHEN b.m >= 10 * w.n THEN b.m END AS form_n
+          FROM words w LEFT JOIN best b USING (word)),
+walk AS (SELECT word, word AS last, 0 AS steps FROM forms
+         UNION ALL SELECT w.word, f.form, w.steps + 1 FROM walk w JOIN forms f ON f.word = w.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, (SELECT arg_max(w.last, w.steps) FROM walk w WHERE w.word = f.word) AS root, f.n, f.n_near, f.form_n FROM forms f""",
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (bpe, exact_dedup, fingerprints, html_extract, jaccard_join, language_id, license_scan, packing, prefix_trie,
-               quality_rules, token_counts, toxicity)
+               quality_rules, spelling_variants, token_counts, toxicity)
 from .common import read_table
 from .oracles import ORACLES
 
@@ -61,6 +61,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_license_scan, op4_best_fit_packing, op5_ngram_jaccard_join,
                                    op6_document_fingerprints, op7_toxicity, op8_exact_dedup, op9_bpe_encoding,
-                                   op10_language_id, op11_token_counts, op12_prefix_trie)}
+                                   op10_language_id, op11_token_counts, op12_prefix_trie,
+                                   op13_spelling_variants)}
