@@ -36,7 +36,7 @@ DEFAULTS = {
 class AnomalyDetector:
     def __init__(self, model_type: str = "isolation_forest", **params):
         if model_type not in MODEL_TYPES:
-            raise ValueError(f"Unknown model_type: {model_type}. Supported types: {', '.join(MODEL_TYPES)}")
+            raise ValueError(f"no detector is called {model_type!r}; there are {', '.join(MODEL_TYPES)}")
         self.model_type = model_type
         self.params = {**DEFAULTS[model_type], **params}
         self.model = None
@@ -68,18 +68,11 @@ class AnomalyDetector:
         return self
 
     def detect(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``anomaly_score`` and ``is_anomaly``. Rows are judged by their
+        features alone; an id that also stood in the training rows means nothing
+        (DBSCAN excepted, which has labels for its training rows only)."""
         if self.model is None:
             return df.withColumn("anomaly_score", F.lit(0.0)).withColumn("is_anomaly", F.lit(False))
-        if self.model_type == "lof":
-            s = self.model.training_scores().select(F.col("id").alias(self.id_col),
-                                                    F.col("lof").alias("anomaly_score"), "is_anomaly")
-            known = df.join(s, self.id_col)
-            new = df.join(s.select(self.id_col), self.id_col, "left_anti")
-            if new.isEmpty():
-                return known
-            # rows outside the training table are scored against it
-            scored = self.model.transform(new, mode="novelty")
-            return known.unionByName(scored.select(*known.columns))
         if self.model_type == "dbscan":
             lab = self._dbscan.labels.select(F.col("id").alias(self.id_col), "is_anomaly",
                                              F.col("is_anomaly").cast("double").alias("anomaly_score"))
@@ -88,10 +81,21 @@ class AnomalyDetector:
             return df.join(lab, self.id_col)
         return self.model.transform(df)
 
+    def training_scores(self) -> DataFrame:
+        """(id, anomaly_score, is_anomaly) of the rows of ``fit``. For LOF these
+        leave every row out of its own neighbours, which :meth:`detect` cannot."""
+        if self.model_type != "lof" or self.model is None:
+            raise ValueError("only a fitted lof detector has scores of its own for its training rows")
+        return self.model.training_scores().select(F.col("id").alias(self.id_col), F.col("lof").alias("anomaly_score"), "is_anomaly")
+
+    def detect_training(self, df: DataFrame) -> DataFrame:
+        """:meth:`detect` for the rows of ``fit``: LOF compares none of them with itself."""
+        if self.model_type != "lof" or self.model is None:
+            return self.detect(df)
+        return df.join(self.training_scores(), self.id_col)
+
     def score_new(self, df: DataFrame) -> DataFrame:
-        """Score rows not seen in fit (LOF in novelty mode)."""
-        if self.model_type == "lof":
-            return self.model.transform(df, mode="novelty")
+        """Score rows not seen in fit."""
         if self.model_type == "dbscan":
             raise ValueError("dbscan labels only the rows it was fitted on")
         return self.detect(df)
@@ -110,7 +114,7 @@ def detect_all(df: DataFrame, model_specs: dict[str, dict], cols: list[str] | No
         p = dict(params)
         mtype = p.pop("model_type", name)
         det = AnomalyDetector(mtype, **p).fit(df, cols, vector, id_col)
-        res = det.detect(df).select(F.lit(name).alias("model"), F.col(id_col),
+        res = det.detect_training(df).select(F.lit(name).alias("model"), F.col(id_col),
                                                    F.col("anomaly_score").cast("double").alias("anomaly_score"),
                                                    F.col("is_anomaly"))
         if ledger is not None:

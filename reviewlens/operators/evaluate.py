@@ -42,7 +42,9 @@ def binary_metrics(df: DataFrame, label_col: str = "label", pred_col: str = "is_
                    by: list[str] | None = None, zero_division: float = 0.0) -> DataFrame:
     """A17 precision/recall/F1 of the anomaly class, A18 weighted F1,
     A19 AUC of the hard prediction ((TPR + TNR) / 2, NULL with one class),
-    A15 anomaly count and percentage, A27 number of label classes."""
+    A15 anomaly count and percentage, A27 number of label classes. Rows without
+    a label or a prediction are in ``n`` and in no cell; weighted F1 is over the
+    rows in the cells, and NULL without any."""
     by = list(by or [])
     y, p = _b(label_col), _b(pred_col)
     c = df.groupBy(*by).agg(
@@ -56,8 +58,7 @@ def binary_metrics(df: DataFrame, label_col: str = "label", pred_col: str = "is_
     # negative class (for the support-weighted F1)
     f1_neg = _safe(2 * tn, 2 * tn + fn + fp, zero_division)
     pos, neg = tp + fn, tn + fp
-    wf1 = F.when(F.col("n") == 0, F.lit(None).cast("double")).otherwise(
-        (f1 * pos + f1_neg * neg) / F.col("n"))
+    wf1 = F.try_divide(f1 * pos + f1_neg * neg, (pos + neg).cast("double"))
     tpr = F.try_divide(tp.cast("double"), pos.cast("double"))
     tnr = F.try_divide(tn.cast("double"), neg.cast("double"))
     auc = F.when(F.col("label_classes") < 2, F.lit(None).cast("double")).otherwise((tpr + tnr) / 2)

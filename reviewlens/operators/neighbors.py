@@ -1,188 +1,244 @@
-"""J4 k-nearest-neighbour join and J5 radius statistics (exact, blocked).
-
-Exact neighbour search needs every (query, corpus) distance, but it never
-needs to *emit* the pairs. Rows are hashed into ``nb`` blocks of about
-``block_rows`` rows; each (query block, corpus block) pair is one cogroup
-task that computes the block distance matrix with numpy (Arrow batches in,
-memory <= block_rows^2 * 8 bytes) and emits only per-query summaries: the
-local top-k (J4) or counts / minima within a radius (J5). Summaries of the
-``nb`` corpus blocks are merged with a grouped aggregate or a per-query
-window over at most k * nb rows. Nothing is broadcast and no group is
-unbounded: task size is fixed by ``block_rows``, not by the data.
+"""J4 k-nearest-neighbour join and J5 radius join, exact or approximate.
+
+Neighbour search compares rows but never emits the pairs. Rows are dealt to
+tiles (:mod:`reviewlens.operators.tiles`): block by block, by the cells of a
+grid (J5), or by the buckets of a hash index (J4, approximate). Each tile emits
+only summaries per query row: the local top-k (J4) or counts, minima and
+spanning forests within a radius (J5). Summaries are merged with a grouped
+aggregate or a window over the candidates of a query. Nothing is broadcast and
+no tile is unbounded: its size is fixed by ``block_rows`` on both sides, not by
+the data.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewlens.operators.tiles import (GRID_DIMS, Rows, block_tiles, grid_tiles, hash_tiles, n_blocks, near_pairs,
+                                        nearest_pairs, run_tiles)
+from reviewlens.session import materialize, ship_package
 
-def _stack(series: pd.Series) -> np.ndarray:
-    if len(series) == 0:
-        return np.zeros((0, 0))
-    flat = np.concatenate(series.to_numpy())
-    return flat.reshape(len(series), -1).astype(np.float64)
-
-
-#: relative rounding error allowed for the expanded square, in units of the squared norms
-ROUNDING = 1e-12
-#: query rows compared at once where many candidates may tie
-TIE_ROWS = 64
+MODES = ("blocked", "grid")
 
 
-def _centred(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Both blocks moved by their common mean, and a bound on the error of
-    their expanded squared distances: far from the origin the expansion
-    would lose the digits that tell near points apart."""
-    mean = (a.sum(axis=0) + b.sum(axis=0)) / (len(a) + len(b))
-    a, b = a - mean, b - mean
-    return a, b, ROUNDING * (np.einsum("ij,ij->i", a, a).max() + np.einsum("ij,ij->i", b, b).max())
+def _side(df: DataFrame, id_col: str, vec_col: str, *extra) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), *extra)
 
 
-MIN_BLOCK_ROWS = 256
+def _dim(df: DataFrame) -> int:
+    first = df.select(F.size("v").alias("d")).first()
+    return first["d"] if first else 0
 
 
-def n_blocks(n: int, block_rows: int, parallelism: int = 8) -> int:
-    """Blocks per side: enough for ~2 x parallelism block-pair tasks (but
-    blocks of at least MIN_BLOCK_ROWS rows), and never more than
-    ``block_rows`` rows per block (the task memory bound)."""
-    by_size = int(math.ceil(n / float(max(1, block_rows))))
-    by_par = min(int(math.ceil(math.sqrt(2 * max(1, parallelism)))), int(math.ceil(n / float(MIN_BLOCK_ROWS))))
-    return max(1, by_size, by_par)
+def _id_type(df: DataFrame, id_col: str) -> str:
+    return df.schema[id_col].dataType.simpleString()
 
 
-def _blocked(query: DataFrame, corpus: DataFrame, nb: int, id_col: str, seed: int = 17):
-    """Tag rows with (query block, corpus block) pairs; each row goes to nb pairs."""
-    blocks = F.sequence(F.lit(0), F.lit(nb - 1))
-    qb = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(nb))
-    q = query.withColumn("_qb", qb).withColumn("_cb", F.explode(blocks)) \
-        .withColumn("_pair", F.col("_qb") * nb + F.col("_cb")).drop("_qb", "_cb")
-    c = corpus.withColumn("_cb", qb).withColumn("_qb", F.explode(blocks)) \
-        .withColumn("_pair", F.col("_qb") * nb + F.col("_cb")).drop("_qb", "_cb")
-    return q, c
-
-
-def pairwise_sq_dists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared euclidean distances by the expansion (fast; used for candidates)."""
-    aa = np.einsum("ij,ij->i", a, a)[:, None]
-    bb = np.einsum("ij,ij->i", b, b)[None, :]
-    return np.maximum(aa + bb - 2.0 * (a @ b.T), 0.0)
+def _merge(part: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("id").orderBy("dist", "neighbor_id")
+    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def exact_dists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise distances between matching rows of a and b (direct differences)."""
-    d = a - b
-    return np.sqrt(np.einsum("ij,ij->i", d, d))
+def _top_k(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, types: tuple[str, str]) -> DataFrame:
+    """Candidates (id, neighbor_id, dist): at most k per query row and tile."""
+    def summary(rows: Rows):
+        for i, j, dist in nearest_pairs(rows, k, exclude_self):
+            order = np.lexsort((rows.id[j], dist, i))
+            i, j, dist = i[order], j[order], dist[order]
+            _, first, count = np.unique(i, return_index=True, return_counts=True)
+            keep = np.arange(len(i)) - np.repeat(first, count) < k
+            yield pa.record_batch([pa.array(rows.id[i[keep]]), pa.array(rows.id[j[keep]]), pa.array(dist[keep])],
+                                  names=["id", "neighbor_id", "dist"])
+    return run_tiles(q, c, summary, f"id {types[0]}, neighbor_id {types[1]}, dist double")
 
 
 def knn_join(query: DataFrame, corpus: DataFrame, k: int, id_col: str = "row_id", vec_col: str = "features",
              exclude_self: bool = True, block_rows: int = 2048, n_rows: int | None = None) -> DataFrame:
-    """The k nearest corpus rows of every query row.
+    """The k nearest corpus rows of every query row, exactly.
 
     Returns ``(id, neighbor_id, dist, rank)`` with rank 1..k; ties on the
     distance are broken by the neighbour id. With ``exclude_self`` a corpus
-    row with the same id as the query row is skipped.
+    row with the same id as the query row is skipped. ``n_rows`` is the number
+    of corpus rows where it is known.
     """
-    n = n_rows if n_rows is not None else corpus.count()
-    nb = n_blocks(n, block_rows, query.sparkSession.sparkContext.defaultParallelism)
-    c = corpus.select(F.col(id_col).alias("cid"), F.col(vec_col).alias("cv"))
-    q0 = query.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv"))
-    q, _ = _blocked(q0, q0, nb, "qid")
-    _, c = _blocked(c.withColumnRenamed("cid", "qid"), c.withColumnRenamed("cid", "qid"), nb, "qid")
-    c = c.withColumnRenamed("qid", "cid")
-
-    def local_topk(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
-        if len(qp) == 0 or len(cp) == 0:
-            return pd.DataFrame({"id": [], "neighbor_id": [], "dist": []})
-        A, B = _stack(qp["qv"]), _stack(cp["cv"])
-        qids, cids = qp["qid"].to_numpy(), cp["cid"].to_numpy()
-        ca, cb, error = _centred(A, B)
-        parts = []
-        for at in range(0, len(A), TIE_ROWS):
-            q = slice(at, at + TIE_ROWS)
-            d2 = pairwise_sq_dists(ca[q], cb)
-            if exclude_self:
-                d2[qids[q][:, None] == cids[None, :]] = np.inf
-            kk = min(k, d2.shape[1])
-            # every corpus row that may be among the k nearest: all ties of the k-th distance
-            kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-            rows, cols = np.nonzero((d2 <= kth[:, None] + 2 * error) & np.isfinite(d2))
-            dist = exact_dists(A[q][rows], B[cols])
-            out = pd.DataFrame({"id": qids[q][rows], "neighbor_id": cids[cols], "dist": dist})
-            out = out.sort_values(["id", "dist", "neighbor_id"], kind="mergesort")
-            parts.append(out.groupby("id", sort=False).head(k))
-        return pd.concat(parts, ignore_index=True)
-
-    schema = f"id {query.schema[id_col].dataType.simpleString()}, neighbor_id {corpus.schema[id_col].dataType.simpleString()}, dist double"
-    part = q.groupBy("_pair").cogroup(c.groupBy("_pair")).applyInPandas(local_topk, schema)
-    w = Window.partitionBy("id").orderBy("dist", "neighbor_id")
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ship_package(query.sparkSession)
+    q, c = _side(query, id_col, vec_col), _side(corpus, id_col, vec_col)
+    n_corpus = n_rows if n_rows is not None else corpus.count()
+    n_query = n_corpus if query is corpus else query.count()
+    q, c = block_tiles(q, c, block_rows, n_query, n_corpus)
+    return _merge(_top_k(q, c, k, exclude_self, (_id_type(query, id_col), _id_type(corpus, id_col))), k)
+
+
+def hash_planes(corpus: DataFrame, vec_col: str, tables: int, bits: int, seed: int = 7, sample_rows: int = 4096) -> np.ndarray:
+    """Random hyperplanes, tables x bits x (dim + 1); each is moved to the median of
+    a bounded sample of rows, so that it halves the data wherever they lie."""
+    rows = (corpus.select(F.col(vec_col).cast("array<double>").alias("v")).withColumn("h", F.xxhash64(F.lit(seed), "v"))
+            .orderBy("h").limit(sample_rows).select("v").collect())
+    sample = np.array([r["v"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
+    rng = np.random.default_rng(seed)
+    planes = rng.normal(size=(tables, bits, sample.shape[1] + 1))
+    if len(sample):
+        planes[:, :, -1] = np.median(planes[:, :, :-1] @ sample.T, axis=2)
+    return planes
+
+
+def knn_join_approx(query: DataFrame, corpus: DataFrame, k: int, id_col: str = "row_id", vec_col: str = "features",
+                    exclude_self: bool = True, block_rows: int = 2048, tables: int = 12, bits: int | None = None,
+                    rows_per_bucket: int = 1024, seed: int = 7) -> DataFrame:
+    """J4, approximate mode: k near corpus rows of every query row.
+
+    Corpus rows stand in one bucket of each of ``tables`` hash tables, by the
+    sides of ``bits`` random hyperplanes on which they lie (by default so many
+    that a bucket has about ``rows_per_bucket`` rows). A query row is compared
+    with its buckets by exact distances. Buckets of any size are searched
+    whole, in tiles. A query row that meets fewer than k rows is joined with
+    the whole corpus, so every query row has all its k neighbours (fewer only
+    where the corpus has fewer). Same columns as :func:`knn_join`;
+    :func:`knn_recall` measures what it finds.
+    """
+    ship_package(query.sparkSession)
+    n = corpus.count()
+    bits = bits if bits is not None else max(1, int(np.ceil(np.log2(max(2.0, n / rows_per_bucket)))))
+    types = (_id_type(query, id_col), _id_type(corpus, id_col))
+    planes = hash_planes(corpus, vec_col, tables, bits, seed)
+    q0, c0 = _side(query, id_col, vec_col), _side(corpus, id_col, vec_col)
+    found = _top_k(*hash_tiles(q0, c0, planes, block_rows), k, exclude_self, types).distinct()
+    merged = materialize(_merge(found, k))
+    full = merged.where(F.col("rank") == k).select("id")
+    short = materialize(q0.join(full, "id", "left_anti").withColumnsRenamed({"id": id_col, "v": vec_col}))
+    if short.isEmpty():
+        return merged
+    rest = knn_join(short, corpus, k, id_col, vec_col, exclude_self, block_rows, n)
+    return merged.join(full, "id", "left_semi").unionByName(rest)
+
+
+def knn_recall(found: DataFrame, query: DataFrame, corpus: DataFrame, k: int, id_col: str = "row_id", vec_col: str = "features",
+               exclude_self: bool = True, sample_rows: int = 1000, block_rows: int = 2048, seed: int = 3) -> DataFrame:
+    """One row (n_queries, recall): the share of the true k neighbours that ``found``
+    has, over ``sample_rows`` query rows chosen by a hash and compared with all rows."""
+    some = materialize(query.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col))).orderBy("_h").limit(sample_rows).drop("_h"))
+    true = knn_join(some, corpus, k, id_col, vec_col, exclude_self, block_rows).select("id", "neighbor_id")
+    hit = true.join(found.select("id", "neighbor_id", F.lit(1).alias("hit")), ["id", "neighbor_id"], "left")
+    return hit.agg(F.count_distinct("id").alias("n_queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
+def _radius_tiles(query: DataFrame, corpus: DataFrame, eps: float, mode: str, block_rows: int, n_rows: int | None,
+                  n_query: int | None) -> tuple[DataFrame, DataFrame]:
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}, not {mode}")
+    if not eps >= 0:
+        raise ValueError("the radius must not be negative")
+    if mode == "grid":
+        return grid_tiles(query, corpus, float(eps), _dim(corpus), block_rows)
+    n_corpus = n_rows if n_rows is not None else corpus.count()
+    return block_tiles(query, corpus, block_rows, n_query if n_query is not None else query.count(), n_corpus)
+
+
+def radius_mode(dim: int) -> str:
+    """The layout that suits a dimension: the grid as long as it lies over all coordinates."""
+    return "grid" if 0 < dim <= GRID_DIMS else "blocked"
 
 
 def radius_counts(query: DataFrame, corpus: DataFrame, eps: float, id_col: str = "row_id",
                   vec_col: str = "features", flag_col: str | None = None, label_col: str | None = None,
-                  block_rows: int = 2048, n_rows: int | None = None) -> DataFrame:
+                  block_rows: int = 2048, n_rows: int | None = None, mode: str = "blocked") -> DataFrame:
     """Per query row, statistics of the corpus rows within distance ``eps``.
 
-    Returns ``(id, n_within)`` (self included when present), plus
-    ``n_flagged_within`` when ``flag_col`` (boolean on the corpus) is given
-    and ``min_label_within`` (minimum of ``label_col`` over flagged corpus
-    rows within eps) when ``label_col`` is given.
+    Returns ``(id, n_within, n_flagged_within, min_label_within)``: the rows
+    (self included when present), those of them with a true ``flag_col``, and
+    the smallest ``label_col`` among the flagged ones. ``mode`` is "blocked"
+    (all blocks meet) or "grid" (adjacent cells meet); the result is the same.
+    Every query row is returned, also one with nothing near.
     """
-    n = n_rows if n_rows is not None else corpus.count()
-    nb = n_blocks(n, block_rows, query.sparkSession.sparkContext.defaultParallelism)
-    q0 = query.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv"))
+    ship_package(query.sparkSession)
     extra = []
     if flag_col:
-        extra.append(F.col(flag_col).alias("cf"))
+        extra.append(F.coalesce(F.col(flag_col).cast("boolean"), F.lit(False)).alias("flag"))
     if label_col:
-        extra.append(F.col(label_col).cast("long").alias("cl"))
-    c0 = corpus.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("cv"), *extra)
-    q, _ = _blocked(q0, q0, nb, "qid")
-    _, c = _blocked(c0, c0, nb, "qid")
-    c = c.withColumnRenamed("qid", "cid")
-    eps2 = float(eps) ** 2
-
-    def local(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
-        if len(qp) == 0:
-            return pd.DataFrame({"id": [], "n_within": [], "n_flagged_within": [], "min_label_within": []})
-        qids = qp["qid"].to_numpy()
-        if len(cp) == 0:
-            return pd.DataFrame({"id": qids, "n_within": 0, "n_flagged_within": 0,
-                                 "min_label_within": pd.Series([None] * len(qids), dtype="Int64")})
-        A, B = _stack(qp["qv"]), _stack(cp["cv"])
-        ca, cb, error = _centred(A, B)
-        d2 = pairwise_sq_dists(ca, cb)
-        near = d2 <= eps2
-        # pairs within the error of the expansion are decided by exact differences
-        slack = 2 * error + 1e-12 * eps2
-        for at in range(0, len(A), TIE_ROWS):
-            r, cc = np.nonzero(np.abs(d2[at:at + TIE_ROWS] - eps2) <= slack)
-            if len(r):
-                near[at + r, cc] = exact_dists(A[at + r], B[cc]) <= eps
-        out = {"id": qids, "n_within": near.sum(axis=1).astype("int64")}
-        if "cf" in cp:
-            f = cp["cf"].to_numpy(dtype=bool)
-            nf = near & f[None, :]
-            out["n_flagged_within"] = nf.sum(axis=1).astype("int64")
-            if "cl" in cp:
-                lab = cp["cl"].to_numpy(dtype="float64")
-                m = np.where(nf, lab[None, :], np.inf).min(axis=1)
-                out["min_label_within"] = pd.Series(np.where(np.isfinite(m), m, np.nan)).astype("Int64")
-            else:
-                out["min_label_within"] = pd.Series([None] * len(qids), dtype="Int64")
-        else:
-            out["n_flagged_within"] = 0
-            out["min_label_within"] = pd.Series([None] * len(qids), dtype="Int64")
-        return pd.DataFrame(out)
-
-    schema = (f"id {query.schema[id_col].dataType.simpleString()}, n_within long, n_flagged_within long, "
-              f"min_label_within long")
-    part = q.groupBy("_pair").cogroup(c.groupBy("_pair")).applyInPandas(local, schema)
-    return part.groupBy("id").agg(F.sum("n_within").alias("n_within"),
-                                  F.sum("n_flagged_within").alias("n_flagged_within"),
-                                  F.min("min_label_within").alias("min_label_within"))
+        extra.append(F.col(label_col).cast("long").alias("label"))
+    q0, c0 = _side(query, id_col, vec_col), _side(corpus, id_col, vec_col, *extra)
+    q, c = _radius_tiles(q0, c0, eps, mode, block_rows, n_rows, n_rows if query is corpus else None)
+    names = [n for n, given in (("flag", flag_col), ("label", label_col)) if given]
+
+    def summary(rows: Rows):
+        flag = rows.array_bool("flag") if flag_col else None
+        label = None
+        if label_col:
+            have = rows.col["label"].is_valid().to_numpy()
+            label = np.where(have, rows.col["label"].fill_null(0).to_numpy(), np.iinfo(np.int64).max)
+        n, m = np.zeros(rows.n, np.int64), np.zeros(rows.n, np.int64)
+        low = np.full(rows.n, np.iinfo(np.int64).max)
+        for i, j in near_pairs(rows, eps):
+            n += np.bincount(i, minlength=rows.n)
+            if flag is not None:
+                i, j = i[flag[j]], j[flag[j]]
+                m += np.bincount(i, minlength=rows.n)
+                if label is not None:
+                    np.minimum.at(low, i, label[j])
+        r = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(rows.id[r]), pa.array(n[r]), pa.array(m[r]),
+                               pa.array(low[r], mask=low[r] == np.iinfo(np.int64).max)],
+                              names=["id", "n_within", "n_flagged_within", "min_label_within"])
+
+    schema = f"id {_id_type(query, id_col)}, n_within long, n_flagged_within long, min_label_within long"
+    part = run_tiles(q, c, summary, schema, names)
+    zero = F.lit(0).cast("long")
+    every = q0.select("id", zero.alias("n_within"), zero.alias("n_flagged_within"), F.lit(None).cast("long").alias("min_label_within"))
+    return part.unionByName(every).groupBy("id").agg(F.sum("n_within").alias("n_within"), F.sum("n_flagged_within").alias("n_flagged_within"),
+                                                     F.min("min_label_within").alias("min_label_within"))
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from every id to the smallest of its component, for links (a, b) of one task."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[:len(a)], at[len(a):]
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[u], root[v])
+        new = root.copy()
+        np.minimum.at(new, root[u], low)
+        np.minimum.at(new, root[v], low)
+        while True:                          # labels of labels, to the end of each chain
+            jumped = new[new]
+            if (jumped == new).all():
+                break
+            new = jumped
+        if (new == root).all():
+            return ids, ids[root]
+        root = new
+
+
+def radius_links(query: DataFrame, corpus: DataFrame, eps: float, id_col: str = "row_id", vec_col: str = "features",
+                 core_col: str = "is_core", block_rows: int = 2048, n_rows: int | None = None, mode: str = "blocked") -> DataFrame:
+    """J5 as links: ``(id, other, core)`` that connect what is within ``eps``.
+
+    All corpus rows count as linked nodes. Query rows with a true ``core_col``
+    are nodes too, and a tile emits a spanning forest of its links instead of
+    all of them: at most one row per node, with the same components. Other
+    query rows (``core`` false) get one row per tile and component that they
+    touch, so none of the components near them is lost.
+    """
+    ship_package(query.sparkSession)
+    is_core = F.coalesce(F.col(core_col).cast("boolean"), F.lit(False)).alias("core")
+    q0, c0 = _side(query, id_col, vec_col, is_core), _side(corpus, id_col, vec_col)
+    q, c = _radius_tiles(q0, c0, eps, mode, block_rows, n_rows, None)
+    c = c.withColumn("core", F.lit(True))
+
+    def summary(rows: Rows):
+        core = rows.array_bool("core")
+        for i, j in near_pairs(rows, eps):
+            node = core[i]
+            ids, roots = _forest(rows.id[np.concatenate([i[node], j])], rows.id[np.concatenate([j[node], j])])
+            other = ids != roots
+            touched = np.unique(np.stack([rows.id[i[~node]], roots[np.searchsorted(ids, rows.id[j[~node]])]], axis=1), axis=0) \
+                if (~node).any() else np.zeros((0, 2), np.int64)
+            yield pa.record_batch([pa.array(np.concatenate([ids[other], touched[:, 0]])), pa.array(np.concatenate([roots[other], touched[:, 1]])),
+                                   pa.array(np.concatenate([np.ones(other.sum(), bool), np.zeros(len(touched), bool)]))],
+                                  names=["id", "other", "core"])
+    return run_tiles(q, c, summary, "id long, other long, core boolean", ["core"])
+
+
+__all__ = ["MODES", "hash_planes", "knn_join", "knn_join_approx", "knn_recall", "n_blocks", "radius_counts", "radius_links", "radius_mode"]

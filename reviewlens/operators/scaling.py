@@ -29,7 +29,7 @@ def feature_stat_aggs(exprs: list[Column]) -> list[Column]:
     aggs = []
     for j, e in enumerate(exprs):
         aggs += [F.avg(e).alias(f"m{j}"), F.var_pop(e).alias(f"v{j}"),
-                 F.min(e).alias(f"lo{j}"), F.max(e).alias(f"hi{j}")]
+                 F.min(e).alias(f"lo{j}"), F.max(e).alias(f"hi{j}"), F.count(e).alias(f"c{j}")]
     aggs.append(F.count(F.lit(1)).alias("n"))
     return aggs
 
@@ -39,7 +39,7 @@ def stats_from_row(r, d: int) -> list[dict]:
     merge of partial sums has left."""
     n = r["n"]
     return [dict(mean=r[f"m{j}"], var=0.0 if r[f"lo{j}"] is not None and r[f"lo{j}"] == r[f"hi{j}"] else r[f"v{j}"],
-                 lo=r[f"lo{j}"], hi=r[f"hi{j}"], n=n) for j in range(d)]
+                 lo=r[f"lo{j}"], hi=r[f"hi{j}"], n=n, nulls=n - r[f"c{j}"]) for j in range(d)]
 
 
 def feature_stats_row(df: DataFrame, exprs: list[Column]) -> list[dict]:
@@ -68,9 +68,10 @@ class Scaler:
         exprs = spec.exprs(df)
         stats = stats if stats is not None else feature_stats_row(df, exprs)
         n = stats[0]["n"] if stats else 0
-        bad = [spec.names[j] for j, s in enumerate(stats) if s["var"] is not None and not math.isfinite(s["var"])]
+        bad = [spec.names[j] for j, s in enumerate(stats)
+               if s.get("nulls") or s["var"] is not None and not math.isfinite(s["var"])]
         if bad:
-            raise ValueError(f"features with NaN or infinite values must be imputed first: {', '.join(bad)}")
+            raise ValueError(f"features with NULL, NaN or infinite values must be imputed first: {', '.join(bad)}")
         kept = [j for j, s in enumerate(stats) if (s["var"] or 0.0) > 0.0]
         sc = Scaler(spec, id_col=id_col if (id_col and id_col in df.columns) else None,
                     jitter_seed=seed, n=n)
@@ -96,11 +97,12 @@ class Scaler:
 
     # ------------------------------------------------------------- apply
     def raw_exprs(self, df: DataFrame | None = None) -> list[Column]:
-        """Kept features before standardisation (with jitter when fitted so)."""
+        """Kept features before standardisation (with jitter when fitted so). A row
+        with a NULL or NaN in one of them is an error, as it is in ``fit``."""
         exprs = self.spec.exprs(df)
         out = []
         for j in self.kept:
-            e = exprs[j]
+            e = self._checked(exprs) if j == self.kept[0] else exprs[j]
             if self.jitter_eps is not None:
                 noise = gaussian_noise(self.id_col, j, self.jitter_seed) if self.id_col \
                     else F.randn(self.jitter_seed + j)
@@ -108,6 +110,17 @@ class Scaler:
             out.append(e)
         return out
 
+    def _checked(self, exprs: list[Column]) -> Column:
+        """The first kept feature, behind one check of all of them: a sum is NULL with
+        any NULL term, and the greatest of some numbers is NaN with any NaN."""
+        kept = [exprs[j] for j in self.kept]
+        total = kept[0]
+        for e in kept[1:]:
+            total = total + e
+        bad = total.isNull() | F.isnan(F.greatest(*kept) if len(kept) > 1 else kept[0])
+        message = f"a row has NULL or NaN in one of its features ({', '.join(self.kept_names[:5])}, ...); impute it first"
+        return F.when(bad, F.raise_error(F.lit(message)).cast("double")).otherwise(kept[0])
+
     def scaled_exprs(self, df: DataFrame | None = None) -> list[Column]:
         return [(e - F.lit(m)) / F.lit(s) for e, m, s in zip(self.raw_exprs(df), self.means, self.stds)]
 

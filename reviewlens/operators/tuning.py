@@ -46,7 +46,7 @@ def _score(flags: DataFrame, label_col: str, metric: str, zero_division: float)
 def _fit_score(train: DataFrame, test: DataFrame, model_type: str, params: dict, label_col: str,
                cols, vector, id_col: str, metric: str, zero_division: float) -> dict:
     det = AnomalyDetector(model_type, **params).fit(train, cols, vector, id_col)
-    flags = det.detect(test) if (test is train or model_type in WHOLE_DATA_MODELS) else det.score_new(test)
+    flags = det.detect_training(test) if (test is train or model_type in WHOLE_DATA_MODELS) else det.score_new(test)
     return _score(flags, label_col, metric, zero_division)
 
 
@@ -96,7 +96,7 @@ def best_model_metrics(df: DataFrame, model_type: str, params: dict, label_col:
     """M3: refit the best parameters on all rows and evaluate."""
     t0 = time.time()
     det = AnomalyDetector(model_type, **params).fit(df, cols, vector, id_col)
-    m = binary_metrics(det.detect(df), label_col, "is_anomaly", zero_division=zero_division)
+    m = binary_metrics(det.detect_training(df), label_col, "is_anomaly", zero_division=zero_division)
     return m.select(F.lit(model_type).alias("model"), F.lit(json.dumps(params, sort_keys=True)).alias("params"),
                     "precision", "recall", "f1", "roc_auc_binary", F.lit(time.time() - t0).alias("completion_time"))
 
@@ -116,7 +116,7 @@ def learning_curves(df: DataFrame, model_type: str, params: dict, label_col: str
         test = data.where(F.col("fold") == fold)
         try:
             det = AnomalyDetector(model_type, **params).fit(train, cols, vector, id_col)
-            tr = _score(det.detect(train), label_col, metric, 1.0)["metric"]
+            tr = _score(det.detect_training(train), label_col, metric, 1.0)["metric"]
             if model_type == "dbscan":       # no way to label rows that were not fitted
                 return [(model_type, float(size), fold, "train", float(tr), None),
                         (model_type, float(size), fold, "test", None, "dbscan labels only the rows it was fitted on")]

@@ -581,8 +581,9 @@ def a21_score_density(spark, sf):
 
 # ----------------------------------------------------------------- J4, J5, D3, D5 on embeddings
 from reviewlens.operators.dbscan import dbscan  # noqa: E402
+from reviewlens.operators.detect import AnomalyDetector, detect_all  # noqa: E402
 from reviewlens.operators.lof import LOFModel  # noqa: E402
-from reviewlens.operators.neighbors import knn_join, radius_counts  # noqa: E402
+from reviewlens.operators.neighbors import knn_join, knn_join_approx, knn_recall, radius_counts  # noqa: E402
 from reviewlens.operators.scaling import Scaler  # noqa: E402
 from reviewlens.sources.tables import scan_table  # noqa: E402
 
@@ -671,8 +672,77 @@ def d5_dbscan(spark, sf):
     return res.labels.select(F.col("id").alias("vec_id"), "n_within", "is_core", "cluster", "is_anomaly")
 
 
+@register("d3_lof_new_rows", f"""
+WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+es AS (SELECT i, avg(v) AS m, var_pop(v) AS s2 FROM e WHERE vec_id % 2 = 0 GROUP BY i),
+z AS (SELECT vec_id, i, (v - m) / sqrt(s2) AS z FROM e JOIN es USING (i) WHERE s2 > 0),
+pd AS (SELECT a.vec_id AS id, b.vec_id AS nid, sqrt(sum((a.z - b.z) * (a.z - b.z))) AS dist
+       FROM z a JOIN z b ON a.i = b.i AND b.vec_id % 2 = 0 GROUP BY 1, 2),
+kn AS (SELECT id, nid, dist FROM pd WHERE id <> nid QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, nid) <= {LOF_K}),
+kd AS (SELECT id, max(dist) AS kdist FROM kn WHERE id % 2 = 0 GROUP BY id),
+lrd AS (SELECT kn.id, 1.0 / (avg(greatest(kdist, dist)) + 1e-10) AS lrd FROM kn JOIN kd ON kn.nid = kd.id GROUP BY kn.id),
+lof AS (SELECT kn.id, avg(o.lrd) / any_value(p.lrd) AS lof FROM kn JOIN lrd o ON kn.nid = o.id JOIN lrd p ON kn.id = p.id GROUP BY kn.id),
+t AS (SELECT quantile_cont(lof, 0.9) AS t FROM lof WHERE id % 2 = 0)
+SELECT id // 2 AS vec_id, round(lof, 6) AS lof, lof > t AS is_anomaly FROM lof CROSS JOIN t WHERE id % 2 = 1""")
+def d3_lof_new_rows(spark, sf):
+    """LOF fitted on one half of the vectors scores the other half, whose ids clash with the first's."""
+    e = _embeddings(spark, sf)
+    seen, new = (e.where(F.col("vec_id") % 2 == half).withColumn("vec_id", F.floor(F.col("vec_id") / 2)) for half in (0, 1))
+    det = AnomalyDetector("lof", k=LOF_K, contamination=0.1, block_rows=4096).fit(seen, vector="embedding", id_col="vec_id")
+    return det.detect(new).select("vec_id", F.round("anomaly_score", 6).alias("lof"), "is_anomaly")
+
+
+GRID_EPS, GRID_MIN = 50.0, 4
+_GRID_SQL = f"""
+WITH p AS (SELECT l_linenumber AS line, l_extendedprice AS x, CAST(epoch_us(l_shipdate) // 86400000000 AS DOUBLE) AS y,
+                  row_number() OVER () AS id FROM lineitem),
+pairs AS (SELECT a.id, b.id AS nid FROM p a JOIN p b ON b.x >= a.x - {GRID_EPS + 1} AND b.x <= a.x + {GRID_EPS + 1}
+          AND b.y >= a.y - {GRID_EPS + 1} AND b.y <= a.y + {GRID_EPS + 1}
+          WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {GRID_EPS}),
+w AS (SELECT id, count(*) AS n FROM pairs GROUP BY id)"""
+
+
+def _price_and_day(spark, sf):
+    """lineitem as points (price, day); the id is a hash of the row, since the table has no key."""
+    t = scan_table(spark, sf, "lineitem")
+    day = F.floor(F.unix_micros(F.col("l_shipdate").cast("timestamp")) / F.lit(86_400_000_000)).cast("double")
+    return t.select(F.xxhash64(*t.columns).alias("id"), F.col("l_linenumber").alias("line"),
+                    F.array(F.col("l_extendedprice"), day).alias("features"))
+
+
+@register("j5_radius_grid", _GRID_SQL + """
+SELECT line, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_within, max(n) AS most FROM p JOIN w USING (id) GROUP BY line""")
+def j5_radius_grid(spark, sf):
+    p = materialize(_price_and_day(spark, sf))
+    n = radius_counts(p, p, GRID_EPS, "id", "features", mode="grid")
+    return p.join(n, "id").groupBy("line").agg(F.count("*").alias("n_rows"), F.sum("n_within").alias("n_within"), F.max("n_within").alias("most"))
+
+
+@register("d5_dbscan_grid", _GRID_SQL + f""",
+core AS (SELECT id FROM w WHERE n >= {GRID_MIN}),
+near AS (SELECT DISTINCT pairs.id FROM pairs JOIN core ON core.id = pairs.nid)
+SELECT line, count(core.id) AS n_core, count(near.id) - count(core.id) AS n_border, count(*) - count(near.id) AS n_noise
+FROM p LEFT JOIN core USING (id) LEFT JOIN near USING (id) GROUP BY line""")
+def d5_dbscan_grid(spark, sf):
+    p = materialize(_price_and_day(spark, sf))
+    r = dbscan(p, vector="features", eps=GRID_EPS, min_samples=GRID_MIN, id_col="id", scale=False).labels
+    return p.select("id", "line").join(r, "id").groupBy("line").agg(
+        F.count_if("is_core").alias("n_core"), F.count_if(~F.col("is_core") & F.col("cluster").isNotNull()).alias("n_border"),
+        F.count_if("is_anomaly").alias("n_noise"))
+
+
+@register("j4_knn_approx", f"""
+SELECT count(*) AS n_queries, {KNN_K} * count(*) AS n_rows, true AS recall_reached FROM embeddings""")
+def j4_knn_approx(spark, sf):
+    """Neighbours by hash tables: every vector has all of them, and at least nine in ten are the true ones."""
+    X = materialize(_scaled_embeddings(spark, sf))
+    found = materialize(knn_join_approx(X, X, KNN_K, "id", "features", block_rows=4096))
+    recall = knn_recall(found, X, X, KNN_K, "id", "features", block_rows=4096)
+    return found.agg(F.count_distinct("id").alias("n_queries"), F.count("*").alias("n_rows")).crossJoin(
+        recall.select((F.col("recall") >= 0.9).alias("recall_reached")))
+
+
 # ----------------------------------------------------------------- D2, D4, D7 (no SQL form: rows-only)
-from reviewlens.operators.detect import detect_all  # noqa: E402
 from reviewlens.operators.iforest import IsolationForestModel  # noqa: E402
 from reviewlens.operators.ocsvm import OneClassSVMModel  # noqa: E402
 
