@@ -42,6 +42,29 @@ def stats_from_row(r, d: int) -> list[dict]:
                  lo=r[f"lo{j}"], hi=r[f"hi{j}"], n=n, nulls=n - r[f"c{j}"]) for j in range(d)]
 
 
+def vector_stats(df: DataFrame, vector: str, dim: int) -> list[dict]:
+    """Statistics of all elements of an array or vector column from one aggregate
+    expression, however wide it is; sparse vectors stay sparse."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    c = F.col(vector)
+    if df.schema[vector].dataType.simpleString().startswith("array"):
+        c = c.cast("array<double>")
+        whole = c.isNotNull() & (F.size(c) == dim) & ~F.exists(c, lambda x: x.isNull())
+        c = array_to_vector(F.when(whole, c).otherwise(F.array_repeat(F.lit(float("nan")), dim)))
+    else:
+        whole = c.isNotNull()
+    r = df.groupBy(F.lit("all")).agg(Summarizer.metrics("mean", "variance", "min", "max").summary(c).alias("s"),
+                                 F.count(F.lit(1)).alias("n"), F.count_if(~whole).alias("missing")).first()
+    n = r["n"] if r else 0
+    if n == 0:
+        return [dict(mean=None, var=None, lo=None, hi=None, n=0, nulls=0)] * dim
+    mean, var, lo, hi = (r["s"][k].toArray() for k in ("mean", "variance", "min", "max"))
+    # the sample variance of the summary, as the population's
+    return [dict(mean=float(mean[j]), var=0.0 if lo[j] == hi[j] else float(var[j]) * (n - 1) / n, lo=float(lo[j]), hi=float(hi[j]),
+                 n=n, nulls=r["missing"]) for j in range(dim)]
+
+
 def feature_stats_row(df: DataFrame, exprs: list[Column]) -> list[dict]:
     return stats_from_row(df.agg(*feature_stat_aggs(exprs)).first(), len(exprs))
 
@@ -66,7 +89,9 @@ class Scaler:
         """Fit on ``df``; ``stats`` may carry precomputed per-feature
         statistics (e.g. observed while the frame was written)."""
         exprs = spec.exprs(df)
-        stats = stats if stats is not None else feature_stats_row(df, exprs)
+        if stats is None:
+            whole = isinstance(spec, FeatureSpec) and spec.vector is not None and spec.dim > 0
+            stats = vector_stats(df, spec.vector, spec.dim) if whole else feature_stats_row(df, exprs)
         n = stats[0]["n"] if stats else 0
         bad = [spec.names[j] for j, s in enumerate(stats)
                if s.get("nulls") or s["var"] is not None and not math.isfinite(s["var"])]

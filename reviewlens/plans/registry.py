@@ -779,7 +779,10 @@ def d7_detect_all_counts(spark, sf):
 
 
 # ----------------------------------------------------------------- T1-T5, O6 on documents
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
 from reviewlens.operators import text as TX  # noqa: E402
+from reviewlens.operators.feature_model import FeatureModel  # noqa: E402
 
 _TOK_CTE = r"""
 tok AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents)
@@ -843,6 +846,37 @@ def t5_prepare_features(spark, sf):
                     F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("feature_sum"))
 
 
+@register("t5_stored_features", r"""
+WITH d AS (SELECT doc_id, text, doc_id % 2 = 0 AS seen, CASE WHEN doc_id % 5 = 1 THEN NULL ELSE CAST(n_chars AS DOUBLE) END AS n FROM documents),
+tok AS (SELECT doc_id, seen, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM d),
+voc AS (SELECT term, ln((1 + (SELECT count(*) FROM d WHERE seen)) / (1.0 + count(DISTINCT doc_id))) + 1 AS idf FROM tok WHERE seen
+        GROUP BY term ORDER BY count(*) DESC, term LIMIT 300),
+w AS (SELECT doc_id, term, count(*) * any_value(idf) AS raw FROM tok JOIN voc USING (term) WHERE NOT seen GROUP BY 1, 2),
+nr AS (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM w GROUP BY 1)
+SELECT doc_id, 'text:' || term AS feature, round(raw / norm, 6) AS value FROM w JOIN nr USING (doc_id)
+UNION ALL
+SELECT doc_id, 'n_chars_d', round(coalesce(n, (SELECT avg(n) FROM d WHERE seen)), 6) FROM d WHERE NOT seen""")
+def t5_stored_features(spark, sf):
+    """The feature model of one half of the documents, stored, loaded and applied to the other half."""
+    d = _documents(spark, sf).withColumn("n_chars_d", F.when(F.col("doc_id") % 5 != 1, F.col("n_chars").cast("double")))
+    seen, new = d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")
+    path = scratch_path(spark, uuid.uuid4().hex)
+    FeatureModel.fit(seen, {"text": 300}, ["n_chars_d"], id_col="doc_id").save(spark, path)
+    m = FeatureModel.load(spark, path)
+    names = F.array(*[F.lit(n) for n in m.names])
+    long = m.transform(new).select("doc_id", F.posexplode(vector_to_array("features")).alias("i", "v")).where("v <> 0")
+    return long.select("doc_id", F.get(names, F.col("i")).alias("feature"), F.round("v", 6).alias("value"))
+
+
+@register("d1_hbos_sparse_features")
+def d1_hbos_sparse_features(spark, sf):
+    """HBOS over the sparse text vectors of all documents: rows and flagged rows."""
+    d = _documents(spark, sf).withColumn("n_chars_d", F.col("n_chars").cast("double"))
+    f = materialize(FeatureModel.fit(d, {"text": 40}, ["n_chars_d"], id_col="doc_id").transform(d).select("doc_id", "features"))
+    m = HBOSModel.fit(f, vector="features", id_col="doc_id")
+    return m.transform(f).select("doc_id", _r("anomaly_score"), "is_anomaly")
+
+
 # ----------------------------------------------------------------- R1-R5, A24, A28
 import json  # noqa: E402
 
