@@ -39,7 +39,7 @@ def _softplus(x):
 
 
 def _stack(s: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in s.to_numpy()])
+    return np.concatenate(s.to_numpy()).reshape(len(s), -1).astype(np.float64, copy=False)
 
 
 @dataclass
@@ -214,8 +214,6 @@ class DBNModel:
         lo = np.asarray(self.mins)
         span = np.asarray(self.maxs) - lo
         span[span == 0] = 1.0
-        out_dim = layers[-1][0].shape[0] if layers else len(idx)
-
         @F.pandas_udf("array<double>")
         def dbn_forward(x: pd.Series) -> pd.Series:
             if len(x) == 0:
@@ -225,7 +223,6 @@ class DBNModel:
                 H = _sig(H @ W.T + c)
             return pd.Series(list(H))
 
-        del out_dim
         return dbn_forward(xcol)
 
     def transform(self, df: DataFrame, col: str = "features", out: str = "dbn_features") -> DataFrame:
@@ -266,10 +263,42 @@ def random_feature_subset(d: int, ratio: float, seed: int = 42) -> list[int]:
     return sorted(np.random.default_rng(seed).choice(d, size=k, replace=False).tolist())
 
 
+class _LayerStore:
+    """One committed folder per finished layer, keyed by table and parameters."""
+
+    def __init__(self, df: DataFrame, base: str, col: str, id_col: str, params: dict):
+        import hashlib
+        import json
+        import os
+
+        from reviewlens.sources.store import table_fingerprint
+        self.spark = df.sparkSession
+        key = hashlib.sha1(json.dumps(params, sort_keys=True).encode()).hexdigest()[:16]
+        self.path = os.path.join(base, "dbn_layers", f"{table_fingerprint(df.select(id_col, col))}-{key}")
+
+    def write(self, layer: int, weights: RBMLayer, scores: list) -> None:
+        save_dbn(self.spark, DBNModel([weights], layer_scores=scores), f"{self.path}/layer={layer}")
+
+    def read(self, layer: int) -> tuple[RBMLayer, list] | None:
+        """None where the layer is not there whole: its metadata are written last."""
+        from reviewlens.session import path_exists
+        path = f"{self.path}/layer={layer}"
+        if not path_exists(self.spark, f"{path}/meta/_SUCCESS"):
+            return None
+        m = load_dbn(self.spark, path)
+        return m.layers[0], m.layer_scores
+
+
 def dbn_fit(df: DataFrame, col: str = "features", id_col: str = "row_id", hidden_layers: list[int] | None = None,
             layer_configs: list[dict] | None = None, val_fraction: float = 0.2, feature_subset_ratio: float = 1.0,
-            patience: int = 3, early_stopping: bool = True, seed: int = 42) -> DBNModel:
-    """Greedy layer-wise training with a hashed validation split."""
+            patience: int = 3, early_stopping: bool = True, seed: int = 42, checkpoint: str | None = None,
+            stop_after: int | None = None) -> DBNModel:
+    """Greedy layer-wise training with a hashed validation split.
+
+    With ``checkpoint`` every finished layer is committed under that folder as
+    it is done, and a fit of the same table and parameters goes on after the
+    last of them. ``stop_after`` ends the fit after so many layers.
+    """
     d = len(df.select(col).first()[0])
     hidden_layers = hidden_layers or [256, 128]
     layer_configs = layer_configs or [{"learning_rate": 0.05, "n_iter": 10}] * len(hidden_layers)
@@ -285,12 +314,26 @@ def dbn_fit(df: DataFrame, col: str = "features", id_col: str = "row_id", hidden
     cur = materialize(df.select(F.col(id_col).alias("id"), scale_expr.alias("x"),
                                 (F.pmod(F.xxhash64(F.lit(seed + 99), F.col(id_col)), F.lit(1000)) <
                                  F.lit(int(val_fraction * 1000))).alias("is_val")))
+    store = _LayerStore(df, checkpoint, col, id_col, dict(hidden=hidden_layers, configs=layer_configs, val=val_fraction, ratio=feature_subset_ratio,
+                                                          patience=patience, early=early_stopping, seed=seed)) if checkpoint else None
     for li, (h, cfg) in enumerate(zip(hidden_layers, layer_configs)):
+        if stop_after is not None and li >= stop_after:
+            break
+        known = store.read(li) if store else None
+        if known:
+            layer, scores = known
+            model.layers.append(layer)
+            model.layer_scores += scores
+            cur = materialize(cur.select("id", _layer_udf(layer.W, layer.b_hidden)(F.col("x")).alias("x"), "is_val"))
+            continue
         tr, va = cur.where(~F.col("is_val")), cur.where(F.col("is_val"))
         layer, hist = rbm_fit(tr, h, cfg.get("learning_rate", 0.05), cfg.get("n_iter", 10), va, patience,
-                              early_stopping, seed + li)
+                              early_stopping, seed + li, batch_size=cfg.get("batch_size"), shards=cfg.get("shards", 8))
         model.layers.append(layer)
-        model.layer_scores += [(li, e, t, v) for e, t, v in hist]
+        scores = [(li, e, t, v) for e, t, v in hist]
+        model.layer_scores += scores
+        if store:
+            store.write(li, layer, scores)
         cur = materialize(cur.select("id", _layer_udf(layer.W, layer.b_hidden)(F.col("x")).alias("x"), "is_val"))
     return model
 
@@ -315,7 +358,7 @@ def load_dbn(spark, path: str) -> DBNModel:
     meta, t = load_model_tables(spark, path, ["weights", "scores"])
     layers = [RBMLayer(np.asarray(r["weights"]), np.asarray(r["b_visible"]), np.asarray(r["b_hidden"]))
               for r in sorted(t["weights"].collect(), key=lambda r: r["layer"])]
-    scores = [tuple(r) for r in t["scores"].collect()] if "scores" in t else []
+    scores = sorted(tuple(r) for r in t["scores"].select("layer", "epoch", "train_score", "val_score").collect()) if "scores" in t else []
     return DBNModel(layers, meta["feature_indices"], meta["mins"], meta["maxs"], scores)
 
 

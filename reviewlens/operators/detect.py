@@ -1,6 +1,7 @@
 """D6 detect / D7 detect_all: one facade over the five detectors.
 
-``AnomalyDetector(model_type, **params).fit(df, cols=..|vector=..)`` then
+``AnomalyDetector(model_type, **params).fit(df, cols=..|vector=..)`` (with
+``max_features=n`` on the first n features only) then
 ``.detect(df)`` adds ``anomaly_score`` (higher = more anomalous) and
 ``is_anomaly``. ``detect_all`` runs several detectors on one materialised
 feature frame and returns the long table ``(model, id, anomaly_score,
@@ -39,6 +40,7 @@ class AnomalyDetector:
             raise ValueError(f"no detector is called {model_type!r}; there are {', '.join(MODEL_TYPES)}")
         self.model_type = model_type
         self.params = {**DEFAULTS[model_type], **params}
+        self.max_features = self.params.pop("max_features", None)
         self.model = None
         self._dbscan = None
         self.id_col = "row_id"
@@ -48,6 +50,9 @@ class AnomalyDetector:
             id_col: str = "row_id") -> "AnomalyDetector":
         self.id_col = id_col
         self.spec = FeatureSpec.of(df, cols, vector)
+        if self.max_features is not None and self.max_features < self.spec.dim:
+            # The first features only, in fit and in scoring alike
+            self.spec = self.spec.slice(list(range(self.max_features)))
         if df.isEmpty():          # F5: nothing to learn; detect() reports all rows normal
             self.model = None
             return self

@@ -11,13 +11,15 @@ Fit
   * the forest (n_trees x <= 2 psi nodes) is model-sized and collected.
 Score
   2 ** (-mean path length / c(psi)) computed by a scalar pandas UDF over the
-  feature array (Arrow batches, vectorised traversal). No shuffle.
+  feature array (Arrow batches, vectorised traversal), or by a column expression
+  over constant node arrays. No shuffle.
 Flag
   score above the (1 - contamination) quantile of the training scores.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -174,11 +176,42 @@ class IsolationForestModel:
         def iso_score(x: pd.Series) -> pd.Series:
             if len(x) == 0:
                 return pd.Series([], dtype="float64")
-            X = np.stack([np.asarray(v, dtype=np.float64) for v in x.to_numpy()])
+            X = np.concatenate(x.to_numpy()).reshape(len(x), -1).astype(np.float64, copy=False)
             return pd.Series(np.power(2.0, -path_lengths(X, forest) / c_psi))
 
         return iso_score(F.array(*self.scaler.scaled_exprs(df)))
 
+    def score_expr_jvm(self, df: DataFrame | None = None):
+        """The same score without Python workers: the forest is a few constant arrays
+        and every tree is walked from its root by array lookups. Spark interprets
+        such lookups step by step, so this takes some five times as long as
+        :meth:`score_expr`; it is for places where no Python worker can run."""
+        order = sorted(self.nodes, key=lambda r: (r[0], r[1]))
+        at = {(r[0], r[1]): i for i, r in enumerate(order)}
+        def constant(values, kind):
+            return F.from_json(F.lit(json.dumps([v if kind == "int" else float(v) for v in values])), f"array<{kind}>")
+        feature = constant([r[2] for r in order], "int")
+        split = constant([r[3] for r in order], "double")
+        left = constant([at.get((r[0], r[4]), -1) for r in order], "int")
+        right = constant([at.get((r[0], r[5]), -1) for r in order], "int")
+        length = constant(np.array([r[7] for r in order]) + average_path_length(np.array([r[6] for r in order])), "double")
+        trees = sorted({r[0] for r in order})
+        roots = constant([at[t, 0] for t in trees], "int")
+        levels = F.sequence(F.lit(1), F.lit(max(1, max(r[7] for r in order))))
+        c_psi = float(average_path_length(np.array([self.max_samples]))[0]) or 1.0
+
+        def leaf(x, root):
+            def step(node, _):
+                return F.when(F.get(feature, node) < 0, node).when(
+                    F.get(x, F.get(feature, node)) < F.get(split, node), F.get(left, node)).otherwise(F.get(right, node))
+            return F.aggregate(levels, root, step)
+
+        def score(x):
+            total = F.aggregate(roots, F.lit(0.0), lambda s, root: s + F.get(length, leaf(x, root)))
+            return F.pow(F.lit(2.0), -(total / F.lit(float(len(trees)))) / F.lit(c_psi))
+        # one list with the features: they are computed once a row, not once a step
+        return F.element_at(F.transform(F.array(F.array(*self.scaler.scaled_exprs(df))), score), 1)
+
     def transform(self, df: DataFrame, score_col: str = "anomaly_score", flag_col: str = "is_anomaly") -> DataFrame:
         if not self.nodes:
             return df.withColumn(score_col, F.lit(0.0)).withColumn(flag_col, F.lit(False))

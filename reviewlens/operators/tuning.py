@@ -13,6 +13,7 @@ from __future__ import annotations
 import itertools
 import json
 import time
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Window
@@ -33,25 +34,37 @@ DEFAULT_GRIDS = {
 WHOLE_DATA_MODELS = ("lof", "dbscan")
 
 
+#: name of a column of ``binary_metrics``, or a function (flagged rows, label column) ->
+#: a frame whose first value is the score, such as ``df.agg(...)``
+Metric = str | Callable[[DataFrame, str], DataFrame]
+
+
+def _number(value) -> float | None:
+    return None if value is None else float(value)
+
+
 def param_grid(grid: dict[str, list]) -> list[dict]:
     keys = sorted(grid)
     return [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
 
 
-def _score(flags: DataFrame, label_col: str, metric: str, zero_division: float) -> dict:
+def _score(flags: DataFrame, label_col: str, metric: Metric, zero_division: float) -> dict:
+    if callable(metric):       # V4: an aggregate of the caller's over the flagged rows
+        value = metric(flags, label_col).first()
+        return {"metric": None if value is None else value[0]}
     r = binary_metrics(flags, label_col, "is_anomaly", zero_division=zero_division).first()
     return {k: r[k] for k in ("precision", "recall", "f1", "weighted_f1", "roc_auc_binary")} | {"metric": r[metric]}
 
 
 def _fit_score(train: DataFrame, test: DataFrame, model_type: str, params: dict, label_col: str,
-               cols, vector, id_col: str, metric: str, zero_division: float) -> dict:
+               cols, vector, id_col: str, metric: Metric, zero_division: float) -> dict:
     det = AnomalyDetector(model_type, **params).fit(train, cols, vector, id_col)
     flags = det.detect_training(test) if (test is train or model_type in WHOLE_DATA_MODELS) else det.score_new(test)
     return _score(flags, label_col, metric, zero_division)
 
 
 def grid_search(df: DataFrame, model_type: str, grid: dict | None, label_col: str, cols=None, vector=None,
-                id_col: str = "row_id", k_folds: int = 3, score_mode: str = "holdout", metric: str = "f1",
+                id_col: str = "row_id", k_folds: int = 3, score_mode: str = "holdout", metric: Metric = "f1",
                 zero_division: float = 1.0, parallelism: int = 4, seed: int = 42) -> DataFrame:
     """M1/M2: long table (model, grid_index, params, fold, score, seconds)."""
     points = param_grid(grid or DEFAULT_GRIDS[model_type])
@@ -75,7 +88,7 @@ def grid_search(df: DataFrame, model_type: str, grid: dict | None, label_col: st
             else:
                 s = _fit_score(data.where(F.col("fold") != fold), held, model_type, p, label_col, cols, vector,
                                id_col, metric, zero_division)
-        return (model_type, gi, json.dumps(p, sort_keys=True), fold, float(s["metric"]), time.time() - t0)
+        return (model_type, gi, json.dumps(p, sort_keys=True), fold, _number(s["metric"]), time.time() - t0)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
         rows = list(ex.map(run, tasks))
@@ -101,9 +114,26 @@ def best_model_metrics(df: DataFrame, model_type: str, params: dict, label_col:
                     "precision", "recall", "f1", "roc_auc_binary", F.lit(time.time() - t0).alias("completion_time"))
 
 
+def curve_split(data: DataFrame, size: float, fold: int) -> tuple[DataFrame, DataFrame]:
+    """Training rows of a size and the held-out rows of a fold."""
+    return data.where((F.col("fold") != fold) & (F.col("_u") < F.lit(size))), data.where(F.col("fold") == fold)
+
+
+def curve_points(train: DataFrame, test: DataFrame, model_type: str, params: dict, label_col: str, cols, vector, id_col: str,
+                 metric: Metric) -> list[dict]:
+    """The train and the test score of one fit."""
+    det = AnomalyDetector(model_type, **params).fit(train, cols, vector, id_col)
+    tr = _score(det.detect_training(train), label_col, metric, 1.0)["metric"]
+    out = [{"split": "train", "score": _number(tr), "error": None}]
+    if model_type == "dbscan":       # no way to label rows that were not fitted
+        return out + [{"split": "test", "score": None, "error": "dbscan labels only the rows it was fitted on"}]
+    te = _score(det.score_new(test), label_col, metric, 1.0)["metric"]
+    return out + [{"split": "test", "score": _number(te), "error": None}]
+
+
 def learning_curves(df: DataFrame, model_type: str, params: dict, label_col: str, cols=None, vector=None,
                     id_col: str = "row_id", train_sizes=(0.3, 0.5333, 0.7667, 1.0), k_folds: int = 2,
-                    metric: str = "weighted_f1", parallelism: int = 4, seed: int = 42) -> DataFrame:
+                    metric: Metric = "weighted_f1", parallelism: int = 4, seed: int = 42) -> DataFrame:
     """M5: long table (model, train_size, fold, split, score); a failed fit is a
     row with NULL score and the error text (Q8). Subsets are nested: a row in
     the 30 % subset is in every larger one."""
@@ -112,21 +142,11 @@ def learning_curves(df: DataFrame, model_type: str, params: dict, label_col: str
 
     def run(t):
         size, fold = t
-        train = data.where((F.col("fold") != fold) & (F.col("_u") < F.lit(size)))
-        test = data.where(F.col("fold") == fold)
         try:
-            det = AnomalyDetector(model_type, **params).fit(train, cols, vector, id_col)
-            tr = _score(det.detect_training(train), label_col, metric, 1.0)["metric"]
-            if model_type == "dbscan":       # no way to label rows that were not fitted
-                return [(model_type, float(size), fold, "train", float(tr), None),
-                        (model_type, float(size), fold, "test", None, "dbscan labels only the rows it was fitted on")]
-            te = _score(det.score_new(test), label_col, metric, 1.0)["metric"]
-            return [(model_type, float(size), fold, "train", float(tr), None),
-                    (model_type, float(size), fold, "test", float(te), None)]
+            points = curve_points(*curve_split(data, size, fold), model_type, params, label_col, cols, vector, id_col, metric)
         except Exception as e:   # recorded, not hidden: the row carries the error
-            msg = f"{type(e).__name__}: {e}"
-            return [(model_type, float(size), fold, "train", None, msg),
-                    (model_type, float(size), fold, "test", None, msg)]
+            points = [{"split": s, "score": None, "error": f"{type(e).__name__}: {e}"} for s in ("train", "test")]
+        return [(model_type, float(size), fold, p["split"], p["score"], p["error"]) for p in points]
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
         rows = [r for rs in ex.map(run, tasks) for r in rs]

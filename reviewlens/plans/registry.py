@@ -963,7 +963,82 @@ def m5_learning_curves_hbos(spark, sf):
                                                  _r("final_test_score"), _r("gap"))
 
 
+@register("m1_study")
+def m1_study(spark, sf):
+    """One resumable run over two models, started twice: the second start finds every step done."""
+    f = materialize(review_features(spark, sf))
+    grids = {"hbos": {"n_bins": [5, 10]}, "isolation_forest": {"n_estimators": [10]}}
+    ledger = RunLedger(spark, scratch_path(spark, uuid.uuid4().hex))
+    for _ in range(2):
+        study = Study(f, ledger, "run", "is_returned", cols=NUMERIC_FEATURES)
+        study.tune(grids, k_folds=2)
+    steps = ledger.events().where("stage = 'tune_step'").groupBy(F.split("model", "/")[0].alias("model")).agg(
+        F.count("*").alias("n_events"), F.count_distinct("model").alias("n_steps"))
+    return study.best().join(steps, "model").select("model", "params", _r("mean_test_score"), "n_events", "n_steps")
+
+
+_LEDGER_SQL = """
+WITH e AS (SELECT o_orderpriority || '/' || CAST(o_custkey % 10 AS VARCHAR) AS model, o_orderdate + to_microseconds(o_orderkey) AS ts,
+                  CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'started' END AS status FROM orders),
+st AS (SELECT model, arg_max(status, ts) AS status FROM e GROUP BY model),
+req AS (SELECT model FROM st UNION ALL SELECT 'never started')"""
+
+
+def _order_events(spark, sf):
+    """Orders read as ledger events: a model per priority and customer group, its status from the order's."""
+    status = F.col("o_orderstatus")
+    at = F.col("o_orderdate").cast("timestamp")
+    return bindings.scan_table(spark, sf, "orders").select(
+        F.lit("run").alias("run_id"), F.lit("tune").alias("stage"),
+        F.concat("o_orderpriority", F.lit("/"), (F.col("o_custkey") % 10).cast("string")).alias("model"),
+        F.when(status == "F", "completed").when(status == "O", "failed").otherwise("started").alias("status"),
+        F.timestamp_micros(F.unix_micros(at) + F.col("o_orderkey")).alias("at"),
+        F.lit("{}").alias("payload"), F.lit(None).cast("string").alias("result_path"))
+
+
+@register("f4_pending_models", _LEDGER_SQL + """
+SELECT model FROM req WHERE model NOT IN (SELECT model FROM st WHERE status = 'completed')""")
+def f4_pending_models(spark, sf):
+    e = _order_events(spark, sf)
+    requested = e.select("model").distinct().union(spark.createDataFrame([("never started",)], "model string"))
+    return pending_models(requested, ledger_state(e))
+
+
+@register("m4_tuning_status", _LEDGER_SQL + """
+SELECT string_agg(model, ',' ORDER BY model) FILTER (status = 'completed') AS tuned,
+       string_agg(model, ',' ORDER BY model) FILTER (status IS DISTINCT FROM 'completed') AS untuned,
+       round(count(*) FILTER (status = 'completed') * 100.0 / count(*), 6)::DOUBLE AS progress_pct FROM req LEFT JOIN st USING (model)""")
+def m4_tuning_status(spark, sf):
+    state = materialize(ledger_state(_order_events(spark, sf)))
+    requested = [r["model"] for r in state.select("model").collect()] + ["never started"]
+    s = tuning_status(state, requested)
+    return s.select(F.array_join("tuned", ",").alias("tuned"), F.array_join("untuned", ",").alias("untuned"), _r("progress_pct"))
+
+
+def _stored_alike(spark, model, df):
+    """Rows, and rows that a model scores the same after it was stored and loaded."""
+    path = scratch_path(spark, uuid.uuid4().hex)
+    save_detector(spark, model, path)
+    again = load_detector(spark, path)
+    both = again.transform(model.transform(df, "s1", "f1"), "s2", "f2")
+    return both.agg(F.count("*").alias("n_rows"), F.count_if((F.abs(F.col("s1") - F.col("s2")) < 1e-9) & (F.col("f1") == F.col("f2"))).alias("n_equal"))
+
+
+@register("s12_stored_forest", "SELECT count(*) AS n_rows, count(*) AS n_equal FROM lineitem")
+def s12_stored_forest(spark, sf):
+    f = materialize(review_features(spark, sf))
+    return _stored_alike(spark, IsolationForestModel.fit(f, cols=NUMERIC_FEATURES, n_estimators=20), f)
+
+
+@register("s12_stored_svm", "SELECT count(*) AS n_rows, count(*) AS n_equal FROM embeddings")
+def s12_stored_svm(spark, sf):
+    e = _embeddings(spark, sf)
+    return _stored_alike(spark, OneClassSVMModel.fit(e, vector="embedding", n_components=64, max_iter=5, id_col="vec_id"), e)
+
+
 # ----------------------------------------------------------------- O4, A23, E1, S4
+from reviewlens.operators.study import Study  # noqa: E402
+from reviewlens.sources.store import RunLedger, ledger_state, pending_models, tuning_status  # noqa: E402
 from reviewlens.sources.store import table_fingerprint  # noqa: E402
 
 

@@ -58,17 +58,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through the Hadoop FileSystem API (works for local,
-    HDFS and object-store paths alike)."""
-    if is_local_path(path):
-        return os.path.exists(path[len("file:"):] if path.startswith("file:") else path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    """Existence check through the Hadoop FileSystem API, so that a path without a
+    scheme is one of the cluster's default file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
@@ -140,23 +133,16 @@ def ship_package(spark: SparkSession) -> None:
     data = buf.getvalue()
     digest = hashlib.sha1(data).hexdigest()[:12]
     ckpt = ensure_checkpoint_dir(spark)
-    if is_local_path(ckpt):
-        out_dir = os.path.join(ckpt[len("file:"):] if ckpt.startswith("file:") else ckpt, "pyfiles")
-        os.makedirs(out_dir, exist_ok=True)
-        path = os.path.join(out_dir, f"reviewlens-{digest}.zip")
-        if not os.path.exists(path):
-            with open(path, "wb") as fh:
-                fh.write(data)
-    else:
-        # shared storage: write through the Hadoop FileSystem API
-        path = ckpt.rstrip("/") + f"/pyfiles/reviewlens-{digest}.zip"
-        jvm = sc._jvm
-        hp = jvm.org.apache.hadoop.fs.Path(path)
-        fs = hp.getFileSystem(sc._jsc.hadoopConfiguration())
-        if not fs.exists(hp):
-            out = fs.create(hp, True)
-            out.write(bytearray(data))
-            out.close()
+    # shared storage of any kind: written through the Hadoop FileSystem API
+    jvm = sc._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(ckpt.rstrip("/") + f"/pyfiles/reviewlens-{digest}.zip")
+    fs = hp.getFileSystem(sc._jsc.hadoopConfiguration())
+    hp = fs.makeQualified(hp)
+    if not fs.exists(hp):
+        out = fs.create(hp, True)
+        out.write(bytearray(data))
+        out.close()
+    path = hp.toString()
     sc.addPyFile(path)
     _SHIPPED.add(key)
 
@@ -186,13 +172,54 @@ def _remember(spark: SparkSession, path: str) -> None:
     _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
 
 
+class scratch_scope:
+    """V5: frees the tables that were materialised inside it when it is left.
+
+        with scratch_scope(spark) as scope:
+            result = scope.keep(expensive(df))
+
+    Tables that a kept frame still reads stay and pass to the scope around, so
+    the last scope that keeps them decides; without one around they are left to
+    :func:`drop_scratch_tables`. Also on an error, everything else is freed.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.kept: list = []
+
+    def __enter__(self) -> "scratch_scope":
+        self.start = len(_SCRATCH.setdefault(self.spark.sparkContext.applicationId, []))
+        return self
+
+    def keep(self, df):
+        self.kept.append(df)
+        return df
+
+    def __exit__(self, kind, error, trace) -> None:
+        paths = _SCRATCH[self.spark.sparkContext.applicationId]
+        inside = paths[self.start:]
+        read = [f for df in self.kept for f in df.inputFiles()] if kind is None else []
+        stay = [p for p in inside if any(f"{_bare(p)}/" in _bare(f) for f in read)]
+        _delete(self.spark, [p for p in inside if p not in stay])
+        paths[self.start:] = stay
+
+
+def _bare(path: str) -> str:
+    """A path without its scheme and repeated slashes."""
+    import re
+    return re.sub("/+", "/", path.split(":", 1)[-1] if "://" in path or path.startswith("file:") else path)
+
+
 def drop_scratch_tables(spark: SparkSession) -> int:
     """Delete the tables this application materialised (Hadoop FS API).
 
     Call only when no DataFrame that reads them is used any more; nothing in
     the library calls it implicitly. Returns the number of tables removed.
     """
-    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    return _delete(spark, _SCRATCH.pop(spark.sparkContext.applicationId, []))
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     removed = 0

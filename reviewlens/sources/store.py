@@ -18,6 +18,7 @@ from __future__ import annotations
 import datetime as _dt
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,7 +120,8 @@ LEDGER_SCHEMA = "run_id string, stage string, model string, status string, at ti
 class RunLedger:
     """Append-only run ledger (checkpoint / resume).
 
-    Each event is one parquet row; the state of (run, stage, model) is the
+    Each event is one parquet row in a folder of its own, so that steps may be
+    committed side by side; the state of (run, stage, model) is the
     status of its latest event. Results of finished steps are parquet tables
     next to the ledger, so a resumed run re-reads them instead of recomputing.
     """
@@ -132,12 +134,13 @@ class RunLedger:
                result_path: str | None = None, at: _dt.datetime | None = None) -> None:
         at = at or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
         row = [(run_id, stage, model, status, at, json.dumps(payload or {}, sort_keys=True, default=str), result_path)]
-        self.spark.createDataFrame(row, LEDGER_SCHEMA).write.mode("append").parquet(self.path)
+        # a folder of its own: two jobs that write to one folder delete each other's temporary files
+        self.spark.createDataFrame(row, LEDGER_SCHEMA).coalesce(1).write.parquet(os.path.join(self.path, uuid.uuid4().hex))
 
     def events(self) -> DataFrame:
         if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], LEDGER_SCHEMA)
-        return self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path)
+        return self.spark.read.schema(LEDGER_SCHEMA).option("recursiveFileLookup", True).parquet(self.path)
 
     def state(self) -> DataFrame:
         """Latest status per (run, stage, model)."""
@@ -202,11 +205,12 @@ def tuning_status(state: DataFrame, requested: list[str], stage: str = "tune") -
 
 # ------------------------------------------------------------------ S12, S13
 def save_model_tables(spark: SparkSession, path: str, meta: dict, tables: dict[str, DataFrame]) -> None:
-    """One metadata JSON row plus named parquet tables."""
-    spark.createDataFrame([(json.dumps(meta, sort_keys=True, default=str),)], "meta string") \
-        .coalesce(1).write.mode("overwrite").json(os.path.join(path, "meta"))
+    """Named parquet tables plus one metadata JSON row. The metadata are
+    written last, so a model with metadata is whole."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(os.path.join(path, name))
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True, default=str),)], "meta string") \
+        .coalesce(1).write.mode("overwrite").json(os.path.join(path, "meta"))
 
 
 def load_model_tables(spark: SparkSession, path: str, names: list[str]) -> tuple[dict, dict[str, DataFrame]]:
