@@ -27,7 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.session import materialize
+from reviewlens.operators.reduce import array_sums
+from reviewlens.session import materialize, ship_package
 
 
 def _sig(x):
@@ -71,26 +72,11 @@ def rbm_epoch_sums(X: DataFrame, layer: RBMLayer, col: str = "x") -> tuple[int,
             n += len(pdf)
         yield pd.DataFrame({"n": [n], "gW": [gW.ravel().tolist()], "gb": [gb.tolist()], "gc": [gc.tolist()]})
 
-    n, (gW, gb, gc) = _array_sums(X.select(col).mapInPandas(part, _SUMS))
+    n, (gW, gb, gc) = array_sums(X.select(col).mapInPandas(part, _SUMS), ["gW", "gb", "gc"])
     return (n, gW.reshape(h, v), gb, gc) if n else (0, np.zeros((h, v)), np.zeros(v), np.zeros(h))
 
 
 _SUMS = "n long, gW array<double>, gb array<double>, gc array<double>"
-#: partial sums that meet in one task of the first reduction
-FAN_IN = 16
-
-
-def _array_sums(parts: DataFrame, names: tuple[str, ...] = ("gW", "gb", "gc")) -> tuple[int, list[np.ndarray]]:
-    """Sums of the arrays of all rows, in two reductions: the driver gets one row."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
-    tree = parts.select("n", *[array_to_vector(c).alias(c) for c in names], F.floor(F.spark_partition_id() / FAN_IN).alias("_bucket"))
-    some = tree.groupBy("_bucket").agg(F.sum("n").alias("n"), *[Summarizer.sum(F.col(c)).alias(c) for c in names])
-    # a group of all rows: without rows there is no group and no summary of nothing
-    r = some.groupBy(F.lit("all")).agg(F.sum("n").alias("n"), *[Summarizer.sum(F.col(c)).alias(c) for c in names]).first()
-    return (r["n"], [r[c].toArray() for c in names]) if r else (0, [np.zeros(0) for _ in names])
-
-
 def rbm_epoch_batches(X: DataFrame, layer: RBMLayer, learning_rate: float, batch_size: int, epoch: int, shards: int = 8,
                       col: str = "x", id_col: str = "id", seed: int = 42) -> tuple[int, RBMLayer]:
     """One epoch of mini-batches: the mean of the layers of ``shards`` replicas.
@@ -136,7 +122,7 @@ def rbm_epoch_batches(X: DataFrame, layer: RBMLayer, learning_rate: float, batch
     dealt = (X.select(col, shard.alias("_s"), place.alias("_p"), F.col(id_col).alias("_i")).repartitionById(shards, F.col("_s").cast("int"))
              .sortWithinPartitions("_s", "_p", "_i"))
     parts = dealt.select(col).mapInPandas(part, _SUMS)
-    n, sums = _array_sums(parts)
+    n, sums = array_sums(parts, ["gW", "gb", "gc"])
     if n == 0:
         return 0, layer
     return n, RBMLayer(sums[0].reshape(h, v) / n, sums[1] / n, sums[2] / n)
@@ -299,6 +285,7 @@ def dbn_fit(df: DataFrame, col: str = "features", id_col: str = "row_id", hidden
     it is done, and a fit of the same table and parameters goes on after the
     last of them. ``stop_after`` ends the fit after so many layers.
     """
+    ship_package(df.sparkSession)
     d = len(df.select(col).first()[0])
     hidden_layers = hidden_layers or [256, 128]
     layer_configs = layer_configs or [{"learning_rate": 0.05, "n_iter": 10}] * len(hidden_layers)
@@ -355,6 +342,7 @@ def save_dbn(spark, model: DBNModel, path: str) -> None:
 
 def load_dbn(spark, path: str) -> DBNModel:
     from reviewlens.sources.store import load_model_tables
+    ship_package(spark)
     meta, t = load_model_tables(spark, path, ["weights", "scores"])
     layers = [RBMLayer(np.asarray(r["weights"]), np.asarray(r["b_visible"]), np.asarray(r["b_hidden"]))
               for r in sorted(t["weights"].collect(), key=lambda r: r["layer"])]

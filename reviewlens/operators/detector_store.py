@@ -19,6 +19,7 @@ from reviewlens.operators.iforest import NODE_SCHEMA, IsolationForestModel
 from reviewlens.operators.lof import LOFModel
 from reviewlens.operators.ocsvm import OneClassSVMModel
 from reviewlens.operators.scaling import Scaler
+from reviewlens.session import ship_package
 from reviewlens.sources.store import load_model_tables, save_model_tables
 
 _SCALER = ("kept", "means", "stds", "los", "his", "jitter_eps", "jitter_seed", "id_col", "n")
@@ -72,6 +73,7 @@ def save_detector(spark: SparkSession, model: Detector, path: str) -> None:
 
 
 def load_detector(spark: SparkSession, path: str) -> Detector:
+    ship_package(spark)
     meta, tables = load_model_tables(spark, path, ["train", "scores", "nodes", "components"])
     scaler = Scaler(_spec(meta["spec"]), **meta["scaler"])
     state = meta["model"]

@@ -141,12 +141,12 @@ def prefix_sums(df: DataFrame, by: list[str], order_col: str, sum_cols: list[str
             for c in sum_cols:
                 vals = pdf[c].fillna(0).astype("int64")
                 if by:
-                    keys = pd.Series(list(map(tuple, pdf[by].itertuples(index=False))), index=pdf.index)
-                    cs = vals.groupby(keys, sort=False).cumsum()
-                    base = keys.map(lambda k: carry.get((c, k), 0)).astype("int64")
-                    out = cs + base
-                    last = out.groupby(keys, sort=False).last()
-                    for k, v in last.items():
+                    # rows of a group stand together: one number and one lookup per group of the batch
+                    groups = pdf.groupby(by, sort=False, dropna=False)
+                    code = groups.ngroup().to_numpy()
+                    keys = [tuple(None if pd.isna(x) else x for x in k) for k in pdf[by].drop_duplicates().itertuples(index=False)]
+                    out = vals.groupby(code, sort=False).cumsum() + pd.Series([carry.get((c, k), 0) for k in keys])[code].to_numpy()
+                    for k, v in zip(keys, out.groupby(code, sort=False).last()):
                         carry[(c, k)] = int(v)
                 else:
                     out = vals.cumsum() + carry.get((c, ()), 0)

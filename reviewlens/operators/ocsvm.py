@@ -13,7 +13,7 @@ same model family is fitted distributedly on an explicit feature map:
 
 by full-batch sub-gradient descent. Every iteration is one Spark job: each
 partition returns (violations, sum of violating z) from numpy over Arrow
-batches; the driver adds #partitions small vectors and updates (w, rho).
+batches, Spark reduces them to one row, and the driver updates (w, rho).
 ``kernel='linear'`` skips the feature map. The offset is finally set to the
 nu-quantile of w.z on the training rows (exact quantile), so the flagged
 share is nu up to ties; score = rho - w.z (higher = more anomalous).
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.operators.features import FeatureSpec
 from reviewlens.operators.ranking import exact_quantiles
+from reviewlens.operators.reduce import array_sums
 from reviewlens.operators.scaling import Scaler
 from reviewlens.session import materialize
 
@@ -84,9 +85,8 @@ class OneClassSVMModel:
         X = materialize(df.select(*([F.col(id_col).alias("_id")] if has_id else []),
                       F.array(*sc.scaled_exprs(df)).alias("x")))
         if gamma == "scale":
-            # variance of all entries of the (standardised) matrix
-            agg = X.select(F.explode("x").alias("v")).agg(F.var_pop("v").alias("v")).first()["v"] or 1.0
-            gamma = 1.0 / (d * agg) if agg > 0 else 1.0
+            # standardised features have mean 0 and variance 1, and so have all entries together
+            gamma = 1.0 / d
         elif gamma == "auto":
             gamma = 1.0 / d
         m.gamma = float(gamma)
@@ -125,16 +125,15 @@ class OneClassSVMModel:
                 for pdf in it_batches:
                     if len(pdf) == 0:
                         continue
-                    Xp = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["x"].to_numpy()])
+                    Xp = np.concatenate(pdf["x"].to_numpy()).reshape(len(pdf), -1)
                     Z = _feature_map(Xp, W, b, fmap)
                     viol = Z @ w_b < rho_b
                     cnt += int(viol.sum())
                     acc += Z[viol].sum(axis=0)
-                yield pd.DataFrame({"cnt": [cnt], "acc": [acc.tolist()]})
+                yield pd.DataFrame({"n": [cnt], "acc": [acc.tolist()]})
 
-            parts = X.select("x").mapInPandas(partial, "cnt long, acc array<double>").collect()
-            cnt = sum(r["cnt"] for r in parts)
-            acc = np.sum([np.asarray(r["acc"]) for r in parts], axis=0) if parts else np.zeros(dim)
+            cnt, (acc,) = array_sums(X.select("x").mapInPandas(partial, "n long, acc array<double>"), ["acc"])
+            acc = acc if len(acc) else np.zeros(dim)
             if it < 0:
                 w, rho = acc / max(cnt, 1), 0.0
                 continue
@@ -160,7 +159,7 @@ class OneClassSVMModel:
         def decision(x: pd.Series) -> pd.Series:
             if len(x) == 0:
                 return pd.Series([], dtype="float64")
-            Xp = np.stack([np.asarray(v, dtype=np.float64) for v in x.to_numpy()])
+            Xp = np.concatenate(x.to_numpy()).reshape(len(x), -1)
             return pd.Series(_feature_map(Xp, W, b, fmap) @ w)
 
         return decision(xcol)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.operators.features import FeatureSpec
+from reviewlens.session import ship_package
 
 
 def gaussian_noise(id_col: str, feature: int, seed: int) -> Column:
@@ -88,6 +89,7 @@ class Scaler:
             seed: int = 42, stats: list[dict] | None = None) -> "Scaler":
         """Fit on ``df``; ``stats`` may carry precomputed per-feature
         statistics (e.g. observed while the frame was written)."""
+        ship_package(df.sparkSession)        # every detector is fitted through here
         exprs = spec.exprs(df)
         if stats is None:
             whole = isinstance(spec, FeatureSpec) and spec.vector is not None and spec.dim > 0

@@ -96,8 +96,9 @@ def hashing_features(df: DataFrame, id_col: str, text_col: str, n_features: int
     b = F.pmod(F.xxhash64(F.lit(seed), F.col("term")), F.lit(n_features)).cast("int")
     sign = F.when(F.pmod(F.xxhash64(F.lit(seed + 1), F.col("term")), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
     v = p.groupBy("id", b.alias("bucket")).agg(F.sum(sign).alias("raw")).where(F.col("raw") != 0)
-    norms = v.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return v.join(norms, "id").select("id", "bucket", (F.col("raw") / F.col("norm")).alias("weight"))
+    # at most n_features buckets per document: a bounded list, and one pass over the tokens
+    per_doc = v.groupBy("id").agg(F.collect_list(F.struct("bucket", "raw")).alias("items"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return per_doc.select("id", "norm", F.explode("items").alias("it")).select("id", "it.bucket", (F.col("it.raw") / F.col("norm")).alias("weight"))
 
 
 def text_features(df: DataFrame, id_col: str, text_col: str, k: int,

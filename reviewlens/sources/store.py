@@ -82,9 +82,16 @@ METRICS_SCHEMA = T.StructType([
 
 
 def read_model_results(spark: SparkSession, base: str, model: str | None = None) -> DataFrame:
-    """Flags of one or all models (partition pruning on ``model``)."""
+    """Flags of one or all models (partition pruning on ``model``) with the
+    ``params`` and ``timestamp`` of their metrics; NULL where a model has none."""
     df = spark.read.parquet(os.path.join(base, "flags"))
-    return df.where(F.col("model") == model) if model else df
+    df = df.where(F.col("model") == model) if model else df
+    if not path_exists(spark, os.path.join(base, "metrics")):
+        none = F.lit(None).cast("string")
+        return df.withColumn("params", none).withColumn("timestamp", none)
+    m = read_model_metrics(spark, os.path.join(base, "metrics")).groupBy("model").agg(
+        F.max_by("params", "timestamp").alias("params"), F.max("timestamp").alias("timestamp"))
+    return df.join(m, "model", "left")      # one row a model
 
 
 def read_model_metrics(spark: SparkSession, path_glob: str) -> DataFrame:
