@@ -92,7 +92,7 @@ def materialize(df, how: str = "table"):
         import uuid
         path = scratch_path(df.sparkSession, uuid.uuid4().hex)
         df.write.mode("overwrite").parquet(path)
-        _remember(df.sparkSession, path)
+        remember(df.sparkSession, path)
         return df.sparkSession.read.parquet(path)
     if how == "checkpoint":
         ensure_checkpoint_dir(df.sparkSession)
@@ -161,14 +161,15 @@ def materialize_observed(df, aggs: list):
     obs = Observation(f"rl_{uuid.uuid4().hex[:12]}")
     path = scratch_path(df.sparkSession, uuid.uuid4().hex)
     df.observe(obs, *aggs).write.mode("overwrite").parquet(path)
-    _remember(df.sparkSession, path)
+    remember(df.sparkSession, path)
     return df.sparkSession.read.parquet(path), obs.get
 
 
 _SCRATCH: dict = {}
 
 
-def _remember(spark: SparkSession, path: str) -> None:
+def remember(spark: SparkSession, path: str) -> None:
+    """Register a scratch table, so that it can be freed."""
     _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
 
 
