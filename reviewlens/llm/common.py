@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.session import ensure_checkpoint_dir, scratch_path, ship_package
+from reviewlens.session import ensure_checkpoint_dir, remember, scratch_path, ship_package
 
 #: a list of ids of at most this many rows (16 MB) may be broadcast
 BROADCAST_IDS = 2_000_000
@@ -22,9 +22,11 @@ def prepare(spark: SparkSession) -> None:
 
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: later passes scan
-    columns of a file, and a lost executor costs only its own tasks."""
+    columns of a file, and a lost executor costs only its own tasks. The table
+    is known to ``drop_scratch_tables`` and ``scratch_scope``."""
     path = scratch_path(df.sparkSession, uuid.uuid4().hex)
     df.write.parquet(path)
+    remember(df.sparkSession, path)
     out = df.sparkSession.read.parquet(path)
     out.scratch = path
     return out

@@ -417,7 +417,21 @@ def _cross_pairs(left: DataFrame, right: DataFrame, apart: str, num: int, den: i
 
 
 def keep_one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the documents that a smaller linked doc_id stands for."""
-    from .common import without
-    groups = jaccard_components(df, id_col, text_col)
-    return without(df, materialize(groups.filter("component_id < doc_id").select("doc_id")), id_col)
+    """``df`` with one text of every component: that of the smallest doc_id.
+
+    Every (doc_id, text) is judged by itself: an unrelated text under a repeated
+    doc_id stays, and texts under a null doc_id are linked like any other (one
+    with a doc_id is kept before them). Texts without words stay, and so do all
+    rows with the id and text of the one kept. All columns are kept; an empty
+    table gives an empty result.
+    """
+    from .common import text_hash, without
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    one = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), text_hash(text).alias("hash"))
+    one = one.withColumn("unit", F.xxhash64(F.lit(5), F.col("doc_id").isNull(), "doc_id", "text"))
+    groups = jaccard_components(one, "unit", "text").filter("n_shingles > 0").select(F.col("doc_id").alias("unit"), "component_id").distinct()
+    members = materialize(one.select("doc_id", "hash", "unit").distinct().join(groups, "unit"))
+    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "unit")).alias("k"),
+                                               F.count("*").alias("texts")).filter("texts > 1").select("component_id", F.col("k.unit").alias("kept"))
+    dropped = materialize(members.join(kept, "component_id").filter("unit <> kept").select("doc_id", "hash").distinct())
+    return without(df, dropped, id_col, text_col)
