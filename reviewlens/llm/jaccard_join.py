@@ -17,10 +17,12 @@ sizes a and b are linked when their overlap is at least
   lists, from the size histogram and the sketch's mean list length.
 
 Lists are joined without expanding groups of copies into all pairs. Equal
-sets are one node. Star rounds link every member to one centre of its lists
-and merge the links that verify; then all pairs of a list whose components
-still differ are joined by size and position, bounded by their prefixes and
-verified on the full sets. A pair left out is already connected or provably
+sets are one node. Before any list is built, nodes that agree in a minimum of
+their hashed elements are tried against one centre of that minimum, one pair
+per node and round; what verifies is merged, and lists within one component
+are dropped. Star rounds then link the members of long lists to a few centres;
+at last all pairs of a list whose components still differ are joined by size
+and position, bounded by their prefixes and verified on the full sets. A pair left out is already connected or provably
 under the threshold, so components are exact.
 """
 
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free, keyed_text, materialize, prepare, small
@@ -43,8 +45,10 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 #: counters of the frequency sketch: a fixed size, whatever the corpus
 SKETCH_BITS = 24
-#: sketch counters of this sum mark frequent elements
-FREQUENT = 32
+#: sketch counters of this sum mark frequent elements; the largest HOT_COUNTERS of them are kept
+FREQUENT, HOT_COUNTERS = 32, 1 << 20
+#: minima per set, and rounds, of the first merge
+MINIMA, MERGES = 6, 2
 #: lists of this many sets or more are thinned by star rounds, around this many centres each
 LONG_LIST, CENTRES = 16, 4
 #: sizes for which enumeration is considered at all (2^12 subsets at most)
@@ -115,14 +119,14 @@ def _sketch_pass(k: int):
 
 
 def _keys_pass(k: int, boundary: int, heavy, num: int, den: int):
-    """Per document: size, node id, ordered prefix and light subset keys."""
+    """Per document: size, node id, ordered prefix, minima and light subset keys."""
     shift = np.uint64(64 - SKETCH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]):
         buckets, weights = heavy.value
         seen: set = set()
         for batch in batches:
-            sizes, nodes, prefix, subsets = [], [], [], []
+            sizes, nodes, prefix, minima, subsets = [], [], [], [], []
             named = batch.column(0).is_valid().to_pylist()
             for r, h in batch_shingles(batch.column(1), k):
                 u = np.unique(h)
@@ -131,6 +135,7 @@ def _keys_pass(k: int, boundary: int, heavy, num: int, den: int):
                 if not a:
                     nodes.append(None)
                     prefix.append(None)
+                    minima.append(None)
                     subsets.append(None)
                     continue
                 node = _node_id(u)
@@ -138,6 +143,7 @@ def _keys_pass(k: int, boundary: int, heavy, num: int, den: int):
                 # a row without an id takes no part in links; an equal set of this task has its keys already
                 if not named[r] or node in seen:
                     prefix.append(None)
+                    minima.append(None)
                     subsets.append(None)
                     continue
                 if len(seen) < 1 << 20:     # bounds memory only; repeats are dropped later too
@@ -155,6 +161,7 @@ def _keys_pass(k: int, boundary: int, heavy, num: int, den: int):
                     subsets.append(None)
                 if light and a * den // num <= boundary:
                     prefix.append(None)     # every partner is light too
+                    minima.append(None)
                     continue
                 b = (u >> shift).astype(np.int64)
                 at = np.searchsorted(buckets, b)
@@ -162,18 +169,22 @@ def _keys_pass(k: int, boundary: int, heavy, num: int, den: int):
                 w = np.where(buckets[at] == b, weights[at], 0) if len(buckets) else np.zeros(a, np.int64)
                 p = a - min_partner(a, num, den) + 1
                 prefix.append(u[np.lexsort((u, w))[:p]].view(np.int64))
+                minima.append([int(mix64(u ^ salt).min().astype(np.int64)) for salt in _SALTS])
             yield pa.record_batch([
                 batch.column(0), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()),
-                pa.array(prefix, pa.list_(pa.int64())),
+                pa.array(prefix, pa.list_(pa.int64())), pa.array(minima, pa.list_(pa.int64())),
                 pa.array(subsets, pa.list_(pa.struct([("key", pa.int64()), ("c", pa.int32())])))],
-                names=["doc_id", "n", "node", "prefix", "subsets"])
+                names=["doc_id", "n", "node", "prefix", "minima", "subsets"])
     return run
 
 
-_KEYS = ("doc_id long, n int, node long, prefix array<long>, "
+_KEYS = ("doc_id long, n int, node long, prefix array<long>, minima array<long>, "
          "subsets array<struct<key: long, c: int>>")
 
 
+_SALTS = [mix64(np.array([i + 1], dtype=np.uint64))[0] for i in range(MINIMA)]
+
+
 def _node_id(u: np.ndarray) -> int:
     """One 64-bit name for a whole set of sorted element hashes."""
     return int((mix64(u ^ np.uint64(0x5851F42D4C957F2D)).sum() + np.uint64(len(u))).astype(np.int64))
@@ -211,31 +222,23 @@ def _verify(num: int, den: int):
     return run
 
 
-def _prefix_bound(num: int, den: int):
-    """Keeps the pairs that may be linked by what their prefixes tell.
+def _prefix_bound(num: int, den: int) -> Column:
+    """Whether sets of sizes a and b may be linked by what their prefixes px and py tell.
 
     Say the prefix of x ends first in the global order. Then its elements
     beyond the m common ones are not in y, and the common elements of the sets
     are the m, and at most the rest of x after the prefix and the rest of y
     after the last common position; likewise with x and y exchanged. Elements
-    are folded to 32 bits here, which can only raise m.
+    are folded to 32 bits here: elements of x that fall together are added to m,
+    and a last position can only come out too early, so nothing is lost by it.
     """
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            x, y, a, b = (batch.column(i) for i in range(4))
-            keep = []
-            for i in range(batch.num_rows):
-                n, m = a[i].as_py(), b[i].as_py()
-                px, py = batch.column(4)[i].values.to_numpy(), batch.column(5)[i].values.to_numpy()
-                in_y, in_x = np.flatnonzero(np.isin(px, py)), np.flatnonzero(np.isin(py, px))
-                if not len(in_y):
-                    keep.append(False)
-                    continue
-                rest = max(min(n - len(px), m - 1 - in_x[-1]), min(m - len(py), n - 1 - in_y[-1]))
-                keep.append(bool(max(len(in_x), len(in_y)) + rest >= need(n, m, num, den)))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.record_batch([x.filter(keep), y.filter(keep)], names=["x", "y"])
-    return run
+    in_y, in_x = F.array_intersect("px", "py"), F.array_intersect("py", "px")
+    after_y = F.col("b") - F.array_position("py", F.element_at(in_x, -1))
+    after_x = F.col("a") - F.array_position("px", F.element_at(in_y, -1))
+    rest = F.greatest(F.least(F.col("a") - F.size("px"), after_y), F.least(F.col("b") - F.size("py"), after_x))
+    least = F.ceil(F.lit(num) * (F.col("a") + F.col("b")) / F.lit(num + den))
+    folded = F.size("px") - F.size(F.array_distinct("px"))
+    return (F.size(in_y) > 0) & (F.size(in_y) + folded + rest >= least)
 
 
 class _Verifier:
@@ -254,7 +257,7 @@ class _Verifier:
         kept = materialize(
             pairs.join(prefixes.select(F.col("node").alias("x"), F.col("p").alias("px")), "x")
             .join(prefixes.select(F.col("node").alias("y"), F.col("p").alias("py")), "y")
-            .select("x", "y", "a", "b", "px", "py").mapInArrow(_prefix_bound(self.num, self.den), "x long, y long"))
+            .filter(_prefix_bound(self.num, self.den)).select("x", "y"))
         free(pairs, ids, prefixes)
         return kept
 
@@ -293,12 +296,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     rows = (docs.select("text").mapInArrow(_sketch_pass(shingle), "kind int, key long, val long")
             .groupBy("kind", "key").agg(F.sum("val").alias("val"))
-            .filter((F.col("kind") > 0) | (F.col("val") >= FREQUENT)).collect())  # at most 2^24 counters
-    tokens = sum(r["val"] for r in rows if r["kind"] == 2)
-    hot = sorted((r["key"], r["val"]) for r in rows if r["kind"] == 0)
-    mean_list = 1 + sum(v * v for _, v in hot) / max(tokens, 1)
-    boundary = choose_boundary({r["key"]: r["val"] for r in rows if r["kind"] == 1 and r["key"]}, mean_list, num, den)
-    heavy = spark.sparkContext.broadcast((np.array([h[0] for h in hot], np.int64), np.array([h[1] for h in hot], np.int64)))
+            .filter((F.col("kind") > 0) | (F.col("val") >= FREQUENT))
+            .orderBy(F.desc("kind"), F.desc("val"), "key").limit(HOT_COUNTERS).toArrow())
+    kind, key, val = (rows.column(i).to_numpy() for i in range(3))
+    tokens = int(val[kind == 2].sum())
+    order = np.argsort(key[kind == 0])
+    hot = key[kind == 0][order], val[kind == 0][order]
+    mean_list = 1 + float((hot[1].astype(float) ** 2).sum()) / max(tokens, 1)
+    boundary = choose_boundary({int(a): int(c) for a, c in zip(key[kind == 1], val[kind == 1]) if a}, mean_list, num, den)
+    heavy = spark.sparkContext.broadcast(hot)
 
     keys = materialize(docs.mapInArrow(_keys_pass(shingle, boundary, heavy, num, den), _KEYS))
     nodes = keys.filter("node is not null and doc_id is not null")
@@ -307,8 +313,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     repeated = nodes.groupBy("doc_id").agg(F.min("node").alias("y"), F.max("node").alias("hi")).filter("y <> hi")
     same_id = nodes.join(repeated.select("doc_id", "y"), "doc_id").filter("node <> y").select(F.col("node").alias("x"), "y")
-    links = materialize(_light_links(nodes, num, den).union(same_id))
-    lists = _inverted_lists(nodes, boundary)
+    links = _first_merge(nodes, materialize(_light_links(nodes, num, den).union(same_id)), verify, num, den)
+    merged = connected_components(links)
+    lists = _inverted_lists(nodes, merged)
+    free(merged)
     roots = _heavy_links(lists, links, verify, num, den)
 
     named = roots.join(reps.select("node", "rep"), "node")
@@ -334,13 +342,44 @@ def _light_links(nodes: DataFrame, num: int, den: int) -> DataFrame:
                        .select(F.col("node").alias("x"), F.col("m.node").alias("y")).distinct())
 
 
-def _inverted_lists(nodes: DataFrame, boundary: int) -> DataFrame:
-    """(token, node, n, pos, length) of every token that two sets or more have in their prefix."""
-    entries = (nodes.filter("prefix is not null")
-               .select("node", "n", F.posexplode("prefix").alias("pos", "token")))
+def _first_merge(nodes: DataFrame, links: DataFrame, verify: _Verifier, num: int, den: int) -> DataFrame:
+    """``links`` and those found between a node and the centre of one of its minima.
+
+    A round tries at most one pair of a node: with the centre, in another
+    component, that most of its minima have. It saves work on groups of near
+    copies; what it does not find is found through the lists.
+    """
+    keyed = (nodes.filter("minima is not null").select("node", "n", F.posexplode("minima").alias("slot", "key")).distinct())
+    shared = keyed.groupBy("slot", "key").agg(F.count("*").alias("c")).filter("c > 1").select("slot", "key")
+    keyed = materialize(keyed.join(shared, ["slot", "key"]))
+    for turn in range(MERGES if keyed.head(1) else 0):
+        roots = connected_components(links)
+        mine = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        centre = mine.groupBy("slot", "key").agg(
+            F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("y"), F.col("n").alias("yn"),
+                           F.col("root").alias("yroot"))).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        pairs = (mine.join(centre.filter("lo <> hi"), ["slot", "key"]).select("node", "n", "root", "m.y", "m.yn", "m.yroot")
+                 .filter((F.col("root") != F.col("yroot"))
+                         & (F.col("n") * den >= F.col("yn") * num) & (F.col("yn") * den >= F.col("n") * num))
+                 .groupBy(F.col("node").alias("x"), "y").agg(F.count("*").alias("c"))
+                 .groupBy("x").agg(F.max_by("y", F.struct("c", "y")).alias("y")))
+        found = verify.links(pairs)
+        links, old = materialize(links.union(found)), links
+        more = found.head(1)
+        free(found, old, roots)
+        if not more:
+            break
+    free(keyed)
+    return links
+
+
+def _inverted_lists(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(token, node, n, pos, length) of every token that sets of two components or more have in their prefix."""
+    entries = (nodes.filter("prefix is not null").join(roots, "node", "left")
+               .select("node", "n", F.coalesce("root", "node").alias("root"), F.posexplode("prefix").alias("pos", "token")))
     token = Window.partitionBy("token")
     return materialize(
-        entries.withColumn("lo", F.min("node").over(token)).withColumn("hi", F.max("node").over(token))
+        entries.withColumn("lo", F.min("root").over(token)).withColumn("hi", F.max("root").over(token))
         .withColumn("length", F.count("*").over(token))
         .filter("lo <> hi").select("token", "node", "n", "pos", "length").distinct())
 
@@ -374,7 +413,7 @@ def _heavy_links(lists: DataFrame, links: DataFrame, verify: _Verifier, num: int
              .select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root")))
     # in a long list, every pair that is apart has a member outside its largest component
     pairs = (_cross_pairs(short, short, "rx < ry", num, den)
-             .union(_cross_pairs(mixed.filter("root <> top"), mixed, "rx <> ry", num, den)).distinct())
+             .union(_cross_pairs(mixed.filter("root <> top"), mixed, "rx <> ry and (y < x or ry = top)", num, den)).distinct())
     possible = verify.possible(pairs)
     found = verify.links(possible)
     free(long, mixed, roots, possible)
@@ -404,7 +443,8 @@ def _cross_pairs(left: DataFrame, right: DataFrame, apart: str, num: int, den: i
     """(x, y, a, b): pairs of a list in different components that may be linked
     by size and position. A linked pair shares an element among the first
     ``a - need(a, b) + 1`` of the one and ``b - need(a, b) + 1`` of the other."""
-    x = left.select("token", F.col("node").alias("x"), F.col("n").alias("a"), F.col("pos").alias("i"), F.col("root").alias("rx"))
+    x = left.select("token", F.col("node").alias("x"), F.col("n").alias("a"), F.col("pos").alias("i"), F.col("root").alias("rx"),
+                    *[c for c in left.columns if c == "top"])
     y = right.select("token", F.col("node").alias("y"), F.col("n").alias("b"), F.col("pos").alias("j"), F.col("root").alias("ry"))
     least = F.ceil(F.lit(num) * (F.col("a") + F.col("b")) / F.lit(num + den))
     pairs = x.join(y, (x["token"] == y["token"]) & F.expr(apart)
