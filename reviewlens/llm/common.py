@@ -63,6 +63,17 @@ def small(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def passages(text: Column, seed: Column, most: int, length: int) -> Column:
+    """A text of at most ``most`` code points whole; of a longer one, passages of
+    ``length`` that together have at most as many: one from a place drawn by
+    ``seed`` in each of equal stretches of the whole text."""
+    parts = max(1, most // (length + 1))
+    stretch = F.greatest(F.floor(F.length(text) / parts), F.lit(1))
+    at = lambda i: (i * stretch + F.pmod(F.xxhash64(seed, i), F.greatest(stretch - length, F.lit(1))) + 1).cast("int")
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.substring(text, at(i), F.lit(length)))
+    return F.when(F.length(text) > most, F.array_join(drawn, "\n")).otherwise(text)
+
+
 def text_hash(text: Column) -> Column:
     """Tells the texts of one id apart; a null text counts as an empty one."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
@@ -85,5 +96,5 @@ def large_string(batch: pa.RecordBatch, name: str) -> list:
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-__all__ = ["BROADCAST_IDS", "free", "keyed_text", "large_string", "materialize", "prepare", "read_table",
+__all__ = ["BROADCAST_IDS", "free", "keyed_text", "large_string", "materialize", "passages", "prepare", "read_table",
            "shuffle_partitions", "small", "text_hash", "without"]

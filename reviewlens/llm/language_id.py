@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_text, prepare
+from .common import keyed_text, passages, prepare
 from .quality_rules import held_out
 
-#: documents per language that are fitted, and characters of text of all of them, at most
-SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 400, 8 << 20
+#: documents per language that are fitted, documents of all languages, and characters of text of all of them, at most
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS = 400, 25_600, 8 << 20
+#: longer texts than TEXT_CHARS are learned from by passages of PASSAGE code points
+TEXT_CHARS, PASSAGE = 64 << 10, 2_000
 #: the first of a language are found in slices of ids, so that no task ranks a whole language
 SLICES = 8
 LANDMARKS = 256
@@ -149,38 +151,47 @@ def fit_language(texts: list[str], langs: list[str], landmarks: int = LANDMARKS,
     return LanguageModel(languages, grams, land.T.astype(float) @ (root @ beta), mean_y - mean_z @ beta)
 
 
-def fit_languages(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> LanguageModel:
+def fit_languages(docs: DataFrame, modulus: int = 4, remainder: int = 2, per_language: int = SAMPLE_PER_LANGUAGE,
+                  sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, text_chars: int = TEXT_CHARS) -> LanguageModel:
     """Fit on the first documents of every language by a hash of the id, at most
-    SAMPLE_PER_LANGUAGE each and SAMPLE_CHARS in all; texts are taken whole or not at all."""
+    ``per_language`` each, ``sample_rows`` and ``sample_chars`` in all; every language has
+    its first document in before any its second. A text of more than ``text_chars``
+    gives passages from all over it. Where an id has several rows, the first by
+    language and hash of the text stands for it."""
     rows = (docs.filter("lang is not null and text is not null and doc_id is not null")
             .filter(~held_out(F.col("doc_id"), modulus, remainder))
-            .select("doc_id", "lang", F.length("text").alias("n"), F.xxhash64("doc_id", F.lit(11)).alias("o")))
+            .select("doc_id", "lang", F.least(F.length("text"), F.lit(text_chars)).alias("n"), F.xxhash64("doc_id", F.lit(11)).alias("o")))
     # two steps: the first of every language in each slice of ids, then over the slices
     per_slice = Window.partitionBy("lang", "slice").orderBy("o", "doc_id")
     per_lang = Window.partitionBy("lang").orderBy("o", "doc_id")
     first = (rows.withColumn("slice", F.pmod("o", F.lit(SLICES)))
-             .withColumn("r", F.row_number().over(per_slice)).filter(F.col("r") <= SAMPLE_PER_LANGUAGE)
-             .withColumn("r", F.row_number().over(per_lang)).filter(F.col("r") <= SAMPLE_PER_LANGUAGE)
-             .orderBy("r", "o").limit(SLICES * SAMPLE_PER_LANGUAGE).select("doc_id", "n", "r", "o").collect())
-    ids, total = [], 0
-    for r in first:                          # a bounded list of ids
-        if total + r["n"] <= SAMPLE_CHARS:
-            ids.append((r["doc_id"],))
+             .withColumn("r", F.row_number().over(per_slice)).filter(F.col("r") <= per_language)
+             .withColumn("r", F.row_number().over(per_lang)).filter(F.col("r") <= per_language)
+             .orderBy("r", "o", "doc_id", "lang").limit(sample_rows).select("doc_id", "n").collect())
+    ids, total = {}, 0
+    for r in first:                          # at most sample_rows ids
+        if total + r["n"] <= sample_chars and r["doc_id"] not in ids:
+            ids[r["doc_id"]] = None
             total += r["n"]
     spark = docs.sparkSession
-    taken = spark.createDataFrame(ids, "doc_id long")
+    taken = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    drawn = passages(F.col("text"), F.col("doc_id"), text_chars, PASSAGE)
     sample = (docs.join(F.broadcast(taken), "doc_id").filter("lang is not null and text is not null")
-              .select("doc_id", "lang", "text").limit(2 * len(ids) + 1).collect())
+              .groupBy("doc_id").agg(F.min(F.struct("lang", F.xxhash64("text").alias("o"), drawn.alias("text"))).alias("m"))
+              .select("doc_id", "m.lang", "m.text").collect())
     sample.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     return fit_language([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
-def language_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def language_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                    per_language: int = SAMPLE_PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS,
+                    text_chars: int = TEXT_CHARS) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score.
 
     ``und`` with score 0 for a null text, one without a letter, or if nothing
-    could be learned. Null languages are never learned from; repeated rows are
-    predicted one by one; an empty table gives an empty result; other columns
+    could be learned. Texts of any length are predicted whole; of languages with
+    equal margins the first in order is taken. Null languages are never learned from;
+    repeated rows are predicted one by one; an empty table gives an empty result; other columns
     are ignored.
     """
     spark = df.sparkSession
@@ -188,7 +199,8 @@ def language_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = keyed_text(df, id_col, text_col)
     labelled = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
                          F.col(f"`{lang_col}`").alias("lang"))
-    model = spark.sparkContext.broadcast(fit_languages(labelled))
+    model = spark.sparkContext.broadcast(fit_languages(
+        labelled, per_language=per_language, sample_rows=sample_rows, sample_chars=sample_chars, text_chars=text_chars))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

@@ -169,8 +169,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, test: Column
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, remainder: int = 1,
                 sample_rows: int = SAMPLE_ROWS) -> RuleModel:
     sample = labelled_sample(docs, labels, label, held_out(F.col("doc_id"), modulus, remainder), sample_rows)
-    rows = (sample.select("y", "text").mapInArrow(stats_pass(("y",)), f"y double, {SCHEMA}")
-            .limit(2 * sample_rows).collect())           # bounded: one row per sampled id
+    stats = sample.select("doc_id", "y", "text").mapInArrow(stats_pass(("doc_id", "y")), f"doc_id long, y double, {SCHEMA}")
+    # one row per sampled id: of the texts of a repeated one, that with the smallest statistics
+    rows = stats.groupBy("doc_id").agg(F.min(F.struct("y", *NAMES)).alias("s")).select("s.*").collect()
     table = np.array(sorted(tuple(r) for r in rows), dtype=float).reshape(len(rows), len(NAMES) + 1)
     return fit_rules(table[:, 1:], (table[:, 0] >= 0.5).astype(float))
 

@@ -3,14 +3,17 @@
 A text is lower-cased (A-Z) and split into words of letters, digits and
 non-ASCII code points; every byte n-gram of ``<word>`` (n = 3 to 6) falls into
 one of 2^20 buckets. The vectors of the n-grams of a window of words are averaged
-and a linear softmax over the two classes gives its score; a text has the mean
-of its most toxic eighth of windows, however long it is. Vectors and softmax are
-trained together by stochastic gradient steps in numpy. Misspelt words share most n-grams with
-the words seen in training.
+and a linear softmax over the two classes gives its score. Windows overlap by half,
+and a text has the score of its most toxic window: what stands around a toxic
+passage, and how much of it, does not matter. Vectors and softmax are
+trained together by stochastic gradient steps in numpy, on the window that decides.
+Misspelt words share most n-grams with the words seen in training.
 
 Training uses a bounded sample of labelled rows (``sample_rows`` documents,
-``sample_bytes`` of text). For scoring, the softmax is multiplied into the
-vectors, which leaves one number per bucket, 4 MB for the executors.
+``sample_bytes`` of text, half of it for either label); a text of any length may be
+drawn, and one of more than ``text_bytes`` gives passages from all over it. For
+scoring, the softmax is multiplied into the vectors, which leaves one number per
+bucket, 4 MB for the executors.
 """
 
 from __future__ import annotations
@@ -23,24 +26,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_text, prepare, text_hash
+from .common import free, keyed_text, materialize, passages, prepare, text_hash
 from .quality_rules import held_out, labelled_ids
 from .shingles import mix64, row_chunks, text_buffers
 
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 20
 DIM = 4
-#: words of a window: its n-grams are averaged; a text scores as the mean of its most toxic
-#: windows, one of every TOP_SHARE
-WINDOW, TOP_SHARE = 24, 8
-#: a third of the sample has label 1; longer texts than LONGEST bytes are not trained on
+#: words of a step; the n-grams of two neighbouring steps, a window, are averaged
+STEP = 12
+#: a third of the sample has label 1; longer texts than TEXT_BYTES are sampled by passages of PASSAGE code points
 SAMPLE_ROWS = 6_000
-SAMPLE_BYTES, LONGEST = 6 << 20, 8 << 10
+SAMPLE_BYTES, TEXT_BYTES, PASSAGE = 16 << 20, 256 << 10, 2_000
 #: passes over whole texts, then passes over single windows
 WARM, EPOCHS = 2, 16
 BATCH, RATE = 16, 0.3
 #: a missed text of label 1 weighs so much more in training than a false alarm
 TOXIC_WEIGHT = 5.0
+#: share of the texts of label 0 that stand for their most toxic window in a pass
+HARD = 0.8
 #: share of the n-grams left out at random in each step, so that no single one must be present
 DROPOUT = 0.4
 #: n-grams of fewer training texts, or of a larger share of those of label 0, carry no evidence: their
@@ -61,11 +65,11 @@ _fold[~_word] = 0x20
 _byte = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def window_ngrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket of every n-gram, its window, windows of each row).
+def step_ngrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket of every n-gram, its step, steps of each row).
 
-    Windows are ``WINDOW`` consecutive words; a row has one at least. A word
-    that a window repeats counts once.
+    Steps are ``STEP`` consecutive words; a row has one at least. A word that a
+    step repeats counts once.
     """
     rows = len(offsets) - 1
     # one space before every row and one at the end: rows cannot share an n-gram
@@ -78,10 +82,10 @@ def window_ngrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     row_start = offsets[:-1] + np.arange(rows)
     words_before = np.concatenate([[0], np.cumsum(starts)])
     words = words_before[np.append(row_start[1:], len(s))] - words_before[row_start]
-    windows = np.maximum(-(-words // WINDOW), 1)
-    base = np.cumsum(windows) - windows
+    steps = np.maximum(-(-words // STEP), 1)
+    base = np.cumsum(steps) - steps
     local = np.arange(words.sum()) - np.repeat(np.cumsum(words) - words, words)
-    window_of = np.repeat(base, words) + local // WINDOW
+    step_of = np.repeat(base, words) + local // STEP
     before = np.concatenate([[0], np.cumsum(space)])
     key = _byte[s]
     buckets, owner = [], []
@@ -99,13 +103,13 @@ def window_ngrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         owner.append(words_before[i + 2] - 1)            # the word that covers byte i + 1
     bucket = np.concatenate(buckets) if buckets else np.zeros(0, np.int32)
     word = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-    # the sum of its buckets names a word inside its window
-    name = np.bincount(word, weights=bucket, minlength=len(window_of)).astype(np.int64)
-    _, first = np.unique(window_of * (1 << 32) + name % (1 << 32), return_index=True)
-    once = np.zeros(len(window_of), dtype=bool)
+    # the sum of its buckets names a word inside its step
+    name = np.bincount(word, weights=bucket, minlength=len(step_of)).astype(np.int64)
+    _, first = np.unique(step_of * (1 << 32) + name % (1 << 32), return_index=True)
+    once = np.zeros(len(step_of), dtype=bool)
     once[first] = True
     keep = once[word]
-    return bucket[keep], window_of[word[keep]], windows
+    return bucket[keep], step_of[word[keep]], steps
 
 
 @dataclass
@@ -114,26 +118,28 @@ class ToxicityModel:
     bias: float = 0.0
 
     def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Probability of label 1 for every row: that of the mean of its most toxic eighth of windows."""
+        """Probability of label 1 for every row: that of its most toxic window."""
         out = np.empty(len(offsets) - 1)
         for a, b in row_chunks(offsets, CHUNK):
-            means, rows = [], []
+            sums, counts, rows = [], [], []
             for part, shift in _pieces(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]):
-                bucket, owner, windows = window_ngrams(part, shift)
-                n = int(windows.sum())
-                means.append(np.bincount(owner, weights=self.weight[bucket], minlength=n)
-                             / (np.bincount(owner, minlength=n) + SMOOTH))
-                rows.append(np.repeat(np.arange(b - a), windows) if b - a > 1 else np.zeros(n, np.int64))
-            mean, row = np.concatenate(means), np.concatenate(rows)
-            order = np.lexsort((-mean, row))
-            many = np.bincount(row, minlength=b - a)
-            top = -(-many // TOP_SHARE)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            use = order[place < np.repeat(top, many)]
-            out[a:b] = np.bincount(row[use], weights=mean[use], minlength=b - a) / top
+                bucket, owner, steps = step_ngrams(part, shift)
+                n = int(steps.sum())
+                sums.append(np.bincount(owner, weights=self.weight[bucket], minlength=n))
+                counts.append(np.bincount(owner, minlength=n))
+                rows.append(np.repeat(np.arange(b - a), steps) if b - a > 1 else np.zeros(n, np.int64))
+            row = np.concatenate(rows)
+            mean = window_means(np.concatenate(sums), np.concatenate(counts), row)
+            out[a:b] = np.maximum.reduceat(mean, np.flatnonzero(np.diff(row, prepend=-1)))
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -30, 30)))
 
 
+def window_means(sums: np.ndarray, counts: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Mean of every step with the next one of its row, if there is one."""
+    pair = np.append(row[1:] == row[:-1], False)
+    return (sums + np.where(pair, np.roll(sums, -1), 0)) / (counts + np.where(pair, np.roll(counts, -1), 0) + SMOOTH)
+
+
 def _pieces(raw: np.ndarray, offsets: np.ndarray):
     """A chunk of rows as it is; a single very long text in parts cut between words."""
     if len(offsets) > 2 or len(raw) <= 2 * CHUNK:
@@ -153,8 +159,8 @@ def train(texts: list[str], y: np.ndarray, toxic_weight: float = TOXIC_WEIGHT, s
     """Joint training of vectors and softmax on windows.
 
     In each pass a text stands for one window: the most toxic one under the
-    current model, or a random one in the first passes and for every other
-    text of label 0.
+    current model, or a random one for some texts of label 0. In the first
+    passes it stands whole.
     """
     size = 1 << BUCKET_BITS
     if not len(texts) or y.min() == y.max():
@@ -163,10 +169,10 @@ def train(texts: list[str], y: np.ndarray, toxic_weight: float = TOXIC_WEIGHT, s
     grams, counts, base, texts_with, clean_with = [], [], [0], np.zeros(size, np.int32), np.zeros(size, np.int32)
     for t, label in zip(texts, y):
         raw = np.frombuffer(t.encode("utf-8"), dtype=np.uint8)
-        b, o, windows = window_ngrams(raw, np.array([0, len(raw)]))
+        b, o, steps = step_ngrams(raw, np.array([0, len(raw)]))
         grams.append(b[np.argsort(o, kind="stable")])
-        counts.append(np.bincount(o, minlength=windows[0]))
-        base.append(base[-1] + int(windows[0]))
+        counts.append(np.bincount(o, minlength=steps[0]))
+        base.append(base[-1] + int(steps[0]))
         b = np.unique(b)
         texts_with[b] += 1
         clean_with[b] += label < 0.5
@@ -174,6 +180,7 @@ def train(texts: list[str], y: np.ndarray, toxic_weight: float = TOXIC_WEIGHT, s
     del grams, counts
     at = np.concatenate([[0], np.cumsum(n)])
     filled = np.flatnonzero(n)
+    row = np.repeat(np.arange(len(texts)), np.diff(base))
     known = (texts_with >= MIN_TEXTS) & (clean_with <= max(MIN_TEXTS, MAX_SHARE * (y < 0.5).sum()))
     rng = np.random.default_rng(seed)
     e = ((rng.random((size, DIM)) - 0.5) * 0.1).astype(np.float32)
@@ -185,7 +192,7 @@ def train(texts: list[str], y: np.ndarray, toxic_weight: float = TOXIC_WEIGHT, s
         weight = e @ (w[:, 1] - w[:, 0])
         mean = np.zeros(len(n))
         mean[filled] = np.add.reduceat(weight[gram], at[filled])
-        mean /= n + SMOOTH
+        mean = window_means(mean, n, row)
         order = rng.permutation(len(texts))
         for start in range(0, len(order), BATCH):
             batch = order[start:start + BATCH]
@@ -194,9 +201,9 @@ def train(texts: list[str], y: np.ndarray, toxic_weight: float = TOXIC_WEIGHT, s
                 if epoch < WARM:
                     pick.append(slice(at[base[i]], at[base[i + 1]]))     # the whole text
                 else:
-                    k = base[i] + (int(mean[base[i]:base[i + 1]].argmax()) if y[i] or rng.random() < 0.5
+                    k = base[i] + (int(mean[base[i]:base[i + 1]].argmax()) if y[i] or rng.random() < HARD
                                    else int(rng.integers(base[i + 1] - base[i])))
-                    pick.append(slice(at[k], at[k + 1]))
+                    pick.append(slice(at[k], at[min(k + 2, base[i + 1])]))
             idx = np.concatenate([gram[p] for p in pick])
             many = np.array([p.stop - p.start for p in pick])
             val = np.repeat(np.float32(GAIN / (1 - DROPOUT)) / (many + SMOOTH), many).astype(np.float32)
@@ -220,21 +227,27 @@ def train(texts: list[str], y: np.ndarray, toxic_weight: float = TOXIC_WEIGHT, s
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, remainder: int = 2,
-                 sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
-    """Fit on at most ``sample_rows`` texts, the first of either label by a hash of
-    the id, that together hold at most ``sample_bytes``; texts are taken whole or
-    not at all."""
+                 sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, text_bytes: int = TEXT_BYTES) -> ToxicityModel:
+    """Fit on at most ``sample_rows`` ids, the first of either label by a hash, and of
+    them as many as hold ``sample_bytes / 2`` per label; one of them at least. A text
+    of more than ``text_bytes / 4`` code points gives passages from all over it. Where an
+    id has several texts, the first by their hash stands for it."""
     known = labelled_ids(labels, label, held_out(F.col("doc_id"), modulus, remainder))
     toxic = F.col("y") >= 0.5
     share = known.agg(F.avg(toxic.cast("double"))).first()[0] or 0.0
     first = lambda part, n: part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)     # noqa: E731
     ids = first(known.filter(toxic), sample_rows // 3).union(first(known.filter(~toxic), sample_rows - sample_rows // 3))
-    sample = docs.join(F.broadcast(ids), "doc_id").filter(F.octet_length("text") <= LONGEST)   # at most sample_rows ids
-    order = Window.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = sample.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n"))   # at most sample_rows rows
-    taken = sizes.withColumn("sum", F.sum("n").over(order)).filter(F.col("sum") <= sample_bytes).select("doc_id")
+    drawn = passages(F.col("text"), F.col("doc_id"), text_bytes // 4, PASSAGE)
+    sample = materialize(docs.join(F.broadcast(ids), "doc_id")                        # at most sample_rows ids
+                         .groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("o"), drawn.alias("t"))).alias("m"))
+                         .select("doc_id", "y", F.col("m.t").alias("text")))
+    order = Window.partitionBy(toxic).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sample.select("doc_id", "y", F.octet_length("text").alias("n"))           # at most sample_rows rows
+    taken = (sizes.withColumn("sum", F.sum("n").over(order)).filter((F.col("sum") <= sample_bytes // 2) | (F.col("sum") == F.col("n")))
+             .select("doc_id"))
     rows = sample.join(F.broadcast(taken), "doc_id").select("doc_id", "y", "text").collect()   # at most sample_bytes of text
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    free(sample)
+    rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["y"] >= 0.5 for r in rows], dtype=float)
     # the sample holds more of label 1 than the table; its weight undoes that
     return train([r["text"] for r in rows], y, TOXIC_WEIGHT * share / y.mean() if y.any() else TOXIC_WEIGHT)
@@ -251,19 +264,21 @@ def _score_pass(model):
 
 def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES,
-                    hashed: bool = False) -> DataFrame:
+                    text_bytes: int = TEXT_BYTES, hashed: bool = False) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted, and with
     ``hashed`` text_hash, which tells the texts of one id apart.
 
-    A null or empty text, or one without words, gets the score of the bias
-    alone (the prior). Without usable labels, or with labels of one class, the
+    A text of any length is read whole and has the score of its most toxic
+    window. A null or empty text, or one without words, gets the score of the
+    bias alone (the prior); a score equal to the threshold is predicted 1. Without usable labels, or with labels of one class, the
     score is that class's clipped share. Repeated rows are scored one by one;
     an empty table gives an empty result; other columns are ignored.
     """
     spark = df.sparkSession
     prepare(spark)
     docs = keyed_text(df, id_col, text_col)
-    model = spark.sparkContext.broadcast(fit_toxicity(docs, labels, sample_rows=sample_rows, sample_bytes=sample_bytes))
+    model = spark.sparkContext.broadcast(fit_toxicity(
+        docs, labels, sample_rows=sample_rows, sample_bytes=sample_bytes, text_bytes=text_bytes))
     keys = ["text_hash"] if hashed else []
     if hashed:
         docs = docs.withColumn("text_hash", text_hash(F.col("text")))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reviewlens.llm import language_id, quality_rules, text_stats, toxicity
@@ -34,8 +35,7 @@ def test_toxicity_held_out(tables):
     p = joined(toxicity.toxicity_scores(with_clashes(d), labels), labels, "toxic")
     clean, toxic = p[p.toxic == 0], p[p.toxic == 1]
     assert (clean.predicted == 0).mean() > 0.93
-    auc = np.mean([(toxic.score > s).mean() for s in clean.score])
-    assert auc > 0.75                       # some forty texts of label 1 are learned from
+    assert (toxic.predicted == 1).mean() > 0.7      # some forty texts of label 1 are learned from
 
 
 def test_language_held_out(tables):
@@ -48,7 +48,7 @@ def test_labels_beside_the_text_do_not_matter(spark, tables):
     """lang, source and doc_id are no inputs of a score."""
     d, labels = tables
     from pyspark.sql import functions as F
-    other = d.withColumn("source", F.lit("x")).withColumn("lang", F.when(F.col("doc_id") % 1 == 0, F.col("lang")))
+    other = d.withColumn("source", F.lit("x")).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
     a = quality_rules.quality_scores(d, labels).collect()
     b = quality_rules.quality_scores(other, labels).collect()
     assert {(r["doc_id"], round(r["score"], 9)) for r in a} == {(r["doc_id"], round(r["score"], 9)) for r in b}
@@ -118,6 +118,63 @@ def test_misspelt_words_share_ngrams():
     assert score(" ".join(["loka"] * 8 + ["wortthless", "stuppidly", "disgustting"] + ["tavan"] * 8)) > 0.3
 
 
+def _plain_and_bad(rnd, n, bad=0):
+    w = [f"{rnd.choice(('lo', 'mi', 'ta', 're', 'su', 'no'))}{rnd.choice(('ka', 'ben', 'dor', 'shi', 'pel', 'van'))}" for _ in range(n)]
+    for _ in range(bad):
+        w[rnd.randrange(n)] = rnd.choice(["stupidly", "worthless", "disgusting"])
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("around", [200, 1_000, 5_000, 20_000])
+def test_toxic_passage_in_clean_words(around):
+    rnd = random.Random(around)
+    y = np.array([float(i % 3 == 0) for i in range(300)])
+    model = toxicity.train([_plain_and_bad(rnd, 60, 6 * int(v)) for v in y], y)
+    texts, clean = [], []
+    for _ in range(30):
+        half = _plain_and_bad(rnd, around // 2)
+        texts.append(f"{half} {_plain_and_bad(rnd, 40, 8)} {half}")
+        clean.append(f"{half} {half}")
+    found, alone = (model.scores(*text_buffers(pa.array(t))) >= 0.3 for t in (texts, clean))
+    assert found.mean() >= 0.9 and alone.mean() <= 0.1
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    """All texts of label 1 are far longer than text_bytes: passages stand for them."""
+    rnd = random.Random(3)
+    rows = [(i, _plain_and_bad(rnd, 3_000, 900) if i % 3 == 0 else _plain_and_bad(rnd, 60)) for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows], LABELS)
+    got = toxicity.toxicity_scores(docs(spark, rows), labels, text_bytes=32_000).collect()
+    assert np.mean([r["predicted"] == (r["doc_id"] % 3 == 0) for r in got]) > 0.95
+
+
+def test_windows_do_not_depend_on_pieces(monkeypatch):
+    rnd = random.Random(4)
+    model = toxicity.ToxicityModel(np.random.default_rng(1).normal(size=1 << toxicity.BUCKET_BITS).astype(np.float32))
+    text = text_buffers(pa.array([_plain_and_bad(rnd, 3_000), "", "one"]))
+    whole = model.scores(*text)
+    raw, offsets = text
+    sums, counts, low = [], [], []
+    for a, b in zip(offsets[:-1], offsets[1:]):     # every window by itself
+        w = bytes(raw[a:b]).decode().split()
+        steps = [" ".join(w[i:i + toxicity.STEP]) for i in range(0, len(w), toxicity.STEP)] or [""]
+        parts = [toxicity.step_ngrams(np.frombuffer(s.encode(), np.uint8), np.array([0, len(s)]))[0] for s in steps]
+        low.append(max((model.weight[p].sum() + model.weight[q].sum()) / (len(p) + len(q) + toxicity.SMOOTH)
+                       for p, q in zip(parts, [*parts[1:], parts[0][:0]])))
+    assert np.allclose(whole, 1 / (1 + np.exp(-np.array(low))), atol=1e-5)
+
+
+def test_passages(spark):
+    from pyspark.sql import functions as F
+    from reviewlens.llm.common import passages
+    text = "".join(f"{i:05d}" for i in range(4_000))
+    rows = spark.createDataFrame([(1, text), (2, "é" * 100), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["p"] for r in rows.select("doc_id", passages(F.col("text"), F.col("doc_id"), 1_000, 99).alias("p")).collect()}
+    parts = got[1].split("\n")
+    assert [len(p) for p in parts] == [99] * 10 and all(p in text for p in parts) and got[2] == "é" * 100 and got[3] is None
+    assert all(i * 2_000 <= text.index(p) < (i + 1) * 2_000 for i, p in enumerate(parts))
+
+
 def test_ridge_matches_the_kernel_form():
     texts = ["the cat sat on the mat", "a dog and a cat", "le chat est sur la table", "un chien et un chat"] * 3
     model = language_id.fit_language(texts, ["en", "en", "fr", "fr"] * 3, landmarks=12)
