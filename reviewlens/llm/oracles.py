@@ -1,8 +1,6 @@
 """DuckDB SQL for the text operators that SQL can express."""
 
-import math
-
-from .license_scan import LOWER, PHRASES, TEMPLATES, THRESHOLD, UPPER
+from .license_scan import LOWER, PHRASES, UPPER
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -12,8 +10,35 @@ def _sql_list(items) -> str:
 
 
 _PHRASE_ROWS = ", ".join(f"({_sql_list(p.split())}, '{label}')" for p, label in PHRASES)
-_TEMPLATE_ROWS = ", ".join(f"({_sql_list(sorted(set(t.split())))}, '{label}', {math.ceil(THRESHOLD * len(set(t.split())))})"
-                           for t, label in TEMPLATES)
+# fixed values: the notices as they are printed, their telling phrases and labels
+_NOTICES = """
+('mit', 'mit license', 'Released under the MIT License.'),
+('mit', 'mit license', 'Licensed under the MIT License.'),
+('mit', 'any person obtaining a copy of this software', 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software'),
+('mit', 'deal in the software without restriction', 'to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
+('apache-2', 'apache license version 2', 'Licensed under the Apache License, Version 2.0.'),
+('apache-2', 'apache license version 2', 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+('apache-2', 'distributed under the license is distributed on an as is basis', 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
+('gpl-3', 'gnu general public license version 3', 'This work is licensed under the GNU General Public License, version 3.'),
+('gpl-3', 'gnu general public license as published by the free software foundation either version 3', 'it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.'),
+('gpl-2', 'gnu general public license as published by the free software foundation either version 2', 'it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.'),
+('lgpl-3', 'gnu lesser general public license as published by the free software foundation either version 3', 'it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.'),
+('agpl-3', 'gnu affero general public license as published by the free software foundation either version 3', 'it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.'),
+('bsd', 'bsd license', 'Released under the BSD License.'),
+('bsd', 'redistribution and use in source and binary forms', 'Redistribution and use in source and binary forms, with or without modification, are permitted'),
+('bsd', 'redistributions of source code must retain', 'Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.'),
+('mpl-2', 'mozilla public license v 2', 'subject to the terms of the Mozilla Public License, v. 2.0.'),
+('isc', 'permission to use copy modify', 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted'),
+('zlib', 'alter it and redistribute it freely', 'Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely'),
+('boost', 'any person or organization obtaining a copy', 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license'),
+('unlicense', 'free and unencumbered software', 'This is free and unencumbered software released into the public domain.'),
+('cc-by-nc', 'cc by nc', 'Licensed under CC BY-NC 4.0.'),
+('cc-by-sa', 'cc by sa', 'Licensed under CC BY-SA 4.0.'),
+('cc-by', 'cc by 4', 'Licensed under CC BY 4.0.'),
+('cc-by', 'creative commons attribution 4', 'This work is licensed under a Creative Commons Attribution 4.0 International License.'),
+('cc-by-nc', 'attribution noncommercial 4', 'This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.'),
+('cc-by-sa', 'attribution sharealike 4', 'This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.'),
+('cc0', 'waived all copyright and related or neighboring rights', 'has waived all copyright and related or neighboring rights to this work')"""
 
 _SHINGLES = rf"""
 words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w
@@ -37,12 +62,18 @@ ORACLES = {
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(t, '{_WORD}') AS w FROM d),
 phrases(p, label) AS (VALUES {_PHRASE_ROWS}),
-templates(s, label, least) AS (VALUES {_TEMPLATE_ROWS}),
+notices(label, telling, printed) AS (VALUES {_NOTICES}),
+notice_words AS (SELECT label, telling, regexp_extract_all(translate(printed, '{UPPER}', '{LOWER}'), '{_WORD}') AS t FROM notices),
+templates AS (SELECT label, ' ' || telling || ' ' AS telling, list_distinct(t) AS s,
+              CAST(pow(2, ceil(log2(ceil(1.25 * len(t))))) AS BIGINT) AS size FROM notice_words),
 starts AS (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM w WHERE list_has_any(w, ['license', 'by'])),
 places AS (SELECT doc_id, i, label FROM starts, phrases WHERE w[i + 1:i + len(p)] = p),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM places GROUP BY 1),
-lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{_WORD}') AS b FROM d),
-held AS (SELECT doc_id, label, len(list_intersect(s, b)) / len(s) AS c FROM lines, templates WHERE len(list_intersect(s, b)) >= least),
+told AS (SELECT doc_id, w, label, telling, s, size FROM w, templates WHERE contains(' ' || array_to_string(w, ' ') || ' ', telling)),
+blocks AS (SELECT doc_id, w, label, telling, s, size, unnest(range(0, len(w), size)) AS i FROM told),
+held AS (SELECT doc_id, label, len(list_intersect(s, w[i + 1:i + 2 * size])) / len(s) AS c FROM blocks
+         WHERE 10 * len(list_intersect(s, w[i + 1:i + 2 * size])) >= 8 * len(s)
+           AND contains(' ' || array_to_string(w[i + 1:i + 2 * size], ' ') || ' ', telling)),
 own AS (SELECT doc_id, list(DISTINCT label) AS own, max(c) AS c FROM held GROUP BY 1)
 SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,

@@ -70,7 +70,7 @@ def test_stages_take_unusual_documents(spark):
 def test_filters_judge_rows_of_one_id_apart(spark, monkeypatch):
     """A null or repeated id takes only its rejected texts with it."""
     bad = "badword of many words that stand here in a row"
-    buckets, _, _ = toxicity.window_ngrams(np.frombuffer(b"badword", np.uint8), np.array([0, 7]))
+    buckets, _, _ = toxicity.step_ngrams(np.frombuffer(b"badword", np.uint8), np.array([0, 7]))
     weight = np.zeros(1 << toxicity.BUCKET_BITS, np.float32)
     weight[buckets] = 1000
     monkeypatch.setattr(toxicity, "fit_toxicity", lambda *a, **k: toxicity.ToxicityModel(weight, -5.0))
