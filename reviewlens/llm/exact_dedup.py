@@ -1,16 +1,16 @@
 """Exact duplicates by a distributed content sort (DataFrame functions only).
 
-Method: the text without white space is range-partitioned by Spark's sampled
-splitters (its first code points, then a hash, so that texts with one common
-start still spread) and sorted externally inside each partition, so equal
-texts are neighbours; the window over equal texts compares each full text with
-its neighbour and names the row that stays.
+Method: the text without white space is written once with its length, first
+code points and a hash. Spark's sampled splitters of the last two range-partition
+the rows (texts with one common start still spread), an external sort inside each
+partition makes equal texts neighbours, and the window over a run of equal
+neighbours, told by comparing full texts, counts it and names the row that stays.
 
 Skew: a text that may fill more than a quarter of an average partition is
-found first by a count of text hashes (combined map-side) and gets a salt as
-second sort key, so its rows spread over several runs; the runs are joined
-again through their SHA-256. At most ``4 * partitions`` texts can be that
-frequent, which bounds the table of salts.
+found first by a count of text hashes (combined map-side) and gets a salt, drawn
+by the number of the row, as second sort key, so its rows spread over several
+runs. Only these runs are joined again through their SHA-256. At most
+``4 * partitions`` texts can be that frequent, which bounds both tables.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_text, materialize, prepare, shuffle_partitions
+from .common import free, keyed_text, materialize, prepare, shuffle_partitions
 
 #: white space that does not count, one code point each: [\x20\x09-\x0D]
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -39,7 +39,8 @@ def dedup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  partitions: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Null texts are empty texts. In a group of equal texts the row with the
+    Null texts are empty texts; texts of any length are sorted and compared whole.
+    In a group of equal texts the row with the
     most code points in its original text stays, then the smallest id (null
     ids last). Rows that repeat both id and length are told apart only by
     their place: exactly one row of a group has ``kept``. An empty table gives
@@ -48,37 +49,44 @@ def dedup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     prepare(spark)
     parts = partitions or shuffle_partitions(spark)
-    docs = keyed_text(df, id_col, text_col).select(
-        "doc_id", F.length("text").alias("n"), normalised(F.col("text")).alias("norm"))
-
-    counts = materialize(docs.groupBy(F.xxhash64("norm").alias("h")).agg(F.count("*").alias("c")))
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    limit = max(64, total // (4 * parts))
-    hot = counts.filter(F.col("c") > limit).select("h", F.ceil(F.col("c") / limit).alias("salts"))
-    # at most 4 * parts rows by the choice of limit
-    salted = (docs.withColumn("h", F.xxhash64("norm")).join(F.broadcast(hot), "h", "left")
-              .withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(
-                  F.xxhash64("doc_id", "n"), F.col("salts"))).otherwise(F.lit(0)).cast("int"))
-              .select("doc_id", "n", "norm", "salt"))
-    # splitters are sampled from the first bytes and a hash, so a sample row is small however
-    # long its text; inside a range the whole texts are sorted and compared with their neighbours
-    salted = salted.withColumn("head", F.substring("norm", 1, HEAD)).withColumn("tail", F.xxhash64("norm"))
-    run = Window.partitionBy("head", "tail", "salt", "norm").orderBy(F.desc("n"), F.asc_nulls_last("doc_id"))
+    # splitters are sampled from the first code points and a hash, two small columns of the
+    # written table, so a sample row is small however long its text
+    norm = normalised(F.col("text"))
+    rows = materialize(
+        keyed_text(df, id_col, text_col)
+        .select("doc_id", F.length("text").alias("n"), norm.alias("norm"), F.monotonically_increasing_id().alias("row"))
+        .withColumn("head", F.substring("norm", 1, HEAD)).withColumn("tail", F.xxhash64("norm")))
+
+    hot = hot_texts(rows, parts)
+    salted = (rows.join(F.broadcast(hot), "tail", "left")                 # at most 4 * parts rows
+              .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row"), F.col("salts")), F.lit(-1)).cast("int")))
+    run = Window.partitionBy("head", "tail", "salt", "norm")
+    place = run.orderBy(F.desc("n"), F.asc_nulls_last("doc_id"), "row")
+    whole = place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     runs = materialize(
         salted.repartitionByRange(parts, "head", "tail", "salt")
-        .withColumn("rn", F.row_number().over(run))
-        .select("doc_id", "n", "salt", "rn", F.sha2("norm", 256).alias("text_sha256")))
-
-    best = F.struct((-F.col("n")).alias("neg_n"), F.col("doc_id").isNull().alias("no_id"),
-                    F.col("doc_id").alias("keep_id"), F.col("salt").alias("keep_salt"))
-    per_run = runs.groupBy("text_sha256", "salt").agg(F.count("*").alias("c"), F.min(best).alias("b"))
-    group = Window.partitionBy("text_sha256")          # at most one row per salt
-    per_run = per_run.select("text_sha256", "salt", F.sum("c").over(group).alias("group_size"),
-                             F.min("b").over(group).alias("b"))
-    return (runs.join(per_run, ["text_sha256", "salt"])
-            .select("doc_id", F.col("b.keep_id").alias("keep_id"), "group_size",
-                    ((F.col("rn") == 1) & (F.col("salt") == F.col("b.keep_salt"))).alias("kept"),
-                    "text_sha256"))
+        .select("doc_id", "n", "row", "salt", F.row_number().over(place).alias("rn"), F.first("doc_id").over(place).alias("keep_id"),
+                F.count("*").over(whole).alias("size"), F.sha2("norm", 256).alias("text_sha256")))
+    free(rows)
+
+    best = F.struct((-F.col("n")).alias("neg_n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"),
+                    F.col("row").alias("row"))
+    merged = (runs.filter("salt >= 0 and rn = 1").groupBy("text_sha256")
+              .agg(F.sum("size").alias("all_size"), F.min(best).alias("b")))
+    hot_row = F.col("salt") >= 0
+    joined = runs.join(F.broadcast(merged.withColumnRenamed("text_sha256", "sha")),       # at most 4 * parts rows
+                       hot_row & (F.col("text_sha256") == F.col("sha")), "left")
+    return joined.select(
+        "doc_id", F.when(hot_row, F.col("b.id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(hot_row, F.col("all_size")).otherwise(F.col("size")).alias("group_size"),
+        F.when(hot_row, F.col("row") == F.col("b.row")).otherwise(F.col("rn") == 1).alias("kept"), "text_sha256")
+
+
+def hot_texts(rows: DataFrame, parts: int) -> DataFrame:
+    """(tail, salts) of the texts that may fill more than a quarter of a partition: at most ``4 * parts``."""
+    counts = materialize(rows.groupBy("tail").agg(F.count("*").alias("c")))
+    limit = max(64, (counts.agg(F.sum("c")).first()[0] or 0) // (4 * parts))
+    return counts.filter(F.col("c") > limit).select("tail", F.ceil(F.col("c") / limit).alias("salts"))
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,10 +103,10 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     if ids["n"] == ids["d"] == ids["k"]:
         from .common import without
         return without(df, groups.filter("not kept").select("doc_id"), id_col)
-    sha = F.sha2(normalised(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), 256)
-    n = F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     kept = groups.filter("kept").select(F.col("doc_id").alias("_k_id"), F.col("text_sha256").alias("_k_sha"))
-    same = Window.partitionBy("_sha").orderBy(F.desc("_n"), F.asc_nulls_last(f"`{id_col}`"))
-    return (df.withColumn("_sha", sha).withColumn("_n", n)
-            .join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_k_id")) & (F.col("_sha") == F.col("_k_sha")), "left_semi")
-            .withColumn("_rn", F.row_number().over(same)).filter("_rn = 1").select(*cols))
+    longest = F.max_by(F.struct(*[F.col(f"`{c}`") for c in cols]), F.struct(F.length(text), F.xxhash64(text)))
+    # equal rows are combined map-side before any shuffle, however many they are
+    return (df.groupBy(F.col(f"`{id_col}`").alias("_id"), F.sha2(normalised(text), 256).alias("_sha")).agg(longest.alias("_row"))
+            .join(kept, F.col("_id").eqNullSafe(F.col("_k_id")) & (F.col("_sha") == F.col("_k_sha")), "left_semi")
+            .select("_row.*"))
