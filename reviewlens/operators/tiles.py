@@ -400,11 +400,10 @@ class Strips:
                 whole, done = None, upto
 
 
-def large_tiles(rows: Rows, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tiles for :class:`Strips` and the others, of those with rows on both sides."""
-    pairs = (rows.middles - rows.starts) * (rows.ends - rows.middles)
-    large = (pairs > MATRIX_PAIRS) & (0 < dim <= GRID_DIMS)
-    return np.flatnonzero(large), np.flatnonzero((pairs > 0) & ~large)
+def large_tiles(rows: Rows, eps: float) -> np.ndarray:
+    """The tiles for :class:`Strips`: few dimensions, and too many pairs to compare them all."""
+    nq, nc = rows.middles - rows.starts, rows.ends - rows.middles
+    return np.flatnonzero((nq * nc > MATRIX_PAIRS) & (0 < rows.v.shape[1] <= GRID_DIMS) & bool(np.isfinite(eps)))
 
 
 def distinct_rows(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -443,7 +442,8 @@ def within(a: np.ndarray, b: np.ndarray, eps: float) -> Iterator[tuple[int, np.n
     """(first query row, rows x corpus mask) of the pairs within ``eps``, some query rows at a time."""
     for s, d2, low, high in block_squares(a, b, np.full(len(a), eps * eps)):
         near = d2 < low
-        q, c = np.nonzero((d2 <= high) & ~near)
+        open_pairs = np.flatnonzero((d2 <= high) ^ near)
+        q, c = open_pairs // len(b), open_pairs % len(b)
         for k in range(0, len(q), max(1, PAIRS // a.shape[1])):
             i, j = q[k:k + max(1, PAIRS // a.shape[1])], c[k:k + max(1, PAIRS // a.shape[1])]
             near[i, j] = exact_dists(a[s + i], b[j]) <= eps

@@ -177,3 +177,51 @@ def test_rows_that_meet_too_few_are_joined_exactly(spark):
     exact = {(r["id"], r["rank"]): r["dist"] for r in N.knn_join(df, df, 4, block_rows=16).collect()}
     assert all(abs(exact[r["id"], r["rank"]] - r["dist"]) < 1e-9 for r in rows if r["id"] >= 40)
     assert N.knn_join_approx(df.limit(0), df, 4).count() == 0 and N.knn_join_approx(df, df.limit(0), 4).count() == 0
+
+
+def test_panels_send_few_rows_and_keep_one_summary(spark):
+    """A panel takes many blocks: rows are copied per panel and not per block, and a row has
+    k candidates per panel, where it had k per block."""
+    from reviewlens.operators.tiles import panel_tiles
+    X = np.random.default_rng(6).normal(size=(3000, 8))
+    df = frame(spark, X)
+    side = df.select(F.col("row_id").alias("id"), F.col("features").alias("v"))
+    q, c, panels = panel_tiles(side, side, 64, 8, 3000, 3000)
+    assert q.count() + c.count() <= 3000 * (2 * panels ** 0.5 + 2) < 3000 * 2 * (3000 // 64)
+    assert N._panel_top_k(side, side, 3, 8, True, 64, 3000, 3000).count() <= 3 * q.count()
+    got = {(r["id"], r["rank"]): r["neighbor_id"] for r in N.knn_join(df, df, 3, block_rows=64).collect()}
+    D = dists(X, X)
+    np.fill_diagonal(D, np.inf)
+    assert got == {(i, k + 1): int(j) for i in range(3000) for k, j in enumerate(np.argsort(D[i], kind="stable")[:3])}
+
+
+def test_equal_rows_are_compared_once(spark):
+    """2000 rows at 20 places: neighbours by smallest id, from a few rows of each place."""
+    X = (np.arange(2000) % 20).astype(float)[:, None]
+    df = frame(spark, X)
+    met = []
+    plain, N.panel_tiles = N.panel_tiles, lambda q, c, *a: met.append((q.count(), c.count())) or plain(q, c, *a)
+    try:
+        got = {(r["id"], r["rank"]): (r["neighbor_id"], r["dist"]) for r in N.knn_join(df, df, 3, block_rows=64).collect()}
+    finally:
+        N.panel_tiles = plain
+    assert met == [(20, 80)]
+    assert got == {(i, k): (j, 0.0) for i in range(2000)
+                   for k, j in enumerate([x for x in range(i % 20, 100, 20) if x != i][:3], 1)}
+
+
+def test_strips_compare_few_pairs_of_a_dense_tile(spark):
+    """Counts in a dense plane: most near rows are counted in whole intervals."""
+    from reviewlens.operators.tiles import Strips, exact_dists
+    rng = np.random.default_rng(8)
+    X = np.round(rng.uniform(0, 4, (6000, 2)), 2)
+    strips = Strips(X, 1.0, 1000)
+    n, single = np.zeros(len(X), int), 0
+    for r, first, end, i, _ in strips.near(X):
+        n += np.bincount(r, end - first, len(X)).astype(int) + np.bincount(i, minlength=len(X))
+        single += len(i)
+    want = np.array([(exact_dists(np.repeat(x[None], len(X), 0), X) <= 1.0).sum() for x in X])
+    assert (n == want).all() and single < 0.3 * want.sum()
+    df = frame(spark, X)
+    got = {r["id"]: r["n_within"] for r in N.radius_counts(df, df, 1.0, mode="grid").collect()}
+    assert got == dict(enumerate(want.tolist()))
