@@ -18,6 +18,7 @@ bucket, 4 MB for the executors.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -166,34 +167,63 @@ def train(texts: list[str], y: np.ndarray, toxic_weight: float = TOXIC_WEIGHT, s
     if not len(texts) or y.min() == y.max():
         p = np.clip(y.mean() if len(texts) else 0.0, 0.01, 0.99)
         return ToxicityModel(np.zeros(size, np.float32), float(np.log(p / (1 - p))))
-    grams, counts, base, texts_with, clean_with = [], [], [0], np.zeros(size, np.int32), np.zeros(size, np.int32)
+    # some 3 n-grams a byte, kept in a file and read by windows: the driver holds CHUNK of them at a time
+    with tempfile.TemporaryFile() as grams:
+        return _descend(grams, *_write_ngrams(grams, texts, y), y, toxic_weight, seed)
+
+
+def _write_ngrams(grams, texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams of every step, first step of each text and one after the last, buckets
+    that carry evidence); the n-grams of all steps in order go into the file."""
+    size = 1 << BUCKET_BITS
+    counts, base, texts_with, clean_with = [], [0], np.zeros(size, np.int32), np.zeros(size, np.int32)
     for t, label in zip(texts, y):
         raw = np.frombuffer(t.encode("utf-8"), dtype=np.uint8)
         b, o, steps = step_ngrams(raw, np.array([0, len(raw)]))
-        grams.append(b[np.argsort(o, kind="stable")])
+        b[np.argsort(o, kind="stable")].tofile(grams)
         counts.append(np.bincount(o, minlength=steps[0]))
         base.append(base[-1] + int(steps[0]))
         b = np.unique(b)
         texts_with[b] += 1
         clean_with[b] += label < 0.5
-    gram, n, base = np.concatenate(grams), np.concatenate(counts), np.array(base)
-    del grams, counts
-    at = np.concatenate([[0], np.cumsum(n)])
-    filled = np.flatnonzero(n)
-    row = np.repeat(np.arange(len(texts)), np.diff(base))
     known = (texts_with >= MIN_TEXTS) & (clean_with <= max(MIN_TEXTS, MAX_SHARE * (y < 0.5).sum()))
+    return np.concatenate(counts), np.array(base), known
+
+
+def _read_ngrams(grams, start: int, stop: int) -> np.ndarray:
+    grams.seek(4 * int(start))
+    return np.fromfile(grams, np.int32, int(stop - start))
+
+
+def _step_sums(grams, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sum of the weights of the n-grams of every step, in reads of some CHUNK n-grams."""
+    sums = np.zeros(len(at) - 1)
+    a = 0
+    while a < len(sums):
+        b = max(a + 1, int(np.searchsorted(at, at[a] + CHUNK, side="right")) - 1)
+        filled = np.flatnonzero(np.diff(at[a:b + 1]))
+        if len(filled):
+            sums[a + filled] = np.add.reduceat(weight[_read_ngrams(grams, at[a], at[b])], at[a + filled] - at[a])
+        a = b
+    return sums
+
+
+def _descend(grams, n: np.ndarray, base: np.ndarray, known: np.ndarray, y: np.ndarray, toxic_weight: float, seed: int) -> ToxicityModel:
+    size = len(known)
+    at = np.concatenate([[0], np.cumsum(n)])
+    row = np.repeat(np.arange(len(y)), np.diff(base))
     rng = np.random.default_rng(seed)
-    e = ((rng.random((size, DIM)) - 0.5) * 0.1).astype(np.float32)
+    e = np.empty((size, DIM), np.float32)
+    for i in range(0, size, CHUNK):
+        e[i:i + CHUNK] = (rng.random((min(CHUNK, size - i), DIM)) - 0.5) * 0.1
     e[~known] = 0
     w = ((rng.random((DIM, 2)) - 0.5)).astype(np.float32)
     b = np.array([0.0, np.log(y.mean() / (1 - y.mean()))], dtype=np.float32)
     for epoch in range(WARM + EPOCHS):
         rate = RATE * (1 - epoch / (WARM + EPOCHS))
         weight = e @ (w[:, 1] - w[:, 0])
-        mean = np.zeros(len(n))
-        mean[filled] = np.add.reduceat(weight[gram], at[filled])
-        mean = window_means(mean, n, row)
-        order = rng.permutation(len(texts))
+        mean = window_means(_step_sums(grams, weight, at), n, row)
+        order = rng.permutation(len(y))
         for start in range(0, len(order), BATCH):
             batch = order[start:start + BATCH]
             pick = []
@@ -204,7 +234,7 @@ def train(texts: list[str], y: np.ndarray, toxic_weight: float = TOXIC_WEIGHT, s
                     k = base[i] + (int(mean[base[i]:base[i + 1]].argmax()) if y[i] or rng.random() < HARD
                                    else int(rng.integers(base[i + 1] - base[i])))
                     pick.append(slice(at[k], at[min(k + 2, base[i + 1])]))
-            idx = np.concatenate([gram[p] for p in pick])
+            idx = np.concatenate([_read_ngrams(grams, p.start, p.stop) for p in pick])
             many = np.array([p.stop - p.start for p in pick])
             val = np.repeat(np.float32(GAIN / (1 - DROPOUT)) / (many + SMOOTH), many).astype(np.float32)
             doc = np.repeat(np.arange(len(batch)), many)

@@ -182,3 +182,20 @@ def test_ridge_matches_the_kernel_form():
     k = np.array([[len(np.intersect1d(a, b)) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
     assert np.allclose(np.diag(k), 1) and model.predict(texts)[0] == ["en", "en", "fr", "fr"] * 3
     assert language_id.fit_language([], []).predict(["x"])[0] == ["und"]
+
+
+def test_toxicity_training_does_not_hold_its_ngrams():
+    """The n-grams of a sample stay out of the driver's memory: more text, about the same peak."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(4000)]
+
+    def peak(n):
+        texts = [" ".join(rng.choice(words, 1500)) for _ in range(n)]
+        tracemalloc.start()
+        toxicity.train(texts, np.arange(n) % 3 == 0)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+    assert peak(240) - peak(40) < 20 << 20
