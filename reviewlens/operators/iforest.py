@@ -25,11 +25,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.operators.features import FeatureSpec
 from reviewlens.operators.ranking import exact_quantiles
+from reviewlens.operators.reduce import array_rows
 from reviewlens.operators.scaling import Scaler
 from reviewlens.session import materialize
 
@@ -80,19 +82,13 @@ def grow_tree(X: np.ndarray, tree: int, seed: int, max_depth: int) -> list[tuple
 def path_lengths(X: np.ndarray, forest: dict) -> np.ndarray:
     """Mean adjusted path length of every row of X over the forest."""
     total = np.zeros(X.shape[0])
-    rows = np.arange(X.shape[0])
-    for t in forest["trees"]:
-        feat, split, left, right, size, depth = t
+    flat, start = X.ravel(), np.arange(X.shape[0]) * X.shape[1]
+    for feature, split, child, length, levels in forest["trees"]:
         node = np.zeros(X.shape[0], dtype=np.int64)
-        for _ in range(int(depth.max()) + 1):
-            f = feat[node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            xv = X[rows, np.where(inner, f, 0)]
-            nxt = np.where(xv < split[node], left[node], right[node])
-            node = np.where(inner, nxt, node)
-        total += depth[node] + average_path_length(size[node])
+        for _ in range(levels):
+            right = ~(flat[start + feature[node]] < split[node])
+            node = child[2 * node + right]
+        total += length[node]
     return total / max(1, len(forest["trees"]))
 
 
@@ -157,27 +153,31 @@ class IsolationForestModel:
         return m
 
     def forest(self) -> dict:
+        """Per tree: feature and split of every node, its two children, its adjusted
+        path length, and the levels to walk. A leaf is its own child, so a row that
+        has arrived stays."""
         by_tree: dict[int, list] = {}
         for r in self.nodes:
             by_tree.setdefault(r[0], []).append(r)
         trees = []
         for t in sorted(by_tree):
             rs = sorted(by_tree[t], key=lambda r: r[1])
-            trees.append((np.array([r[2] for r in rs]), np.array([r[3] for r in rs]),
-                          np.array([r[4] for r in rs]), np.array([r[5] for r in rs]),
-                          np.array([r[6] for r in rs], dtype=np.float64), np.array([r[7] for r in rs], dtype=np.float64)))
+            feature, depth = np.array([r[2] for r in rs]), np.array([r[7] for r in rs], dtype=np.float64)
+            own = np.arange(len(rs))
+            child = np.stack([np.where(feature < 0, own, [r[4] for r in rs]), np.where(feature < 0, own, [r[5] for r in rs])], axis=1)
+            trees.append((np.maximum(feature, 0), np.array([r[3] for r in rs]), child.ravel(),
+                          depth + average_path_length(np.array([r[6] for r in rs], dtype=np.float64)), int(depth.max())))
         return {"trees": trees}
 
     def score_expr(self, df: DataFrame | None = None):
         forest = self.forest()
         c_psi = float(average_path_length(np.array([self.max_samples]))[0]) or 1.0
 
-        @F.pandas_udf("double")
-        def iso_score(x: pd.Series) -> pd.Series:
+        @F.arrow_udf("double")
+        def iso_score(x: pa.Array) -> pa.Array:
             if len(x) == 0:
-                return pd.Series([], dtype="float64")
-            X = np.concatenate(x.to_numpy()).reshape(len(x), -1).astype(np.float64, copy=False)
-            return pd.Series(np.power(2.0, -path_lengths(X, forest) / c_psi))
+                return pa.array([], pa.float64())
+            return pa.array(np.power(2.0, -path_lengths(array_rows(x), forest) / c_psi))
 
         return iso_score(F.array(*self.scaler.scaled_exprs(df)))
 

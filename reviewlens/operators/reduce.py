@@ -1,8 +1,9 @@
-"""Sums of model-sized arrays over all tasks, reduced by Spark."""
+"""Arrays of rows in a task, and sums of model-sized arrays over all tasks, reduced by Spark."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 FAN_IN = 16
 
 
+def array_rows(column: pa.Array) -> np.ndarray:
+    """An array column of one width as a matrix of doubles, without a Python object per row."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64, copy=False)
+
+
 def array_sums(parts: DataFrame, names: list[str]) -> tuple[int, list[np.ndarray]]:
     """The sum of the column ``n`` and of the array columns ``names`` over all rows,
     in two reductions: the driver gets one row, however many tasks there were."""
