@@ -1,7 +1,8 @@
 """Representation learning: Bernoulli RBM layers stacked into a DBN.
 
 R1 rbm_fit      contrastive divergence (CD-1, mean-field), one Spark job per
-                epoch from numpy over Arrow batches: one step over all rows, or
+                epoch from numpy over Arrow batches, which also scores the layer
+                of the epoch before: one step over all rows, or
                 mini-batches in replicas that are averaged. Partial sums are
                 reduced by Spark; the driver gets one array of each kind.
                 Weights are h x v doubles (82 000 at 406 x 203): model-sized.
@@ -24,10 +25,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.operators.reduce import array_sums
+from reviewlens.operators.reduce import array_rows, array_sums
 from reviewlens.session import materialize, ship_package
 
 
@@ -39,6 +41,11 @@ def _softplus(x):
     return np.logaddexp(0.0, x)
 
 
+def _lists(H: np.ndarray) -> pa.Array:
+    """The rows of a matrix as an array column."""
+    return pa.ListArray.from_arrays(np.arange(len(H) + 1, dtype=np.int32) * H.shape[1], H.ravel())
+
+
 def _stack(s: pd.Series) -> np.ndarray:
     return np.concatenate(s.to_numpy()).reshape(len(s), -1).astype(np.float64, copy=False)
 
@@ -50,30 +57,61 @@ class RBMLayer:
     b_hidden: np.ndarray
 
 
-def rbm_epoch_sums(X: DataFrame, layer: RBMLayer, col: str = "x") -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+def _pseudo_likelihoods(V: np.ndarray, flip: np.ndarray, layer: RBMLayer) -> np.ndarray:
+    """Log pseudo-likelihood of every row, by its unit ``flip``."""
+    W, bv, bh = layer.W, layer.b_visible, layer.b_hidden
+    fe = -(V @ bv) - _softplus(V @ W.T + bh).sum(axis=1)
+    V2 = V.copy()
+    r = np.arange(len(V2))
+    V2[r, flip] = 1.0 - V2[r, flip]
+    fe2 = -(V2 @ bv) - _softplus(V2 @ W.T + bh).sum(axis=1)
+    return W.shape[1] * -_softplus(-(fe2 - fe))
+
+
+def _marked(X: DataFrame, d: int, col: str, id_col: str, seed: int, held: bool = False) -> DataFrame:
+    """Rows with their flipped unit, and whether they are held out."""
+    return X.select(F.col(col).alias("x"), F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(d)).alias("flip"), F.lit(held).alias("held"))
+
+
+def _epoch_pass(rows: DataFrame, layer: RBMLayer, sums: bool, scores: bool) -> tuple:
+    """One pass over ``rows(x, flip, held)``: the number of training rows, with ``sums``
+    the CD-1 sums of these, and with ``scores`` the mean log pseudo-likelihood of the
+    training and of the held-out rows under the same layer (None without rows)."""
     W, bv, bh = layer.W, layer.b_visible, layer.b_hidden
     h, v = W.shape
 
     def part(it):
-        n = 0
-        gW = np.zeros((h, v))
-        gb = np.zeros(v)
-        gc = np.zeros(h)
-        for pdf in it:
-            if len(pdf) == 0:
+        gW, gb, gc, pl = np.zeros((h, v)), np.zeros(v), np.zeros(h), np.zeros(4)
+        for batch in it:
+            if batch.num_rows == 0:
                 continue
-            V0 = _stack(pdf[col])
-            H0 = _sig(V0 @ W.T + bh)
-            V1 = _sig(H0 @ W + bv)
-            H1 = _sig(V1 @ W.T + bh)
-            gW += H0.T @ V0 - H1.T @ V1
-            gb += (V0 - V1).sum(axis=0)
-            gc += (H0 - H1).sum(axis=0)
-            n += len(pdf)
-        yield pd.DataFrame({"n": [n], "gW": [gW.ravel().tolist()], "gb": [gb.tolist()], "gc": [gc.tolist()]})
+            V, held = array_rows(batch.column("x")), batch.column("held").to_numpy(zero_copy_only=False)
+            if scores:
+                values = _pseudo_likelihoods(V, batch.column("flip").to_numpy(zero_copy_only=False), layer)
+                pl += [values[~held].sum(), (~held).sum(), values[held].sum(), held.sum()]
+            else:
+                pl[1] += (~held).sum()
+            if sums:
+                V0 = V[~held]
+                H0 = _sig(V0 @ W.T + bh)
+                V1 = _sig(H0 @ W + bv)
+                H1 = _sig(V1 @ W.T + bh)
+                gW += H0.T @ V0 - H1.T @ V1
+                gb += (V0 - V1).sum(axis=0)
+                gc += (H0 - H1).sum(axis=0)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([int(pl[1])], pa.int64()), "gW": [gW.ravel()], "gb": [gb], "gc": [gc], "pl": [pl]})
+
+    n, found = array_sums(rows.mapInArrow(part, f"{_SUMS}, pl array<double>"), ["gW", "gb", "gc", "pl"])
+    if n is None or not len(found[0]):
+        return 0, np.zeros((h, v)), np.zeros(v), np.zeros(h), None, None
+    gW, gb, gc, pl = found
+    mean = [float(pl[i] / pl[i + 1]) if scores and pl[i + 1] else None for i in (0, 2)]
+    return n, gW.reshape(h, v), gb, gc, *mean
+
 
-    n, (gW, gb, gc) = array_sums(X.select(col).mapInPandas(part, _SUMS), ["gW", "gb", "gc"])
-    return (n, gW.reshape(h, v), gb, gc) if n else (0, np.zeros((h, v)), np.zeros(v), np.zeros(h))
+def rbm_epoch_sums(X: DataFrame, layer: RBMLayer, col: str = "x") -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    rows = X.select(F.col(col).alias("x"), F.lit(0).alias("flip"), F.lit(False).alias("held"))
+    return _epoch_pass(rows, layer, True, False)[:4]
 
 
 _SUMS = "n long, gW array<double>, gb array<double>, gc array<double>"
@@ -130,24 +168,7 @@ def rbm_epoch_batches(X: DataFrame, layer: RBMLayer, learning_rate: float, batch
 
 def pseudo_likelihood(X: DataFrame, layer: RBMLayer, col: str = "x", id_col: str = "id", seed: int = 42) -> float:
     """Mean log pseudo-likelihood of the rows of X."""
-    W, bv, bh = layer.W, layer.b_visible, layer.b_hidden
-    d = W.shape[1]
-
-    @F.pandas_udf("double")
-    def pl(x: pd.Series, flip: pd.Series) -> pd.Series:
-        if len(x) == 0:
-            return pd.Series([], dtype="float64")
-        V = _stack(x)
-        fe = -(V @ bv) - _softplus(V @ W.T + bh).sum(axis=1)
-        V2 = V.copy()
-        idx = flip.to_numpy().astype(np.int64)
-        r = np.arange(len(V2))
-        V2[r, idx] = 1.0 - V2[r, idx]
-        fe2 = -(V2 @ bv) - _softplus(V2 @ W.T + bh).sum(axis=1)
-        return pd.Series(d * -_softplus(-(fe2 - fe)))
-
-    flip = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(d))
-    return X.select(pl(F.col(col), flip).alias("pl")).agg(F.avg("pl")).first()[0]
+    return _epoch_pass(_marked(X, layer.W.shape[1], col, id_col, seed), layer, False, True)[4]
 
 
 def rbm_fit(X: DataFrame, n_hidden: int, learning_rate: float = 0.05, n_iter: int = 10,
@@ -162,18 +183,20 @@ def rbm_fit(X: DataFrame, n_hidden: int, learning_rate: float = 0.05, n_iter: in
     layer = RBMLayer(rng.normal(0, 0.01, size=(n_hidden, d)), np.zeros(d), np.zeros(n_hidden))
     best, best_val, bad = None, -math.inf, 0
     history = []
+    rows = _marked(X, d, col, id_col, seed)
+    if X_val is not None:
+        rows = rows.union(_marked(X_val, d, col, id_col, seed, held=True))
+    # the pass that scores an epoch's layer also takes the sums that the next epoch starts from
+    n, gW, gb, gc = rbm_epoch_sums(X, layer, col) if n_iter and not batch_size else (0, None, None, None)
     for epoch in range(n_iter):
         if batch_size:
             n, layer = rbm_epoch_batches(X, layer, learning_rate, batch_size, epoch, shards, col, id_col, seed)
-        else:
-            n, gW, gb, gc = rbm_epoch_sums(X, layer, col)
         if n == 0:
             break
         if not batch_size:
             layer = RBMLayer(layer.W + learning_rate * gW / n, layer.b_visible + learning_rate * gb / n,
                              layer.b_hidden + learning_rate * gc / n)
-        tr = pseudo_likelihood(X, layer, col, id_col, seed)
-        va = pseudo_likelihood(X_val, layer, col, id_col, seed) if X_val is not None else None
+        _, gW, gb, gc, tr, va = _epoch_pass(rows, layer, not batch_size and epoch + 1 < n_iter, True)
         history.append((epoch, tr, va))
         if early_stopping and va is not None:
             if va > best_val:
@@ -200,14 +223,14 @@ class DBNModel:
         lo = np.asarray(self.mins)
         span = np.asarray(self.maxs) - lo
         span[span == 0] = 1.0
-        @F.pandas_udf("array<double>")
-        def dbn_forward(x: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<double>")
+        def dbn_forward(x: pa.Array) -> pa.Array:
             if len(x) == 0:
-                return pd.Series([], dtype="object")
-            H = np.clip((_stack(x) - lo) / span, 0.0, 1.0)[:, idx]
+                return pa.array([], pa.list_(pa.float64()))
+            H = np.clip((array_rows(x) - lo) / span, 0.0, 1.0)[:, idx]
             for W, c in layers:
                 H = _sig(H @ W.T + c)
-            return pd.Series(list(H))
+            return _lists(H)
 
         return dbn_forward(xcol)
 
@@ -225,11 +248,11 @@ class DBNModel:
 
 
 def _layer_udf(W: np.ndarray, c: np.ndarray):
-    @F.pandas_udf("array<double>")
-    def up(x: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def up(x: pa.Array) -> pa.Array:
         if len(x) == 0:
-            return pd.Series([], dtype="object")
-        return pd.Series(list(_sig(_stack(x) @ W.T + c)))
+            return pa.array([], pa.list_(pa.float64()))
+        return _lists(_sig(array_rows(x) @ W.T + c))
     return up
 
 
@@ -321,7 +344,8 @@ def dbn_fit(df: DataFrame, col: str = "features", id_col: str = "row_id", hidden
         model.layer_scores += scores
         if store:
             store.write(li, layer, scores)
-        cur = materialize(cur.select("id", _layer_udf(layer.W, layer.b_hidden)(F.col("x")).alias("x"), "is_val"))
+        if li + 1 < len(hidden_layers):         # nothing reads the rows of the last layer
+            cur = materialize(cur.select("id", _layer_udf(layer.W, layer.b_hidden)(F.col("x")).alias("x"), "is_val"))
     return model
 
 

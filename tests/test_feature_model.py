@@ -140,3 +140,19 @@ def test_one_batch_of_all_rows_is_a_full_step(spark):
     V1 = 1 / (1 + np.exp(-(H0 @ start.W)))
     assert np.allclose(gb, (X - V1).sum(0))
     assert rbm_epoch_sums(df.limit(0), start)[0] == 0
+
+
+def test_rbm_scores_and_sums_in_one_pass(spark, monkeypatch):
+    """An epoch reads the rows once; its scores are those of the layer it ends with."""
+    from reviewlens.operators import dbn
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, rng.random(5).tolist(), i % 4 == 0) for i in range(400)], "id long, x array<double>, held boolean")
+    train, held = rows.where("not held"), rows.where("held")
+    passes, whole = [], dbn._epoch_pass
+    monkeypatch.setattr(dbn, "_epoch_pass", lambda *a: passes.append(a) or whole(*a))
+    _, history = rbm_fit(train, 3, n_iter=4, X_val=held, early_stopping=False)
+    assert len(passes) == 5 and [e for e, _, _ in history] == [0, 1, 2, 3]
+    last, _ = rbm_fit(train, 3, n_iter=4, early_stopping=False)
+    for frame, score in ((train, history[-1][1]), (held, history[-1][2])):
+        assert abs(dbn.pseudo_likelihood(frame, last) - score) < 1e-9
+    assert dbn.pseudo_likelihood(held.limit(0), last) is None
