@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewlens.session import materialize
+
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -42,9 +44,11 @@ def top_terms(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             Window.orderBy(F.col("term_count").desc(), F.col("term").asc())) - 1)
 
 
-def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf): one tokenisation pass, combined per (doc, term) map-side."""
-    return postings(df, id_col, text_col).groupBy("id", "term").agg(F.count("*").alias("tf"))
+def term_counts(df: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
+    """(id, term, tf) of the terms in a small vocabulary: one tokenisation pass,
+    restricted before the (doc, term) shuffle and combined map-side."""
+    p = postings(df, id_col, text_col).join(F.broadcast(terms.select("term")), "term", "left_semi")
+    return p.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf(df: DataFrame, id_col: str, text_col: str, k: int = 300, vocab: DataFrame | None = None,
@@ -55,30 +59,22 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, k: int = 300, vocab: DataFr
     weights and the fitted vocabulary ``(term, term_index, idf)`` so new rows
     can be transformed with the same vocabulary.
 
-    Fit is one aggregate pass: (doc, term) counts combined map-side, then per
-    term the corpus count and the document frequency; only the top-k rows
-    reach the driver. The weights are a second pass joined to the k-row
-    vocabulary (broadcast, bounded by k).
+    Fit counts the terms of the corpus, combined map-side, so only the distinct
+    terms are shuffled; the top-k rows reach the driver. The (doc, term) counts
+    of a second pass, restricted to the k-row vocabulary (broadcast, bounded by
+    k) before their shuffle, are written once: document frequencies and weights
+    both read them.
     """
     spark = df.sparkSession
     if idf is None:
         n = n_docs if n_docs is not None else df.count()
-        if vocab is None:
-            stats = term_counts(df, id_col, text_col).groupBy("term").agg(
-                F.sum("tf").alias("term_count"), F.count("*").alias("df"))
-            top = stats.orderBy(F.col("term_count").desc(), F.col("term").asc()).limit(k).collect()
-            rows = [(r["term"], i, math.log((1.0 + n) / (1.0 + r["df"])) + 1.0) for i, r in enumerate(top)]
-        else:
-            v = vocab.select("term", "term_index")
-            dfreq = term_counts(df, id_col, text_col).join(F.broadcast(v), "term", "left_semi") \
-                .groupBy("term").agg(F.count("*").alias("df"))
-            got = {r["term"]: r["df"] for r in dfreq.collect()}
-            rows = [(r["term"], r["term_index"], math.log((1.0 + n) / (1.0 + got.get(r["term"], 0))) + 1.0)
-                    for r in v.collect()]
+        v = (vocab if vocab is not None else top_terms(df, id_col, text_col, k)).select("term", "term_index").collect()
+        tf = materialize(term_counts(df, id_col, text_col, spark.createDataFrame(v, "term string, term_index int")))
+        got = {r["term"]: r["df"] for r in tf.groupBy("term").agg(F.count("*").alias("df")).collect()}
+        rows = [(r["term"], r["term_index"], math.log((1.0 + n) / (1.0 + got.get(r["term"], 0))) + 1.0) for r in v]
         idf = spark.createDataFrame(rows, "term string, term_index int, idf double")
-    # postings restricted to the vocabulary before the (doc, term) shuffle
-    p = postings(df, id_col, text_col).join(F.broadcast(idf.select("term")), "term", "left_semi")
-    tf = p.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    else:
+        tf = term_counts(df, id_col, text_col, idf)
     w = tf.join(F.broadcast(idf), "term").withColumn("raw", F.col("tf") * F.col("idf"))
     # per document at most k vocabulary entries: a bounded list, no self-join
     per_doc = w.groupBy("id").agg(

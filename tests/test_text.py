@@ -29,3 +29,21 @@ def test_hashing_rows_unit_norm(spark):
     h = TX.hashing_features(df, "doc_id", "text", 16)
     for r in h.groupBy("id").agg({"weight": "collect_list"}).collect():
         assert abs(sum(x * x for x in r[1]) - 1.0) < 1e-12
+
+
+def test_tfidf_counts_a_corpus_once_for_idf_and_weights(spark):
+    """The weights read the counts that the document frequencies came from; repeated ids are one document."""
+    import math
+
+    from reviewlens.operators.text import tfidf
+    df = spark.createDataFrame([(1, "aa bb aa"), (1, "bb cc"), (2, "aa dd"), (3, None), (None, "cc cc cc")], "doc_id long, text string")
+    w, idf = tfidf(df, "doc_id", "text", 3)
+    assert "regexp_extract_all" not in w._jdf.queryExecution().toString()
+    got = {r["term"]: r["idf"] for r in idf.collect()}
+    n = lambda d: math.log(6 / (1 + d)) + 1     # noqa: E731
+    assert got == {"aa": n(2), "bb": n(1), "cc": n(2)}
+    a, b, c = 2 * n(2), 2 * n(1), n(2)
+    norm = math.sqrt(a * a + b * b + c * c)
+    found = {(r["id"], r["term"]): r["weight"] for r in w.collect()}
+    assert found.keys() == {(1, "aa"), (1, "bb"), (1, "cc"), (2, "aa"), (None, "cc")}
+    assert abs(found[1, "bb"] - b / norm) < 1e-12 and found[None, "cc"] == 1.0
