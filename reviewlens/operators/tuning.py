@@ -1,7 +1,7 @@
 """Parameter search and learning curves.
 
 Each (model, grid point, fold) is an independent fit + score: a few Spark
-jobs over the same materialised feature frame. The driver only loops over
+jobs over the same table of rows and folds. The driver only loops over
 the (small) grid and submits at most ``parallelism`` of them at a time from a
 thread pool; results are a long table, and best parameters / summaries are
 window and aggregate queries over it. Folds are hash folds of the row id
@@ -13,15 +13,20 @@ from __future__ import annotations
 import itertools
 import json
 import time
+from collections import defaultdict
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlens.operators.detect import AnomalyDetector
+from reviewlens.operators.detect import SCALED_MODELS, AnomalyDetector
 from reviewlens.operators.evaluate import binary_metrics
+from reviewlens.operators.features import FeatureSpec
 from reviewlens.operators.prepare import hash_rank_fraction, kfold
+from reviewlens.operators.scaling import Scaler
+from reviewlens.session import materialize
 
 # The default grids (one point per model, as in the reference).
 DEFAULT_GRIDS = {
@@ -56,9 +61,35 @@ def _score(flags: DataFrame, label_col: str, metric: Metric, zero_division: floa
     return {k: r[k] for k in ("precision", "recall", "f1", "weighted_f1", "roc_auc_binary")} | {"metric": r[metric]}
 
 
+def fold_rows(df: DataFrame, k_folds: int, label_col: str, cols, vector, id_col: str, seed: int, metric: Metric) -> DataFrame:
+    """The rows with their folds, written once: every fit and score of a search
+    scans the columns that it needs. A metric of the caller's may read any column."""
+    data = kfold(df, k_folds, id_col, seed)
+    read = dict.fromkeys([id_col, label_col, *([vector] if vector is not None else cols or []), "fold"])
+    return materialize(data if callable(metric) else data.select(*[F.col(c) for c in read]))
+
+
+class FoldScalers:
+    """The scaler of the training rows of a fold, fitted once for all grid points."""
+
+    def __init__(self, model_type: str, points: list[dict], cols, vector, id_col: str):
+        own = any({"max_features", "seed"} & p.keys() for p in points)
+        self.shared = model_type in SCALED_MODELS and not own
+        self.cols, self.vector, self.id_col = cols, vector, id_col
+        self.locks, self.found = defaultdict(Lock), {}
+
+    def get(self, fold: int, train: DataFrame) -> Scaler | None:
+        if not self.shared:
+            return None
+        with self.locks[fold]:
+            if fold not in self.found:
+                self.found[fold] = Scaler.fit(train, FeatureSpec.of(train, self.cols, self.vector), id_col=self.id_col)
+        return self.found[fold]
+
+
 def _fit_score(train: DataFrame, test: DataFrame, model_type: str, params: dict, label_col: str,
-               cols, vector, id_col: str, metric: Metric, zero_division: float) -> dict:
-    det = AnomalyDetector(model_type, **params).fit(train, cols, vector, id_col)
+               cols, vector, id_col: str, metric: Metric, zero_division: float, scaler: Scaler | None = None) -> dict:
+    det = AnomalyDetector(model_type, **params).fit(train, cols, vector, id_col, scaler)
     flags = det.detect_training(test) if (test is train or model_type in WHOLE_DATA_MODELS) else det.score_new(test)
     return _score(flags, label_col, metric, zero_division)
 
@@ -68,7 +99,8 @@ def grid_search(df: DataFrame, model_type: str, grid: dict | None, label_col: st
                 zero_division: float = 1.0, parallelism: int = 4, seed: int = 42) -> DataFrame:
     """M1/M2: long table (model, grid_index, params, fold, score, seconds)."""
     points = param_grid(grid or DEFAULT_GRIDS[model_type])
-    data = kfold(df, k_folds, id_col, seed)
+    data = fold_rows(df, k_folds, label_col, cols, vector, id_col, seed, metric)
+    scalers = FoldScalers(model_type, points, cols, vector, id_col)
     tasks = []
     for gi, p in enumerate(points):
         if model_type in WHOLE_DATA_MODELS:
@@ -84,10 +116,10 @@ def grid_search(df: DataFrame, model_type: str, grid: dict | None, label_col: st
         else:
             held = data.where(F.col("fold") == fold)
             if score_mode == "refit":   # reference scorer: fit and predict on the scored fold
-                s = _fit_score(held, held, model_type, p, label_col, cols, vector, id_col, metric, zero_division)
+                train = held
             else:
-                s = _fit_score(data.where(F.col("fold") != fold), held, model_type, p, label_col, cols, vector,
-                               id_col, metric, zero_division)
+                train = data.where(F.col("fold") != fold)
+            s = _fit_score(train, held, model_type, p, label_col, cols, vector, id_col, metric, zero_division, scalers.get(fold, train))
         return (model_type, gi, json.dumps(p, sort_keys=True), fold, _number(s["metric"]), time.time() - t0)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
