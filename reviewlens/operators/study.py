@@ -16,6 +16,8 @@ from __future__ import annotations
 import json
 import time
 from concurrent.futures import ThreadPoolExecutor
+from functools import cache
+from threading import Lock
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,15 +73,22 @@ class Study:
     def tune(self, grids: dict[str, dict | None], k_folds: int = 3, metric: TU.Metric = "f1", zero_division: float = 1.0) -> DataFrame:
         """The steps of all models and grid points, as of :func:`tuning.grid_search`,
         with rows of failed steps (score NULL)."""
-        data = kfold(self.df, k_folds, self.id_col, self.seed)
+        @cache
+        def rows():         # written for the first step that is left to do
+            return TU.fold_rows(self.df, k_folds, self.label_col, self.cols, self.vector, self.id_col, self.seed, metric)
+        lock, scalers = Lock(), {}
 
         def work(model, grid_index, params, fold):
+            with lock:
+                data = rows()
             held = data if fold < 0 else data.where(F.col("fold") == fold)
             train = data if fold < 0 else data.where(F.col("fold") != fold)
-            s = TU._fit_score(train, held, model, params, self.label_col, self.cols, self.vector, self.id_col, metric, zero_division)
+            s = TU._fit_score(train, held, model, params, self.label_col, self.cols, self.vector, self.id_col, metric, zero_division,
+                              scalers[model].get(fold, train) if fold >= 0 else None)
             return {"score": TU._number(s["metric"])}
         for model, grid in grids.items():
             points = TU.param_grid(grid or TU.DEFAULT_GRIDS[model])
+            scalers[model] = TU.FoldScalers(model, points, self.cols, self.vector, self.id_col)
             folds = [-1] if model in TU.WHOLE_DATA_MODELS else range(k_folds)
             steps = {f"{model}/{json.dumps(p, sort_keys=True)}/{f}": dict(model=model, grid_index=i, params=p, fold=f)
                      for i, p in enumerate(points) for f in folds}

@@ -165,3 +165,34 @@ def test_scratch_scope(spark):
             scope.keep(materialize(spark.range(5)))
             1 / 0
     assert len(set(os.listdir(base)) - before) == 1 and c is not None
+
+
+def _labelled(spark):
+    return spark.createDataFrame([(i, float(i % 17), float(i * i % 29), i % 5 == 0) for i in range(240)],
+                                 "row_id long, a double, b double, label boolean")
+
+
+def _count_scalers(monkeypatch):
+    from reviewlens.operators.scaling import Scaler
+    calls, fit = [], Scaler.fit
+    monkeypatch.setattr(Scaler, "fit", staticmethod(lambda *a, **k: calls.append(a) or fit(*a, **k)))
+    return calls
+
+
+def test_grid_search_fits_a_scaler_per_fold(spark, monkeypatch):
+    from reviewlens.operators import tuning
+    df, grid = _labelled(spark), {"n_bins": [4, 8], "contamination": [0.2]}
+    calls = _count_scalers(monkeypatch)
+    shared = {(r["grid_index"], r["fold"]): r["score"] for r in tuning.grid_search(df, "hbos", grid, "label", cols=["a", "b"], k_folds=3).collect()}
+    assert len(calls) == 3
+    # with max_features every fit has its own, with the same scores
+    own = tuning.grid_search(df, "hbos", {**grid, "max_features": [2]}, "label", cols=["a", "b"], k_folds=3).collect()
+    assert len(calls) == 9 and shared == {(r["grid_index"], r["fold"]): r["score"] for r in own}
+
+
+def test_study_fits_a_scaler_per_fold(spark, tmp_path, monkeypatch):
+    from reviewlens.operators.study import Study
+    from reviewlens.sources.store import RunLedger
+    calls = _count_scalers(monkeypatch)
+    found = Study(_labelled(spark), RunLedger(spark, str(tmp_path / "l")), "run", "label", cols=["a", "b"]).tune({"hbos": {"n_bins": [4, 8, 12]}}, k_folds=2)
+    assert len(calls) == 2 and found.where("score is not null").count() == 6
