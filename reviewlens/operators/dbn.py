@@ -42,8 +42,8 @@ def _softplus(x):
 
 
 def _lists(H: np.ndarray) -> pa.Array:
-    """The rows of a matrix as an array column."""
-    return pa.ListArray.from_arrays(np.arange(len(H) + 1, dtype=np.int32) * H.shape[1], H.ravel())
+    """The rows of a matrix as an array column, NaN as NULL."""
+    return pa.ListArray.from_arrays(np.arange(len(H) + 1, dtype=np.int32) * H.shape[1], pa.array(H.ravel(), from_pandas=True))
 
 
 def _stack(s: pd.Series) -> np.ndarray:
@@ -76,21 +76,22 @@ def _marked(X: DataFrame, d: int, col: str, id_col: str, seed: int, held: bool =
 def _epoch_pass(rows: DataFrame, layer: RBMLayer, sums: bool, scores: bool) -> tuple:
     """One pass over ``rows(x, flip, held)``: the number of training rows, with ``sums``
     the CD-1 sums of these, and with ``scores`` the mean log pseudo-likelihood of the
-    training and of the held-out rows under the same layer (None without rows)."""
+    training and of the held-out rows under the same layer (None without rows; rows
+    for which it is NaN are left out)."""
     W, bv, bh = layer.W, layer.b_visible, layer.b_hidden
     h, v = W.shape
 
     def part(it):
-        gW, gb, gc, pl = np.zeros((h, v)), np.zeros(v), np.zeros(h), np.zeros(4)
+        n, gW, gb, gc, pl = 0, np.zeros((h, v)), np.zeros(v), np.zeros(h), np.zeros(4)
         for batch in it:
             if batch.num_rows == 0:
                 continue
             V, held = array_rows(batch.column("x")), batch.column("held").to_numpy(zero_copy_only=False)
             if scores:
                 values = _pseudo_likelihoods(V, batch.column("flip").to_numpy(zero_copy_only=False), layer)
-                pl += [values[~held].sum(), (~held).sum(), values[held].sum(), held.sum()]
-            else:
-                pl[1] += (~held).sum()
+                a, b = values[~held & ~np.isnan(values)], values[held & ~np.isnan(values)]
+                pl += [a.sum(), len(a), b.sum(), len(b)]
+            n += int((~held).sum())
             if sums:
                 V0 = V[~held]
                 H0 = _sig(V0 @ W.T + bh)
@@ -99,7 +100,7 @@ def _epoch_pass(rows: DataFrame, layer: RBMLayer, sums: bool, scores: bool) -> t
                 gW += H0.T @ V0 - H1.T @ V1
                 gb += (V0 - V1).sum(axis=0)
                 gc += (H0 - H1).sum(axis=0)
-        yield pa.RecordBatch.from_pydict({"n": pa.array([int(pl[1])], pa.int64()), "gW": [gW.ravel()], "gb": [gb], "gc": [gc], "pl": [pl]})
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "gW": [gW.ravel()], "gb": [gb], "gc": [gc], "pl": [pl]})
 
     n, found = array_sums(rows.mapInArrow(part, f"{_SUMS}, pl array<double>"), ["gW", "gb", "gc", "pl"])
     if n is None or not len(found[0]):

@@ -177,7 +177,7 @@ class IsolationForestModel:
         def iso_score(x: pa.Array) -> pa.Array:
             if len(x) == 0:
                 return pa.array([], pa.float64())
-            return pa.array(np.power(2.0, -path_lengths(array_rows(x), forest) / c_psi))
+            return pa.array(np.power(2.0, -path_lengths(array_rows(x), forest) / c_psi), from_pandas=True)
 
         return iso_score(F.array(*self.scaler.scaled_exprs(df)))
 

@@ -156,3 +156,14 @@ def test_rbm_scores_and_sums_in_one_pass(spark, monkeypatch):
     for frame, score in ((train, history[-1][1]), (held, history[-1][2])):
         assert abs(dbn.pseudo_likelihood(frame, last) - score) < 1e-9
     assert dbn.pseudo_likelihood(held.limit(0), last) is None
+
+
+def test_dbn_rows_with_missing_values_stay_null(spark):
+    """A missing feature gives NULL elements, which means and scores leave out."""
+    from reviewlens.operators import dbn
+    rows = spark.createDataFrame([(1, [0.0, 1.0]), (2, [None, 0.5]), (3, [1.0, 0.0])], "id long, x array<double>")
+    layer = RBMLayer(np.full((1, 2), 0.5), np.zeros(2), np.zeros(1))
+    h = {r["id"]: r["h"] for r in dbn.DBNModel([layer], [0, 1], [0.0, 0.0], [1.0, 1.0]).transform(rows, "x", "h").collect()}
+    assert h[2] == [None] and abs(h[1][0] - 1 / (1 + np.exp(-0.5))) < 1e-12 and h[1] == h[3]
+    whole = rows.where("id <> 2")
+    assert abs(dbn.pseudo_likelihood(rows, layer) - dbn.pseudo_likelihood(whole, layer)) < 1e-12
