@@ -9,25 +9,31 @@ sizes a and b are linked when their overlap is at least
   ``need(a, b)`` of all light partners b. Two light sets are linked exactly
   when they share a subset of size ``need(a, b)``, so a key proves the link
   and one star per key (smallest set = centre) is complete.
-* Heavy sets enter inverted lists with the first ``a - ceil(num*a/den) + 1``
-  elements in one global order. Any global order is valid; here the elements
-  that a fixed-size sketch of the whole corpus shows as frequent come last,
-  so widespread passages seldom reach a list.
+* Heavy sets enter inverted lists with keys of two elements that are neighbours
+  in one global order. An element of the one set only breaks two such pairs at
+  most, one of the other set only breaks one, so linked sets share at least
+  ``3 * need(a, b) - a - b - 1`` keys, and one of the first
+  ``a - 1 - that + 1``. Unrelated texts of one language often share a single
+  shingle, but hardly ever two that are neighbours in both, so lists do not
+  fill up with the size of the corpus. (Thresholds too low for this bound take
+  single elements, of which linked sets share ``need(a, b)``.) Any global order
+  is valid; here the elements that a fixed-size sketch of the whole corpus shows
+  as frequent come last, so widespread passages seldom reach a list.
 * The boundary is the size at which enumerating costs more keys than scanning
   lists, from the size histogram and the sketch's mean list length.
 
 Lists are joined without expanding groups of copies into all pairs. Equal
-sets are one node. Before any list is built, nodes that agree in a minimum of
-their hashed elements are tried against one centre of that minimum, one pair
-per node and round; what verifies is merged, and lists within one component
-are dropped. Star rounds then link the members of long lists to a few centres;
-at last all pairs of a list whose components still differ are joined by size
-and position, bounded by their prefixes and verified on the full sets. A pair left out is already connected or provably
-under the threshold, so components are exact.
+sets are one node. Star rounds link the members of every list to a few centres,
+and lists within one component are dropped, until what is open is small; at
+last all pairs of a list whose components still differ are joined by size and
+position. A pair is tried first on parity bitmaps, which bound the symmetric
+difference from below, then on the full sets. A pair left out is already
+connected or provably under the threshold, so components are exact.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -37,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free, keyed_text, materialize, prepare, small
+from .common import BROADCAST_IDS, free, keyed_text, materialize, prepare, small
 from .components import connected_components
 from .shingles import batch_shingles, mix64
 
@@ -47,10 +53,12 @@ NUM, DEN = 75, 100
 SKETCH_BITS = 24
 #: sketch counters of this sum mark frequent elements; the largest HOT_COUNTERS of them are kept
 FREQUENT, HOT_COUNTERS = 32, 1 << 20
-#: minima per set, and rounds, of the first merge
-MINIMA, MERGES = 6, 2
-#: lists of this many sets or more are thinned by star rounds, around this many centres each
-LONG_LIST, CENTRES = 16, 4
+#: star rounds go on while open lists have as many pairs as lists of this many sets; centres of a list and round
+LONG_LIST, CENTRES = 8, 3
+#: shortest and longest parity bitmap of a set, in words of 64 bits; below the longest, one has at least two bits per element
+COARSE_WORDS, BITMAP_WORDS = 4, 128
+#: bytes of text hashed at once; memory of a task only
+CHUNK = 1 << 18
 #: sizes for which enumeration is considered at all (2^12 subsets at most)
 LARGEST_LIGHT = 12
 
@@ -65,6 +73,29 @@ def min_partner(a, num: int = NUM, den: int = DEN):
     return -(-num * a // den)
 
 
+@functools.lru_cache(maxsize=None)
+def key_width(num: int = NUM, den: int = DEN) -> int:
+    """Elements of a list key: 2 if all linked sets that differ share a pair of neighbours, else 1."""
+    wide = 32 * (3 * num - (num + den)) >= num + den and all(
+        shared_keys(a, b, num, den, 2) >= 1 for b in range(1, 65) for a in range(min_partner(b, num, den), b + 1)
+        if need(a, b, num, den) < b)
+    return 2 if wide else 1
+
+
+def shared_keys(a, b, num: int = NUM, den: int = DEN, width: int = 2):
+    """Smallest number of list keys that linked sets of sizes a and b share."""
+    least = need(a, b, num, den)
+    return least if width == 1 else 3 * least - a - b - 1
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def prefix_keys(a: int, num: int = NUM, den: int = DEN) -> int:
+    """Number of first list keys among which every partner of a set of size a shares one."""
+    width = key_width(num, den)
+    least = int(shared_keys(a, np.arange(min_partner(a, num, den), a * den // num + 1), num, den, width).min())
+    return min(a - width + 1, a - width + 1 - least + 1)
+
+
 def subset_sizes(a: int, boundary: int, num: int = NUM, den: int = DEN) -> list[int]:
     """Sizes of the subsets that a light set of size a enumerates."""
     lo, hi = min_partner(a, num, den), min(a * den // num, boundary)
@@ -77,7 +108,7 @@ def choose_boundary(sizes: dict[int, int], mean_list: float, num: int = NUM, den
         return sum(math.comb(a, c) for c in subset_sizes(a, boundary, num, den))
 
     def scan_cost(a):
-        return (a - min_partner(a, num, den) + 1) * mean_list
+        return prefix_keys(a, num, den) * mean_list
 
     def cost(boundary):
         return sum(n * (enumerate_cost(a, boundary) if a <= boundary else scan_cost(a))
@@ -104,7 +135,7 @@ def _sketch_pass(k: int):
         tokens = 0
         shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
-            for _, h in batch_shingles(batch.column(0), k):
+            for _, h in batch_shingles(batch.column(0), k, CHUNK):
                 u = np.unique(h)
                 tokens += len(u)
                 if len(u) <= LARGEST_LIGHT:
@@ -119,23 +150,25 @@ def _sketch_pass(k: int):
 
 
 def _keys_pass(k: int, boundary: int, heavy, num: int, den: int):
-    """Per document: size, node id, ordered prefix, minima and light subset keys."""
+    """Per document: size, node id, first list keys in order, parity bitmap and light subset keys."""
     shift = np.uint64(64 - SKETCH_BITS)
+    width = key_width(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]):
         buckets, weights = heavy.value
         seen: set = set()
         for batch in batches:
-            sizes, nodes, prefix, minima, subsets = [], [], [], [], []
+            sizes, nodes, prefix, bits, coarse, subsets = [], [], [], [], [], []
             named = batch.column(0).is_valid().to_pylist()
-            for r, h in batch_shingles(batch.column(1), k):
+            for r, h in batch_shingles(batch.column(1), k, CHUNK):
                 u = np.unique(h)
                 a = len(u)
                 sizes.append(a)
                 if not a:
                     nodes.append(None)
                     prefix.append(None)
-                    minima.append(None)
+                    bits.append(None)
+                    coarse.append(None)
                     subsets.append(None)
                     continue
                 node = _node_id(u)
@@ -143,7 +176,8 @@ def _keys_pass(k: int, boundary: int, heavy, num: int, den: int):
                 # a row without an id takes no part in links; an equal set of this task has its keys already
                 if not named[r] or node in seen:
                     prefix.append(None)
-                    minima.append(None)
+                    bits.append(None)
+                    coarse.append(None)
                     subsets.append(None)
                     continue
                 if len(seen) < 1 << 20:     # bounds memory only; repeats are dropped later too
@@ -161,40 +195,50 @@ def _keys_pass(k: int, boundary: int, heavy, num: int, den: int):
                     subsets.append(None)
                 if light and a * den // num <= boundary:
                     prefix.append(None)     # every partner is light too
-                    minima.append(None)
+                    bits.append(None)
+                    coarse.append(None)
                     continue
                 b = (u >> shift).astype(np.int64)
                 at = np.searchsorted(buckets, b)
                 at[at == len(buckets)] = 0
                 w = np.where(buckets[at] == b, weights[at], 0) if len(buckets) else np.zeros(a, np.int64)
-                p = a - min_partner(a, num, den) + 1
-                prefix.append(u[np.lexsort((u, w))[:p]].view(np.int64))
-                minima.append([int(mix64(u ^ salt).min().astype(np.int64)) for salt in _SALTS])
+                p = prefix_keys(a, num, den)
+                v = u[np.lexsort((u, w))[:p + width - 1]]
+                prefix.append((v if width == 1 else mix64(v[:-1]) + v[1:]).view(np.int64))
+                bits.append(_parity(u, min(max(1 << max(0, (a - 1).bit_length() - 5), COARSE_WORDS), BITMAP_WORDS)))
+                coarse.append(_parity(u, COARSE_WORDS))
             yield pa.record_batch([
                 batch.column(0), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()),
-                pa.array(prefix, pa.list_(pa.int64())), pa.array(minima, pa.list_(pa.int64())),
+                pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())),
+                pa.array(coarse, pa.list_(pa.int64())),
                 pa.array(subsets, pa.list_(pa.struct([("key", pa.int64()), ("c", pa.int32())])))],
-                names=["doc_id", "n", "node", "prefix", "minima", "subsets"])
+                names=["doc_id", "n", "node", "prefix", "bits", "coarse", "subsets"])
     return run
 
 
-_KEYS = ("doc_id long, n int, node long, prefix array<long>, minima array<long>, "
+_KEYS = ("doc_id long, n int, node long, prefix array<long>, bits array<long>, coarse array<long>, "
          "subsets array<struct<key: long, c: int>>")
 
 
-_SALTS = [mix64(np.array([i + 1], dtype=np.uint64))[0] for i in range(MINIMA)]
-
-
 def _node_id(u: np.ndarray) -> int:
     """One 64-bit name for a whole set of sorted element hashes."""
     return int((mix64(u ^ np.uint64(0x5851F42D4C957F2D)).sum() + np.uint64(len(u))).astype(np.int64))
 
 
+def _parity(u: np.ndarray, words: int) -> np.ndarray:
+    """Parity bitmap of a set: an element flips one bit, so two bitmaps of one
+    length differ in at most as many bits as the sets in elements. The length is
+    a power of two; the exclusive or of its halves is the bitmap of half the length."""
+    at = (mix64(u ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(64 * words - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def _set_pass(k: int):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             names, sets = batch.column(0).to_pylist(), []
-            for r, h in batch_shingles(batch.column(1), k):
+            for r, h in batch_shingles(batch.column(1), k, CHUNK):
                 u = np.unique(h)
                 if len(u) and _node_id(u) == names[r]:  # else another text under a repeated doc_id
                     sets.append((names[r], u.view(np.int64)))
@@ -222,48 +266,35 @@ def _verify(num: int, den: int):
     return run
 
 
-def _prefix_bound(num: int, den: int) -> Column:
-    """Whether sets of sizes a and b may be linked by what their prefixes px and py tell.
-
-    Say the prefix of x ends first in the global order. Then its elements
-    beyond the m common ones are not in y, and the common elements of the sets
-    are the m, and at most the rest of x after the prefix and the rest of y
-    after the last common position; likewise with x and y exchanged. Elements
-    are folded to 32 bits here: elements of x that fall together are added to m,
-    and a last position can only come out too early, so nothing is lost by it.
-    """
-    in_y, in_x = F.array_intersect("px", "py"), F.array_intersect("py", "px")
-    after_y = F.col("b") - F.array_position("py", F.element_at(in_x, -1))
-    after_x = F.col("a") - F.array_position("px", F.element_at(in_y, -1))
-    rest = F.greatest(F.least(F.col("a") - F.size("px"), after_y), F.least(F.col("b") - F.size("py"), after_x))
+def _parity_bound(num: int, den: int) -> Column:
+    """Whether sets of sizes a and b may be linked by their parity bitmaps bx and by."""
+    def folded(c: str, other: str) -> Column:
+        n = F.floor(F.size(c) / 2).cast("int")
+        halves = F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, n + 1, n), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(c) == 2 * F.size(other), halves).otherwise(F.col(c))
+    x, y = folded("bx", "by"), folded("by", "bx")
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda s, c: s + c)
     least = F.ceil(F.lit(num) * (F.col("a") + F.col("b")) / F.lit(num + den))
-    folded = F.size("px") - F.size(F.array_distinct("px"))
-    return (F.size(in_y) > 0) & (F.size(in_y) + folded + rest >= least)
+    return (F.size(x) != F.size(y)) | (apart <= F.col("a") + F.col("b") - 2 * least)
 
 
 class _Verifier:
-    """Checks candidate pairs of nodes on their prefixes and on their full sets."""
+    """Checks candidate pairs of nodes on their parity bitmaps and on their full sets."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, reps: DataFrame, k: int, num: int, den: int):
-        self.docs, self.nodes, self.reps, self.k, self.num, self.den = docs, nodes, reps, k, num, den
+        self.docs, self.reps, self.k, self.num, self.den = docs, reps, k, num, den
+        self.bits = materialize(nodes.filter("bits is not null").select("node", "n", "bits", "coarse").dropDuplicates(["node"]))
 
     def possible(self, pairs: DataFrame) -> DataFrame:
-        """``pairs(x, y, a, b)`` that their prefixes do not rule out."""
-        pairs = materialize(pairs)
-        ids = materialize(pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct())
-        fold = F.transform("prefix", lambda v: F.shiftright(v, 32).cast("int"))
-        prefixes = materialize(self.nodes.filter("prefix is not null").select("node", fold.alias("p"))
-                               .join(small(ids), "node").dropDuplicates(["node"]))
-        kept = materialize(
-            pairs.join(prefixes.select(F.col("node").alias("x"), F.col("p").alias("px")), "x")
-            .join(prefixes.select(F.col("node").alias("y"), F.col("p").alias("py")), "y")
-            .filter(_prefix_bound(self.num, self.den)).select("x", "y"))
-        free(pairs, ids, prefixes)
-        return kept
+        """``pairs(x, y)`` that their sizes and bitmaps do not rule out."""
+        return materialize(
+            pairs.join(self.bits.select(F.col("node").alias("x"), F.col("n").alias("a"), F.col("bits").alias("bx")), "x")
+            .join(self.bits.select(F.col("node").alias("y"), F.col("n").alias("b"), F.col("bits").alias("by")), "y")
+            .filter(_parity_bound(self.num, self.den)).select("x", "y"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """``pairs(x, y)`` that are linked."""
-        pairs = materialize(pairs.select("x", "y"))
+        pairs = self.possible(pairs)
         nodes = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
         ids = materialize(nodes.join(self.reps, "node").select("node", F.col("rep").alias("doc_id")))
         texts = self.docs.join(small(ids), "doc_id").select("node", "text")
@@ -306,24 +337,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     boundary = choose_boundary({int(a): int(c) for a, c in zip(key[kind == 1], val[kind == 1]) if a}, mean_list, num, den)
     heavy = spark.sparkContext.broadcast(hot)
 
-    keys = materialize(docs.mapInArrow(_keys_pass(shingle, boundary, heavy, num, den), _KEYS))
+    keys = materialize(docs.mapInArrow(_keys_pass(shingle, boundary, heavy, num, den), _KEYS).withColumn("row", F.monotonically_increasing_id()))
     nodes = keys.filter("node is not null and doc_id is not null")
     reps = materialize(nodes.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
     verify = _Verifier(docs, nodes, reps, shingle, num, den)
 
     repeated = nodes.groupBy("doc_id").agg(F.min("node").alias("y"), F.max("node").alias("hi")).filter("y <> hi")
     same_id = nodes.join(repeated.select("doc_id", "y"), "doc_id").filter("node <> y").select(F.col("node").alias("x"), "y")
-    links = _first_merge(nodes, materialize(_light_links(nodes, num, den).union(same_id)), verify, num, den)
-    merged = connected_components(links)
-    lists = _inverted_lists(nodes, merged)
-    free(merged)
-    roots = _heavy_links(lists, links, verify, num, den)
+    light = _light_links(nodes, num, den)
+    links = materialize(light.union(same_id))
+    free(light)
+    roots = _heavy_links(_inverted_lists(nodes), links, verify, num, den)
 
     named = roots.join(reps.select("node", "rep"), "node")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_node = materialize(reps.join(roots, "node", "left").join(smallest, "root", "left")
                           .select("node", F.coalesce("component_id", "rep").alias("component_id")))
-    free(reps, roots)
+    free(reps, roots, verify.bits)
     return (keys.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node")
            .join(by_node, "node", "left")
            .select("doc_id", "n_shingles",
@@ -342,118 +372,86 @@ def _light_links(nodes: DataFrame, num: int, den: int) -> DataFrame:
                        .select(F.col("node").alias("x"), F.col("m.node").alias("y")).distinct())
 
 
-def _first_merge(nodes: DataFrame, links: DataFrame, verify: _Verifier, num: int, den: int) -> DataFrame:
-    """``links`` and those found between a node and the centre of one of its minima.
-
-    A round tries at most one pair of a node: with the centre, in another
-    component, that most of its minima have. It saves work on groups of near
-    copies; what it does not find is found through the lists.
-    """
-    keyed = (nodes.filter("minima is not null").select("node", "n", F.posexplode("minima").alias("slot", "key")).distinct())
-    shared = keyed.groupBy("slot", "key").agg(F.count("*").alias("c")).filter("c > 1").select("slot", "key")
-    keyed = materialize(keyed.join(shared, ["slot", "key"]))
-    for turn in range(MERGES if keyed.head(1) else 0):
-        roots = connected_components(links)
-        mine = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        centre = mine.groupBy("slot", "key").agg(
-            F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("y"), F.col("n").alias("yn"),
-                           F.col("root").alias("yroot"))).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        pairs = (mine.join(centre.filter("lo <> hi"), ["slot", "key"]).select("node", "n", "root", "m.y", "m.yn", "m.yroot")
-                 .filter((F.col("root") != F.col("yroot"))
-                         & (F.col("n") * den >= F.col("yn") * num) & (F.col("yn") * den >= F.col("n") * num))
-                 .groupBy(F.col("node").alias("x"), "y").agg(F.count("*").alias("c"))
-                 .groupBy("x").agg(F.max_by("y", F.struct("c", "y")).alias("y")))
-        found = verify.links(pairs)
-        links, old = materialize(links.union(found)), links
-        more = found.head(1)
-        free(found, old, roots)
-        if not more:
-            break
-    free(keyed)
-    return links
-
-
-def _inverted_lists(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(token, node, n, pos, length) of every token that sets of two components or more have in their prefix."""
-    entries = (nodes.filter("prefix is not null").join(roots, "node", "left")
-               .select("node", "n", F.coalesce("root", "node").alias("root"), F.posexplode("prefix").alias("pos", "token")))
-    token = Window.partitionBy("token")
-    return materialize(
-        entries.withColumn("lo", F.min("root").over(token)).withColumn("hi", F.max("root").over(token))
-        .withColumn("length", F.count("*").over(token))
-        .filter("lo <> hi").select("token", "node", "n", "pos", "length").distinct())
+def _inverted_lists(nodes: DataFrame) -> DataFrame:
+    """(token, node, n, pos) of every list key that two rows or more have. Only
+    the key, a row number and the position are shuffled."""
+    entries = nodes.filter("prefix is not null").select("row", F.posexplode("prefix").alias("pos", "token"))
+    shared = materialize(entries.withColumn("length", F.count("*").over(Window.partitionBy("token")))
+                         .filter("length > 1").select("token", "row", "pos"))
+    rows = materialize(shared.select("row").distinct().join(nodes.select("row", "node", "n"), "row"))
+    lists = materialize(shared.join(small(rows, BROADCAST_IDS // 4), "row").select("token", "node", "n", "pos").distinct())
+    free(shared, rows)
+    return lists
 
 
 def _heavy_links(lists: DataFrame, links: DataFrame, verify: _Verifier, num: int, den: int):
     """Adds the links found through inverted lists; returns the components."""
-    long = materialize(lists.filter(F.col("length") >= LONG_LIST))
-    n_long = long.count()
-    roots = connected_components(links)
     salt, before = 0, None
     while True:
-        mine = (long.join(roots, "node", "left")
+        roots = connected_components(links)
+        mine = (lists.select("token", "node", "n", "pos").join(small(roots, BROADCAST_IDS // 4), "node", "left")
                 .select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root")))
         per_list = mine.groupBy("token", "root").agg(F.count("*").alias("c"))
         per_list = materialize(per_list.groupBy("token").agg(
-            F.count("*").alias("roots"), F.max_by("root", "c").alias("top"),
-            ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")))
-        cross = per_list.agg(F.sum("pairs")).first()[0] or 0
-        mixed = materialize(mine.join(per_list.filter("roots > 1").select("token", "top"), "token"))
-        free(per_list)
-        # star rounds go on while long lists have more open pairs than short ones could have and
-        # a round closes half of them; the result is the same after any number of rounds
-        if cross <= LONG_LIST * n_long or before is not None and 2 * cross > before:
+            F.count("*").alias("roots"), F.max_by("root", "c").alias("top"), F.sum("c").alias("c"),
+            ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).filter("roots > 1"))
+        cross, entries = per_list.agg(F.sum("pairs"), F.sum("c")).first()
+        cross, entries = cross or 0, entries or 0
+        mixed = materialize(mine.join(per_list.select("token", "top"), "token"))
+        free(per_list, lists, roots)
+        # rounds go on while many pairs are open and a round closes half of them; the result is the same after any number
+        if 2 * cross <= (LONG_LIST - 1) * entries or before is not None and 2 * cross > before:
             break
         found = verify.links(_star_pairs(mixed, salt, num, den))
         links, old = materialize(links.union(found)), links
-        free(mixed, found, old, roots)
-        roots = connected_components(links)
-        salt, before = salt + CENTRES, cross
-    short = (lists.filter(F.col("length") < LONG_LIST).join(roots, "node", "left")
-             .select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root")))
-    # in a long list, every pair that is apart has a member outside its largest component
-    pairs = (_cross_pairs(short, short, "rx < ry", num, den)
-             .union(_cross_pairs(mixed.filter("root <> top"), mixed, "rx <> ry and (y < x or ry = top)", num, den)).distinct())
-    possible = verify.possible(pairs)
-    found = verify.links(possible)
-    free(long, mixed, roots, possible)
+        free(found, old)
+        lists, salt, before = mixed, salt + CENTRES, cross
+    # every pair that is apart has a member outside the largest component of its list
+    words = verify.bits.select("node", *[F.col("coarse")[i].alias(f"p{i}") for i in range(COARSE_WORDS)])
+    left = materialize(mixed.filter("root <> top").join(words, "node"))
+    right = materialize(mixed.join(words, "node"))
+    pairs = _cross_pairs(left, right, "rx <> ry and (y < x or ry = top)", num, den)
+    found = verify.links(pairs)
+    free(mixed, left, right)
     roots = connected_components(links.union(found))
-    free(found, links, lists)
+    free(found, links)
     return roots
 
 
 def _star_pairs(mixed: DataFrame, salt: int, num: int, den: int) -> DataFrame:
-    """Likely pairs of a set and one of the centres of its lists. Leaving a pair
-    out here loses nothing, since the last step joins whatever is still apart."""
+    """Likely pairs of a set and one of the centres of its lists, one for each other
+    component. Leaving a pair out here loses nothing, since the last step joins
+    whatever is still apart."""
     def centre(s):
         return F.min(F.struct(F.xxhash64("node", F.lit(s)).alias("o"), F.col("node").alias("y"),
                               F.col("n").alias("yn"), F.col("root").alias("yroot")))
     centres = (mixed.groupBy("token").agg(*[centre(salt + i).alias(f"c{i}") for i in range(CENTRES)])
-               .select("token", F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("centres")))
-    pairs = (mixed.join(centres, "token").select("node", "n", "root", F.explode("centres").alias("m"))
-             .select(F.col("node").alias("x"), "n", "root", "m.y", "m.yn", "m.yroot")
+               .select("token", F.explode(F.array_distinct(F.array(*[F.col(f"c{i}").dropFields("o") for i in range(CENTRES)]))).alias("m")))
+    pairs = (mixed.join(centres.select("token", "m.*"), "token")
              .filter((F.col("root") != F.col("yroot"))
                      & (F.col("n") * den >= F.col("yn") * num) & (F.col("yn") * den >= F.col("n") * num))
-             .groupBy("x", "y").agg(F.count("*").alias("c"), F.first("n").alias("n")))
-    # a linked pair shares about three quarters of its prefixes; a fifth makes a try worthwhile
-    return pairs.filter(F.col("c") * 5 >= F.col("n") / 4).select("x", "y")
+             .groupBy(F.col("node").alias("x"), "yroot", "y").agg(F.count("*").alias("c")))
+    return pairs.groupBy("x", "yroot").agg(F.max_by("y", F.struct("c", "y")).alias("y")).select("x", "y")
 
 
 def _cross_pairs(left: DataFrame, right: DataFrame, apart: str, num: int, den: int) -> DataFrame:
-    """(x, y, a, b): pairs of a list in different components that may be linked
-    by size and position. A linked pair shares an element among the first
-    ``a - need(a, b) + 1`` of the one and ``b - need(a, b) + 1`` of the other."""
+    """(x, y): pairs of a list in different components that may be linked by size
+    and position. The first key that sets of sizes a and b share has as many keys
+    from it on, in both, as linked sets of these sizes share at least. Coarse
+    parity bitmaps rule out most others here, before a pair is a row."""
     x = left.select("token", F.col("node").alias("x"), F.col("n").alias("a"), F.col("pos").alias("i"), F.col("root").alias("rx"),
-                    *[c for c in left.columns if c == "top"])
-    y = right.select("token", F.col("node").alias("y"), F.col("n").alias("b"), F.col("pos").alias("j"), F.col("root").alias("ry"))
+                    *[F.col(f"p{i}").alias(f"px{i}") for i in range(COARSE_WORDS)])
+    y = right.select("token", F.col("node").alias("y"), F.col("n").alias("b"), F.col("pos").alias("j"), F.col("root").alias("ry"),
+                     "top", *[F.col(f"p{i}").alias(f"py{i}") for i in range(COARSE_WORDS)])
+    differ = sum(F.bit_count(F.col(f"px{i}").bitwiseXOR(F.col(f"py{i}"))) for i in range(COARSE_WORDS))
+    width = key_width(num, den)
     least = F.ceil(F.lit(num) * (F.col("a") + F.col("b")) / F.lit(num + den))
+    shared = least if width == 1 else 3 * least - F.col("a") - F.col("b") - 1
     pairs = x.join(y, (x["token"] == y["token"]) & F.expr(apart)
                    & (F.col("a") * den >= F.col("b") * num) & (F.col("b") * den >= F.col("a") * num)
-                   & (F.col("i") <= F.col("a") - least) & (F.col("j") <= F.col("b") - least))
-    first = F.col("x") < F.col("y")
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"),
-                        F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"),
-                        F.when(first, F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
+                   & (F.col("i") + shared <= F.col("a") - (width - 1)) & (F.col("j") + shared <= F.col("b") - (width - 1))
+                   & (differ <= F.col("a") + F.col("b") - 2 * least))
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def keep_one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

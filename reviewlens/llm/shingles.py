@@ -140,10 +140,10 @@ def shingle_hashes(w: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarra
     return mix64(out[keep]), n_sh
 
 
-def batch_shingles(col: pa.Array, k: int):
+def batch_shingles(col: pa.Array, k: int, size: int = CHUNK_BYTES):
     """Yield (row, hashes with repeats) for every row of a text column."""
     raw, offsets = text_buffers(col)
-    for a, b in row_chunks(offsets):
+    for a, b in row_chunks(offsets, size):
         part = raw[offsets[a]:offsets[b]]
         w, counts, _, _ = word_hashes(part, offsets[a:b + 1] - offsets[a])
         h, n_sh = shingle_hashes(w, counts, k)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,34 @@ def test_need_and_boundary():
             k = J.need(a, b)
             assert 100 * k >= 75 * (a + b - k) and 100 * (k - 1) < 75 * (a + b - k + 1)
     assert J.choose_boundary({4: 100}, 1.0) < J.choose_boundary({4: 100, 8: 100}, 500.0)
+
+
+def test_texts_that_share_single_shingles_make_no_pairs(spark, monkeypatch):
+    made, cross = [], J._cross_pairs
+    monkeypatch.setattr(J, "_cross_pairs", lambda *a: made.append(cross(*a).cache()) or made[-1])
+    rnd = random.Random(9)
+    phrases = [" ".join(f"p{i}_{j}" for j in range(5)) for i in range(40)]
+    rows = [(i, " ".join(f"t{i}_{k} {p}" for k, p in enumerate(rnd.sample(phrases, 8)))) for i in range(60)]
+    got = J.jaccard_components(docs(spark, rows)).collect()
+    assert [r["component_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == list(range(60))
+    assert sum(df.count() for df in made) == 0
+
+
+def test_linked_sets_share_keys_among_their_first_and_bitmaps_never_exceed_the_difference():
+    rnd = np.random.default_rng(3)
+    for _ in range(400):
+        b = int(rnd.integers(4, 300))
+        a = int(rnd.integers(J.min_partner(b), b + 1))
+        k = J.need(a, b)
+        if k > a or k == b:
+            continue
+        u = np.unique(rnd.integers(0, 1 << 63, a + b - k, dtype=np.uint64))
+        rnd.shuffle(u)
+        x, y = np.sort(u[:a]), np.sort(u[a - k:])
+        keys = [list(zip(s[:-1].tolist(), s[1:].tolist())) for s in (x, y)]
+        assert len(set(keys[0]) & set(keys[1])) >= J.shared_keys(a, b)
+        assert set(keys[0][:J.prefix_keys(a)]) & set(keys[1][:J.prefix_keys(b)])
+        long, short = J._parity(x, 16), J._parity(x, 8)
+        assert (long[:8] ^ long[8:]).tolist() == short.tolist()
+        assert sum(int(v).bit_count() for v in (short ^ J._parity(y, 8)).view(np.uint64)) <= a + b - 2 * k
+    assert J.key_width() == 2 and J.key_width(50, 100) == 1
