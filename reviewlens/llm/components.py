@@ -13,30 +13,38 @@ def _total(labels: DataFrame):
     return labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
 
 
+def _contracted(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """``links`` between the labels of their ends; those within one label are done."""
+    ends = links.join(labels.select(F.col("node").alias("y"), F.col("root").alias("ry")), "y")
+    ends = ends.join(labels.select(F.col("node").alias("x"), F.col("root").alias("rx")), "x")
+    return materialize(ends.filter("rx <> ry").select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).distinct())
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``links(x, y)`` -> ``(node, root)``: the smallest node id reachable.
 
-    Rounds of "take the smallest label among me and my neighbours", each
-    followed by pointer jumping (my label's label), until nothing changes;
-    every round is a written table, so a lost executor costs its own tasks.
+    Rounds of "links join the labels of their ends, a label falls to the
+    smallest one that it is linked with", each followed by pointer jumping (my
+    label's label), until no link is left and nothing changes. A link whose ends
+    have one label is dropped, so later rounds do not read all links again.
+    Every round is a written table, so a lost executor costs its own tasks.
     A node with many links is combined map-side by the ``min``.
     """
-    both = materialize(links.select("x", "y").union(links.select(F.col("y"), F.col("x")))
-                       .filter("x <> y").distinct())
-    labels = materialize(both.groupBy(F.col("x").alias("node"))
-                         .agg(F.min("y").alias("m"))
-                         .select("node", F.least("node", "m").alias("root")))
+    links = materialize(links.filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    labels = materialize(links.select(F.col("x").alias("node"), F.col("x").alias("m")).union(links.select(F.col("y"), F.col("x")))
+                         .groupBy("node").agg(F.min("m").alias("root")))
     total = _total(labels)
     while total is not None:
-        near = both.join(labels.select(F.col("node").alias("y"), "root"), "y").select(F.col("x").alias("node"), "root")
-        step = near.union(labels.select("node", "root")).groupBy("node").agg(F.min("root").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("r2"))
-        new = materialize(step.join(jump, "root", "left")
-                          .select("node", F.least("root", F.coalesce("r2", "root")).alias("root")))
+        links, old = _contracted(links, labels), links
+        free(old)
+        falls = links.groupBy(F.col("y").alias("root")).agg(F.min("x").alias("low"))
+        step = labels.join(falls, "root", "left").select("node", F.coalesce("low", "root").alias("root"))
+        jump = labels.join(falls, "root", "left").select(F.col("node").alias("root"), F.coalesce("low", "root").alias("r2"))
+        new = materialize(step.join(jump, "root", "left").select("node", F.coalesce("r2", "root").alias("root")))
         before, total = total, _total(new)
         free(labels)
         labels = new
         if total == before:
             break
-    free(both)
+    free(links)
     return labels

@@ -398,13 +398,13 @@ def _heavy_links(lists: DataFrame, links: DataFrame, verify: _Verifier, num: int
         cross, entries = per_list.agg(F.sum("pairs"), F.sum("c")).first()
         cross, entries = cross or 0, entries or 0
         mixed = materialize(mine.join(per_list.select("token", "top"), "token"))
-        free(per_list, lists, roots)
+        free(per_list, lists)
         # rounds go on while many pairs are open and a round closes half of them; the result is the same after any number
         if 2 * cross <= (LONG_LIST - 1) * entries or before is not None and 2 * cross > before:
             break
         found = verify.links(_star_pairs(mixed, salt, num, den))
-        links, old = materialize(links.union(found)), links
-        free(found, old)
+        links, old = materialize(_as_links(roots).union(found)), links
+        free(found, old, roots)
         lists, salt, before = mixed, salt + CENTRES, cross
     # every pair that is apart has a member outside the largest component of its list
     words = verify.bits.select("node", *[F.col("coarse")[i].alias(f"p{i}") for i in range(COARSE_WORDS)])
@@ -413,9 +413,14 @@ def _heavy_links(lists: DataFrame, links: DataFrame, verify: _Verifier, num: int
     pairs = _cross_pairs(left, right, "rx <> ry and (y < x or ry = top)", num, den)
     found = verify.links(pairs)
     free(mixed, left, right)
-    roots = connected_components(links.union(found))
-    free(found, links)
-    return roots
+    joined = connected_components(_as_links(roots).union(found))
+    free(found, links, roots)
+    return joined
+
+
+def _as_links(roots: DataFrame) -> DataFrame:
+    """Components as links: every node with its root."""
+    return roots.filter("node <> root").select(F.col("node").alias("x"), F.col("root").alias("y"))
 
 
 def _star_pairs(mixed: DataFrame, salt: int, num: int, den: int) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reviewlens.llm import components
 from reviewlens.llm import jaccard_join as J
 from tests.llm.helpers import docs, shingles, with_clashes
 
@@ -132,3 +133,13 @@ def test_linked_sets_share_keys_among_their_first_and_bitmaps_never_exceed_the_d
         assert (long[:8] ^ long[8:]).tolist() == short.tolist()
         assert sum(int(v).bit_count() for v in (short ^ J._parity(y, 8)).view(np.uint64)) <= a + b - 2 * k
     assert J.key_width() == 2 and J.key_width(50, 100) == 1
+
+
+def test_components_drop_links_within_one_label(spark, monkeypatch):
+    left, contracted = [], components._contracted
+    monkeypatch.setattr(components, "_contracted", lambda *a: left.append((r := contracted(*a)).count()) or r)
+    chain = [(i, i + 1) for i in range(100, 140)] + [(140, 30)]
+    star = [(200, i) for i in range(201, 260)] + [(i, i + 1) for i in range(201, 259)]
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(chain + star + [(5, 5)], "x long, y long")).collect()}
+    assert got == {**{i: 30 for i in range(100, 141)}, 30: 30, **{i: 200 for i in range(200, 260)}}
+    assert left[0] <= len(chain) and left[-1] == 0
