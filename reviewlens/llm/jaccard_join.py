@@ -25,9 +25,10 @@ sizes a and b are linked when their overlap is at least
 Lists are joined without expanding groups of copies into all pairs. Equal
 sets are one node. Star rounds link the members of every list to a few centres,
 and lists within one component are dropped, until what is open is small; at
-last all pairs of a list whose components still differ are joined by size and
-position. A pair is tried first on parity bitmaps, which bound the symmetric
-difference from below, then on the full sets. A pair left out is already
+last all pairs of a list whose components still differ are joined by size,
+position and short parity bitmaps, each pair in one of the first lists that it
+shares and not in all of them. A pair is tried first on parity bitmaps, which
+bound the symmetric difference from below, then on the full sets. A pair left out is already
 connected or provably under the threshold, so components are exact.
 """
 
@@ -56,7 +57,9 @@ FREQUENT, HOT_COUNTERS = 32, 1 << 20
 #: star rounds go on while open lists have as many pairs as lists of this many sets; centres of a list and round
 LONG_LIST, CENTRES = 8, 3
 #: shortest and longest parity bitmap of a set, in words of 64 bits; below the longest, one has at least two bits per element
-COARSE_WORDS, BITMAP_WORDS = 4, 128
+COARSE_WORDS, BITMAP_WORDS = 8, 128
+#: open keys before its own that an entry of a list carries into the last join
+BEFORE = 4
 #: bytes of text hashed at once; memory of a task only
 CHUNK = 1 << 18
 #: sizes for which enumeration is considered at all (2^12 subsets at most)
@@ -408,11 +411,12 @@ def _heavy_links(lists: DataFrame, links: DataFrame, verify: _Verifier, num: int
         lists, salt, before = mixed, salt + CENTRES, cross
     # every pair that is apart has a member outside the largest component of its list
     words = verify.bits.select("node", *[F.col("coarse")[i].alias(f"p{i}") for i in range(COARSE_WORDS)])
-    left = materialize(mixed.filter("root <> top").join(words, "node"))
-    right = materialize(mixed.join(words, "node"))
-    pairs = _cross_pairs(left, right, "rx <> ry and (y < x or ry = top)", num, den)
+    keys = Window.partitionBy("node").orderBy("pos")
+    before = F.array_compact(F.array(*[F.lag("token", i + 1).over(keys) for i in range(BEFORE)]))
+    right = materialize(mixed.withColumn("before", before).join(words, "node"))
+    pairs = _cross_pairs(right.filter("root <> top"), right, "rx <> ry and (y < x or ry = top)", num, den)
     found = verify.links(pairs)
-    free(mixed, left, right)
+    free(mixed, right)
     joined = connected_components(_as_links(roots).union(found))
     free(found, links, roots)
     return joined
@@ -443,11 +447,14 @@ def _cross_pairs(left: DataFrame, right: DataFrame, apart: str, num: int, den: i
     """(x, y): pairs of a list in different components that may be linked by size
     and position. The first key that sets of sizes a and b share has as many keys
     from it on, in both, as linked sets of these sizes share at least. Coarse
-    parity bitmaps rule out most others here, before a pair is a row."""
+    parity bitmaps rule out most others here, before a pair is a row. A pair that
+    shares one of the last few keys before this one is met in the list of that
+    key, which passes wherever this one does, so it is left out here."""
     x = left.select("token", F.col("node").alias("x"), F.col("n").alias("a"), F.col("pos").alias("i"), F.col("root").alias("rx"),
+                    F.col("before").alias("kx"),
                     *[F.col(f"p{i}").alias(f"px{i}") for i in range(COARSE_WORDS)])
     y = right.select("token", F.col("node").alias("y"), F.col("n").alias("b"), F.col("pos").alias("j"), F.col("root").alias("ry"),
-                     "top", *[F.col(f"p{i}").alias(f"py{i}") for i in range(COARSE_WORDS)])
+                     "top", F.col("before").alias("ky"), *[F.col(f"p{i}").alias(f"py{i}") for i in range(COARSE_WORDS)])
     differ = sum(F.bit_count(F.col(f"px{i}").bitwiseXOR(F.col(f"py{i}"))) for i in range(COARSE_WORDS))
     width = key_width(num, den)
     least = F.ceil(F.lit(num) * (F.col("a") + F.col("b")) / F.lit(num + den))
@@ -455,7 +462,7 @@ def _cross_pairs(left: DataFrame, right: DataFrame, apart: str, num: int, den: i
     pairs = x.join(y, (x["token"] == y["token"]) & F.expr(apart)
                    & (F.col("a") * den >= F.col("b") * num) & (F.col("b") * den >= F.col("a") * num)
                    & (F.col("i") + shared <= F.col("a") - (width - 1)) & (F.col("j") + shared <= F.col("b") - (width - 1))
-                   & (differ <= F.col("a") + F.col("b") - 2 * least))
+                   & (differ <= F.col("a") + F.col("b") - 2 * least) & ~F.arrays_overlap("kx", "ky"))
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 

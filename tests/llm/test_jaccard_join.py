@@ -135,6 +135,32 @@ def test_linked_sets_share_keys_among_their_first_and_bitmaps_never_exceed_the_d
     assert J.key_width() == 2 and J.key_width(50, 100) == 1
 
 
+def test_a_group_around_one_text_makes_few_pairs(spark, monkeypatch):
+    """Copies edited too far share most list keys and are no links: short bitmaps rule them out inside the join."""
+    made, cross = [], J._cross_pairs
+    monkeypatch.setattr(J, "_cross_pairs", lambda *a: made.append(cross(*a).cache()) or made[-1])
+    rnd = random.Random(4)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(24):
+        w = list(base)
+        for k in rnd.sample(range(400), 13):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    got = J.jaccard_components(docs(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(rows)
+    assert sum(df.count() for df in made) <= 24
+
+
+def test_a_pair_is_left_to_the_list_of_an_earlier_shared_key(spark):
+    names = "token long, node long, n int, pos int, root long, top long, before array<long>, " + ", ".join(
+        f"p{i} long" for i in range(J.COARSE_WORDS))
+    lists = spark.createDataFrame([(t, x, 100, p, x, 0, before, *[0] * J.COARSE_WORDS) for t, x, p, before in
+                                   [(10, 1, 5, [9]), (10, 2, 6, [9]), (10, 3, 6, [8]), (10, 4, 0, [])]], names)
+    pairs = J._cross_pairs(lists, lists, "rx <> ry and (y < x or ry = top)", J.NUM, J.DEN)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+
+
 def test_components_drop_links_within_one_label(spark, monkeypatch):
     left, contracted = [], components._contracted
     monkeypatch.setattr(components, "_contracted", lambda *a: left.append((r := contracted(*a)).count()) or r)
