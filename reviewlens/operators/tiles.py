@@ -9,7 +9,9 @@ corpus rows. Three layouts deal rows out to tiles:
   grid    a row meets the rows of its own cell, where each corpus row also
           stands in the adjacent cells that it is within ``eps`` of; the grid
           lies over at most ``GRID_DIMS`` coordinates, those of the largest
-          spread, and its cells are wider where rows are sparse;
+          spread, and its cells are so wide that a tile has many rows, of
+          which few stand in a second cell; rows that meet one another stand
+          in their own cell once, as query and corpus row in one;
   hash    a row meets the rows of its own bucket in every hash table.
 
 Cells and buckets may be of any size: one with more rows than a block is cut
@@ -20,6 +22,7 @@ summary (counts, nearest rows, spanning forests), whose rows go on.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -47,14 +50,21 @@ BATCH_ROWS = 4096
 #: numbers (rows x dimension) that a panel or a grid tile holds at most, and its rows
 PANEL_VALUES = 1 << 22
 PANEL_ROWS = 1 << 16
-#: rows that a grid cell should have
-CELL_ROWS = 1 << 13
+#: rows that a grid cell should have: the fewest, and as many on large tables, where
+#: wide cells keep the copies in adjacent cells few
+CELL_ROWS = (1 << 13, 1 << 18)
+#: rows of one side of a grid tile at most
+GRID_ROWS = 1 << 19
+#: rows of a shuffled partition of tiles, about
+PART_ROWS = 1 << 20
 #: a grid cell is at most this many times as wide as eps
 WIDEST_CELL = 64
 #: strips per eps on a side: the fewest and the most (:class:`Strips`)
 STRIPS = (1, 32)
 
 TILE = ["t0", "t1", "t2", "tq", "tc"]
+#: the side of a tile that a row stands on, in the order in which they are sorted
+QUERY, BOTH, CORPUS = 0, 1, 2
 MIN_BLOCK_ROWS = 256
 
 
@@ -152,15 +162,18 @@ def _dealt(query: DataFrame, corpus: DataFrame, links: DataFrame, block_rows: in
     return q, c
 
 
-def cells_per_eps(corpus: DataFrame, eps: float, dim: int, rows: int = CELL_ROWS) -> int:
-    """How many times as wide as eps a cell may be, for about ``rows`` rows in it: from
-    the number of rows with which a row shares a cell of width eps."""
+def cells_per_eps(corpus: DataFrame, eps: float, dim: int) -> tuple[int, int]:
+    """How many times as wide as eps a cell may be, for about as many rows in it as
+    ``CELL_ROWS`` says: from the number of rows with which a row shares a cell of width
+    eps. And the number of rows."""
     dims = widest_dims(corpus, dim)
     n = _cells(corpus, dims, eps * (1 + CELL_SLACK) if eps > 0 else 1.0).groupBy("x0", "x1", "x2").agg(F.count("*").cast("double").alias("n"))
-    shared = n.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("s")).first()["s"]
-    if not dims or not shared:
-        return 1
-    return max(1, min(WIDEST_CELL, int((rows / shared) ** (1.0 / len(dims)))))
+    found = n.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("shared"), F.sum("n").alias("n")).first()
+    if not dims or not found["shared"]:
+        return 1, int(found["n"] or 0)
+    # some cells for every core, as long as these are not too small
+    rows = max(CELL_ROWS[0], min(CELL_ROWS[1], found["n"] / (4 * corpus.sparkSession.sparkContext.defaultParallelism)))
+    return max(1, min(WIDEST_CELL, int((rows / found["shared"]) ** (1.0 / len(dims))))), int(found["n"])
 
 
 def grid_tiles(query: DataFrame, corpus: DataFrame, eps: float, dim: int, block_rows: int, wide: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -186,6 +199,42 @@ def grid_tiles(query: DataFrame, corpus: DataFrame, eps: float, dim: int, block_
     return q, c
 
 
+def own_grid_tiles(rows: DataFrame, eps: float, dim: int, block_rows: int, wide: int = 1) -> DataFrame:
+    """Rows (id, v, is_corpus, ...) that meet one another, dealt as :func:`grid_tiles` does,
+    with their ``side``: a row stands once in its own cell, on both sides where it is a
+    corpus row, and a corpus row also in the adjacent cells that it is within eps of. Only
+    in cells of more rows than a block, which are cut, the sides are apart. ``shared``:
+    whether the row stands in several tiles."""
+    dims = widest_dims(rows, dim)
+    reach = eps * (1 + CELL_SLACK) if eps > 0 else 0.0
+    width = reach * wide if eps > 0 else 1.0
+    target, home = TILE[:3], [f"x{k}" for k in range(GRID_DIMS)]
+    apart = [_cell(j, width, -reach) < _cell(j, width, reach) for j in dims]
+    dealt = _reached(_cells(rows.withColumn("shared", functools.reduce(Column.__or__, apart, F.lit(False))), dims, width), dims, width, reach)
+    at_home = (F.col("t0") == F.col("x0")) & (F.col("t1") == F.col("x1")) & (F.col("t2") == F.col("x2"))
+    side = F.when(at_home & F.col("is_corpus"), BOTH).when(at_home, QUERY).when(F.col("is_corpus"), CORPUS)
+    dealt = dealt.withColumn("side", side).where(F.col("side").isNotNull()).drop(*home, "is_corpus")
+    sizes = dealt.groupBy(*target).agg(F.count_if(F.col("side") < CORPUS).alias("nq"), F.count_if(F.col("side") > QUERY).alias("nc"))
+    large = materialize(sizes.where((F.col("nq") > 0) & (F.col("nc") > 0)).select(
+        *target, F.ceil(F.col("nq") / block_rows).alias("pq"), F.ceil(F.col("nc") / block_rows).alias("pc")).where("pq > 1 or pc > 1"))
+    zero = F.lit(0).cast("long")
+    if large.isEmpty():
+        return dealt.withColumn("tq", zero).withColumn("tc", zero)
+
+    def parts(tq, tc, on):
+        return F.struct(tq.cast("long").alias("tq"), tc.cast("long").alias("tc"), on.alias("on"))
+
+    def upto(n):
+        return F.sequence(zero, n.cast("long") - 1)
+    side, pq, pc = F.col("side"), F.col("pq"), F.col("pc")
+    none = F.filter(F.array(parts(zero, zero, side)), lambda x: F.lit(False))
+    as_query = F.when(side < CORPUS, F.transform(upto(pc), lambda k: parts(_part(pq, 17), k, F.lit(QUERY)))).otherwise(none)
+    as_corpus = F.when(side > QUERY, F.transform(upto(pq), lambda k: parts(k, _part(pc, 17), F.lit(CORPUS)))).otherwise(none)
+    copies = F.when(pq.isNull(), F.array(parts(zero, zero, side))).otherwise(F.concat(as_query, as_corpus))
+    dealt = dealt.join(large, target, "left").withColumn("shared", F.col("shared") | pq.isNotNull()).withColumn("m", F.explode(copies))
+    return dealt.withColumns({"tq": F.col("m.tq"), "tc": F.col("m.tc"), "side": F.col("m.on")}).drop("m", "pq", "pc")
+
+
 def hash_tiles(query: DataFrame, corpus: DataFrame, planes: np.ndarray, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Rows dealt by the buckets of random hyperplanes: ``planes`` is tables x bits x (dim + 1)."""
     def buckets(df):
@@ -238,13 +287,17 @@ class Rows:
         flat = table.column("v").combine_chunks() if table.num_rows else None
         self.v = flat.flatten().to_numpy(zero_copy_only=False).reshape(self.n, -1) if self.n else np.zeros((0, 0))
         self.id = table.column("id").to_numpy()
-        self.corpus = table.column("side").to_numpy() == 1
-        keys = np.stack([table.column(c).to_numpy() for c in TILE], axis=1)
-        cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        self.side = table.column("side").to_numpy()
+        new = np.zeros(max(0, self.n - 1), bool)
+        for c in TILE:
+            key = table.column(c).to_numpy()
+            new |= key[1:] != key[:-1]
+        cut = np.flatnonzero(new) + 1
         self.starts = np.concatenate([[0], cut])
         self.ends = np.concatenate([cut, [self.n]])
-        # queries stand before corpus rows within a tile
-        self.middles = np.array([s + np.searchsorted(self.corpus[s:e], True) for s, e in zip(self.starts, self.ends)])
+        # within a tile query rows stand before rows of both sides, and these before corpus rows
+        self.q_ends = self.starts + np.add.reduceat((self.side < CORPUS).astype(np.int64), self.starts)
+        self.c_starts = self.ends - np.add.reduceat((self.side > QUERY).astype(np.int64), self.starts)
 
     def array_bool(self, name: str) -> np.ndarray:
         """A boolean column; a null is false."""
@@ -253,7 +306,7 @@ class Rows:
 
 def near_pairs(rows: Rows, eps: float, without=()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query row, corpus row) pairs within ``eps`` of all tiles but ``without``, some at a time."""
-    nq, nc = rows.middles - rows.starts, rows.ends - rows.middles
+    nq, nc = rows.q_ends - rows.starts, rows.ends - rows.c_starts
     nq[np.asarray(without, dtype=np.int64)] = 0
     small = np.flatnonzero((nq > 0) & (nc > 0) & (nq * nc <= MATRIX_PAIRS))
     at = 0
@@ -266,13 +319,13 @@ def near_pairs(rows: Rows, eps: float, without=()) -> Iterator[tuple[np.ndarray,
         which = np.repeat(np.arange(len(t)), pairs)
         place = np.arange(len(which)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
         q = rows.starts[t][which] + place // nc[t][which]
-        c = rows.middles[t][which] + place % nc[t][which]
+        c = rows.c_starts[t][which] + place % nc[t][which]
         keep = exact_dists(rows.v[q], rows.v[c]) <= eps
         yield q[keep], c[keep]
         at = upto
     for t in np.flatnonzero((nq > 0) & (nc > 0) & (nq * nc > MATRIX_PAIRS)):
-        s, m, e = rows.starts[t], rows.middles[t], rows.ends[t]
-        a, b = rows.v[s:m], rows.v[m:e]
+        s, m, e = rows.starts[t], rows.c_starts[t], rows.ends[t]
+        a, b = rows.v[s:rows.q_ends[t]], rows.v[m:e]
         ca, cb, error = centred(a, b)
         # pairs within the error of the expansion are decided by exact differences
         slack = 2 * error + 1e-12 * eps * eps
@@ -291,10 +344,10 @@ def near_pairs(rows: Rows, eps: float, without=()) -> Iterator[tuple[np.ndarray,
 def nearest_pairs(rows: Rows, k: int, exclude_self: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query row, corpus row, distance): per tile and query the ``k`` nearest and
     all ties of the k-th distance."""
-    for s, m, e in zip(rows.starts, rows.middles, rows.ends):
-        if s == m or m == e:
+    for s, q_end, m, e in zip(rows.starts, rows.q_ends, rows.c_starts, rows.ends):
+        if s == q_end or m == e:
             continue
-        a, b = rows.v[s:m], rows.v[m:e]
+        a, b = rows.v[s:q_end], rows.v[m:e]
         ca, cb, error = centred(a, b)
         step = max(1, PAIRS // (8 * len(b)))
         for i in range(0, len(a), step):
@@ -402,7 +455,7 @@ class Strips:
 
 def large_tiles(rows: Rows, eps: float) -> np.ndarray:
     """The tiles for :class:`Strips`: few dimensions, and too many pairs to compare them all."""
-    nq, nc = rows.middles - rows.starts, rows.ends - rows.middles
+    nq, nc = rows.q_ends - rows.starts, rows.ends - rows.c_starts
     return np.flatnonzero((nq * nc > MATRIX_PAIRS) & (0 < rows.v.shape[1] <= GRID_DIMS) & bool(np.isfinite(eps)))
 
 
@@ -530,28 +583,35 @@ def run_tiles(query: DataFrame, corpus: DataFrame, summary: Callable[[Rows], Ite
     def side(df, number):
         have = [F.col(c) if c in df.columns else F.lit(None).cast(dict((corpus if number == 0 else query).dtypes)[c]).alias(c) for c in extra]
         return df.select(*TILE, F.lit(number).alias("side"), "id", "v", *have)
-    both = side(query, 0).unionByName(side(corpus, 1))
-    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = both.repartition(parts, *TILE).sortWithinPartitions(*TILE, "side")
+    return run_dealt(side(query, QUERY).unionByName(side(corpus, CORPUS)), summary, schema)
+
+
+def run_dealt(rows: DataFrame, summary: Callable[[Rows], Iterator[pa.RecordBatch]], schema: str, n_rows: int = 0) -> DataFrame:
+    """Apply ``summary`` to whole tiles of rows with their tile and ``side``; about ``n_rows``, if that is known."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows // PART_ROWS)
+    dealt = rows.select(*TILE, "side", *[c for c in rows.columns if c not in (*TILE, "side")])
+    dealt = dealt.repartition(parts, *TILE).sortWithinPartitions(*TILE, "side")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        n = 0
+        n, last = 0, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
+            keys = [batch.column(k).to_numpy() for k in range(len(TILE))]
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = last is not None and last != tuple(k[0] for k in keys)
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            last = tuple(k[-1] for k in keys)
+            cut = np.flatnonzero(new)
+            if len(cut) and n + cut[-1] >= BATCH_ROWS:        # all tiles but the last are whole
+                at = int(cut[-1])
+                yield from summary(Rows(pa.Table.from_batches([*held, batch.slice(0, at)])))
+                held, n = [], 0
+                batch = batch.slice(at)
             held.append(batch)
             n += batch.num_rows
-            if n < BATCH_ROWS:
-                continue
-            table = pa.Table.from_batches(held)
-            keys = np.stack([table.column(c).to_numpy() for c in TILE], axis=1)
-            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
-            if len(cut):
-                at = int(cut[-1]) + 1
-                yield from summary(Rows(table.slice(0, at)))
-                held = table.slice(at).to_batches()
-                n = table.num_rows - at
         if held:
             yield from summary(Rows(pa.Table.from_batches(held)))
     return dealt.mapInArrow(run, schema)

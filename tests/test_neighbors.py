@@ -1,12 +1,17 @@
 """Grid, blocked and hashed neighbour joins against numpy over all pairs."""
 
+import re
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from reviewlens.operators import neighbors as N
+from reviewlens.operators import tiles
 from reviewlens.operators.components import connected_components
 from reviewlens.operators.dbscan import dbscan
+from reviewlens.session import materialize
 
 
 def frame(spark, X, ids=None, **cols):
@@ -225,3 +230,49 @@ def test_strips_compare_few_pairs_of_a_dense_tile(spark):
     df = frame(spark, X)
     got = {r["id"]: r["n_within"] for r in N.radius_counts(df, df, 1.0, mode="grid").collect()}
     assert got == dict(enumerate(want.tolist()))
+
+
+@pytest.mark.parametrize("kind,d,cut", [("hot", 2, 100), ("hot", 1, 16), ("integers", 2, 16), ("spread", 3, 16)])
+def test_rows_of_one_frame_in_cut_cells(spark, monkeypatch, kind, d, cut):
+    """Cells as wide as eps, and those of more than a few rows cut on both sides."""
+    monkeypatch.setattr(tiles, "GRID_ROWS", cut)
+    monkeypatch.setattr(tiles, "CELL_ROWS", (1, 1))
+    X = points(kind, d, 420)
+    X[-1] = 1e5                                  # a row with nothing near
+    flag, label = [k % 3 == 0 for k in range(len(X))], [(k * 7) % 31 for k in range(len(X))]
+    df = frame(spark, X, flag=flag, label=label)
+    got = {r["id"]: tuple(r)[1:] for r in N.radius_counts(df, df, 0.7, flag_col="flag", label_col="label", block_rows=1, mode="grid").collect()}
+    near = dists(X, X) <= 0.7
+    assert got == {i: (int(near[i].sum()), int((near[i] & flag).sum()), min((label[j] for j in np.flatnonzero(near[i] & flag)), default=None))
+                   for i in range(len(X))}
+    r = dbscan(df, vector="features", eps=0.7, min_samples=4, scale=False, block_rows=1, mode="grid")
+    assert {t[0]: tuple(t)[1:] for t in r.labels.collect()} == brute_dbscan(X, 0.7, 4)
+
+
+def test_dense_rows_stand_in_few_tiles(spark, monkeypatch):
+    """2500 rows in a square of eps: cells are wide all the same, and a row is dealt about once."""
+    n, met = 1_000_000, []
+    side = (n / 2500) ** 0.5
+    df = spark.range(n).select(F.col("id").alias("row_id"), F.array(F.rand(1) * side, F.rand(2) * side).alias("features"))
+
+    def deal(*args, **_):
+        frames = [a for a in args if hasattr(a, "rdd")]
+        met.append(sum(f.count() for f in frames))
+        return spark.createDataFrame([], next(a for a in args if isinstance(a, str)))
+    for name in ("run_tiles", "run_dealt"):
+        monkeypatch.setattr(N, name, deal, raising=False)
+    N.radius_counts(df, df, 1.0, mode="grid")
+    assert n <= met[0] < 2.5 * n
+
+
+def test_written_tables_drop_their_shuffles(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    df = spark.range(100_000).selectExpr("xxhash64(id) AS k").groupBy("k").count()
+    statuses = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    had = statuses.keySet().toString()
+    table = materialize(df, drop_shuffles=True)
+    until = time.time() + 20
+    while (left := set(re.findall(r"\d+", statuses.keySet().toString())) - set(re.findall(r"\d+", had))) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(key) == before and table.count() == 100_000
