@@ -11,6 +11,7 @@ from reviewlens.operators import neighbors as N
 from reviewlens.operators import tiles
 from reviewlens.operators.components import connected_components
 from reviewlens.operators.dbscan import dbscan
+from reviewlens import session
 from reviewlens.session import materialize
 
 
@@ -276,3 +277,16 @@ def test_written_tables_drop_their_shuffles(spark):
     while (left := set(re.findall(r"\d+", statuses.keySet().toString())) - set(re.findall(r"\d+", had))) and time.time() < until:
         time.sleep(0.2)
     assert not left and spark.conf.get(key) == before and table.count() == 100_000
+
+
+def test_dbscan_joins_shared_points_only_and_frees_its_tables(spark, monkeypatch):
+    """One dense cluster over many tiles: components are joined by few links, and what is left are the tables that labels read."""
+    monkeypatch.setattr(tiles, "CELL_ROWS", (400, 400))
+    X, links = np.random.default_rng(5).uniform(0, 20, (6000, 2)), []
+    plain = connected_components
+    monkeypatch.setattr("reviewlens.operators.dbscan.connected_components", lambda edges: links.append(edges.count()) or plain(edges))
+    had = set(session._SCRATCH.get(spark.sparkContext.applicationId, []))
+    labels = dbscan(frame(spark, X), vector="features", eps=1.0, min_samples=3, scale=False).labels
+    assert len(set(session._SCRATCH[spark.sparkContext.applicationId]) - had) <= 3
+    assert {r["cluster"] for r in labels.select("cluster").distinct().collect()} == {0} and labels.count() == len(X)
+    assert 0 < links[0] < len(X) / 20
