@@ -285,8 +285,12 @@ def test_dbscan_joins_shared_points_only_and_frees_its_tables(spark, monkeypatch
     X, links = np.random.default_rng(5).uniform(0, 20, (6000, 2)), []
     plain = connected_components
     monkeypatch.setattr("reviewlens.operators.dbscan.connected_components", lambda edges: links.append(edges.count()) or plain(edges))
-    had = set(session._SCRATCH.get(spark.sparkContext.applicationId, []))
-    labels = dbscan(frame(spark, X), vector="features", eps=1.0, min_samples=3, scale=False).labels
+    df = materialize(frame(spark, X))
+    had = set(session._SCRATCH[spark.sparkContext.applicationId])
+    written = []
+    monkeypatch.setattr("reviewlens.operators.dbscan.materialize", lambda t, **k: written.append(t.columns) or materialize(t, **k))
+    labels = dbscan(df, vector="features", eps=1.0, min_samples=3, scale=False).labels
+    assert ["id", "features"] not in written                # a stored table is not stored again
     assert len(set(session._SCRATCH[spark.sparkContext.applicationId]) - had) <= 3
     assert {r["cluster"] for r in labels.select("cluster").distinct().collect()} == {0} and labels.count() == len(X)
     assert 0 < links[0] < len(X) / 20
