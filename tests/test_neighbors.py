@@ -1,7 +1,9 @@
 """Grid, blocked and hashed neighbour joins against numpy over all pairs."""
 
 import re
+import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -294,3 +296,30 @@ def test_dbscan_joins_shared_points_only_and_frees_its_tables(spark, monkeypatch
     assert len(set(session._SCRATCH[spark.sparkContext.applicationId]) - had) <= 3
     assert {r["cluster"] for r in labels.select("cluster").distinct().collect()} == {0} and labels.count() == len(X)
     assert 0 < links[0] < len(X) / 20
+
+
+def test_steps_in_other_threads_keep_their_tables(spark):
+    """A scope that ends frees the tables of its own thread only."""
+    def step(k):
+        with session.scratch_scope(spark):
+            materialize(spark.range(k + 5))
+            both.wait()                                  # the scope of one ends while the other has tables
+            if k:
+                ended.wait()
+            kept = materialize(spark.range(k + 10), drop_shuffles=True) if k else None
+            n = kept.count() if k else materialize(spark.range(3)).count()
+        ended.set()
+        return n
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, both, ended = spark.conf.get(key), threading.Barrier(2), threading.Event()
+
+    def table(k):
+        both.wait()
+        t = materialize(spark.range(7))                  # of a thread without a scope
+        ended.wait()
+        return t.count()
+    with ThreadPoolExecutor(2) as pool:
+        assert [f.result(60) for f in (pool.submit(step, 0), pool.submit(table, 1))] == [3, 7]
+        both, ended = threading.Barrier(2), threading.Event()
+        assert [f.result(60) for f in (pool.submit(step, 0), pool.submit(step, 1))] == [3, 11]
+    assert spark.conf.get(key) == before
